@@ -194,7 +194,138 @@ FROM (SELECT project_id, CAST(SUM(unit_cost * "count") AS BIGINT) AS total_spend
     }
 
 
+# --- raw schedule files and the cleaning path --------------------------------
+
+def _arr(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def raw_ctes() -> str:
+    """bom, files, body, raw(project_id, file_id, row_idx, cells)."""
+    from bomspark.sources import tables as t
+    m = t.NOTE_ROWS_MODULUS
+    rv = "project_id % 2 = 0"
+    note = ("CASE WHEN " + rv + " THEN ['Note ' || k, '', '', '', ''] "
+            "ELSE ['Note ' || k, '', '', '', '', ''] END")
+    return f"""{BOM},
+files AS (SELECT DISTINCT project_id, file_id FROM bom),
+body AS (
+  SELECT file_id, 1 AS part_no, line_no AS k1, '' AS k2,
+         CASE WHEN {rv} THEN [' ' || family, type, panel_name, level || ' ', CAST("count" AS VARCHAR)]
+              ELSE [level, 'Elec Rm', 'MLO', panel_name, '100', type] END AS cells FROM bom
+  UNION ALL
+  SELECT file_id, 2, 0, family, [family, '', '', '', CAST(SUM("count") AS VARCHAR)]
+  FROM bom WHERE {rv} GROUP BY file_id, family),
+nbody AS (SELECT file_id, COUNT(*) AS n FROM body GROUP BY file_id),
+raw AS (
+  SELECT project_id, file_id, CAST(0 AS INTEGER) AS row_idx,
+         CASE WHEN {rv} THEN {_arr(t.REVIT_TITLE)} ELSE {_arr(t.GURTZ_TITLE)} END AS cells FROM files
+  UNION ALL
+  SELECT project_id, file_id, CAST(k AS INTEGER), {note}
+  FROM (SELECT project_id, file_id, unnest(range(1, project_id % {m} + 1)) AS k FROM files)
+  UNION ALL
+  SELECT project_id, file_id, CAST(project_id % {m} + 1 AS INTEGER),
+         CASE WHEN {rv} THEN {_arr(t.REVIT_HEADER)} ELSE {_arr(t.GURTZ_HEADER)} END FROM files
+  UNION ALL
+  SELECT f.project_id, b.file_id,
+         CAST(f.project_id % {m} + 1 + row_number() OVER (PARTITION BY b.file_id ORDER BY part_no, k1, k2, b.cells) AS INTEGER),
+         b.cells
+  FROM body b JOIN files f USING (file_id)
+  UNION ALL
+  SELECT project_id, file_id, CAST(project_id % {m} + 2 + n AS INTEGER),
+         CASE WHEN {rv} THEN {_arr(t.REVIT_JUNK)} ELSE {_arr(t.GURTZ_HEADER)} END
+  FROM files JOIN nbody USING (file_id)
+  UNION ALL
+  SELECT project_id, file_id, CAST(project_id % {m} + 3 + n AS INTEGER), {_arr(t.GURTZ_BLANK)}
+  FROM files JOIN nbody USING (file_id) WHERE NOT ({rv}))"""
+
+
+def na_sql(c: str) -> str:
+    return f"CASE WHEN {c} IN {_in_list(fv.NA_TOKENS)} THEN NULL ELSE {c} END"
+
+
+def flat_sql(src: str, width: int = 6) -> str:
+    cells = ", ".join(f"cells[{i + 1}] AS cell_{i}" for i in range(width))
+    return f"SELECT project_id, file_id, row_idx, CAST(len(cells) AS INTEGER) AS n_cells, {cells} FROM {src}"
+
+
+def header_ctes() -> str:
+    """na, norm, hdr, header(project_id, file_id, layout, header_idx, level_pos, panel_pos, type_pos)."""
+    fam = f"n[1] = {q(fv.REVIT_HEADER_CELL)}"
+    gz = f"(list_contains(n, {q(fv.GURTZ_LEVEL)}) AND list_contains(n, {q(fv.GURTZ_PANEL)}))"
+    lvl = f"list_contains(n, {q(fv.GURTZ_LEVEL)})"
+    d = fv.GURTZ_DEFAULT_POSITIONS
+
+    def pos(name):
+        return (f"CAST(CASE WHEN layout = 'gurtz' THEN coalesce(len(gn) - list_position(list_reverse(gn), {q(name)}), "
+                f"{d[name]}) END AS INTEGER)")
+    return f"""na AS (
+  SELECT project_id, file_id, row_idx, list_transform(cells, lambda c: {na_sql('c')}) AS cells FROM raw),
+norm AS (
+  SELECT file_id, row_idx, list_transform(cells, lambda c: lower({clean_sql('c')})) AS n
+  FROM na WHERE row_idx < {fv.HEADER_SEARCH_ROWS}),
+hdr AS (
+  SELECT f.project_id, f.file_id,
+    coalesce(arg_min(CASE WHEN {fam} THEN 'revit' ELSE 'gurtz' END, row_idx) FILTER (WHERE {fam} OR {gz}), 'revit') AS layout,
+    min(row_idx) FILTER (WHERE {fam}) AS revit_idx,
+    min(row_idx) FILTER (WHERE {lvl}) AS gurtz_idx,
+    arg_min(n, row_idx) FILTER (WHERE {lvl}) AS gn
+  FROM files f LEFT JOIN norm USING (file_id) GROUP BY f.project_id, f.file_id),
+header AS (
+  SELECT project_id, file_id, layout,
+    CAST(CASE WHEN layout = 'gurtz' THEN gurtz_idx ELSE revit_idx END AS INTEGER) AS header_idx,
+    {pos(fv.GURTZ_LEVEL)} AS level_pos, {pos(fv.GURTZ_PANEL)} AS panel_pos, {pos(fv.GURTZ_TYPE)} AS type_pos
+  FROM hdr)"""
+
+
+def count_sql(x: str) -> str:
+    return (f"CASE WHEN regexp_matches({x}, {q(NUMBER_PATTERN)}) THEN "
+            f"CASE WHEN regexp_matches({x}, '^[+-]?[0-9]+$') THEN TRY_CAST({x} AS BIGINT) "
+            f"ELSE TRY_CAST(trunc(TRY_CAST({x} AS DOUBLE)) AS BIGINT) END END")
+
+
+def bom_lines_ctes() -> str:
+    """... lines(project_id, file_id, layout, row_idx, family, type, panel_name, level, count, issues)."""
+    def cell(revit_pos, pos_col):
+        return clean_sql(f"cells[CASE WHEN layout = 'gurtz' THEN {pos_col} ELSE {revit_pos} END + 1]")
+    keep_g = (f"NOT (lower(level) IN {_in_list(fv.GURTZ_SKIP_LEVELS)} OR (panel_name = '' AND type = ''))")
+    keep_r = """"count" IS NOT NULL AND NOT (type = '' AND panel_name = '' AND level = '') AND family <> ''"""
+    return f"""body_rows AS (
+  SELECT h.*, r.row_idx, r.cells FROM header h JOIN na r USING (file_id)
+  WHERE h.header_idx IS NOT NULL AND r.row_idx > h.header_idx),
+lines0 AS (
+  SELECT project_id, file_id, layout, row_idx,
+    CASE WHEN layout = 'gurtz' THEN {q(fv.GURTZ_FAMILY)} ELSE {clean_sql('cells[1]')} END AS family,
+    {cell(1, 'type_pos')} AS type, {cell(2, 'panel_pos')} AS panel_name, {cell(3, 'level_pos')} AS level,
+    CASE WHEN layout = 'gurtz' THEN CAST(1 AS BIGINT) ELSE {count_sql(clean_sql('cells[5]'))} END AS "count"
+  FROM body_rows),
+lines AS (
+  SELECT *, {issues_sql()} AS issues FROM lines0
+  WHERE CASE WHEN layout = 'gurtz' THEN {keep_g} ELSE {keep_r} END)"""
+
+
+def clean_queries() -> dict[str, str]:
+    raw = "WITH " + raw_ctes()
+    hdr = raw + ",\n" + header_ctes()
+    lines = hdr + ",\n" + bom_lines_ctes()
+    return {
+        "raw_rows": raw + "\n" + flat_sql("raw"),
+        "layout_detect": hdr + "\nSELECT project_id, file_id, layout FROM header",
+        "header_locate": hdr + "\nSELECT * FROM header WHERE header_idx IS NOT NULL",
+        "file_rejects": hdr + f"""
+SELECT project_id, file_id, CASE WHEN layout = 'gurtz' THEN {q(fv.REJECT_NO_LEVEL)} ELSE {q(fv.REJECT_NO_FAMILY)} END AS reason
+FROM header WHERE header_idx IS NULL""",
+        "clean_revit": lines + "\nSELECT * FROM lines WHERE layout = 'revit'",
+        "clean_gurtz": lines + "\nSELECT * FROM lines WHERE layout = 'gurtz'",
+        "clean_bom": lines + "\nSELECT * FROM lines",
+        "summary_by_layout": lines + """
+SELECT project_id, CASE WHEN layout = 'gurtz' THEN level ELSE family END AS family, CAST(SUM("count") AS BIGINT) AS "count"
+FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(bom_queries())
+    out.update(clean_queries())
     return out

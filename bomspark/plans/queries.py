@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomspark.operators import lookup, planning, quality, summary
+from bomspark.operators import layout, lookup, planning, quality, summary
+from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import match_keywords
 from bomspark.sources.catalogue import catalogue_from_entries
-from bomspark.sources.tables import AS_OF, TEST_CATALOGUE, bom_view, project_start_expr
+from bomspark.sources.tables import (AS_OF, TEST_CATALOGUE, bom_view, flat_cells, project_start_expr,
+                                     raw_rows_of, schedule_grids)
 
 TEST_PROFILE = (len(TEST_CATALOGUE), sorted({len(k) for k, *_ in TEST_CATALOGUE}))
 
@@ -91,8 +93,52 @@ def q_project_kpis(spark, sf_dir):
                                 AS_OF, profile=TEST_PROFILE)
 
 
+def _cleaned(spark, sf_dir):
+    return clean_schedules(schedule_grids(spark, sf_dir))
+
+
+def q_raw_rows(spark, sf_dir):
+    return flat_cells(raw_rows_of(schedule_grids(spark, sf_dir)))
+
+
+def q_layout_detect(spark, sf_dir):
+    return layout.layouts(layout.normalise_na(schedule_grids(spark, sf_dir)))
+
+
+def q_header_locate(spark, sf_dir):
+    return layout.file_header(layout.normalise_na(schedule_grids(spark, sf_dir)))
+
+
+def q_file_rejects(spark, sf_dir):
+    return _cleaned(spark, sf_dir).rejects
+
+
+def q_clean_revit(spark, sf_dir):
+    return _cleaned(spark, sf_dir).bom_lines.filter(F.col("layout") == "revit")
+
+
+def q_clean_gurtz(spark, sf_dir):
+    return _cleaned(spark, sf_dir).bom_lines.filter(F.col("layout") == "gurtz")
+
+
+def q_clean_bom(spark, sf_dir):
+    return _cleaned(spark, sf_dir).bom_lines
+
+
+def q_summary_by_layout(spark, sf_dir):
+    return summary.summarise(_cleaned(spark, sf_dir).bom_lines)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "raw_rows": q_raw_rows,
+        "layout_detect": q_layout_detect,
+        "header_locate": q_header_locate,
+        "file_rejects": q_file_rejects,
+        "clean_revit": q_clean_revit,
+        "clean_gurtz": q_clean_gurtz,
+        "clean_bom": q_clean_bom,
+        "summary_by_layout": q_summary_by_layout,
         "summary_by_family": q_summary_by_family,
         "summary_by_level": q_summary_by_level,
         "project_totals": q_project_totals,

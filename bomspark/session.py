@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 # correctness; they are the knobs a cluster deployment should review.
 RECOMMENDED_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -72,3 +72,89 @@ def bom_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         _level(F.col("l_linenumber")).alias("level"),
         F.col("l_quantity").cast("bigint").alias("count"),
     )
+
+
+# --- Raw schedule files derived from the BOM --------------------------------
+# Even projects export the "revit" layout (title, notes, Family/Type/Panel
+# Name/Level/Count header, padded cells, per-family subtotal rows, one row with
+# a non-numeric count); odd projects export the "gurtz" panelboard layout
+# (title, notes, Level/Location/Mains/Panel Name/Bus/Type header, a repeated
+# header and a blank separator row at the end).  Each file carries
+# project_id % 23 note rows before its header, so files of projects with 19 or
+# more notes have no header within the first 20 rows and are rejected.
+NOTE_ROWS_MODULUS = 23
+REVIT_TITLE = ["Electrical Equipment Schedule", "", "", "", ""]
+GURTZ_TITLE = ["", "", "", "PANELBOARD SCHEDULE", "", ""]
+REVIT_HEADER = ["Family", "Type", "Panel Name", "Level", "Count"]
+GURTZ_HEADER = ["Level", "Location", "Mains", "Panel Name", "Bus", "Type"]
+REVIT_JUNK = ["n/a family", "x", "y", "z", "1,000"]
+GURTZ_BLANK = ["", "", "", "", "", ""]
+
+GRID_ROW_DDL = "struct<row_idx:int,cells:array<string>>"
+
+
+def _lit_array(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _note_cells(width: int):
+    return lambda k: F.array(F.concat(F.lit("Note "), k.cast("string")),
+                             *[F.lit("") for _ in range(width - 1)])
+
+
+def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per schedule file: project_id, file_id, layout_hint,
+    rows array<struct<row_idx int, cells array<string>>>.
+
+    Built with one aggregate per file (bounded by the file), never per
+    project; row numbers are array positions, so no window is needed.
+    """
+    bom = bom_view(spark, sf_dir)
+    revit = F.pmod(F.col("project_id"), F.lit(2)) == 0
+    line_cells = F.when(revit, F.array(
+        F.concat(F.lit(" "), F.col("family")), F.col("type"), F.col("panel_name"),
+        F.concat(F.col("level"), F.lit(" ")), F.col("count").cast("string"),
+    )).otherwise(F.array(
+        F.col("level"), F.lit("Elec Rm"), F.lit("MLO"), F.col("panel_name"), F.lit("100"), F.col("type"),
+    ))
+    lines = bom.select(
+        "project_id", "file_id",
+        F.struct(F.lit(1).alias("part_no"), F.col("line_no").alias("k1"), F.lit("").alias("k2"),
+                 line_cells.alias("cells")).alias("r"))
+    subtotals = (bom.filter(revit)
+                 .groupBy("project_id", "file_id", "family")
+                 .agg(F.sum("count").cast("bigint").alias("units"))
+                 .select("project_id", "file_id",
+                         F.struct(F.lit(2).alias("part_no"), F.lit(0).cast("bigint").alias("k1"),
+                                  F.col("family").alias("k2"),
+                                  F.array(F.col("family"), F.lit(""), F.lit(""), F.lit(""),
+                                          F.col("units").cast("string")).alias("cells")).alias("r")))
+    files = (lines.unionByName(subtotals)
+             .groupBy("project_id", "file_id")
+             .agg(F.array_sort(F.collect_list("r")).alias("body")))
+    is_revit = F.pmod(F.col("project_id"), F.lit(2)) == 0
+    notes = F.pmod(F.col("project_id"), F.lit(NOTE_ROWS_MODULUS)).cast("int")
+    empty = F.array().cast("array<array<string>>")
+    note_rows = F.when(notes > 0, F.when(
+        is_revit, F.transform(F.sequence(F.lit(1), notes), _note_cells(5))
+    ).otherwise(F.transform(F.sequence(F.lit(1), notes), _note_cells(6)))).otherwise(empty)
+    head = F.when(is_revit, F.array(_lit_array(REVIT_TITLE))).otherwise(F.array(_lit_array(GURTZ_TITLE)))
+    header = F.when(is_revit, F.array(_lit_array(REVIT_HEADER))).otherwise(F.array(_lit_array(GURTZ_HEADER)))
+    tail = F.when(is_revit, F.array(_lit_array(REVIT_JUNK))).otherwise(
+        F.array(_lit_array(GURTZ_HEADER), _lit_array(GURTZ_BLANK)))
+    all_cells = F.concat(head, note_rows, header, F.transform("body", lambda x: x["cells"]), tail)
+    rows = F.transform(all_cells, lambda c, i: F.struct(i.cast("int").alias("row_idx"), c.alias("cells")))
+    return files.select("project_id", "file_id", rows.alias("rows"))
+
+
+def raw_rows_of(grids: DataFrame) -> DataFrame:
+    """Long form: project_id, file_id, row_idx, cells."""
+    return grids.select("project_id", "file_id", F.explode("rows").alias("r")).select(
+        "project_id", "file_id", F.col("r.row_idx").alias("row_idx"), F.col("r.cells").alias("cells"))
+
+
+def flat_cells(raw: DataFrame, width: int = 6) -> DataFrame:
+    """raw rows with cells spread into cell_0..cell_{width-1} plus n_cells."""
+    return raw.select("project_id", "file_id", "row_idx",
+                      F.size("cells").alias("n_cells"),
+                      *[F.get(F.col("cells"), i).alias(f"cell_{i}") for i in range(width)])
