@@ -310,6 +310,7 @@ def clean_queries() -> dict[str, str]:
     lines = hdr + ",\n" + bom_lines_ctes()
     return {
         "raw_rows": raw + "\n" + flat_sql("raw"),
+        "ingest_rows": hdr + "\n" + flat_sql("na"),
         "layout_detect": hdr + "\nSELECT project_id, file_id, layout FROM header",
         "header_locate": hdr + "\nSELECT * FROM header WHERE header_idx IS NOT NULL",
         "file_rejects": hdr + f"""

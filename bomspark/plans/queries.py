@@ -15,8 +15,11 @@ from bomspark.operators import layout, lookup, planning, quality, summary
 from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import match_keywords
 from bomspark.sources.catalogue import catalogue_from_entries
-from bomspark.sources.tables import (AS_OF, TEST_CATALOGUE, bom_view, flat_cells, project_start_expr,
-                                     raw_rows_of, schedule_grids)
+from bomspark.sinks.csv_text import grids_to_files
+from bomspark.sources.csv_records import parse_grids
+from bomspark.sources.files import decode_content
+from bomspark.sources.tables import (AS_OF, TEST_CATALOGUE, bom_view, file_encoding, file_eol,
+                                     flat_cells, project_start_expr, raw_rows_of, schedule_grids)
 
 TEST_PROFILE = (len(TEST_CATALOGUE), sorted({len(k) for k, *_ in TEST_CATALOGUE}))
 
@@ -101,6 +104,18 @@ def q_raw_rows(spark, sf_dir):
     return flat_cells(raw_rows_of(schedule_grids(spark, sf_dir)))
 
 
+def ingested_grids(spark, sf_dir):
+    """The derived schedules written as CSV bytes (three encodings, LF and
+    CRLF) and read back through the decoder and the CSV reader."""
+    grids = schedule_grids(spark, sf_dir)
+    files = grids_to_files(grids, file_encoding(F.col("file_id")), file_eol(F.col("file_id")))
+    return parse_grids(decode_content(files))
+
+
+def q_ingest_rows(spark, sf_dir):
+    return flat_cells(raw_rows_of(layout.normalise_na(ingested_grids(spark, sf_dir))))
+
+
 def q_layout_detect(spark, sf_dir):
     return layout.layouts(layout.normalise_na(schedule_grids(spark, sf_dir)))
 
@@ -132,6 +147,7 @@ def q_summary_by_layout(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_rows": q_raw_rows,
+        "ingest_rows": q_ingest_rows,
         "layout_detect": q_layout_detect,
         "header_locate": q_header_locate,
         "file_rejects": q_file_rejects,

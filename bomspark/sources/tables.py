@@ -83,8 +83,8 @@ def bom_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # project_id % 23 note rows before its header, so files of projects with 19 or
 # more notes have no header within the first 20 rows and are rejected.
 NOTE_ROWS_MODULUS = 23
-REVIT_TITLE = ["Electrical Equipment Schedule", "", "", "", ""]
-GURTZ_TITLE = ["", "", "", "PANELBOARD SCHEDULE", "", ""]
+REVIT_TITLE = ["Electrical Equipment Schedule", "", "", "", "Révision A"]
+GURTZ_TITLE = ["", "", "", "PANELBOARD SCHEDULE", "", "Révision A"]
 REVIT_HEADER = ["Family", "Type", "Panel Name", "Level", "Count"]
 GURTZ_HEADER = ["Level", "Location", "Mains", "Panel Name", "Bus", "Type"]
 REVIT_JUNK = ["n/a family", "x", "y", "z", "1,000"]
@@ -147,6 +147,18 @@ def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("project_id", "file_id", rows.alias("rows"))
 
 
+def file_encoding(file_id: Column) -> Column:
+    """How each derived file is stored: UTF-8 with a byte-order mark, UTF-8
+    with CRLF line ends, or Latin-1 (the titles hold an e-acute, so the
+    Latin-1 files are not valid UTF-8)."""
+    k = F.pmod(file_id, F.lit(3))
+    return F.when(k == 0, F.lit("utf-8-sig")).when(k == 1, F.lit("utf-8")).otherwise(F.lit("latin-1"))
+
+
+def file_eol(file_id: Column) -> Column:
+    return F.when(F.pmod(file_id, F.lit(3)) == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+
+
 def raw_rows_of(grids: DataFrame) -> DataFrame:
     """Long form: project_id, file_id, row_idx, cells."""
     return grids.select("project_id", "file_id", F.explode("rows").alias("r")).select(
