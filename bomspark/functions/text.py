@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from bomspark.fixed_values import NA_TOKENS
 
-# Python's str.strip() removes every Unicode whitespace character plus the
-# information separators U+001C..U+001F; Spark's trim() removes only U+0020.
+# Python's str.strip() removes every character for which str.isspace() holds
+# (Unicode White_Space plus the separators U+001C..U+001F); Spark's one-argument
+# trim() removes only U+0020.  The set is built from that rule and handed to
+# trim(str, chars), which strips any of those code points from both ends.
+WS_CHARS = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+# The same set as a regular-expression class (used by the SQL oracle).
 WS_CLASS = (
     r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -25,8 +29,8 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(c: Column) -> Column:
-    """Unicode-aware strip of both ends (str.strip semantics)."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Unicode-aware strip of both ends (str.strip semantics), no regex."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def clean_cell(c: Column) -> Column:

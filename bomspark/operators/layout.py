@@ -1,9 +1,10 @@
 """Per-file layout detection and header location.
 
 Input is one row per file with ``rows: array<struct<row_idx, cells>>`` (as
-produced by the CSV reader).  Every step here is a per-row expression over
-that array: no aggregate, no join back to the lines, no shuffle.  Only the
-first 20 records are ever inspected.
+produced by the CSV reader), dense and in order: ``rows[i].row_idx == i``.
+Every step here is a per-row expression over that array: no aggregate, no
+join back to the lines, no shuffle.  Only the first 20 records are ever
+inspected.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def with_header(grids: DataFrame) -> DataFrame:
     are the last matching cell, defaulting to 0 / 3 / 5.  header_idx is null
     when the layout's header is missing (the file is rejected).
     """
-    head = F.filter("rows", lambda r: r["row_idx"] < fv.HEADER_SEARCH_ROWS)
+    head = F.slice("rows", 1, fv.HEADER_SEARCH_ROWS)
     normed = F.transform(head, lambda r: F.struct(
         r["row_idx"].alias("row_idx"),
         F.transform(r["cells"], norm_cell).alias("n")))

@@ -113,15 +113,15 @@ def ingested_grids(spark, sf_dir):
 
 
 def q_ingest_rows(spark, sf_dir):
-    return flat_cells(raw_rows_of(layout.normalise_na(ingested_grids(spark, sf_dir))))
+    return flat_cells(raw_rows_of(ingested_grids(spark, sf_dir)), na=True)
 
 
 def q_layout_detect(spark, sf_dir):
-    return layout.layouts(layout.normalise_na(schedule_grids(spark, sf_dir)))
+    return layout.layouts(schedule_grids(spark, sf_dir))
 
 
 def q_header_locate(spark, sf_dir):
-    return layout.file_header(layout.normalise_na(schedule_grids(spark, sf_dir)))
+    return layout.file_header(schedule_grids(spark, sf_dir))
 
 
 def q_file_rejects(spark, sf_dir):

@@ -18,6 +18,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # collect_list / min_by aggregates keep hashing instead of falling back to
+    # sort-based aggregation after 128 keys per task.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1000000",
     # Schedule files are many and small; pack them into fewer read tasks.
     "spark.sql.files.openCostInBytes": str(1 << 20),
 }

@@ -165,8 +165,14 @@ def raw_rows_of(grids: DataFrame) -> DataFrame:
         "project_id", "file_id", F.col("r.row_idx").alias("row_idx"), F.col("r.cells").alias("cells"))
 
 
-def flat_cells(raw: DataFrame, width: int = 6) -> DataFrame:
-    """raw rows with cells spread into cell_0..cell_{width-1} plus n_cells."""
+def flat_cells(raw: DataFrame, width: int = 6, na: bool = False) -> DataFrame:
+    """raw rows with cells spread into cell_0..cell_{width-1} plus n_cells;
+    na=True maps NA tokens to null."""
+    from bomspark.functions.text import na_to_null
+
+    def cell(i):
+        c = F.get(F.col("cells"), i)
+        return na_to_null(c) if na else c
     return raw.select("project_id", "file_id", "row_idx",
                       F.size("cells").alias("n_cells"),
-                      *[F.get(F.col("cells"), i).alias(f"cell_{i}") for i in range(width)])
+                      *[cell(i).alias(f"cell_{i}") for i in range(width)])
