@@ -120,3 +120,32 @@ REPORT_LEAD_INTRO = "Items sorted by order urgency. Dates based on project start
 NONE_IDENTIFIED = "None identified."
 NO_ISSUES_ITEM = "<li>No issues found.</li>"
 HTML_TITLE = "Procurement Dashboard"
+
+# --- FIXED VALUES: procurement prompt text ------------------------------------
+PROMPT_HEAD = """You are an office-based Senior Procurement Engineer on an MEP/Electrical project.
+You have received a validated BOM exported from Autodesk Revit via a Python pipeline.
+
+VALIDATED DATA - do not recalculate, use exactly as provided:"""
+PROMPT_TASKS = """TASKS:
+
+1. RFQ LOTS - Group equipment into logical procurement batches based on supplier specialisation.
+   CRITICAL RULES:
+   (a) MUTUALLY EXCLUSIVE: assign each equipment family to ONE AND ONLY ONE lot.
+   (b) EXACT QUANTITIES: list exact quantity per item as provided. Do not calculate totals or subtotals.
+   (c) FLAG any items with critical lead times in their lot description.
+
+2. 4-WEEK ACTION PLAN - Office-based procurement milestones only:
+   - Week 1: Issue RFQs for CRITICAL lead time items immediately; shortlist suppliers
+   - Week 2: Issue remaining RFQs; follow up on critical items
+   - Week 3: Quotation analysis and negotiation
+   - Week 4: Purchase order placement; confirm delivery schedule by floor level
+   Note: if data quality issues exist, escalate Data Quality Log to BIM Manager. Do NOT suggest site visits.
+
+3. TOP 3 RISKS - Prioritise lead time risk, spend concentration risk, and BIM data gaps.
+   Include one mitigation per risk.
+
+RULES: Do not recalculate quantities. Do not suggest site visits. No tables. Bullet points only. Professional tone.
+"""
+PROMPT_INVENTORY = "Equipment inventory (exact quantities - do not modify):"
+PROMPT_CRITICAL = "CRITICAL LEAD TIME ITEMS (must order immediately):"
+PROMPT_SEQUENCE = "Recommended delivery sequence by floor:"

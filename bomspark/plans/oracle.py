@@ -147,21 +147,184 @@ def bom_analytics(*extra: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def kpis_sql() -> str:
+def kpis_cte() -> str:
     deadline = f"({start_sql()} - to_days(CAST(7 * lead_max_weeks AS INTEGER)))"
     days = f"floor((epoch_us({deadline}) - epoch_us({AS_OF_SQL})) / 86400000000.0)"
-    return bom_analytics(f"""lines AS (
+    return f"""lines_k AS (
   SELECT project_id, CAST(SUM("count") AS BIGINT) AS total_units, COUNT(*) AS bom_lines,
          COUNT(*) FILTER (WHERE {issues_sql()} <> '') AS issues FROM bom GROUP BY project_id),
-fam AS (
+fam_k AS (
   SELECT project_id, COUNT(*) AS families, CAST(SUM(unit_cost * "count") AS BIGINT) AS total_spend,
          COUNT(*) FILTER (WHERE {days} < {fv.CRITICAL_DAYS}) AS critical_items
-  FROM enriched GROUP BY project_id)""") + """
-SELECT l.project_id, l.total_units, l.bom_lines, l.issues,
-       CAST(coalesce(f.families, 0) AS BIGINT) AS families,
-       CAST(coalesce(f.total_spend, 0) AS BIGINT) AS total_spend,
-       CAST(coalesce(f.critical_items, 0) AS BIGINT) AS critical_items
-FROM lines l LEFT JOIN fam f USING (project_id)"""
+  FROM enriched GROUP BY project_id),
+kpis AS (
+  SELECT l.project_id, l.total_units, l.bom_lines, l.issues,
+         CAST(coalesce(f.families, 0) AS BIGINT) AS families,
+         CAST(coalesce(f.total_spend, 0) AS BIGINT) AS total_spend,
+         CAST(coalesce(f.critical_items, 0) AS BIGINT) AS critical_items
+  FROM lines_k l LEFT JOIN fam_k f USING (project_id))"""
+
+
+def kpis_sql() -> str:
+    return bom_analytics(kpis_cte()) + "SELECT * FROM kpis"
+
+
+# --- reports ----------------------------------------------------------------
+
+def vc(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+def esc_sql(x: str) -> str:
+    out = vc(x)
+    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = f"replace({out}, {q(ch)}, {q(ent)})"
+    return out
+
+
+def _const(section: int, lines: list[str]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT project_id, {section} AS section_no, CAST(NULL AS VARCHAR) AS file_id, "
+        f"CAST({i} AS BIGINT) AS line_no, {ln} AS line FROM kpis" for i, ln in enumerate(lines))
+
+
+def report_sql() -> str:
+    h = fv.REPORT_HEADINGS
+    gen = f"'Generated: ' || strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M')"
+    rn = "row_number() OVER (PARTITION BY project_id ORDER BY {})"
+    parts = [
+        _const(0, [q(fv.REPORT_TITLE), gen]),
+        _const(1, [q(h[1]), "'Total equipment units: ' || " + vc("total_units"),
+                   "'Order lines (BOM rows): ' || " + vc("bom_lines"),
+                   "'Data quality issues: ' || " + vc("issues"),
+                   "'Estimated procurement spend: ' || " + money_sql("total_spend") + " || ' USD'"]),
+        _const(3, [q(h[3]), q(fv.REPORT_LEAD_INTRO)]),
+        f"""SELECT project_id, 3, NULL, 1 + {rn.format('days_until_deadline, family')},
+  status || ' ' || family || ' — Lead time: ' || {vc('lead_min_weeks')} || '–' || {vc('lead_max_weeks')}
+  || ' wks — Order by: ' || {vc('order_by_date')} FROM lead""",
+        _const(4, [q(h[4])]),
+        f"""SELECT project_id, 4, NULL, delivery_phase, 'Phase ' || {vc('delivery_phase')} || ': ' || level
+  || ' — ' || {vc('total_units')} || ' units — ' || recommended_action FROM delivery""",
+        _const(5, [q(h[5]), "'Total estimated procurement value: ' || " + money_sql("total_spend")
+                   + " || ' USD (indicative)'"]),
+        f"""SELECT project_id, 5, NULL, 1 + {rn.format('estimated_total DESC, family')},
+  spend_tier || '  ' || family || ': ' || {vc('"count"')} || ' units × ' || {money_sql('unit_cost')}
+  || ' = ' || {money_sql('estimated_total')} FROM spend""",
+        _const(6, [q(h[6])]),
+        f"""SELECT project_id, 6, NULL, {rn.format('"count" DESC, family')},
+  family || ': ' || {vc('"count"')} || ' units' FROM summary""",
+        _const(7, [q(h[7])]),
+        f"""SELECT project_id, 7, {vc('file_id')}, line_no + 1, family || ' | Type: ' || type || ' | Panel: '
+  || panel_name || ' | Level: ' || level || ' | Qty: ' || {vc('"count"')} FROM bom""",
+    ]
+    return (bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte())
+            + "\nUNION ALL ".join(parts))
+
+
+def fragments_cte() -> str:
+    def td(x):
+        return f"'<td>' || {x} || '</td>'"
+    return f"""frag_rows AS (
+  SELECT project_id, 'lead_rows' AS fragment, CAST(days_until_deadline AS BIGINT) AS k1, family AS k2,
+    '<tr>' || {td(esc_sql('status'))} || {td(esc_sql('family'))}
+    || {td(vc('lead_min_weeks') + " || '–' || " + vc('lead_max_weeks') + " || ' wks'")}
+    || {td(vc('order_by_date'))} || '</tr>' AS html FROM lead
+  UNION ALL
+  SELECT project_id, 'seq_rows', CAST(delivery_phase AS BIGINT), '',
+    '<tr>' || {td(vc('delivery_phase'))} || {td(esc_sql('level'))} || {td(vc('total_units'))}
+    || {td(esc_sql('recommended_action'))} || '</tr>' FROM delivery
+  UNION ALL
+  SELECT project_id, 'spend_rows', -estimated_total, family,
+    '<tr>' || {td(esc_sql('spend_tier'))} || {td(esc_sql('family'))} || {td(vc('"count"'))}
+    || {td(money_sql('unit_cost'))} || {td(money_sql('estimated_total'))} || '</tr>' FROM spend
+  UNION ALL
+  SELECT project_id, 'family_list', -"count", family,
+    '<li><strong>' || {esc_sql('family')} || '</strong>: ' || {vc('"count"')} || ' units</li>' FROM summary),
+fragments AS (
+  SELECT project_id, fragment, string_agg(html, '' ORDER BY k1, k2, html) AS html
+  FROM frag_rows GROUP BY project_id, fragment)"""
+
+
+def fragments_sql() -> str:
+    return bom_analytics(lead_cte(), delivery_cte(), SPEND, fragments_cte()) + "SELECT * FROM fragments"
+
+
+def documents_sql() -> str:
+    def f(name):
+        return f"coalesce(max(CASE WHEN fragment = {q(name)} THEN html END), '')"
+    gen = f"strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M')"
+    t = fv.HTML_TITLE
+    body = " || ".join([
+        q(f"<!DOCTYPE html>\n<html><head><meta charset='UTF-8'>\n<title>{t}</title>\n</head>\n<body>\n"
+          f"<h1>⚡ {t}</h1>\n<p>Generated: "), gen, q("</p>\n<div class=\"stat-grid\">\n"),
+        q('  <div class="stat"><h2>'), vc("total_units"), q("</h2><p>Total Units</p></div>\n"),
+        q('  <div class="stat"><h2>'), vc("bom_lines"), q("</h2><p>BOM Lines</p></div>\n"),
+        q('  <div class="stat"><h2>'), vc("issues"), q("</h2><p>Issues</p></div>\n"),
+        q('  <div class="stat"><h2>$'), thousands_sql("total_spend"), q("</h2><p>Est. Spend</p></div>\n"),
+        q('</div>\n<div class="card">\n  <h2>⏱️ Lead Time Estimator</h2>\n'
+          "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  "),
+        "lead_rows",
+        q('</table>\n</div>\n<div class="card">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n'
+          "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  "),
+        "seq_rows",
+        q('</table>\n</div>\n<div class="card">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n'
+          "  <p><strong>Total estimated procurement value: "), money_sql("total_spend"),
+        q(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
+          "<th>Total</th></tr>\n  "),
+        "spend_rows",
+        q('</table>\n</div>\n<div class="card">\n  <h2>📦 Summary by Family</h2>\n  <ul>'),
+        "family_list",
+        q("</ul>\n</div>\n</body></html>"),
+    ])
+    return (bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte(), fragments_cte(), f"""piv AS (
+  SELECT project_id, {f('lead_rows')} AS lead_rows, {f('seq_rows')} AS seq_rows,
+         {f('spend_rows')} AS spend_rows, {f('family_list')} AS family_list
+  FROM fragments GROUP BY project_id)""")
+            + f"SELECT k.project_id, {body} AS html FROM kpis k LEFT JOIN piv USING (project_id)")
+
+
+def prompts_sql() -> str:
+    nl = "chr(10)"
+    crit = f"regexp_matches(status, {q(fv.CRITICAL_PATTERN)})"
+
+    def table(header, col, empty):
+        return f"CASE WHEN {col} IS NULL THEN {q(empty)} ELSE {q(header)} || {nl} || {col} END"
+    body = " || ".join([
+        q(fv.PROMPT_HEAD + "\n"),
+        "'- Total units: '", vc("total_units"), nl,
+        "'- BOM line items: '", vc("bom_lines"), nl,
+        "'- Data quality issues: '", vc("issues"), nl,
+        "'- Estimated total procurement spend: '", money_sql("total_spend"),
+        q(" USD (indicative, for planning purposes only)\n\n" + fv.PROMPT_INVENTORY + "\n"),
+        table("Family | Count", "fam", ""),
+        q("\n\n" + fv.PROMPT_CRITICAL + "\n"),
+        table("Family | Lead Time Max (wks) | Order By Date", "crit", fv.NONE_IDENTIFIED),
+        q("\n\n" + fv.PROMPT_SEQUENCE + "\n"),
+        table("Level | Total Units | Recommended Action", "seq", ""),
+        q("\n\n" + fv.PROMPT_TASKS),
+    ])
+    return bom_analytics(lead_cte(), delivery_cte(), kpis_cte(), f"""pl AS (
+  SELECT project_id, 'family' AS part, -"count" AS k1, family AS k2, family || ' | ' || {vc('"count"')} AS line FROM summary
+  UNION ALL
+  SELECT project_id, 'critical', days_until_deadline, family,
+         family || ' | ' || {vc('lead_max_weeks')} || ' | ' || {vc('order_by_date')} FROM lead WHERE {crit}
+  UNION ALL
+  SELECT project_id, 'sequence', delivery_phase, '',
+         level || ' | ' || {vc('total_units')} || ' | ' || recommended_action FROM delivery),
+pt AS (SELECT project_id, part, string_agg(line, {nl} ORDER BY k1, k2, line) AS txt FROM pl GROUP BY project_id, part),
+piv AS (SELECT project_id, max(CASE WHEN part = 'family' THEN txt END) AS fam,
+               max(CASE WHEN part = 'critical' THEN txt END) AS crit,
+               max(CASE WHEN part = 'sequence' THEN txt END) AS seq FROM pt GROUP BY project_id)""") + \
+        f"SELECT k.project_id, {body} AS prompt FROM kpis k LEFT JOIN piv USING (project_id)"
+
+
+def report_queries() -> dict[str, str]:
+    return {
+        "report_lines": report_sql(),
+        "html_fragments": fragments_sql(),
+        "html_documents": documents_sql(),
+        "project_prompts": prompts_sql(),
+    }
 
 
 def bom_queries() -> dict[str, str]:
@@ -329,4 +492,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(bom_queries())
     out.update(clean_queries())
+    out.update(report_queries())
     return out

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomspark.operators import layout, lookup, planning, quality, summary
+from bomspark.operators import layout, lookup, planning, quality, report, summary
 from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import match_keywords
 from bomspark.sources.catalogue import catalogue_from_entries
@@ -144,6 +144,40 @@ def q_summary_by_layout(spark, sf_dir):
     return summary.summarise(_cleaned(spark, sf_dir).bom_lines)
 
 
+class _Tables:
+    """The analytic tables over the driver-table BOM, built once per query."""
+
+    def __init__(self, spark, sf_dir):
+        self.bom = bom_view(spark, sf_dir)
+        cat = _catalogue(spark)
+        self.summary = summary.summarise(self.bom)
+        self.enriched = lookup.enrich(self.summary, cat, "family", TEST_PROFILE)
+        self.lead = planning.lead_times(self.enriched, project_start_expr(), AS_OF)
+        self.spend = planning.spend_estimation(self.enriched)
+        self.delivery = planning.delivery_sequence(self.bom)
+        self.kpis = summary.project_kpis(self.bom, cat, project_start_expr(), AS_OF, profile=TEST_PROFILE)
+
+
+def q_report_lines(spark, sf_dir):
+    t = _Tables(spark, sf_dir)
+    return report.report_lines(t.kpis, t.lead, t.delivery, t.spend, t.summary, t.bom, AS_OF)
+
+
+def q_html_fragments(spark, sf_dir):
+    t = _Tables(spark, sf_dir)
+    return report.html_fragments(t.lead, t.delivery, t.spend, t.summary)
+
+
+def q_html_documents(spark, sf_dir):
+    t = _Tables(spark, sf_dir)
+    return report.html_documents(t.kpis, report.html_fragments(t.lead, t.delivery, t.spend, t.summary), AS_OF)
+
+
+def q_project_prompts(spark, sf_dir):
+    t = _Tables(spark, sf_dir)
+    return report.project_prompts(t.kpis, t.summary, t.lead, t.delivery)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_rows": q_raw_rows,
@@ -169,4 +203,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spend_formatted": q_spend_formatted,
         "total_spend": q_total_spend,
         "project_kpis": q_project_kpis,
+        "report_lines": q_report_lines,
+        "html_fragments": q_html_fragments,
+        "html_documents": q_html_documents,
+        "project_prompts": q_project_prompts,
     }
