@@ -488,9 +488,23 @@ FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL""",
     }
 
 
+def write_tables_sql() -> str:
+    lines = "WITH " + raw_ctes() + ",\n" + header_ctes() + ",\n" + bom_lines_ctes()
+    return lines + """,
+summ AS (SELECT project_id, CASE WHEN layout = 'gurtz' THEN level ELSE family END AS family
+         FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL)
+SELECT 'Clean_BOM' AS table_name, COUNT(*) AS "rows" FROM lines
+UNION ALL SELECT 'Summary_by_Family', COUNT(*) FROM summ
+UNION ALL SELECT 'Data_Quality_Log', COUNT(*) FROM lines WHERE issues <> ''
+UNION ALL SELECT 'Lead_Time_Estimator', COUNT(*) FROM summ
+UNION ALL SELECT 'Delivery_Sequence', COUNT(*) FROM (SELECT DISTINCT project_id, level FROM lines)
+UNION ALL SELECT 'Spend_Estimation', COUNT(*) FROM summ"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(bom_queries())
     out.update(clean_queries())
     out.update(report_queries())
+    out["write_tables"] = write_tables_sql()
     return out

@@ -178,6 +178,19 @@ def q_project_prompts(spark, sf_dir):
     return report.project_prompts(t.kpis, t.summary, t.lead, t.delivery)
 
 
+def q_write_tables(spark, sf_dir):
+    """Clean the derived schedule files, analyse them, write the six result
+    tables to the shared folder and count what reads back."""
+    from bomspark.plans.procurement import analyse_bom, materialise
+    from bomspark.session import shared_dir
+    from bomspark.sinks.tables import read_tables, result_tables, table_counts, write_tables
+    # The BOM is written once; the six tables are derived from that copy.
+    bom = materialise(_cleaned(spark, sf_dir).bom_lines, "bom_lines")
+    a = analyse_bom(bom, _catalogue(spark), project_start_expr(), AS_OF, profile=TEST_PROFILE)
+    paths = write_tables(result_tables(a), shared_dir(spark, "tables"))
+    return table_counts(read_tables(spark, paths))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_rows": q_raw_rows,
@@ -207,4 +220,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_fragments": q_html_fragments,
         "html_documents": q_html_documents,
         "project_prompts": q_project_prompts,
+        "write_tables": q_write_tables,
     }
