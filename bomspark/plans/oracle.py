@@ -507,4 +507,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(clean_queries())
     out.update(report_queries())
     out["write_tables"] = write_tables_sql()
+    out["stream_ingest"] = out["clean_bom"]
     return out

@@ -191,6 +191,29 @@ def q_write_tables(spark, sf_dir):
     return table_counts(read_tables(spark, paths))
 
 
+def q_stream_ingest(spark, sf_dir):
+    """The derived schedules land as CSV files (project=<id>/file=<id>/...);
+    a Structured Streaming file source cleans them batch by batch into the
+    shared folder; the result is the appended BOM."""
+    from bomspark.session import shared_dir
+    from bomspark.sinks.csv_text import csv_text
+    from bomspark.streaming.uploads import ingested_bom, start_upload_ingest
+    landing, out = shared_dir(spark, "landing"), shared_dir(spark, "ingested")
+    grids = schedule_grids(spark, sf_dir)
+    (grids.select(F.col("project_id").alias("project"), F.col("file_id").alias("file"),
+                  csv_text(F.col("rows")).alias("value"))
+     .repartition("project", "file")
+     .write.partitionBy("project", "file").text(landing))
+    q = start_upload_ingest(spark, landing, out, available_now=True, glob="*.txt",
+                            max_files_per_trigger=1000)
+    q.awaitTermination()
+    bom = ingested_bom(spark, out)
+    return bom.select(
+        F.col("project_id").cast("bigint").alias("project_id"),
+        F.regexp_extract("file_id", r"/file=([0-9]+)/", 1).cast("bigint").alias("file_id"),
+        "layout", "row_idx", "family", "type", "panel_name", "level", "count", "issues")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_rows": q_raw_rows,
@@ -221,4 +244,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_documents": q_html_documents,
         "project_prompts": q_project_prompts,
         "write_tables": q_write_tables,
+        "stream_ingest": q_stream_ingest,
     }
