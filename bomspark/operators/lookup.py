@@ -97,7 +97,31 @@ def match_keywords(names: DataFrame, catalogue: DataFrame, name_col: str = "fami
 
 def enrich(summary: DataFrame, catalogue: DataFrame, key: str = "family",
            profile: tuple[int, list[int]] | None = None) -> DataFrame:
-    """Attach the lookup to every summary row; the lookup runs once per
-    distinct key and is joined back on the key (equi-join, planned by AQE)."""
-    lookup = match_keywords(summary.select(key).distinct(), catalogue, key, profile)
-    return summary.join(lookup, key, "left")
+    """Attach the lookup (keyword, lead_min_weeks, lead_max_weeks, unit_cost)
+    to every row of an aggregated table whose rows are distinct.
+
+    With a catalogue proven small the lookup runs inline: each row's
+    candidates probe the broadcast catalogue and ``min_by`` is grouped by the
+    row's own columns, which the table's existing hash partitioning already
+    satisfies — no shuffle and no second pass over the source.  A large
+    catalogue is matched once per distinct key (shuffled join) and joined
+    back on the key.
+    """
+    rows, lengths = profile if profile is not None else catalogue_profile(catalogue)
+    if rows > BROADCAST_MAX_ROWS:
+        lookup = match_keywords(summary.select(key).distinct(), catalogue, key, (rows, lengths))
+        return summary.join(lookup, key, "left")
+    cols = summary.columns
+    cand = summary.select(*cols, F.explode_outer(_candidates(F.lower(F.col(key)), lengths)).alias("_kw"))
+    cat = F.broadcast(catalogue.select(
+        F.col("keyword").alias("_kw"), F.col("priority"),
+        F.struct("keyword", "min_weeks", "max_weeks", "unit_cost").alias("_hit")))
+    best = cand.join(cat, "_kw", "left").groupBy(*cols).agg(F.min_by("_hit", "priority").alias("_m"))
+    m = F.coalesce(F.col("_m"), default_lead_struct())
+    return best.select(
+        *cols,
+        m["keyword"].alias("keyword"),
+        m["min_weeks"].alias("lead_min_weeks"),
+        m["max_weeks"].alias("lead_max_weeks"),
+        m["unit_cost"].alias("unit_cost"),
+    )

@@ -47,11 +47,13 @@ def level_totals(bom: DataFrame) -> DataFrame:
     return bom.groupBy("project_id", "level").agg(F.sum("count").cast("bigint").alias("total_units"))
 
 
-def delivery_sequence(bom: DataFrame) -> DataFrame:
+def delivery_sequence(bom: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Phase 1..n per project: basement first, floors by number, roof last;
     ties broken by level text.  The window runs on one row per
-    (project, level), never on the lines."""
-    totals = level_totals(bom).withColumn("_sort", level_sort_key(F.col("level")))
+    (project, level), never on the lines.  ``totals`` (project_id, level,
+    total_units) may be given precomputed, e.g. from a line rollup."""
+    totals = (totals if totals is not None else level_totals(bom)).withColumn(
+        "_sort", level_sort_key(F.col("level")))
     w = Window.partitionBy("project_id").orderBy("_sort", "level")
     return totals.select(
         "project_id",

@@ -34,11 +34,13 @@ def _rank(df: DataFrame, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy("project_id").orderBy(*order)).cast("bigint")
 
 
-def _const_lines(kpis: DataFrame, section: int, lines: list[Column]) -> DataFrame:
-    """Rows 0..n-1 of a section from per-project columns (one row per project)."""
-    return kpis.select("project_id", F.posexplode(F.array(*lines)).alias("line_no", "line")).select(
-        "project_id", F.lit(section).alias("section_no"), F.lit(None).cast("string").alias("file_id"),
-        F.col("line_no").cast("bigint").alias("line_no"), "line")
+def _const_sections(kpis: DataFrame, lines: list[tuple[int, int, Column]]) -> DataFrame:
+    """(section, line_no, text) lines computed from each project's KPI row."""
+    arr = F.array(*[F.struct(F.lit(sec).alias("section_no"), F.lit(n).cast("bigint").alias("line_no"),
+                             txt.alias("line")) for sec, n, txt in lines])
+    return kpis.select("project_id", F.explode(arr).alias("c")).select(
+        "project_id", F.col("c.section_no").alias("section_no"), F.lit(None).cast("string").alias("file_id"),
+        F.col("c.line_no").alias("line_no"), F.col("c.line").alias("line"))
 
 
 def _rows(df: DataFrame, section: int, line_no: Column, line: Column, file_id: Column | None = None) -> DataFrame:
@@ -59,30 +61,32 @@ def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: D
     of the BOM, default file_id + line_no (or row_idx)."""
     h = fv.REPORT_HEADINGS
     gen = F.concat(F.lit("Generated: "), F.date_format(as_of_col(as_of), "yyyy-MM-dd HH:mm"))
-    s0 = _const_lines(kpis, 0, [F.lit(fv.REPORT_TITLE), gen])
-    s1 = _const_lines(kpis, 1, [
-        F.lit(h[1]),
-        F.concat(F.lit("Total equipment units: "), _s("total_units")),
-        F.concat(F.lit("Order lines (BOM rows): "), _s("bom_lines")),
-        F.concat(F.lit("Data quality issues: "), _s("issues")),
-        F.concat(F.lit("Estimated procurement spend: "), money(F.col("total_spend")), F.lit(" USD")),
+    money_total = money(F.col("total_spend"))
+    # every per-project fixed line of every section, from one pass over kpis
+    const = _const_sections(kpis, [
+        (0, 0, F.lit(fv.REPORT_TITLE)), (0, 1, gen),
+        (1, 0, F.lit(h[1])),
+        (1, 1, F.concat(F.lit("Total equipment units: "), _s("total_units"))),
+        (1, 2, F.concat(F.lit("Order lines (BOM rows): "), _s("bom_lines"))),
+        (1, 3, F.concat(F.lit("Data quality issues: "), _s("issues"))),
+        (1, 4, F.concat(F.lit("Estimated procurement spend: "), money_total, F.lit(" USD"))),
+        (3, 0, F.lit(h[3])), (3, 1, F.lit(fv.REPORT_LEAD_INTRO)),
+        (4, 0, F.lit(h[4])),
+        (5, 0, F.lit(h[5])),
+        (5, 1, F.concat(F.lit("Total estimated procurement value: "), money_total, F.lit(" USD (indicative)"))),
+        (6, 0, F.lit(h[6])),
+        (7, 0, F.lit(h[7])),
     ])
-    s3h = _const_lines(kpis, 3, [F.lit(h[3]), F.lit(fv.REPORT_LEAD_INTRO)])
     s3 = _rows(lead, 3, _rank(lead, F.col("days_until_deadline"), F.col("family")) + 1,
                lead_line("status", "family", "lead_min_weeks", "lead_max_weeks", "order_by_date"))
-    s4h = _const_lines(kpis, 4, [F.lit(h[4])])
     s4 = _rows(delivery, 4, F.col("delivery_phase"),
                F.concat(F.lit("Phase "), _s("delivery_phase"), F.lit(": "), _s("level"), F.lit(f" {EM_DASH} "),
                         _s("total_units"), F.lit(f" units {EM_DASH} "), _s("recommended_action")))
-    s5h = _const_lines(kpis, 5, [F.lit(h[5]), F.concat(
-        F.lit("Total estimated procurement value: "), money(F.col("total_spend")), F.lit(" USD (indicative)"))])
     s5 = _rows(spend, 5, _rank(spend, F.col("estimated_total").desc(), F.col("family")) + 1,
                F.concat(_s("spend_tier"), F.lit("  "), _s("family"), F.lit(": "), _s("count"), F.lit(" units × "),
                         money(F.col("unit_cost")), F.lit(" = "), money(F.col("estimated_total"))))
-    s6h = _const_lines(kpis, 6, [F.lit(h[6])])
     s6 = _rows(summary, 6, _rank(summary, F.col("count").desc(), F.col("family")),
                F.concat(_s("family"), F.lit(": "), _s("count"), F.lit(" units")))
-    s7h = _const_lines(kpis, 7, [F.lit(h[7])])
     if detail_order is None:
         detail_order = ("file_id", "line_no" if "line_no" in bom.columns else "row_idx")
     fcol, pcol = detail_order
@@ -90,8 +94,8 @@ def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: D
                F.concat(_s("family"), F.lit(" | Type: "), _s("type"), F.lit(" | Panel: "), _s("panel_name"),
                         F.lit(" | Level: "), _s("level"), F.lit(" | Qty: "), _s("count")),
                F.col(fcol))
-    out = s0
-    for part in (s1, s3h, s3, s4h, s4, s5h, s5, s6h, s6, s7h, s7):
+    out = const
+    for part in (s3, s4, s5, s6, s7):
         out = out.unionByName(part)
     return out
 

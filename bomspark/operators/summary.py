@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bomspark.fixed_values import LAYOUT_GURTZ
 from bomspark.functions.planning import days_until, is_critical, lead_status, order_by_ts
 from bomspark.functions.text import strip
-from bomspark.operators.lookup import match_keywords
+from bomspark.operators.lookup import enrich
 from bomspark.operators.quality import with_issues
 from bomspark.operators.timing import as_of_col, with_project_start
 
@@ -62,36 +62,64 @@ def project_totals(bom: DataFrame) -> DataFrame:
     )
 
 
-def project_kpis(bom: DataFrame, catalogue: DataFrame, project_start, as_of=None,
-                 gurtz_key: str = "level", profile=None) -> DataFrame:
-    """One row per project: total_units, bom_lines, issues, families,
-    total_spend, critical_items.
-
-    One scan of the BOM feeds a single pre-aggregate at the grain
-    (project, summary key, kept); the keyword lookup runs on its distinct
-    keys and is joined back, and one more aggregate rolls it up per project.
-    The pre-aggregate's shuffle is shared by both branches (ReusedExchange).
-    """
+def line_rollup(bom: DataFrame, gurtz_key: str = "level") -> DataFrame:
+    """One pass over the lines at (project, summary key, kept, level) grain:
+    units, lines, issue_lines.  Summary, level totals, project totals and
+    KPIs are all re-aggregations of this (much smaller) table, so the lines
+    are scanned and shuffled once (map-side combined)."""
     b = with_issues(bom)
     key, keep = summary_key(b, gurtz_key)
-    pre = (b.select(F.col("project_id"), key.alias("family"), keep.alias("kept"),
-                    F.col("count"), (F.col("issues") != "").cast("int").alias("has_issue"))
-           .groupBy("project_id", "family", "kept")
-           .agg(F.sum("count").cast("bigint").alias("units"),
-                F.count(F.lit(1)).alias("lines"),
-                F.sum("has_issue").cast("bigint").alias("issue_lines")))
-    keys = pre.filter("kept").select("family").distinct()
-    lookup = match_keywords(keys, catalogue, "family", profile)
-    e = with_project_start(pre.join(lookup, "family", "left"), project_start)
-    deadline = order_by_ts(F.col("project_start"), F.col("lead_max_weeks"))
-    critical = is_critical(lead_status(days_until(deadline, as_of_col(as_of))))
-    kept = F.col("kept")
-    return e.groupBy("project_id").agg(
+    return (b.select(F.col("project_id"), key.alias("family"), keep.alias("kept"), F.col("level"),
+                     F.col("count"), (F.col("issues") != "").cast("int").alias("has_issue"))
+            .groupBy("project_id", "family", "kept", "level")
+            .agg(F.sum("count").cast("bigint").alias("units"),
+                 F.count(F.lit(1)).alias("lines"),
+                 F.sum("has_issue").cast("bigint").alias("issue_lines")))
+
+
+def summary_from_rollup(rollup: DataFrame) -> DataFrame:
+    return (rollup.filter("kept").groupBy("project_id", "family")
+            .agg(F.sum("units").cast("bigint").alias("count")))
+
+
+def level_totals_from_rollup(rollup: DataFrame) -> DataFrame:
+    return rollup.groupBy("project_id", "level").agg(F.sum("units").cast("bigint").alias("total_units"))
+
+
+def totals_from_rollup(rollup: DataFrame) -> DataFrame:
+    return rollup.groupBy("project_id").agg(
         F.sum("units").cast("bigint").alias("total_units"),
         F.sum("lines").cast("bigint").alias("bom_lines"),
-        F.sum("issue_lines").cast("bigint").alias("issues"),
-        F.count_if(kept).alias("families"),
-        F.coalesce(F.sum(F.when(kept, F.col("unit_cost") * F.col("units"))), F.lit(0))
-         .cast("bigint").alias("total_spend"),
-        F.count_if(kept & critical).alias("critical_items"),
-    )
+        F.sum("issue_lines").cast("bigint").alias("issues"))
+
+
+def kpis_from(totals: DataFrame, enriched: DataFrame, project_start, as_of=None) -> DataFrame:
+    """totals: project_id, total_units, bom_lines, issues; enriched: the
+    summary with its lookup.  Both sides are one row per project after their
+    own aggregates, already partitioned by project_id."""
+    e = with_project_start(enriched, project_start)
+    deadline = order_by_ts(F.col("project_start"), F.col("lead_max_weeks"))
+    critical = is_critical(lead_status(days_until(deadline, as_of_col(as_of))))
+    fam = e.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("families"),
+        F.sum(F.col("unit_cost") * F.col("count")).cast("bigint").alias("total_spend"),
+        F.count_if(critical).alias("critical_items"))
+    return totals.join(fam, "project_id", "left").select(
+        "project_id", "total_units", "bom_lines", "issues",
+        F.coalesce("families", F.lit(0)).cast("bigint").alias("families"),
+        F.coalesce("total_spend", F.lit(0)).cast("bigint").alias("total_spend"),
+        F.coalesce("critical_items", F.lit(0)).cast("bigint").alias("critical_items"))
+
+
+def project_kpis(bom: DataFrame, catalogue: DataFrame, project_start, as_of=None,
+                 gurtz_key: str = "level", profile=None, persist_rollup: bool = False) -> DataFrame:
+    """One row per project: total_units, bom_lines, issues, families,
+    total_spend, critical_items.  With persist_rollup the line rollup is
+    written once to the shared folder, so the lines are scanned once (the
+    summary and totals branches otherwise each scan them)."""
+    r = line_rollup(bom, gurtz_key)
+    if persist_rollup:
+        from bomspark.plans.procurement import materialise
+        r = materialise(r, "rollup")
+    enriched = enrich(summary_from_rollup(r), catalogue, "family", profile)
+    return kpis_from(totals_from_rollup(r), enriched, project_start, as_of)

@@ -42,11 +42,14 @@ class Analysis:
 
 
 def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_start=None,
-                as_of=None, gurtz_key: str = "level", profile=None) -> Analysis:
+                as_of=None, gurtz_key: str = "level", profile=None,
+                persist_rollup: bool = True) -> Analysis:
     """bom: project_id, family, type, panel_name, level, count [, layout, ...].
 
     project_start: Column, DataFrame(project_id, project_start), a literal,
     or None (midnight of as_of + 20 weeks).  as_of: literal or None (now).
+    persist_rollup writes the per-(project, key, level) rollup once (one
+    pass over the lines) so summary, delivery and KPIs never rescan them.
     """
     if catalogue is None:
         catalogue = default_catalogue(bom.sparkSession)
@@ -54,7 +57,11 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
     if project_start is None:
         project_start = default_project_start(as_of)
     b = with_issues(bom)
-    s = summary.summarise(b, gurtz_key)
+    # One pass over the lines feeds every per-project table.
+    r = summary.line_rollup(b, gurtz_key)
+    if persist_rollup:
+        r = materialise(r, "rollup")
+    s = summary.summary_from_rollup(r)
     e = lookup.enrich(s, catalogue, "family", profile)
     lead = planning.lead_times(e, project_start, as_of)
     spend = planning.spend_estimation(e)
@@ -65,10 +72,11 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
         enriched=e,
         lead_times=lead,
         critical_items=planning.critical_items(lead),
-        delivery=planning.delivery_sequence(b),
+        delivery=planning.delivery_sequence(b, summary.level_totals_from_rollup(r)),
         spend=spend,
         total_spend=planning.total_spend(e),
-        kpis=summary.project_kpis(b, catalogue, project_start, as_of, gurtz_key, profile),
+        kpis=summary.kpis_from(summary.totals_from_rollup(r), e, project_start, as_of),
+        extra={"rollup": r},
     )
 
 

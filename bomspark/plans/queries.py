@@ -93,7 +93,7 @@ def q_total_spend(spark, sf_dir):
 
 def q_project_kpis(spark, sf_dir):
     return summary.project_kpis(bom_view(spark, sf_dir), _catalogue(spark), project_start_expr(),
-                                AS_OF, profile=TEST_PROFILE)
+                                AS_OF, profile=TEST_PROFILE, persist_rollup=True)
 
 
 def _cleaned(spark, sf_dir):
@@ -148,14 +148,18 @@ class _Tables:
     """The analytic tables over the driver-table BOM, built once per query."""
 
     def __init__(self, spark, sf_dir):
+        from bomspark.plans.procurement import materialise
         self.bom = bom_view(spark, sf_dir)
-        cat = _catalogue(spark)
-        self.summary = summary.summarise(self.bom)
-        self.enriched = lookup.enrich(self.summary, cat, "family", TEST_PROFILE)
+        # written once to the shared folder: every table below reads the rollup,
+        # none rescans the lines
+        rollup = materialise(summary.line_rollup(self.bom), "rollup")
+        self.summary = summary.summary_from_rollup(rollup)
+        self.enriched = lookup.enrich(self.summary, _catalogue(spark), "family", TEST_PROFILE)
         self.lead = planning.lead_times(self.enriched, project_start_expr(), AS_OF)
         self.spend = planning.spend_estimation(self.enriched)
-        self.delivery = planning.delivery_sequence(self.bom)
-        self.kpis = summary.project_kpis(self.bom, cat, project_start_expr(), AS_OF, profile=TEST_PROFILE)
+        self.delivery = planning.delivery_sequence(self.bom, summary.level_totals_from_rollup(rollup))
+        self.kpis = summary.kpis_from(summary.totals_from_rollup(rollup), self.enriched,
+                                      project_start_expr(), AS_OF)
 
 
 def q_report_lines(spark, sf_dir):
@@ -204,8 +208,7 @@ def q_stream_ingest(spark, sf_dir):
                   csv_text(F.col("rows")).alias("value"))
      .repartition("project", "file")
      .write.partitionBy("project", "file").text(landing))
-    q = start_upload_ingest(spark, landing, out, available_now=True, glob="*.txt",
-                            max_files_per_trigger=1000)
+    q = start_upload_ingest(spark, landing, out, available_now=True, glob="*.txt")
     q.awaitTermination()
     bom = ingested_bom(spark, out)
     return bom.select(

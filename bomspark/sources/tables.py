@@ -6,8 +6,8 @@
 part names (with shadowing: "large ring" before "ring").
 
 Projects are suppliers.  Each project's lines are split into schedule *files*
-by order-key range (``l_orderkey DIV 10000``), so a file holds at most
-7 x 10000 lines however large a project grows; every per-file step is then
+by order-key range (``l_orderkey DIV 50000``), so a file holds at most
+7 x 50000 lines however large a project grows; every per-file step is then
 bounded by the file, never by the project.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 AS_OF = "1998-06-01 09:30:00"
 PROJECT_START_BASE = "1998-06-01 00:00:00"
-FILE_ORDERKEY_SPAN = 10000
+FILE_ORDERKEY_SPAN = 50000
 FILE_ID_STRIDE = 100_000_000
 
 # Test catalogue (priority, keyword, min_weeks, max_weeks, unit_cost); the
