@@ -83,8 +83,17 @@ def file_header(grids: DataFrame) -> DataFrame:
     return h.filter(F.col("header_idx").isNotNull()).select("project_id", "file_id", *HEADER_COLUMNS)
 
 
+def layout_label(layout: Column) -> Column:
+    out = None
+    for k, label in fv.LAYOUT_LABELS.items():
+        out = F.when(layout == k, F.lit(label)) if out is None else out.when(layout == k, F.lit(label))
+    return out
+
+
 def layouts(grids: DataFrame) -> DataFrame:
-    return with_header(grids).select("project_id", "file_id", "layout")
+    """project_id, file_id, layout, layout_label."""
+    h = with_header(grids)
+    return h.select("project_id", "file_id", "layout", layout_label(F.col("layout")).alias("layout_label"))
 
 
 def rejects(headed: DataFrame) -> DataFrame:

@@ -318,8 +318,24 @@ piv AS (SELECT project_id, max(CASE WHEN part = 'family' THEN txt END) AS fam,
         f"SELECT k.project_id, {body} AS prompt FROM kpis k LEFT JOIN piv USING (project_id)"
 
 
+def html_items_sql() -> str:
+    item = (f"'<div class=''item-row''><strong>' || {esc_sql('family')} || '</strong> — ' || {esc_sql('type')}"
+            f" || '<br><small>Panel: ' || {esc_sql('panel_name')} || ' | Level: ' || {esc_sql('level')}"
+            f" || ' | Qty: ' || {vc('"count"')} || '</small></div>'")
+    issue = f"'<li>' || {esc_sql('family')} || ' (' || {esc_sql('type')} || '): ' || {esc_sql('issues')} || '</li>'"
+    return f"""WITH {BOM},
+b AS (SELECT *, {issues_sql()} AS issues FROM bom)
+SELECT project_id, 'item' AS kind, {vc('file_id')} AS file_id, line_no, {item} AS html FROM b
+UNION ALL
+SELECT project_id, 'issue', {vc('file_id')}, line_no, {issue} FROM b WHERE issues <> ''
+UNION ALL
+SELECT project_id, 'issue', CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), {q(fv.NO_ISSUES_ITEM)}
+FROM b GROUP BY project_id HAVING COUNT(*) FILTER (WHERE issues <> '') = 0"""
+
+
 def report_queries() -> dict[str, str]:
     return {
+        "html_items": html_items_sql(),
         "report_lines": report_sql(),
         "html_fragments": fragments_sql(),
         "html_documents": documents_sql(),
@@ -474,7 +490,8 @@ def clean_queries() -> dict[str, str]:
     return {
         "raw_rows": raw + "\n" + flat_sql("raw"),
         "ingest_rows": hdr + "\n" + flat_sql("na"),
-        "layout_detect": hdr + "\nSELECT project_id, file_id, layout FROM header",
+        "layout_detect": hdr + "\nSELECT project_id, file_id, layout, CASE layout " + " ".join(
+            f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.LAYOUT_LABELS.items()) + " END AS layout_label FROM header",
         "header_locate": hdr + "\nSELECT * FROM header WHERE header_idx IS NOT NULL",
         "file_rejects": hdr + f"""
 SELECT project_id, file_id, CASE WHEN layout = 'gurtz' THEN {q(fv.REJECT_NO_LEVEL)} ELSE {q(fv.REJECT_NO_FAMILY)} END AS reason

@@ -182,6 +182,10 @@ def q_project_prompts(spark, sf_dir):
     return report.project_prompts(t.kpis, t.summary, t.lead, t.delivery)
 
 
+def q_html_items(spark, sf_dir):
+    return report.html_items(quality.with_issues(bom_view(spark, sf_dir)))
+
+
 def q_write_tables(spark, sf_dir):
     """Clean the derived schedule files, analyse them, write the six result
     tables to the shared folder and count what reads back."""
@@ -246,6 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_fragments": q_html_fragments,
         "html_documents": q_html_documents,
         "project_prompts": q_project_prompts,
+        "html_items": q_html_items,
         "write_tables": q_write_tables,
         "stream_ingest": q_stream_ingest,
     }

@@ -13,34 +13,36 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomspark.operators.ordering import order_delivery, order_lead_times, order_spend, order_summary
+
 TABLE_NAMES = ["Clean_BOM", "Summary_by_Family", "Data_Quality_Log", "Lead_Time_Estimator",
                "Delivery_Sequence", "Spend_Estimation"]
 
 
 def result_tables(analysis) -> dict[str, DataFrame]:
-    """The six tables of an ``Analysis`` under their report names."""
+    """The six tables of an ``Analysis`` under their report names.  The four
+    aggregated ones are in report order (a global sort over aggregated rows);
+    the two line tables are only clustered by project inside each file
+    (sortWithinPartitions, no global sort of the lines), so a reader of one
+    project touches few row groups."""
     return {
-        "Clean_BOM": analysis.bom_lines.drop("issues"),
-        "Summary_by_Family": analysis.summary,
-        "Data_Quality_Log": analysis.issues,
-        "Lead_Time_Estimator": analysis.lead_times,
-        "Delivery_Sequence": analysis.delivery,
-        "Spend_Estimation": analysis.spend,
+        "Clean_BOM": analysis.bom_lines.drop("issues").sortWithinPartitions("project_id"),
+        "Summary_by_Family": order_summary(analysis.summary),
+        "Data_Quality_Log": analysis.issues.sortWithinPartitions("project_id"),
+        "Lead_Time_Estimator": order_lead_times(analysis.lead_times),
+        "Delivery_Sequence": order_delivery(analysis.delivery),
+        "Spend_Estimation": order_spend(analysis.spend),
     }
 
 
 def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
                  partition_by_project: bool = False, mode: str = "overwrite") -> dict[str, str]:
-    """Write each table to out_dir/<name>; returns name -> path.
-
-    Rows are clustered by project inside each file (sortWithinPartitions, no
-    global sort), so a reader of one project touches few row groups; with
-    partition_by_project each project gets its own folder.
-    """
+    """Write each table to out_dir/<name>; returns name -> path.  With
+    partition_by_project each project gets its own folder."""
     paths = {}
     for name, df in tables.items():
         path = os.path.join(out_dir, name)
-        w = df.sortWithinPartitions("project_id").write.mode(mode).format(fmt)
+        w = df.write.mode(mode).format(fmt)
         if fmt == "csv":
             w = w.option("header", "true")
         if partition_by_project:
