@@ -93,9 +93,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def analyse_files(spark: SparkSession, path: str, catalogue: DataFrame | None = None,
                   project_start=None, as_of=None, gurtz_key: str = "level", glob: str = "*.csv",
-                  persist_bom: bool = False, profile=None) -> Analysis:
+                  persist_bom: bool = False, profile=None, persist_rollup: bool = True) -> Analysis:
     cleaned = clean_files(spark, path, glob)
     bom = materialise(cleaned.bom_lines, "bom_lines") if persist_bom else cleaned.bom_lines
-    a = analyse_bom(bom, catalogue, project_start, as_of, gurtz_key, profile)
+    a = analyse_bom(bom, catalogue, project_start, as_of, gurtz_key, profile, persist_rollup)
     a.rejects = cleaned.rejects
     return a

@@ -125,3 +125,17 @@ def test_kpis(analysis):
 def test_rejects(analysis):
     got = rows(analysis.rejects, "project_id", "reason")
     assert got == [("bad", fv.REJECT_NO_FAMILY)]
+
+
+def test_project_spread_over_files(spark, tmp_path):
+    """A project's schedules may span several files (and layouts): per-file
+    steps stay per file, per-project tables add them up."""
+    write_file(str(tmp_path / "project=p"), "a.csv", REVIT_CSV)
+    write_file(str(tmp_path / "project=p"), "b.csv", REVIT_CSV.replace("Pull Box,12x12,PB-1,B2,2.7", "Pull Box,12x12,PB-2,B2,5"))
+    a = analyse_files(spark, str(tmp_path), project_start=START, as_of=AS_OF, persist_rollup=False)
+    k = a.kpis.collect()
+    assert [(r["project_id"], r["total_units"], r["bom_lines"], r["issues"], r["families"]) for r in k] == \
+        [("p", 27, 12, 6, 4)]
+    summ = {r["family"]: r["count"] for r in a.summary.collect()}
+    assert summ == {"Heat Pump Fan": 8, "Dry Type Transformer": 6, "Panelboard 208V": 6, "Pull Box": 7}
+    assert a.bom_lines.select("file_id").distinct().count() == 2
