@@ -20,21 +20,53 @@ from bomspark.fixed_values import DEFAULT_LEAD, LEAD_TIME_CATALOGUE
 # A catalogue row is ~60 bytes; 100k rows stay far below any executor's memory.
 BROADCAST_MAX_ROWS = 100_000
 
+# (rows, distinct keyword lengths, priorities unique)
 DEFAULT_PROFILE = (
     len(LEAD_TIME_CATALOGUE),
     sorted({len(k) for k, *_ in LEAD_TIME_CATALOGUE}),
+    True,
 )
 
 LOOKUP_COLUMNS = ["keyword", "lead_min_weeks", "lead_max_weeks", "unit_cost"]
 
 
-def catalogue_profile(catalogue: DataFrame) -> tuple[int, list[int]]:
-    """(row count, distinct keyword lengths) in one small aggregate."""
+def catalogue_profile(catalogue: DataFrame) -> tuple[int, list[int], bool]:
+    """(row count, distinct keyword lengths, priorities unique) in one small
+    aggregate."""
     r = catalogue.agg(
         F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_set(F.length("keyword"))).alias("lens"),
+        F.count_distinct("priority").alias("np"),
     ).first()
-    return int(r["n"]), [int(x) for x in (r["lens"] or []) if x is not None]
+    return int(r["n"]), [int(x) for x in (r["lens"] or []) if x is not None], r["np"] == r["n"]
+
+
+def _profile(catalogue: DataFrame, profile) -> tuple[int, list[int], bool]:
+    if profile is None:
+        return catalogue_profile(catalogue)
+    if len(profile) == 2:          # (rows, lengths) of a catalogue built in order
+        return profile[0], profile[1], True
+    return profile
+
+
+def _first_match(cand: DataFrame, keys: list[str], catalogue: DataFrame, broadcast: bool,
+                 unique_priority: bool) -> DataFrame:
+    """keys + _m (struct keyword, min_weeks, max_weeks, unit_cost or null).
+
+    With unique priorities the winner is min(priority) — an integer hash
+    aggregate — and its entry is fetched by a second (broadcast) join on the
+    priority; otherwise min_by over the entry struct (sort-based)."""
+    hit = F.struct("keyword", "min_weeks", "max_weeks", "unit_cost")
+
+    def b(df):
+        return F.broadcast(df) if broadcast else df
+    if unique_priority:
+        kw = b(catalogue.select(F.col("keyword").alias("_kw"), F.col("priority").alias("_p")))
+        best = cand.join(kw, "_kw", "left").groupBy(*keys).agg(F.min("_p").alias("_p"))
+        by_p = b(catalogue.select(F.col("priority").alias("_p"), hit.alias("_m")))
+        return best.join(by_p, "_p", "left").drop("_p")
+    kw = b(catalogue.select(F.col("keyword").alias("_kw"), "priority", hit.alias("_hit")))
+    return cand.join(kw, "_kw", "left").groupBy(*keys).agg(F.min_by("_hit", "priority").alias("_m"))
 
 
 def _substring_of_length(name: Column, k: int):
@@ -72,19 +104,10 @@ def match_keywords(names: DataFrame, catalogue: DataFrame, name_col: str = "fami
                    default=DEFAULT_LEAD) -> DataFrame:
     """One row per distinct ``name_col``: keyword, lead_min_weeks,
     lead_max_weeks, unit_cost of the first matching keyword (or the default)."""
-    rows, lengths = profile if profile is not None else catalogue_profile(catalogue)
+    rows, lengths, unique = _profile(catalogue, profile)
     lname = F.lower(F.col(name_col))
     cand = names.select(F.col(name_col), F.explode_outer(_candidates(lname, lengths)).alias("_kw"))
-    cat = catalogue.select(
-        F.col("keyword").alias("_kw"),
-        F.col("priority"),
-        F.struct("keyword", "min_weeks", "max_weeks", "unit_cost").alias("_hit"),
-    )
-    if rows <= BROADCAST_MAX_ROWS:
-        cat = F.broadcast(cat)
-    best = (cand.join(cat, "_kw", "left")
-            .groupBy(name_col)
-            .agg(F.min_by("_hit", "priority").alias("_m")))
+    best = _first_match(cand, [name_col], catalogue, rows <= BROADCAST_MAX_ROWS, unique)
     m = F.coalesce(F.col("_m"), default_lead_struct(default))
     return best.select(
         F.col(name_col),
@@ -107,16 +130,13 @@ def enrich(summary: DataFrame, catalogue: DataFrame, key: str = "family",
     catalogue is matched once per distinct key (shuffled join) and joined
     back on the key.
     """
-    rows, lengths = profile if profile is not None else catalogue_profile(catalogue)
+    rows, lengths, unique = _profile(catalogue, profile)
     if rows > BROADCAST_MAX_ROWS:
-        lookup = match_keywords(summary.select(key).distinct(), catalogue, key, (rows, lengths))
+        lookup = match_keywords(summary.select(key).distinct(), catalogue, key, (rows, lengths, unique))
         return summary.join(lookup, key, "left")
     cols = summary.columns
     cand = summary.select(*cols, F.explode_outer(_candidates(F.lower(F.col(key)), lengths)).alias("_kw"))
-    cat = F.broadcast(catalogue.select(
-        F.col("keyword").alias("_kw"), F.col("priority"),
-        F.struct("keyword", "min_weeks", "max_weeks", "unit_cost").alias("_hit")))
-    best = cand.join(cat, "_kw", "left").groupBy(*cols).agg(F.min_by("_hit", "priority").alias("_m"))
+    best = _first_match(cand, cols, catalogue, True, unique)
     m = F.coalesce(F.col("_m"), default_lead_struct())
     return best.select(
         *cols,

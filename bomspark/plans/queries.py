@@ -21,7 +21,7 @@ from bomspark.sources.files import decode_content
 from bomspark.sources.tables import (AS_OF, TEST_CATALOGUE, bom_view, file_encoding, file_eol,
                                      flat_cells, project_start_expr, raw_rows_of, schedule_grids)
 
-TEST_PROFILE = (len(TEST_CATALOGUE), sorted({len(k) for k, *_ in TEST_CATALOGUE}))
+TEST_PROFILE = (len(TEST_CATALOGUE), sorted({len(k) for k, *_ in TEST_CATALOGUE}), True)
 
 
 def _catalogue(spark: SparkSession) -> DataFrame:

@@ -139,3 +139,27 @@ def test_project_spread_over_files(spark, tmp_path):
     summ = {r["family"]: r["count"] for r in a.summary.collect()}
     assert summ == {"Heat Pump Fan": 8, "Dry Type Transformer": 6, "Panelboard 208V": 6, "Pull Box": 7}
     assert a.bom_lines.select("file_id").distinct().count() == 2
+
+
+def test_gurtz_summary_by_family_option(spark, tmp_path):
+    """Q1 parameter: gurtz lines summarised by family ("Panelboard"), so they
+    get the panelboard lead time and cost instead of the default."""
+    write_file(str(tmp_path / "project=gz"), "panels.csv", GURTZ_CSV)
+    a = analyse_files(spark, str(tmp_path), project_start=START, as_of=AS_OF, gurtz_key="family",
+                      persist_rollup=False)
+    assert rows(a.summary, "family", "count") == [("Panelboard", 4)]
+    assert rows(a.spend, "family", "unit_cost", "estimated_total") == [("Panelboard", 3500, 14000)]
+    assert rows(a.lead_times, "lead_min_weeks", "lead_max_weeks") == [(8, 14)]
+
+
+def test_user_catalogue_from_csv(spark, tmp_path):
+    from bomspark.sources.catalogue import read_catalogue
+    cat_csv = "priority,keyword,min_weeks,max_weeks,unit_cost\n1,pump fan,1,2,10\n2,box,3,4,20\n"
+    write_file(str(tmp_path / "cat"), "c.csv", cat_csv)
+    write_file(str(tmp_path / "files" / "project=rv"), "a.csv", REVIT_CSV)
+    cat = read_catalogue(spark, str(tmp_path / "cat"), "csv")
+    a = analyse_files(spark, str(tmp_path / "files"), catalogue=cat, project_start=START, as_of=AS_OF,
+                      persist_rollup=False)
+    got = {r["family"]: (r["unit_cost"], r["estimated_total"]) for r in a.spend.collect()}
+    assert got == {"Heat Pump Fan": (10, 40), "Pull Box": (20, 40), "Dry Type Transformer": (1500, 4500),
+                   "Panelboard 208V": (1500, 4500)}

@@ -120,3 +120,15 @@ def test_keyword_lookup_without_broadcast(spark, monkeypatch):
     names = spark.createDataFrame([("Heat Pump Fan",), ("Flats",), ("Widget",)], "family string")
     got = {r["family"]: r["keyword"] for r in L.match_keywords(names, default_catalogue(spark), "family").collect()}
     assert got == {"Heat Pump Fan": "fan", "Flats": "ats", "Widget": "default"}
+
+
+def test_duplicate_priorities_use_min_by_path(spark):
+    from bomspark.operators.lookup import catalogue_profile
+    from bomspark.sources.catalogue import CATALOGUE_SCHEMA
+    cat = spark.createDataFrame([(1, "fan", 1, 2, 10), (1, "box", 3, 4, 20), (2, "pull", 5, 6, 30)],
+                                CATALOGUE_SCHEMA)
+    rows, lengths, unique = catalogue_profile(cat)
+    assert (rows, lengths, unique) == (3, [3, 4], False)
+    names = spark.createDataFrame([("Pull Box",), ("Fan",), ("Pump",)], "family string")
+    got = {r["family"]: r["keyword"] for r in match_keywords(names, cat, "family").collect()}
+    assert got == {"Pull Box": "box", "Fan": "fan", "Pump": "default"}
