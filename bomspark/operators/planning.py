@@ -8,12 +8,13 @@ sequence, which combines map-side like every other aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomspark.functions.planning import (days_until, is_critical, lead_status, level_sort_key,
                                          order_by_ts, recommended_action, spend_tier)
 from bomspark.functions.text import money, thousands
+from bomspark.operators.ranking import row_number_in_group
 from bomspark.operators.timing import as_of_col, with_project_start
 
 
@@ -47,17 +48,21 @@ def level_totals(bom: DataFrame) -> DataFrame:
     return bom.groupBy("project_id", "level").agg(F.sum("count").cast("bigint").alias("total_units"))
 
 
-def delivery_sequence(bom: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def delivery_sequence(bom: DataFrame, totals: DataFrame | None = None,
+                      bound: int | None = None) -> DataFrame:
     """Phase 1..n per project: basement first, floors by number, roof last;
-    ties broken by level text.  The window runs on one row per
-    (project, level), never on the lines.  ``totals`` (project_id, level,
-    total_units) may be given precomputed, e.g. from a line rollup."""
+    ties broken by level text.  Numbered on one row per (project, level),
+    never on the lines, by ``row_number_in_group`` (a window when the
+    largest project's level count is checked to fit one task, a range sort
+    beyond).  ``totals`` (project_id, level, total_units) may be given
+    precomputed, e.g. from a line rollup; ``bound``: known largest level
+    count per project."""
     totals = (totals if totals is not None else level_totals(bom)).withColumn(
         "_sort", level_sort_key(F.col("level")))
-    w = Window.partitionBy("project_id").orderBy("_sort", "level")
-    return totals.select(
+    ranked = row_number_in_group(totals, ["project_id"], ["_sort", "level"], "_phase", bound)
+    return ranked.select(
         "project_id",
-        F.row_number().over(w).cast("int").alias("delivery_phase"),
+        F.col("_phase").cast("int").alias("delivery_phase"),
         "level", "total_units",
         recommended_action(F.col("level")).alias("recommended_action"),
     )

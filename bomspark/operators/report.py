@@ -4,34 +4,45 @@
   (project_id, section_no, file_id, line_no, line); the BOM detail section
   stays one row per BOM line, keyed by the line's own file and position, so
   no project is ever gathered into one task.
-* ``html_fragments`` / ``html_documents`` / ``project_prompts`` — ordered
-  string aggregation, but only over aggregated tables (one row per family or
-  level of a project), never over BOM lines.
-
-Ordering inside a project uses row_number over those aggregated rows only.
+* ``html_fragments`` — ordered string aggregation over aggregated tables
+  (one row per family or level of a project), never over BOM lines, in
+  chunks of at most ``CHUNK_LINES`` lines: a project with millions of
+  families yields many bounded strings, never one unbounded value.
+* ``html_documents`` / ``project_prompts`` — each document as ordered parts
+  (project_id, part_no, chunk_no, text); concatenating a project's parts in
+  (part_no, chunk_no) order gives the page / prompt.  Fixed parts come from
+  the KPI row, table parts are the chunks above.
+
+Numbering inside a project (report line numbers, chunk positions) uses
+``row_number_in_group``: a window when the largest project is checked to fit
+one task, an exact range-sorted numbering beyond.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomspark import fixed_values as fv
 from bomspark.functions.planning import is_critical
 from bomspark.functions.text import html_escape, money, thousands
+from bomspark.operators.ranking import ONE_TASK_ROWS, largest_group, row_number_in_group
 from bomspark.operators.timing import as_of_col
 
 EN_DASH = "–"
 EM_DASH = "—"
 NL = "\n"
+# Lines gathered into one text value at most (one chunk of a fragment/part).
+CHUNK_LINES = 10_000
 
 
 def _s(c) -> Column:
     return (c if isinstance(c, Column) else F.col(c)).cast("string")
 
 
-def _rank(df: DataFrame, *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy("project_id").orderBy(*order)).cast("bigint")
+def _ranked(df: DataFrame, order: list, bound: int | None, one_task_rows: int) -> DataFrame:
+    """df + _rank (1..n per project in ``order``)."""
+    return row_number_in_group(df, ["project_id"], order, "_rank", bound, one_task_rows)
 
 
 def _const_sections(kpis: DataFrame, lines: list[tuple[int, int, Column]]) -> DataFrame:
@@ -56,9 +67,14 @@ def lead_line(status, family, lo, hi, order_by) -> Column:
 
 def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: DataFrame,
                  summary: DataFrame, bom: DataFrame, as_of=None,
-                 detail_order: tuple[str, str] | None = None) -> DataFrame:
+                 detail_order: tuple[str, str] | None = None, bound: int | None = None,
+                 one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """kpis: project_kpis rows; detail_order: (file column, position column)
-    of the BOM, default file_id + line_no (or row_idx)."""
+    of the BOM, default file_id + line_no (or row_idx).  lead and spend hold
+    one row per summary row, so the largest project of the summary (measured
+    once unless ``bound`` is given) decides how all three are numbered."""
+    if bound is None:
+        bound = largest_group(summary, ["project_id"])
     h = fv.REPORT_HEADINGS
     gen = F.concat(F.lit("Generated: "), F.date_format(as_of_col(as_of), "yyyy-MM-dd HH:mm"))
     money_total = money(F.col("total_spend"))
@@ -77,15 +93,18 @@ def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: D
         (6, 0, F.lit(h[6])),
         (7, 0, F.lit(h[7])),
     ])
-    s3 = _rows(lead, 3, _rank(lead, F.col("days_until_deadline"), F.col("family")) + 1,
+    lead_r = _ranked(lead, ["days_until_deadline", "family"], bound, one_task_rows)
+    s3 = _rows(lead_r, 3, F.col("_rank") + 1,
                lead_line("status", "family", "lead_min_weeks", "lead_max_weeks", "order_by_date"))
     s4 = _rows(delivery, 4, F.col("delivery_phase"),
                F.concat(F.lit("Phase "), _s("delivery_phase"), F.lit(": "), _s("level"), F.lit(f" {EM_DASH} "),
                         _s("total_units"), F.lit(f" units {EM_DASH} "), _s("recommended_action")))
-    s5 = _rows(spend, 5, _rank(spend, F.col("estimated_total").desc(), F.col("family")) + 1,
+    spend_r = _ranked(spend, [F.col("estimated_total").desc(), "family"], bound, one_task_rows)
+    s5 = _rows(spend_r, 5, F.col("_rank") + 1,
                F.concat(_s("spend_tier"), F.lit("  "), _s("family"), F.lit(": "), _s("count"), F.lit(" units × "),
                         money(F.col("unit_cost")), F.lit(" = "), money(F.col("estimated_total"))))
-    s6 = _rows(summary, 6, _rank(summary, F.col("count").desc(), F.col("family")),
+    summary_r = _ranked(summary, [F.col("count").desc(), "family"], bound, one_task_rows)
+    s6 = _rows(summary_r, 6, F.col("_rank"),
                F.concat(_s("family"), F.lit(": "), _s("count"), F.lit(" units")))
     if detail_order is None:
         detail_order = ("file_id", "line_no" if "line_no" in bom.columns else "row_idx")
@@ -100,21 +119,37 @@ def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: D
     return out
 
 
-def ordered_text(lines: DataFrame, keys: list[str], order: list[Column], text: Column, sep: str = "") -> DataFrame:
-    """Keys + ``text`` = the lines of each key group joined in order.
-    Use only on aggregated rows (the group is gathered into one value)."""
-    o = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], text.alias("_t"))
-    return (lines.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(o)).alias("_l"))
-            .select(*keys, F.array_join(F.transform("_l", lambda x: x["_t"]), sep).alias("text")))
+def ordered_text(lines: DataFrame, keys: list[str], order: list[Column], text: Column, sep: str = "",
+                 first_prefix: Column | str = "", chunk_lines: int = CHUNK_LINES, bound: int | None = None,
+                 one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Keys, chunk_no, ``text`` — the lines of each key group joined by
+    ``sep`` in ``order`` (ascending columns, total within a group), at most
+    ``chunk_lines`` lines per chunk.  Chunk 0 starts with ``first_prefix``
+    (a literal or an expression over the keys), later chunks with ``sep``,
+    so the chunks concatenated in order are the whole text."""
+    sel = lines.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], text.alias("_t"))
+    ranked = row_number_in_group(sel, keys, [f"_o{i}" for i in range(len(order))], "_rank", bound,
+                                 one_task_rows)
+    chunk = F.expr(f"(_rank - 1) div {int(chunk_lines)}").cast("bigint")
+    grouped = (ranked.withColumn("chunk_no", chunk)
+               .groupBy(*keys, "chunk_no")
+               .agg(F.array_sort(F.collect_list(F.struct("_rank", "_t"))).alias("_l")))
+    prefix = F.lit(first_prefix) if isinstance(first_prefix, str) else first_prefix
+    return grouped.select(
+        *keys, "chunk_no",
+        F.concat(F.when(F.col("chunk_no") == 0, prefix).otherwise(F.lit(sep)),
+                 F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).alias("text"))
 
 
 def _e(c) -> Column:
     return html_escape(_s(c))
 
 
-def html_fragments(lead: DataFrame, delivery: DataFrame, spend: DataFrame, summary: DataFrame) -> DataFrame:
-    """project_id, fragment, html — table rows / list items per project."""
+def html_fragments(lead: DataFrame, delivery: DataFrame, spend: DataFrame, summary: DataFrame,
+                   chunk_lines: int = CHUNK_LINES, bound: int | None = None,
+                   one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """project_id, fragment, chunk_no, html — table rows / list items per
+    project, in chunks of at most ``chunk_lines`` rows."""
     def part(df, name, k_num, k_str, html):
         return df.select("project_id", F.lit(name).alias("fragment"), k_num.cast("bigint").alias("k1"),
                          _s(k_str).alias("k2"), html.alias("html"))
@@ -133,45 +168,75 @@ def html_fragments(lead: DataFrame, delivery: DataFrame, spend: DataFrame, summa
         F.lit("<li><strong>"), _e("family"), F.lit("</strong>: "), _s("count"), F.lit(" units</li>")))
     u = lead_p.unionByName(seq_p).unionByName(spend_p).unionByName(fam_p)
     return ordered_text(u, ["project_id", "fragment"], [F.col("k1"), F.col("k2"), F.col("html")],
-                        F.col("html")).withColumnRenamed("text", "html")
+                        F.col("html"), chunk_lines=chunk_lines, bound=bound,
+                        one_task_rows=one_task_rows).withColumnRenamed("text", "html")
+
+
+def _fixed_parts(kpis: DataFrame, parts: list[tuple[int, Column]], name: str) -> DataFrame:
+    """(part_no, text) parts computed from each project's KPI row, chunk 0."""
+    arr = F.array(*[F.struct(F.lit(n).alias("part_no"), t.alias("t")) for n, t in parts])
+    return kpis.select("project_id", F.explode(arr).alias("p")).select(
+        "project_id", F.col("p.part_no").alias("part_no"), F.lit(0).cast("bigint").alias("chunk_no"),
+        F.col("p.t").alias(name))
+
+
+def _part_no(col: str, numbers: dict[str, int]) -> Column:
+    out = None
+    for k, n in numbers.items():
+        out = F.when(F.col(col) == k, F.lit(n)) if out is None else out.when(F.col(col) == k, F.lit(n))
+    return out
+
+
+DOCUMENT_FRAGMENT_PARTS = {"lead_rows": 1, "seq_rows": 3, "spend_rows": 5, "family_list": 7}
 
 
 def html_documents(kpis: DataFrame, fragments: DataFrame, as_of=None) -> DataFrame:
-    """project_id, html — one dashboard page per project (stat cards, lead,
-    delivery, spend, family summary; the BOM detail stays in its own table)."""
-    frag = (fragments.groupBy("project_id")
-            .pivot("fragment", ["lead_rows", "seq_rows", "spend_rows", "family_list"])
-            .agg(F.first("html")))
-    k = kpis.join(frag, "project_id", "left")
-    f = lambda c: F.coalesce(F.col(c), F.lit(""))
+    """project_id, part_no, chunk_no, html — one dashboard page per project
+    (stat cards, lead, delivery, spend, family summary; the BOM detail stays
+    in its own table) as ordered parts: the page is the concatenation of a
+    project's parts in (part_no, chunk_no) order.  Even parts are the fixed
+    markup around the cards, odd parts the fragment chunks."""
     gen = F.date_format(as_of_col(as_of), "yyyy-MM-dd HH:mm")
-    html = F.concat(
-        F.lit(f"<!DOCTYPE html>\n<html><head><meta charset='UTF-8'>\n<title>{fv.HTML_TITLE}</title>\n</head>\n<body>\n"
-              f"<h1>⚡ {fv.HTML_TITLE}</h1>\n<p>Generated: "), gen, F.lit("</p>\n<div class=\"stat-grid\">\n"),
-        F.lit("  <div class=\"stat\"><h2>"), _s("total_units"), F.lit("</h2><p>Total Units</p></div>\n"),
-        F.lit("  <div class=\"stat\"><h2>"), _s("bom_lines"), F.lit("</h2><p>BOM Lines</p></div>\n"),
-        F.lit("  <div class=\"stat\"><h2>"), _s("issues"), F.lit("</h2><p>Issues</p></div>\n"),
-        F.lit("  <div class=\"stat\"><h2>$"), thousands(F.col("total_spend")), F.lit("</h2><p>Est. Spend</p></div>\n"),
-        F.lit("</div>\n<div class=\"card\">\n  <h2>⏱️ Lead Time Estimator</h2>\n"
-              "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  "),
-        f("lead_rows"),
-        F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n"
-              "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  "),
-        f("seq_rows"),
-        F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n"
-              "  <p><strong>Total estimated procurement value: "), money(F.col("total_spend")),
-        F.lit(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
-              "<th>Total</th></tr>\n  "),
-        f("spend_rows"),
-        F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>📦 Summary by Family</h2>\n  <ul>"),
-        f("family_list"),
-        F.lit("</ul>\n</div>\n</body></html>"),
-    )
-    return k.select("project_id", html.alias("html"))
-
-
-def project_prompts(kpis: DataFrame, summary: DataFrame, lead: DataFrame, delivery: DataFrame) -> DataFrame:
-    """project_id, prompt — the procurement brief, tables as ' | ' lines."""
+    fixed = _fixed_parts(kpis, [
+        (0, F.concat(
+            F.lit(f"<!DOCTYPE html>\n<html><head><meta charset='UTF-8'>\n<title>{fv.HTML_TITLE}</title>\n</head>\n"
+                  f"<body>\n<h1>⚡ {fv.HTML_TITLE}</h1>\n<p>Generated: "), gen,
+            F.lit("</p>\n<div class=\"stat-grid\">\n"),
+            F.lit("  <div class=\"stat\"><h2>"), _s("total_units"), F.lit("</h2><p>Total Units</p></div>\n"),
+            F.lit("  <div class=\"stat\"><h2>"), _s("bom_lines"), F.lit("</h2><p>BOM Lines</p></div>\n"),
+            F.lit("  <div class=\"stat\"><h2>"), _s("issues"), F.lit("</h2><p>Issues</p></div>\n"),
+            F.lit("  <div class=\"stat\"><h2>$"), thousands(F.col("total_spend")),
+            F.lit("</h2><p>Est. Spend</p></div>\n"),
+            F.lit("</div>\n<div class=\"card\">\n  <h2>⏱️ Lead Time Estimator</h2>\n"
+                  "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  "))),
+        (2, F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n"
+                  "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  ")),
+        (4, F.concat(
+            F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n"
+                  "  <p><strong>Total estimated procurement value: "), money(F.col("total_spend")),
+            F.lit(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
+                  "<th>Total</th></tr>\n  "))),
+        (6, F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>📦 Summary by Family</h2>\n  <ul>")),
+        (8, F.lit("</ul>\n</div>\n</body></html>")),
+    ], "html")
+    frag = fragments.select("project_id", _part_no("fragment", DOCUMENT_FRAGMENT_PARTS).alias("part_no"),
+                            F.col("chunk_no").cast("bigint").alias("chunk_no"), "html")
+    return fixed.unionByName(frag)
+
+
+PROMPT_TABLE_PARTS = {"family": 1, "critical": 3, "sequence": 5}
+PROMPT_TABLE_HEADERS = {"family": "Family | Count",
+                        "critical": "Family | Lead Time Max (wks) | Order By Date",
+                        "sequence": "Level | Total Units | Recommended Action"}
+
+
+def project_prompts(kpis: DataFrame, summary: DataFrame, lead: DataFrame, delivery: DataFrame,
+                    chunk_lines: int = CHUNK_LINES, bound: int | None = None,
+                    one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """project_id, part_no, chunk_no, prompt — the procurement brief as
+    ordered parts (tables as ' | ' lines); concatenated in (part_no,
+    chunk_no) order per project they are the whole prompt.  A project
+    without critical items gets the "None identified." part."""
     def part(df, name, k_num, k_str, line):
         return df.select("project_id", F.lit(name).alias("part"), k_num.cast("bigint").alias("k1"),
                          _s(k_str).alias("k2"), line.alias("line"))
@@ -184,27 +249,41 @@ def project_prompts(kpis: DataFrame, summary: DataFrame, lead: DataFrame, delive
          .unionByName(part(delivery, "sequence", F.col("delivery_phase"), F.lit(""),
                            F.concat(_s("level"), F.lit(" | "), _s("total_units"), F.lit(" | "),
                                     _s("recommended_action")))))
-    texts = ordered_text(u, ["project_id", "part"], [F.col("k1"), F.col("k2"), F.col("line")], F.col("line"), NL)
-    parts = texts.groupBy("project_id").pivot("part", ["family", "critical", "sequence"]).agg(F.first("text"))
-    k = kpis.join(parts, "project_id", "left")
-
-    def table(header: str, col: str, empty: str) -> Column:
-        return F.when(F.col(col).isNull(), F.lit(empty)).otherwise(F.concat(F.lit(header + NL), F.col(col)))
-    prompt = F.concat(
-        F.lit(fv.PROMPT_HEAD + NL),
-        F.lit("- Total units: "), _s("total_units"), F.lit(NL),
-        F.lit("- BOM line items: "), _s("bom_lines"), F.lit(NL),
-        F.lit("- Data quality issues: "), _s("issues"), F.lit(NL),
-        F.lit("- Estimated total procurement spend: "), money(F.col("total_spend")),
-        F.lit(" USD (indicative, for planning purposes only)" + NL + NL + fv.PROMPT_INVENTORY + NL),
-        table("Family | Count", "family", ""),
-        F.lit(NL + NL + fv.PROMPT_CRITICAL + NL),
-        table("Family | Lead Time Max (wks) | Order By Date", "critical", fv.NONE_IDENTIFIED),
-        F.lit(NL + NL + fv.PROMPT_SEQUENCE + NL),
-        table("Level | Total Units | Recommended Action", "sequence", ""),
-        F.lit(NL + NL + fv.PROMPT_TASKS),
-    )
-    return k.select("project_id", prompt.alias("prompt"))
+    header = None
+    for k, h in PROMPT_TABLE_HEADERS.items():
+        header = (F.when(F.col("part") == k, F.lit(h + NL)) if header is None
+                  else header.when(F.col("part") == k, F.lit(h + NL)))
+    texts = ordered_text(u, ["project_id", "part"], [F.col("k1"), F.col("k2"), F.col("line")], F.col("line"),
+                         NL, header, chunk_lines, bound, one_task_rows)
+    tables = texts.select("project_id", _part_no("part", PROMPT_TABLE_PARTS).alias("part_no"),
+                          "chunk_no", F.col("text").alias("prompt"))
+    fixed = _fixed_parts(kpis, [
+        (0, F.concat(
+            F.lit(fv.PROMPT_HEAD + NL),
+            F.lit("- Total units: "), _s("total_units"), F.lit(NL),
+            F.lit("- BOM line items: "), _s("bom_lines"), F.lit(NL),
+            F.lit("- Data quality issues: "), _s("issues"), F.lit(NL),
+            F.lit("- Estimated total procurement spend: "), money(F.col("total_spend")),
+            F.lit(" USD (indicative, for planning purposes only)" + NL + NL + fv.PROMPT_INVENTORY + NL))),
+        (2, F.lit(NL + NL + fv.PROMPT_CRITICAL + NL)),
+        (4, F.lit(NL + NL + fv.PROMPT_SEQUENCE + NL)),
+        (6, F.lit(NL + NL + fv.PROMPT_TASKS)),
+    ], "prompt")
+    # one row per project on both sides: no skew in this anti join
+    has_critical = texts.filter((F.col("part") == "critical") & (F.col("chunk_no") == 0)).select("project_id")
+    none = kpis.join(has_critical, "project_id", "left_anti").select(
+        "project_id", F.lit(3).alias("part_no"), F.lit(0).cast("bigint").alias("chunk_no"),
+        F.lit(fv.NONE_IDENTIFIED).alias("prompt"))
+    return fixed.unionByName(tables).unionByName(none)
+
+
+def assemble(parts: DataFrame, text_col: str) -> DataFrame:
+    """project_id, ``text_col`` — the parts of each project concatenated in
+    (part_no, chunk_no) order.  One value per project: for previews and
+    tests on small outputs only; at scale write the parts in order instead."""
+    o = F.struct("part_no", "chunk_no", text_col)
+    return (parts.groupBy("project_id").agg(F.array_sort(F.collect_list(o)).alias("_l"))
+            .select("project_id", F.array_join(F.transform("_l", lambda x: x[text_col]), "").alias(text_col)))
 
 
 def html_items(bom: DataFrame, projects: DataFrame | None = None) -> DataFrame:

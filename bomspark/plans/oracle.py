@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from bomspark import fixed_values as fv
 from bomspark.functions.text import NUMBER_PATTERN, STRIP_PATTERN
+from bomspark.operators.report import CHUNK_LINES
 from bomspark.sources.tables import (AS_OF, FILE_ID_STRIDE, FILE_ORDERKEY_SPAN, PROJECT_START_BASE,
                                      TEST_CATALOGUE)
 
@@ -240,21 +241,30 @@ def fragments_cte() -> str:
   UNION ALL
   SELECT project_id, 'family_list', -"count", family,
     '<li><strong>' || {esc_sql('family')} || '</strong>: ' || {vc('"count"')} || ' units</li>' FROM summary),
+frag_num AS (
+  SELECT project_id, fragment, html,
+         (row_number() OVER (PARTITION BY project_id, fragment ORDER BY k1, k2, html) - 1) AS rn0
+  FROM frag_rows),
 fragments AS (
-  SELECT project_id, fragment, string_agg(html, '' ORDER BY k1, k2, html) AS html
-  FROM frag_rows GROUP BY project_id, fragment)"""
+  SELECT project_id, fragment, CAST(rn0 // {CHUNK_LINES} AS BIGINT) AS chunk_no,
+         string_agg(html, '' ORDER BY rn0) AS html
+  FROM frag_num GROUP BY project_id, fragment, rn0 // {CHUNK_LINES})"""
 
 
 def fragments_sql() -> str:
     return bom_analytics(lead_cte(), delivery_cte(), SPEND, fragments_cte()) + "SELECT * FROM fragments"
 
 
+def _fixed_part_rows(parts: list[tuple[int, str]], name: str) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT project_id, CAST({n} AS INTEGER) AS part_no, CAST(0 AS BIGINT) AS chunk_no, {t} AS {name} "
+        "FROM kpis" for n, t in parts)
+
+
 def documents_sql() -> str:
-    def f(name):
-        return f"coalesce(max(CASE WHEN fragment = {q(name)} THEN html END), '')"
     gen = f"strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M')"
     t = fv.HTML_TITLE
-    body = " || ".join([
+    head = " || ".join([
         q(f"<!DOCTYPE html>\n<html><head><meta charset='UTF-8'>\n<title>{t}</title>\n</head>\n<body>\n"
           f"<h1>⚡ {t}</h1>\n<p>Generated: "), gen, q("</p>\n<div class=\"stat-grid\">\n"),
         q('  <div class="stat"><h2>'), vc("total_units"), q("</h2><p>Total Units</p></div>\n"),
@@ -262,47 +272,45 @@ def documents_sql() -> str:
         q('  <div class="stat"><h2>'), vc("issues"), q("</h2><p>Issues</p></div>\n"),
         q('  <div class="stat"><h2>$'), thousands_sql("total_spend"), q("</h2><p>Est. Spend</p></div>\n"),
         q('</div>\n<div class="card">\n  <h2>⏱️ Lead Time Estimator</h2>\n'
-          "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  "),
-        "lead_rows",
-        q('</table>\n</div>\n<div class="card">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n'
-          "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  "),
-        "seq_rows",
-        q('</table>\n</div>\n<div class="card">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n'
-          "  <p><strong>Total estimated procurement value: "), money_sql("total_spend"),
-        q(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
-          "<th>Total</th></tr>\n  "),
-        "spend_rows",
-        q('</table>\n</div>\n<div class="card">\n  <h2>📦 Summary by Family</h2>\n  <ul>'),
-        "family_list",
-        q("</ul>\n</div>\n</body></html>"),
-    ])
-    return (bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte(), fragments_cte(), f"""piv AS (
-  SELECT project_id, {f('lead_rows')} AS lead_rows, {f('seq_rows')} AS seq_rows,
-         {f('spend_rows')} AS spend_rows, {f('family_list')} AS family_list
-  FROM fragments GROUP BY project_id)""")
-            + f"SELECT k.project_id, {body} AS html FROM kpis k LEFT JOIN piv USING (project_id)")
+          "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  ")])
+    fixed = _fixed_part_rows([
+        (0, head),
+        (2, q('</table>\n</div>\n<div class="card">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n'
+              "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  ")),
+        (4, q('</table>\n</div>\n<div class="card">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n'
+              "  <p><strong>Total estimated procurement value: ") + " || " + money_sql("total_spend") + " || "
+            + q(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
+                "<th>Total</th></tr>\n  ")),
+        (6, q('</table>\n</div>\n<div class="card">\n  <h2>📦 Summary by Family</h2>\n  <ul>')),
+        (8, q("</ul>\n</div>\n</body></html>")),
+    ], "html")
+    part = ("CAST(CASE fragment WHEN 'lead_rows' THEN 1 WHEN 'seq_rows' THEN 3 WHEN 'spend_rows' THEN 5 "
+            "WHEN 'family_list' THEN 7 END AS INTEGER)")
+    return (bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte(), fragments_cte())
+            + fixed + f"\nUNION ALL SELECT project_id, {part}, chunk_no, html FROM fragments")
 
 
 def prompts_sql() -> str:
     nl = "chr(10)"
     crit = f"regexp_matches(status, {q(fv.CRITICAL_PATTERN)})"
-
-    def table(header, col, empty):
-        return f"CASE WHEN {col} IS NULL THEN {q(empty)} ELSE {q(header)} || {nl} || {col} END"
-    body = " || ".join([
+    head = " || ".join([
         q(fv.PROMPT_HEAD + "\n"),
         "'- Total units: '", vc("total_units"), nl,
         "'- BOM line items: '", vc("bom_lines"), nl,
         "'- Data quality issues: '", vc("issues"), nl,
         "'- Estimated total procurement spend: '", money_sql("total_spend"),
         q(" USD (indicative, for planning purposes only)\n\n" + fv.PROMPT_INVENTORY + "\n"),
-        table("Family | Count", "fam", ""),
-        q("\n\n" + fv.PROMPT_CRITICAL + "\n"),
-        table("Family | Lead Time Max (wks) | Order By Date", "crit", fv.NONE_IDENTIFIED),
-        q("\n\n" + fv.PROMPT_SEQUENCE + "\n"),
-        table("Level | Total Units | Recommended Action", "seq", ""),
-        q("\n\n" + fv.PROMPT_TASKS),
     ])
+    fixed = _fixed_part_rows([
+        (0, head),
+        (2, q("\n\n" + fv.PROMPT_CRITICAL + "\n")),
+        (4, q("\n\n" + fv.PROMPT_SEQUENCE + "\n")),
+        (6, q("\n\n" + fv.PROMPT_TASKS)),
+    ], "prompt")
+    header = ("CASE part WHEN 'family' THEN 'Family | Count' "
+              "WHEN 'critical' THEN 'Family | Lead Time Max (wks) | Order By Date' "
+              "ELSE 'Level | Total Units | Recommended Action' END")
+    part = "CAST(CASE part WHEN 'family' THEN 1 WHEN 'critical' THEN 3 ELSE 5 END AS INTEGER)"
     return bom_analytics(lead_cte(), delivery_cte(), kpis_cte(), f"""pl AS (
   SELECT project_id, 'family' AS part, -"count" AS k1, family AS k2, family || ' | ' || {vc('"count"')} AS line FROM summary
   UNION ALL
@@ -311,11 +319,15 @@ def prompts_sql() -> str:
   UNION ALL
   SELECT project_id, 'sequence', delivery_phase, '',
          level || ' | ' || {vc('total_units')} || ' | ' || recommended_action FROM delivery),
-pt AS (SELECT project_id, part, string_agg(line, {nl} ORDER BY k1, k2, line) AS txt FROM pl GROUP BY project_id, part),
-piv AS (SELECT project_id, max(CASE WHEN part = 'family' THEN txt END) AS fam,
-               max(CASE WHEN part = 'critical' THEN txt END) AS crit,
-               max(CASE WHEN part = 'sequence' THEN txt END) AS seq FROM pt GROUP BY project_id)""") + \
-        f"SELECT k.project_id, {body} AS prompt FROM kpis k LEFT JOIN piv USING (project_id)"
+pn AS (SELECT project_id, part, line,
+              (row_number() OVER (PARTITION BY project_id, part ORDER BY k1, k2, line) - 1) AS rn0 FROM pl),
+pt AS (SELECT project_id, part, CAST(rn0 // {CHUNK_LINES} AS BIGINT) AS chunk_no,
+              string_agg(line, {nl} ORDER BY rn0) AS txt FROM pn GROUP BY project_id, part, rn0 // {CHUNK_LINES})""") + \
+        fixed + f"""
+UNION ALL SELECT project_id, {part}, chunk_no,
+  CASE WHEN chunk_no = 0 THEN {header} || {nl} ELSE {nl} END || txt FROM pt
+UNION ALL SELECT project_id, CAST(3 AS INTEGER), CAST(0 AS BIGINT), {q(fv.NONE_IDENTIFIED)} FROM kpis
+  WHERE project_id NOT IN (SELECT project_id FROM pt WHERE part = 'critical')"""
 
 
 def html_items_sql() -> str:

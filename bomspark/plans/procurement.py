@@ -19,7 +19,7 @@ from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import DEFAULT_PROFILE
 from bomspark.operators.quality import issue_log, with_issues
 from bomspark.operators.timing import default_project_start
-from bomspark.session import shared_dir
+from bomspark.session import materialise  # noqa: F401  (re-exported)
 from bomspark.sources.catalogue import default_catalogue
 from bomspark.sources.csv_records import parse_grids
 from bomspark.sources.files import decode_content, read_schedule_files
@@ -84,13 +84,6 @@ def clean_files(spark: SparkSession, path: str, glob: str = "*.csv"):
     return clean_schedules(parse_grids(decode_content(read_schedule_files(spark, path, glob))))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as parquet under the shared checkpoint folder and read it back."""
-    out = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(out)
-    return df.sparkSession.read.parquet(out)
-
-
 def analyse_files(spark: SparkSession, path: str, catalogue: DataFrame | None = None,
                   project_start=None, as_of=None, gurtz_key: str = "level", glob: str = "*.csv",
                   persist_bom: bool = False, profile=None, persist_rollup: bool = True) -> Analysis:

@@ -61,3 +61,13 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return os.path.join(base, (name or "out") + "-" + uuid.uuid4().hex[:12])
+
+
+def materialise(df, name: str):
+    """Write df as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage: a lost executor later re-reads the written files
+    instead of recomputing everything upstream."""
+    out = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(out)
+    return df.sparkSession.read.parquet(out)

@@ -16,6 +16,9 @@ ROWS = [
 ]
 
 
+AS_OF = "2026-02-12 09:00:00"
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     bom = spark.createDataFrame(ROWS, SCHEMA)
@@ -54,8 +57,8 @@ def test_html_items_fallback_and_escape(tables):
 
 def test_prompt_sections(tables):
     _, a = tables
-    p = {r["project_id"]: r["prompt"] for r in report.project_prompts(
-        a.kpis, a.summary, a.lead_times, a.delivery).collect()}
+    p = {r["project_id"]: r["prompt"] for r in report.assemble(report.project_prompts(
+        a.kpis, a.summary, a.lead_times, a.delivery), "prompt").collect()}
     assert "- Total units: 1\n" in p["b"]
     assert "Family | Count\nWidget | 1\n" in p["b"]
     crit_b = p["b"].split(fv.PROMPT_CRITICAL + "\n")[1].split("\n\n")[0]
@@ -68,9 +71,36 @@ def test_prompt_sections(tables):
 def test_html_document(tables):
     _, a = tables
     frags = report.html_fragments(a.lead_times, a.delivery, a.spend, a.summary)
-    docs = {r["project_id"]: r["html"] for r in report.html_documents(a.kpis, frags, "2026-02-12 09:00:00").collect()}
+    parts = report.html_documents(a.kpis, frags, "2026-02-12 09:00:00")
+    docs = {r["project_id"]: r["html"] for r in report.assemble(parts, "html").collect()}
     d = docs["a"]
     assert d.startswith("<!DOCTYPE html>") and d.endswith("</body></html>")
     assert "<h2>$37k</h2>" in d
     assert "<li><strong>Pull Box &lt;x&gt;</strong>: 3 units</li>" in d
     assert d.index("Dry Type Transformer</td>") < d.index("Pull Box &lt;x&gt;</td>")
+
+
+def _parts_text(df, col):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["project_id"], r["part_no"], r["chunk_no"])):
+        out[r["project_id"]] = out.get(r["project_id"], "") + r[col]
+    return out
+
+
+def test_chunked_parts_equal_whole_text(tables):
+    """Small chunks and the distributed numbering give the same documents,
+    prompts and report lines as one chunk per table and a window."""
+    _, a = tables
+    args = (a.lead_times, a.delivery, a.spend, a.summary)
+    whole = report.html_fragments(*args)
+    split = report.html_fragments(*args, chunk_lines=1, one_task_rows=0)
+    assert split.filter("project_id = 'a' AND fragment = 'lead_rows'").count() == 2
+    docs = _parts_text(report.html_documents(a.kpis, whole, AS_OF), "html")
+    assert _parts_text(report.html_documents(a.kpis, split, AS_OF), "html") == docs
+    pw = report.project_prompts(a.kpis, a.summary, a.lead_times, a.delivery)
+    ps = report.project_prompts(a.kpis, a.summary, a.lead_times, a.delivery, chunk_lines=1, one_task_rows=0)
+    assert _parts_text(ps, "prompt") == _parts_text(pw, "prompt")
+    lw = report.report_lines(a.kpis, a.lead_times, a.delivery, a.spend, a.summary, a.bom_lines, AS_OF)
+    ls = report.report_lines(a.kpis, a.lead_times, a.delivery, a.spend, a.summary, a.bom_lines, AS_OF,
+                             one_task_rows=0)
+    assert sorted(map(str, lw.collect())) == sorted(map(str, ls.collect()))
