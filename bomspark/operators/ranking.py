@@ -48,8 +48,12 @@ def row_number_in_group(df: DataFrame, keys: list[str], order: list, name: str,
     """df + ``name`` (bigint, 1..n within each group of ``keys`` in ``order``).
 
     bound: a known upper bound of the group size (skips the measuring job);
-    a wrong bound only changes the strategy, never the numbers."""
+    a wrong bound only changes the strategy, never the numbers.  Without
+    one, df is written once to the shared folder and both the measuring and
+    the numbering read that copy (df is never computed twice)."""
     if bound is None:
+        from bomspark.session import materialise
+        df = materialise(df, "to_rank")
         bound = largest_group(df, keys)
     if bound <= one_task_rows:
         w = Window.partitionBy(*keys).orderBy(*[_c(o) for o in order])

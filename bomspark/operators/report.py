@@ -71,9 +71,12 @@ def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: D
                  one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """kpis: project_kpis rows; detail_order: (file column, position column)
     of the BOM, default file_id + line_no (or row_idx).  lead and spend hold
-    one row per summary row, so the largest project of the summary (measured
-    once unless ``bound`` is given) decides how all three are numbered."""
+    one row per summary row, so the largest project of the summary decides
+    how all three are numbered: pass ``bound`` (e.g. ``Analysis.group_bound``)
+    or the summary is written once and measured."""
     if bound is None:
+        from bomspark.session import materialise
+        summary = materialise(summary, "summary")
         bound = largest_group(summary, ["project_id"])
     h = fv.REPORT_HEADINGS
     gen = F.concat(F.lit("Generated: "), F.date_format(as_of_col(as_of), "yyyy-MM-dd HH:mm"))
@@ -128,12 +131,17 @@ def ordered_text(lines: DataFrame, keys: list[str], order: list[Column], text: C
     (a literal or an expression over the keys), later chunks with ``sep``,
     so the chunks concatenated in order are the whole text."""
     sel = lines.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], text.alias("_t"))
-    ranked = row_number_in_group(sel, keys, [f"_o{i}" for i in range(len(order))], "_rank", bound,
-                                 one_task_rows)
-    chunk = F.expr(f"(_rank - 1) div {int(chunk_lines)}").cast("bigint")
-    grouped = (ranked.withColumn("chunk_no", chunk)
-               .groupBy(*keys, "chunk_no")
-               .agg(F.array_sort(F.collect_list(F.struct("_rank", "_t"))).alias("_l")))
+    okeys = [f"_o{i}" for i in range(len(order))]
+    if bound is not None and bound <= chunk_lines:
+        # every group is one chunk (measured): a single ordered aggregate
+        grouped = (sel.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*okeys, "_t"))).alias("_l"))
+                   .withColumn("chunk_no", F.lit(0).cast("bigint")))
+    else:
+        ranked = row_number_in_group(sel, keys, okeys, "_rank", bound, one_task_rows)
+        chunk = F.expr(f"(_rank - 1) div {int(chunk_lines)}").cast("bigint")
+        grouped = (ranked.withColumn("chunk_no", chunk)
+                   .groupBy(*keys, "chunk_no")
+                   .agg(F.array_sort(F.collect_list(F.struct("_rank", "_t"))).alias("_l")))
     prefix = F.lit(first_prefix) if isinstance(first_prefix, str) else first_prefix
     return grouped.select(
         *keys, "chunk_no",

@@ -77,6 +77,15 @@ def line_rollup(bom: DataFrame, gurtz_key: str = "level") -> DataFrame:
                  F.sum("has_issue").cast("bigint").alias("issue_lines")))
 
 
+def project_rows_bound(rollup: DataFrame) -> int:
+    """Rollup rows of the largest project.  The rollup's grain is (project,
+    key, kept, level), so this bounds the per-project rows of the summary,
+    lead, spend and delivery tables and of every fragment built from them;
+    one small job over the (written) rollup."""
+    from bomspark.operators.ranking import largest_group
+    return largest_group(rollup, ["project_id"])
+
+
 def summary_from_rollup(rollup: DataFrame) -> DataFrame:
     return (rollup.filter("kept").groupBy("project_id", "family")
             .agg(F.sum("units").cast("bigint").alias("count")))

@@ -38,6 +38,9 @@ class Analysis:
     total_spend: DataFrame
     kpis: DataFrame
     rejects: DataFrame | None = None
+    # rows of the largest project in the rollup: bounds every per-project
+    # table (pass as ``bound`` to the report builders); None if not measured
+    group_bound: int | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -59,8 +62,10 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
     b = with_issues(bom)
     # One pass over the lines feeds every per-project table.
     r = summary.line_rollup(b, gurtz_key)
+    bound = None
     if persist_rollup:
         r = materialise(r, "rollup")
+        bound = summary.project_rows_bound(r)
     s = summary.summary_from_rollup(r)
     e = lookup.enrich(s, catalogue, "family", profile)
     lead = planning.lead_times(e, project_start, as_of)
@@ -72,10 +77,11 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
         enriched=e,
         lead_times=lead,
         critical_items=planning.critical_items(lead),
-        delivery=planning.delivery_sequence(b, summary.level_totals_from_rollup(r)),
+        delivery=planning.delivery_sequence(b, summary.level_totals_from_rollup(r), bound),
         spend=spend,
         total_spend=planning.total_spend(e),
         kpis=summary.kpis_from(summary.totals_from_rollup(r), e, project_start, as_of),
+        group_bound=bound,
         extra={"rollup": r},
     )
 

@@ -153,33 +153,36 @@ class _Tables:
         # written once to the shared folder: every table below reads the rollup,
         # none rescans the lines
         rollup = materialise(summary.line_rollup(self.bom), "rollup")
+        # one measured bound for every per-project numbering below
+        self.bound = summary.project_rows_bound(rollup)
         self.summary = summary.summary_from_rollup(rollup)
         self.enriched = lookup.enrich(self.summary, _catalogue(spark), "family", TEST_PROFILE)
         self.lead = planning.lead_times(self.enriched, project_start_expr(), AS_OF)
         self.spend = planning.spend_estimation(self.enriched)
-        self.delivery = planning.delivery_sequence(self.bom, summary.level_totals_from_rollup(rollup))
+        self.delivery = planning.delivery_sequence(self.bom, summary.level_totals_from_rollup(rollup), self.bound)
         self.kpis = summary.kpis_from(summary.totals_from_rollup(rollup), self.enriched,
                                       project_start_expr(), AS_OF)
 
 
 def q_report_lines(spark, sf_dir):
     t = _Tables(spark, sf_dir)
-    return report.report_lines(t.kpis, t.lead, t.delivery, t.spend, t.summary, t.bom, AS_OF)
+    return report.report_lines(t.kpis, t.lead, t.delivery, t.spend, t.summary, t.bom, AS_OF, bound=t.bound)
 
 
 def q_html_fragments(spark, sf_dir):
     t = _Tables(spark, sf_dir)
-    return report.html_fragments(t.lead, t.delivery, t.spend, t.summary)
+    return report.html_fragments(t.lead, t.delivery, t.spend, t.summary, bound=t.bound)
 
 
 def q_html_documents(spark, sf_dir):
     t = _Tables(spark, sf_dir)
-    return report.html_documents(t.kpis, report.html_fragments(t.lead, t.delivery, t.spend, t.summary), AS_OF)
+    frags = report.html_fragments(t.lead, t.delivery, t.spend, t.summary, bound=t.bound)
+    return report.html_documents(t.kpis, frags, AS_OF)
 
 
 def q_project_prompts(spark, sf_dir):
     t = _Tables(spark, sf_dir)
-    return report.project_prompts(t.kpis, t.summary, t.lead, t.delivery)
+    return report.project_prompts(t.kpis, t.summary, t.lead, t.delivery, bound=t.bound)
 
 
 def q_html_items(spark, sf_dir):
