@@ -52,7 +52,8 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
     project_start: Column, DataFrame(project_id, project_start), a literal,
     or None (midnight of as_of + 20 weeks).  as_of: literal or None (now).
     persist_rollup writes the per-(project, key, level) rollup once (one
-    pass over the lines) so summary, delivery and KPIs never rescan them.
+    pass over the lines) so summary, delivery and KPIs never rescan them, and
+    the looked-up summary once, so the keyword lookup runs once.
     """
     if catalogue is None:
         catalogue = default_catalogue(bom.sparkSession)
@@ -68,6 +69,11 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
         bound = summary.project_rows_bound(r)
     s = summary.summary_from_rollup(r)
     e = lookup.enrich(s, catalogue, "family", profile)
+    if persist_rollup:
+        # the keyword lookup (substring candidates x catalogue) runs once;
+        # summary, lead, spend and KPIs all read this copy
+        e = materialise(e, "enriched")
+        s = e.select("project_id", "family", "count")
     lead = planning.lead_times(e, project_start, as_of)
     spend = planning.spend_estimation(e)
     return Analysis(

@@ -155,8 +155,10 @@ class _Tables:
         rollup = materialise(summary.line_rollup(self.bom), "rollup")
         # one measured bound for every per-project numbering below
         self.bound = summary.project_rows_bound(rollup)
-        self.summary = summary.summary_from_rollup(rollup)
-        self.enriched = lookup.enrich(self.summary, _catalogue(spark), "family", TEST_PROFILE)
+        # the lookup runs once; summary, lead, spend and KPIs read this copy
+        self.enriched = materialise(lookup.enrich(summary.summary_from_rollup(rollup), _catalogue(spark),
+                                                  "family", TEST_PROFILE), "enriched")
+        self.summary = self.enriched.select("project_id", "family", "count")
         self.lead = planning.lead_times(self.enriched, project_start_expr(), AS_OF)
         self.spend = planning.spend_estimation(self.enriched)
         self.delivery = planning.delivery_sequence(self.bom, summary.level_totals_from_rollup(rollup), self.bound)
