@@ -43,3 +43,15 @@ def test_range_path_brute_force(spark, rows):
         for n, (_, i) in enumerate(members, 1):
             want[i] = n
     assert got == want
+
+
+def test_delivery_phases_same_beyond_bound(spark):
+    from conftest import SF_SMALL
+
+    from bomspark.operators.planning import delivery_sequence
+    from bomspark.sources.tables import bom_view
+    bom = bom_view(spark, SF_SMALL)
+    window = delivery_sequence(bom)
+    ranged = delivery_sequence(bom, bound=10**7)   # above ONE_TASK_ROWS: range-sorted numbering
+    assert window.count() == ranged.count() > 0
+    assert window.exceptAll(ranged).count() == 0
