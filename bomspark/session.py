@@ -21,9 +21,6 @@ RECOMMENDED_CONF = {
     # The CSV reader receives whole files per Arrow row: bound each input
     # batch by bytes, not only by row count.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
-    # collect_list / min_by aggregates keep hashing instead of falling back to
-    # sort-based aggregation after 128 keys per task.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1000000",
     # Schedule files are many and small; pack them into fewer read tasks.
     "spark.sql.files.openCostInBytes": str(1 << 20),
 }
