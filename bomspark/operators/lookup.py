@@ -145,3 +145,17 @@ def enrich(summary: DataFrame, catalogue: DataFrame, key: str = "family",
         m["max_weeks"].alias("lead_max_weeks"),
         m["unit_cost"].alias("unit_cost"),
     )
+
+
+def enrich_by_name(summary: DataFrame, names: DataFrame, catalogue: DataFrame, key: str = "family",
+                   profile: tuple[int, list[int]] | None = None) -> DataFrame:
+    """``enrich`` with the lookup run once per distinct name: ``names`` (one
+    column ``key``) must come from a written table (e.g. the line rollup), so
+    deriving them costs a scan of that table, not of the lines.  Names repeat
+    across projects, so the substring candidates shrink by that factor; the
+    lookup is joined back on the name (AQE broadcasts it when its measured
+    size is small, and splits a hot name's partition otherwise)."""
+    found = match_keywords(names.select(key).distinct(), catalogue, key, profile).withColumnRenamed(key, "_name")
+    # null-safe, so a null name gets the default entry as in ``enrich``
+    return (summary.join(found, summary[key].eqNullSafe(found["_name"]), "left")
+            .select(*summary.columns, *LOOKUP_COLUMNS))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bomspark.fixed_values import LAYOUT_GURTZ
 from bomspark.functions.planning import days_until, is_critical, lead_status, order_by_ts
 from bomspark.functions.text import strip
-from bomspark.operators.lookup import enrich
+from bomspark.operators.lookup import enrich, enrich_by_name
 from bomspark.operators.quality import with_issues
 from bomspark.operators.timing import as_of_col, with_project_start
 
@@ -128,7 +128,10 @@ def project_kpis(bom: DataFrame, catalogue: DataFrame, project_start, as_of=None
     summary and totals branches otherwise each scan them)."""
     r = line_rollup(bom, gurtz_key)
     if persist_rollup:
-        from bomspark.plans.procurement import materialise
+        from bomspark.session import materialise
         r = materialise(r, "rollup")
-    enriched = enrich(summary_from_rollup(r), catalogue, "family", profile)
+        # names from the written rollup: the lookup runs once per distinct name
+        enriched = enrich_by_name(summary_from_rollup(r), r.filter("kept"), catalogue, "family", profile)
+    else:
+        enriched = enrich(summary_from_rollup(r), catalogue, "family", profile)
     return kpis_from(totals_from_rollup(r), enriched, project_start, as_of)

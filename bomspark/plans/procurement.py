@@ -68,12 +68,13 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
         r = materialise(r, "rollup")
         bound = summary.project_rows_bound(r)
     s = summary.summary_from_rollup(r)
-    e = lookup.enrich(s, catalogue, "family", profile)
     if persist_rollup:
-        # the keyword lookup (substring candidates x catalogue) runs once;
-        # summary, lead, spend and KPIs all read this copy
-        e = materialise(e, "enriched")
+        # the keyword lookup runs once, per distinct name of the written
+        # rollup; summary, lead, spend and KPIs all read this copy
+        e = materialise(lookup.enrich_by_name(s, r.filter("kept"), catalogue, "family", profile), "enriched")
         s = e.select("project_id", "family", "count")
+    else:
+        e = lookup.enrich(s, catalogue, "family", profile)
     lead = planning.lead_times(e, project_start, as_of)
     spend = planning.spend_estimation(e)
     return Analysis(

@@ -155,9 +155,11 @@ class _Tables:
         rollup = materialise(summary.line_rollup(self.bom), "rollup")
         # one measured bound for every per-project numbering below
         self.bound = summary.project_rows_bound(rollup)
-        # the lookup runs once; summary, lead, spend and KPIs read this copy
-        self.enriched = materialise(lookup.enrich(summary.summary_from_rollup(rollup), _catalogue(spark),
-                                                  "family", TEST_PROFILE), "enriched")
+        # the lookup runs once per distinct name of the written rollup;
+        # summary, lead, spend and KPIs read this copy
+        self.enriched = materialise(lookup.enrich_by_name(summary.summary_from_rollup(rollup),
+                                                          rollup.filter("kept"), _catalogue(spark),
+                                                          "family", TEST_PROFILE), "enriched")
         self.summary = self.enriched.select("project_id", "family", "count")
         self.lead = planning.lead_times(self.enriched, project_start_expr(), AS_OF)
         self.spend = planning.spend_estimation(self.enriched)

@@ -132,3 +132,16 @@ def test_duplicate_priorities_use_min_by_path(spark):
     names = spark.createDataFrame([("Pull Box",), ("Fan",), ("Pump",)], "family string")
     got = {r["family"]: r["keyword"] for r in match_keywords(names, cat, "family").collect()}
     assert got == {"Pull Box": "box", "Fan": "fan", "Pump": "default"}
+
+
+def test_lookup_by_distinct_name_equals_inline(spark):
+    from bomspark.operators.lookup import DEFAULT_PROFILE, enrich, enrich_by_name
+    from bomspark.sources.catalogue import default_catalogue
+    s = spark.createDataFrame([("a", "Heat Pump Fan", 2), ("b", "Heat Pump Fan", 1), ("b", "Widget", 4),
+                               ("c", None, 1), ("c", "Dry Type Transformer", 3)],
+                              "project_id string, family string, count bigint")
+    cat = default_catalogue(spark)
+    inline = enrich(s, cat, "family", DEFAULT_PROFILE)
+    by_name = enrich_by_name(s, s, cat, "family", DEFAULT_PROFILE)
+    assert sorted(map(str, inline.collect())) == sorted(map(str, by_name.collect()))
+    assert by_name.filter("family IS NULL").first()["keyword"] == "default"
