@@ -298,27 +298,30 @@ def html_items(bom: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Long-form HTML for the per-line cards: one row per BOM line
     (kind 'item') and per line with issues (kind 'issue'), keyed by the line's
     file and position; a project without issues gets the single fallback item.
-    Never gathered into one string per project.
+    Never gathered into one string per project.  Item and issue rows come
+    from one pass over the lines (each line yields one or two rows); the
+    fallback needs the per-project issue count (a partial aggregate).
 
     bom: project_id, file_id, line_no (or row_idx), family, type, panel_name,
     level, count, issues.  projects: project_id list for the fallback rows
     (default: the projects of the BOM)."""
     pos = "line_no" if "line_no" in bom.columns else "row_idx"
-    items = bom.select(
-        "project_id", F.lit("item").alias("kind"), _s("file_id").alias("file_id"),
-        F.col(pos).cast("bigint").alias("line_no"),
-        F.concat(F.lit("<div class='item-row'><strong>"), _e("family"), F.lit(f"</strong> {EM_DASH} "), _e("type"),
-                 F.lit("<br><small>Panel: "), _e("panel_name"), F.lit(" | Level: "), _e("level"),
-                 F.lit(" | Qty: "), _s("count"), F.lit("</small></div>")).alias("html"))
-    issues = bom.filter(F.col("issues") != "").select(
-        "project_id", F.lit("issue").alias("kind"), _s("file_id").alias("file_id"),
-        F.col(pos).cast("bigint").alias("line_no"),
-        F.concat(F.lit("<li>"), _e("family"), F.lit(" ("), _e("type"), F.lit("): "), _e("issues"),
-                 F.lit("</li>")).alias("html"))
+    item = F.struct(F.lit("item").alias("kind"), F.concat(
+        F.lit("<div class='item-row'><strong>"), _e("family"), F.lit(f"</strong> {EM_DASH} "), _e("type"),
+        F.lit("<br><small>Panel: "), _e("panel_name"), F.lit(" | Level: "), _e("level"),
+        F.lit(" | Qty: "), _s("count"), F.lit("</small></div>")).alias("html"))
+    issue = F.when(F.col("issues") != "", F.struct(F.lit("issue").alias("kind"), F.concat(
+        F.lit("<li>"), _e("family"), F.lit(" ("), _e("type"), F.lit("): "), _e("issues"),
+        F.lit("</li>")).alias("html")))
+    rows = bom.select(
+        "project_id", _s("file_id").alias("file_id"), F.col(pos).cast("bigint").alias("line_no"),
+        F.explode(F.array(item, issue)).alias("r"))
+    per_line = rows.filter(F.col("r").isNotNull()).select(
+        "project_id", F.col("r.kind").alias("kind"), "file_id", "line_no", F.col("r.html").alias("html"))
     per_project = bom.groupBy("project_id").agg(F.count_if(F.col("issues") != "").alias("_n"))
     if projects is not None:
         per_project = projects.select("project_id").join(per_project, "project_id", "left")
     fallback = per_project.filter(F.coalesce(F.col("_n"), F.lit(0)) == 0).select(
         "project_id", F.lit("issue").alias("kind"), F.lit(None).cast("string").alias("file_id"),
         F.lit(0).cast("bigint").alias("line_no"), F.lit(fv.NO_ISSUES_ITEM).alias("html"))
-    return items.unionByName(issues).unionByName(fallback)
+    return per_line.unionByName(fallback)
