@@ -132,7 +132,11 @@ def ordered_text(lines: DataFrame, keys: list[str], order: list[Column], text: C
     so the chunks concatenated in order are the whole text."""
     sel = lines.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], text.alias("_t"))
     okeys = [f"_o{i}" for i in range(len(order))]
-    if bound is not None and bound <= chunk_lines:
+    if bound is None:
+        from bomspark.session import materialise
+        sel = materialise(sel, "ordered_lines")      # measured and gathered from one copy
+        bound = largest_group(sel, keys)
+    if bound <= chunk_lines:
         # every group is one chunk (measured): a single ordered aggregate
         grouped = (sel.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*okeys, "_t"))).alias("_l"))
                    .withColumn("chunk_no", F.lit(0).cast("bigint")))
