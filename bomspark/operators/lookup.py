@@ -19,6 +19,11 @@ from bomspark.fixed_values import DEFAULT_LEAD, LEAD_TIME_CATALOGUE
 
 # A catalogue row is ~60 bytes; 100k rows stay far below any executor's memory.
 BROADCAST_MAX_ROWS = 100_000
+# A catalogue of at most this many rows (unique priorities) is matched by one
+# CASE WHEN chain in priority order: no candidate explosion, no join, no
+# aggregate.  Its entries reach the driver only after the row count has proven
+# them this few; they then travel inside the plan, like a broadcast.
+INLINE_MAX_ROWS = 64
 
 # (rows, distinct keyword lengths, priorities unique)
 DEFAULT_PROFILE = (
@@ -89,6 +94,26 @@ def _candidates(name: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
+def _inline_ok(rows: int, unique: bool) -> bool:
+    return unique and rows <= min(INLINE_MAX_ROWS, BROADCAST_MAX_ROWS)
+
+
+def inline_match(name: Column, catalogue: DataFrame) -> Column:
+    """struct(keyword, min_weeks, max_weeks, unit_cost) of the first keyword,
+    by priority, contained in lower(name); null when none is.  Only for a
+    catalogue whose row count is proven small (``INLINE_MAX_ROWS``)."""
+    entries = catalogue.orderBy("priority").select("keyword", "min_weeks", "max_weeks", "unit_cost").collect()
+    lname = F.lower(name)
+    out = None
+    for kw, lo, hi, cost in entries:
+        hit = F.struct(F.lit(kw).alias("keyword"), F.lit(lo).cast("int").alias("min_weeks"),
+                       F.lit(hi).cast("int").alias("max_weeks"), F.lit(cost).cast("bigint").alias("unit_cost"))
+        out = F.when(lname.contains(kw), hit) if out is None else out.when(lname.contains(kw), hit)
+    if out is None:
+        return F.lit(None).cast("struct<keyword:string,min_weeks:int,max_weeks:int,unit_cost:bigint>")
+    return out
+
+
 def default_lead_struct(default=DEFAULT_LEAD) -> Column:
     kw, lo, hi, cost = default
     return F.struct(
@@ -105,9 +130,13 @@ def match_keywords(names: DataFrame, catalogue: DataFrame, name_col: str = "fami
     """One row per distinct ``name_col``: keyword, lead_min_weeks,
     lead_max_weeks, unit_cost of the first matching keyword (or the default)."""
     rows, lengths, unique = _profile(catalogue, profile)
-    lname = F.lower(F.col(name_col))
-    cand = names.select(F.col(name_col), F.explode_outer(_candidates(lname, lengths)).alias("_kw"))
-    best = _first_match(cand, [name_col], catalogue, rows <= BROADCAST_MAX_ROWS, unique)
+    if _inline_ok(rows, unique):
+        best = names.select(name_col).distinct().select(
+            name_col, inline_match(F.col(name_col), catalogue).alias("_m"))
+    else:
+        lname = F.lower(F.col(name_col))
+        cand = names.select(F.col(name_col), F.explode_outer(_candidates(lname, lengths)).alias("_kw"))
+        best = _first_match(cand, [name_col], catalogue, rows <= BROADCAST_MAX_ROWS, unique)
     m = F.coalesce(F.col("_m"), default_lead_struct(default))
     return best.select(
         F.col(name_col),
@@ -123,7 +152,9 @@ def enrich(summary: DataFrame, catalogue: DataFrame, key: str = "family",
     """Attach the lookup (keyword, lead_min_weeks, lead_max_weeks, unit_cost)
     to every row of an aggregated table whose rows are distinct.
 
-    With a catalogue proven small the lookup runs inline: each row's
+    A catalogue proven tiny (``INLINE_MAX_ROWS``, unique priorities) is one
+    CASE WHEN chain per row (``inline_match``).  With a catalogue proven small
+    the lookup runs inline: each row's
     candidates probe the broadcast catalogue and ``min_by`` is grouped by the
     row's own columns, which the table's existing hash partitioning already
     satisfies — no shuffle and no second pass over the source.  A large
@@ -131,10 +162,14 @@ def enrich(summary: DataFrame, catalogue: DataFrame, key: str = "family",
     back on the key.
     """
     rows, lengths, unique = _profile(catalogue, profile)
+    cols = summary.columns
+    if _inline_ok(rows, unique):
+        m = F.coalesce(inline_match(F.col(key), catalogue), default_lead_struct())
+        return summary.select(*cols, m["keyword"].alias("keyword"), m["min_weeks"].alias("lead_min_weeks"),
+                              m["max_weeks"].alias("lead_max_weeks"), m["unit_cost"].alias("unit_cost"))
     if rows > BROADCAST_MAX_ROWS:
         lookup = match_keywords(summary.select(key).distinct(), catalogue, key, (rows, lengths, unique))
         return summary.join(lookup, key, "left")
-    cols = summary.columns
     cand = summary.select(*cols, F.explode_outer(_candidates(F.lower(F.col(key)), lengths)).alias("_kw"))
     best = _first_match(cand, cols, catalogue, True, unique)
     m = F.coalesce(F.col("_m"), default_lead_struct())
@@ -155,7 +190,12 @@ def enrich_by_name(summary: DataFrame, names: DataFrame, catalogue: DataFrame, k
     across projects, so the substring candidates shrink by that factor; the
     lookup is joined back on the name (AQE broadcasts it when its measured
     size is small, and splits a hot name's partition otherwise)."""
-    found = match_keywords(names.select(key).distinct(), catalogue, key, profile).withColumnRenamed(key, "_name")
+    rows, lengths, unique = _profile(catalogue, profile)
+    if _inline_ok(rows, unique):
+        # a CASE chain per row is cheaper than distinct names plus a join back
+        return enrich(summary, catalogue, key, (rows, lengths, unique))
+    found = match_keywords(names.select(key).distinct(), catalogue, key,
+                           (rows, lengths, unique)).withColumnRenamed(key, "_name")
     # null-safe, so a null name gets the default entry as in ``enrich``
     return (summary.join(found, summary[key].eqNullSafe(found["_name"]), "left")
             .select(*summary.columns, *LOOKUP_COLUMNS))

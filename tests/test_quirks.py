@@ -145,3 +145,27 @@ def test_lookup_by_distinct_name_equals_inline(spark):
     by_name = enrich_by_name(s, s, cat, "family", DEFAULT_PROFILE)
     assert sorted(map(str, inline.collect())) == sorted(map(str, by_name.collect()))
     assert by_name.filter("family IS NULL").first()["keyword"] == "default"
+
+
+def test_case_chain_equals_candidate_join(spark, monkeypatch):
+    """The CASE chain used for tiny catalogues and the substring-candidate
+    join (broadcast) give the same lookup on the driver's BOM, for the default
+    catalogue and for the test catalogue with its shadowing keywords."""
+    from conftest import SF_SMALL
+
+    from bomspark.operators import lookup as L
+    from bomspark.operators.summary import summarise
+    from bomspark.sources.catalogue import catalogue_from_entries
+    from bomspark.sources.tables import TEST_CATALOGUE, bom_view
+    s = summarise(bom_view(spark, SF_SMALL))
+    extra = spark.createDataFrame([(0, "Heat Pump Fan", 1), (0, "Flats", 1), (0, None, 1), (0, "", 1)],
+                                  "project_id bigint, family string, count bigint")
+    s = s.unionByName(extra)
+    for cat in (default_catalogue(spark), catalogue_from_entries(spark, TEST_CATALOGUE)):
+        case = sorted(map(str, L.enrich(s, cat).collect()))
+        case_names = sorted(map(str, L.match_keywords(s.select("family"), cat).collect()))
+        monkeypatch.setattr(L, "INLINE_MAX_ROWS", 0)
+        join = sorted(map(str, L.enrich(s, cat).collect()))
+        join_names = sorted(map(str, L.match_keywords(s.select("family"), cat).collect()))
+        monkeypatch.setattr(L, "INLINE_MAX_ROWS", 64)
+        assert case == join and case_names == join_names
