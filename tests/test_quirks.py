@@ -169,3 +169,13 @@ def test_case_chain_equals_candidate_join(spark, monkeypatch):
         join_names = sorted(map(str, L.match_keywords(s.select("family"), cat).collect()))
         monkeypatch.setattr(L, "INLINE_MAX_ROWS", 64)
         assert case == join and case_names == join_names
+
+
+def test_empty_catalogue_gives_default(spark):
+    from bomspark.operators.lookup import enrich, match_keywords
+    from bomspark.sources.catalogue import catalogue_from_entries
+    empty = catalogue_from_entries(spark, [])
+    names = spark.createDataFrame([("Heat Pump Fan",), (None,)], "family string")
+    assert {r["keyword"] for r in match_keywords(names, empty, "family").collect()} == {"default"}
+    s = spark.createDataFrame([("a", "Fan", 1)], "project_id string, family string, count bigint")
+    assert enrich(s, empty).first()["unit_cost"] == 1500
