@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -60,6 +61,31 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     return os.path.join(base, (name or "out") + "-" + uuid.uuid4().hex[:12])
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by reference, so a worker
+    must be able to import the package from whatever folder it runs in.  The
+    archive is written to the driver's own temporary folder and served from
+    there by Spark (``addPyFile``)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="bomspark-ship-"), "bomspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("bomspark", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def materialise(df, name: str):
     """Write df as parquet under the shared checkpoint folder and read it back.
 
