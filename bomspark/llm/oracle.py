@@ -80,7 +80,7 @@ WITH RECURSIVE w AS (
 s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[])
          WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' '))) END AS g
+         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS g
   FROM w),
 sets AS (SELECT doc_id, g, CAST(len(g) AS BIGINT) AS n, md5(array_to_string(list_sort(g), chr(10))) AS sid FROM s),
 reps AS (SELECT sid, min(doc_id) AS rep, max(n) AS n, any_value(g) AS g FROM sets WHERE n > 0 GROUP BY sid),
@@ -109,12 +109,12 @@ FROM sets LEFT JOIN reps ON reps.sid = sets.sid AND sets.n > 0 LEFT JOIN comp ON
 
 OP10 = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
