@@ -24,8 +24,9 @@ tokens are joined by one space, as the library does.
 
 The file is a parameter; its bytes are broadcast (fixed size, not part of the
 data) and each worker builds the tables once.  Words up to CACHED_CHARS letters
-are remembered in two tables (words, runs with other characters) of at most
-CACHE_WORDS entries per worker.
+are remembered in two tables (words, runs with other characters) per worker, each of
+two generations of at most CACHE_WORDS entries: when the young one is full it becomes
+the old one, and what is still used moves over, so frequent words stay.
 
 Null text encodes like the empty text: no ids.  Null ids decode to the empty text.
 """
@@ -41,10 +42,12 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomspark.llm.common import by_parts
 from bomspark.session import ship_package
 
 CACHED_CHARS = 48
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 END = "Ā"  # stands for the end-of-word suffix; byte symbols are U+0000 to U+00FF
@@ -58,12 +61,33 @@ def _byte_symbols() -> dict[str, str]:
     return {chr(b): chr(b) for b in plain} | {chr(256 + i): chr(b) for i, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """A table of bounded size that keeps what is used; see the module text."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str) -> bytes | None:
+        got = self.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """The tables of one model; see the module text."""
 
     def __init__(self, data: bytes):
         import ahocorasick
-        import numpy as np
         import regex
 
         spec = json.loads(data)
@@ -118,15 +142,8 @@ class Encoder:
                     break
         automaton.make_automaton()
         self.matches = automaton.iter
-
-        names = [b""] * n
-        for t, i in [*vocab.items(), *added.items()]:
-            names[i] = t.encode() + b" "
-        sizes = np.array([len(x) for x in names], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
-        self.buffer = np.frombuffer(b"".join(names), np.uint8)
-        self.words_known: dict[str, bytes] = {}
-        self.runs_known: dict[str, bytes] = {}
+        self.words_known = Remembered()
+        self.runs_known = Remembered()
 
     def _apart(self, x: int, y: int, limit: float) -> bool:
         """Whether no merge of a rank below ``limit`` joins x and y across their
@@ -150,7 +167,7 @@ class Encoder:
     def compatible(self, x: int, y: int) -> bool:
         known = self.table.get((x, y))
         if known is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) >= CACHE_PAIRS:
                 self.table.clear()
             known = self.table[x, y] = self._apart(x, y, float("inf"))
         return known
@@ -193,29 +210,19 @@ class Encoder:
         return out
 
     def word_bytes(self, word: str) -> bytes:
-        """Ids of one word as 32-bit integers; short words are remembered."""
-        ids = self.words_known.get(word)
-        if ids is None:
-            ids = array("i", self.encode_word(word)).tobytes()
-            if len(word) <= CACHED_CHARS:
-                if len(self.words_known) >= CACHE_WORDS:
-                    self.words_known.clear()
-                self.words_known[word] = ids
-        return ids
+        """Ids of one word as 32-bit integers."""
+        ids = self.words_known.find(word)
+        return ids if ids is not None else self.words_known.keep(word, array("i", self.encode_word(word)).tobytes())
 
     def run_bytes(self, run: str) -> bytes:
         """Ids of a run without white space, as 32-bit integers."""
         if run.isascii() and run.isalpha():  # one word
             return self.word_bytes(run.lower())
-        ids = self.runs_known.get(run)
+        ids = self.runs_known.find(run)
         if ids is None:
             # letter-by-letter lower case: no special final sigma
             words = self.words(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
-            ids = b"".join(map(self.word_bytes, words))
-            if len(run) <= CACHED_CHARS:
-                if len(self.runs_known) >= CACHE_WORDS:
-                    self.runs_known.clear()
-                self.runs_known[run] = ids
+            ids = self.runs_known.keep(run, b"".join(map(self.word_bytes, words)))
         return ids
 
     def _plain_bytes(self, text: str, out: list[bytes]) -> None:
@@ -238,6 +245,21 @@ class Encoder:
                     self._plain_bytes(part, out)
         return b"".join(out)
 
+
+class Decoder:
+    """The texts of all tokens in one buffer, each followed by a space."""
+
+    def __init__(self, data: bytes):
+        import numpy as np
+
+        spec = json.loads(data)
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        names = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            names[i] = token.encode() + b" "
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        self.buffer = np.frombuffer(b"".join(names), np.uint8)
+
     def decode(self, ids) -> str:
         """``ids``: a numpy array of known ids."""
         import numpy as np
@@ -251,15 +273,15 @@ class Encoder:
         return self.buffer[places].tobytes()[:-1].decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of this worker process
+_TABLES: dict[tuple[type, str], object] = {}  # of this worker process
 
 
-def encoder_of(data: bytes) -> Encoder:
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(data)
-    return _ENCODERS[key]
+def table_of(kind: type, data: bytes):
+    """The encoder or decoder of a model file, built once per worker."""
+    key = (kind, hashlib.sha256(data).hexdigest())
+    if key not in _TABLES:
+        _TABLES[key] = kind(data)
+    return _TABLES[key]
 
 
 def _model(spark: SparkSession, path: str):
@@ -276,12 +298,12 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
         import numpy as np
         import pyarrow as pa
 
-        coder = encoder_of(model.value)
+        coder = table_of(Encoder, model.value)
         found = [coder.encode(t) if t else b"" for t in texts.to_pylist()]
         offsets = np.cumsum([0] + [len(x) // 4 for x in found], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
-    return df.withColumn(out, F.arrow_udf(ids_of, "array<int>")(F.col(text)))
+    return df.withColumn(out, by_parts(ids_of, "array<int>", F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -292,11 +314,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         import numpy as np
         import pyarrow as pa
 
-        coder = encoder_of(model.value)
-        values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        coder = table_of(Decoder, model.value)
+        values = lists.values.to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy()
         nulls = lists.is_null().to_pylist()
-        return pa.array(["" if null else coder.decode(values[a:b])
+        return pa.array(["" if null else coder.decode(values[a:b].astype(np.int64))
                          for null, a, b in zip(nulls, offsets[:-1], offsets[1:])], pa.string())
 
-    return df.withColumn(out, F.arrow_udf(text_of, "string")(F.col(ids)))
+    return df.withColumn(out, by_parts(text_of, "string", F.col(ids)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,23 @@ def unit_hash(*columns: Column) -> Column:
             * F.lit(2.0 ** -53))
 
 
+PART_ROWS = 256
+
+
+def by_parts(function: Callable[[pa.Array], pa.Array], kind: str, column: Column) -> Column:
+    """``function`` over a column, PART_ROWS rows at a time, as an Arrow UDF of the
+    iterator kind: Python objects exist for one part only, however many rows Spark
+    sends at once."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in columns:
+            for at in range(0, max(1, len(whole)), PART_ROWS):
+                yield function(whole.slice(at, PART_ROWS))
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)(column)
+
+
 def running_sums(values: str, block: int = 256) -> Column:
     """Inclusive running sums of an array<bigint> column, as an array.
 

@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import unit_hash
+from bomspark.llm.common import by_parts, unit_hash
 from bomspark.session import ship_package
 
 PROFILE = 400
@@ -198,6 +198,6 @@ def predict(df: DataFrame, profiles: dict[str, list[str]], text: str = "text", o
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()),
                                            pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 
-    return df.withColumn(out, F.arrow_udf(langs_of, "struct<lang:string,score:double>")(F.col(text)))
+    return df.withColumn(out, by_parts(langs_of, "struct<lang:string,score:double>", F.col(text)))
 
 

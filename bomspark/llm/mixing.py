@@ -129,30 +129,60 @@ def _cuts(drawn: DataFrame, budget: DataFrame) -> DataFrame:
     return state
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """Decide the copies of every document of (doc_id, text, source).
-
-    Returns doc_id, source, size, source_size, target, p (inclusion probability of
-    the copy drawn beyond the whole ones), copies; one row per input row."""
-    u = ((F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(
-        F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5)
-        / F.lit(float(1 << 48)))
-    sizes = docs.select("doc_id", "source", source_key(F.col("source")).alias("src"),
-                        word_count(F.col("text")).alias("size"))
-    sizes = sizes.withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0).cast("int"))
-    sizes = materialise(sizes.withColumn("u", u), "mix-sizes")  # text is read once
+def measure(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Add ``__mix``: struct<src, size, cls, u> from (doc_id, text, source)."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    u = ((F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48)))
+    size = F.col("__mix_size")
+    cls = F.when(size > 0, F.floor(F.log2(size))).otherwise(0).cast("int")
+    return (docs.withColumn("__mix_size", word_count(F.col("text")))
+            .withColumn("__mix", F.struct(source_key(F.col("source")).alias("src"), size.alias("size"),
+                                          cls.alias("cls"), u.alias("u"))).drop("__mix_size"))
+
+
+def plan(measured: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix as a table (src, cls, words, target, copies, p, last): at most 64 rows
+    a source.  ``measured`` is read several times, so it should be a written table
+    of little more than ``__mix``."""
+    sizes = measured.select("__mix.*")
     targets = materialise(source_targets(sizes.select("src", "size"), weights, share, cap), "mix-targets")
     classes = materialise(_classes(sizes, targets), "mix-classes")
-    known = sizes.join(classes.select("src", "cls", "copies", "p"), ["src", "cls"], "left")
-    drawn = known.filter("size > 0 AND p > 0 AND p < 1").select(
+    drawn = sizes.join(classes.select("src", "cls", "p"), ["src", "cls"]).filter("size > 0 AND p > 0 AND p < 1").select(
         "src", "size", _rank(F.col("u"), F.col("p")).alias("rank"))
     certain = F.sum(F.when(F.col("p") >= 1, F.col("words_cls")).otherwise(0))
-    budget = (classes.filter("p > 0").groupBy("src").agg((F.max("left") - certain).alias("want")))
-    cuts = materialise(_cuts(drawn, budget), "mix-cuts")
-    extra = (F.when((F.col("size") == 0) | F.col("p").isNull() | (F.col("p") <= 0), 0)
-             .when(F.col("p") >= 1, 1)
-             .otherwise((_rank(F.col("u"), F.col("p")) <= F.coalesce(F.col("last"), F.lit(-1))).cast("int")))
-    whole = F.coalesce(F.col("copies"), F.floor(F.col("target") / F.col("words")), F.lit(0))
-    return (known.join(targets.select("src", "words", "target"), "src").join(cuts, "src", "left")
-            .select("doc_id", "source", "size", F.col("words").alias("source_size"), "target",
-                    F.coalesce(F.col("p"), F.lit(0.0)).alias("p"), (whole + extra).cast("bigint").alias("copies")))
+    budget = classes.filter("p > 0").groupBy("src").agg((F.max("left") - certain).alias("want"))
+    cuts = _cuts(drawn, budget)
+    return materialise(
+        targets.select("src", "words", "target").join(cuts, "src", "left")
+        .join(classes.select("src", "cls", "copies", "p"), "src", "left")
+        .withColumn("cls", F.coalesce("cls", F.lit(0))), "mix-plan")
+
+
+def decide(measured: DataFrame, made: DataFrame, out: str = "mix") -> DataFrame:
+    """Replace ``__mix`` by ``out``: struct<size, source_size, target, p, copies>, the
+    decision on every row.  Documents are joined with the plan only, which is small
+    however large they are."""
+    columns = [c for c in measured.columns if c not in ("__mix", out)]
+    m = F.col("__mix")
+    # every source keeps a row for documents of no words, which no class has
+    whole = made.groupBy("src").agg(F.first("words").alias("words"), F.first("target").alias("target"),
+                                    F.first("last").alias("last"))
+    rows = (measured.join(whole.withColumnsRenamed({c: f"__s_{c}" for c in whole.columns}), m["src"] == F.col("__s_src"))
+            .join(made.select(*[F.col(c).alias(f"__c_{c}") for c in ("src", "cls", "copies", "p")]),
+                  (m["src"] == F.col("__c_src")) & (m["cls"] == F.col("__c_cls")), "left"))
+    size, p = m["size"], F.col("__c_p")
+    extra = (F.when((size == 0) | p.isNull() | (p <= 0), 0).when(p >= 1, 1)
+             .otherwise((_rank(m["u"], p) <= F.coalesce(F.col("__s_last"), F.lit(-1))).cast("int")))
+    copies = F.coalesce(F.col("__c_copies"), F.floor(F.col("__s_target") / F.col("__s_words")), F.lit(0)) + extra
+    return rows.select(*[F.col(f"`{c}`") for c in columns], F.struct(
+        size.alias("size"), F.col("__s_words").alias("source_size"), F.col("__s_target").alias("target"),
+        F.coalesce(p, F.lit(0.0)).alias("p"), copies.cast("bigint").alias("copies")).alias(out))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED,
+        out: str = "mix") -> DataFrame:
+    """Add the decision ``out`` to every row of (doc_id, text, source, ...).  The words
+    of the texts are counted twice, so that texts are never shuffled; a caller that
+    needs no text can ``measure`` once, write that, and ``plan`` and ``decide`` on it."""
+    small = materialise(measure(docs.select("doc_id", "text", "source"), seed).select("__mix"), "mix-sizes")
+    return decide(measure(docs, seed), plan(small, weights, share, cap), out)

@@ -79,9 +79,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target",
-                        (F.col("size") * F.col("copies")).alias("taken"))
+    measured = mixing.measure(_documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "__mix")
+    measured = materialise(measured, "mix-sizes")  # texts are read once
+    mixed = mixing.decide(measured, mixing.plan(measured))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target",
+                        (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

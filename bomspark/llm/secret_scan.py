@@ -31,6 +31,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bomspark.llm.common import by_parts
 from bomspark.session import ship_package
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -133,4 +134,4 @@ def find_secrets(df: DataFrame, path: str, pattern: str, text: str = "text", out
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     kind = "array<struct<kind:string,start:bigint,end:bigint,ratio:double>>"
-    return df.withColumn(out, F.arrow_udf(spans_of, kind)(F.col(text)))
+    return df.withColumn(out, by_parts(spans_of, kind, F.col(text)))

@@ -36,7 +36,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import unit_hash
+from bomspark.llm.common import by_parts, unit_hash
 from bomspark.session import materialise, ship_package
 
 MAX_TRAIN = 20_000
@@ -305,4 +305,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
         return pa.array(rows, pa.struct([("score", pa.float64()), ("evidence", pa.float64()),
                                          ("segments", pa.list_(part))]))
 
-    return df.withColumn(out, F.arrow_udf(scores_of, RESULT)(F.col(text)))
+    return df.withColumn(out, by_parts(scores_of, RESULT, F.col(text)))

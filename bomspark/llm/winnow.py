@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bomspark.llm.common import by_parts
 from bomspark.session import ship_package
 
 K, W = 12, 24
@@ -103,7 +104,7 @@ def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
             [pa.array(np.concatenate([r[i] for r in rows] or none)) for i in (0, 1)], ["hash", "pos"])
         return pa.ListArray.from_arrays(pa.array(offsets), values)
 
-    return F.arrow_udf(prints_of, SPAN_TYPE)(text)
+    return by_parts(prints_of, SPAN_TYPE, text)
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, w: int = W) -> DataFrame:
