@@ -54,11 +54,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = (mixing.mix(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-             .filter("__copies > 0"))
-    return (docs.join(materialise(taken, "pipeline-copies"), docs["doc_id"].eqNullSafe(taken["doc_id"]))
-            .select(docs["*"], "__copies")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    mixed = mixing.mix(docs, out="__decision")
+    copies = F.col("__decision.copies").cast("int")
+    return (mixed.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
             .select(*_names(docs)))
 
 
