@@ -57,7 +57,7 @@ def lead_status(days: Column) -> Column:
         F.when(days < 0, F.lit(fv.STATUS_OVERDUE))
         .when(days < fv.CRITICAL_DAYS, F.lit(fv.STATUS_CRITICAL))
         .when(days < fv.WARNING_DAYS, F.lit(fv.STATUS_WARNING))
-        .otherwise(F.lit(fv.STATUS_OK))
+        .when(days.isNotNull(), F.lit(fv.STATUS_OK))  # unknown days have no status
     )
 
 

@@ -6,8 +6,8 @@ into an equi-join: every name is expanded into its substrings of exactly the
 lengths that occur among the keywords, and those candidates are joined to the
 catalogue on ``keyword``.  The expansion is exact (a keyword of length k is a
 substring iff it equals one of the length-k substrings), costs
-O(len(name) x distinct keyword lengths) per *distinct* name, and the join is a
-hash join: broadcast when the catalogue is proven small, shuffled otherwise.
+O(len(name) x distinct keyword lengths) per *distinct* name, and the join is
+left to the planner: broadcast when the measured size allows, shuffled otherwise.
 """
 
 from __future__ import annotations
@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from bomspark.fixed_values import DEFAULT_LEAD, LEAD_TIME_CATALOGUE
 
-# A catalogue row is ~60 bytes; 100k rows stay far below any executor's memory.
-BROADCAST_MAX_ROWS = 100_000
-# A catalogue of at most this many rows (unique priorities) is matched by one
-# CASE WHEN chain in priority order: no candidate explosion, no join, no
+# A catalogue of at most this many rows is matched by one CASE WHEN chain in
+# order of priority, then keyword: no candidate explosion, no join, no
 # aggregate.  Its entries reach the driver only after the row count has proven
 # them this few; they then travel inside the plan, like a broadcast.
 INLINE_MAX_ROWS = 64
@@ -54,24 +52,22 @@ def _profile(catalogue: DataFrame, profile) -> tuple[int, list[int], bool]:
     return profile
 
 
-def _first_match(cand: DataFrame, keys: list[str], catalogue: DataFrame, broadcast: bool,
-                 unique_priority: bool) -> DataFrame:
-    """keys + _m (struct keyword, min_weeks, max_weeks, unit_cost or null).
+def _first_match(cand: DataFrame, key: str, catalogue: DataFrame, unique_priority: bool) -> DataFrame:
+    """key + _m (struct keyword, min_weeks, max_weeks, unit_cost or null).
 
-    With unique priorities the winner is min(priority) — an integer hash
-    aggregate — and its entry is fetched by a second (broadcast) join on the
-    priority; otherwise min_by over the entry struct (sort-based)."""
+    With unique priorities the winner is min(priority), an integer hash
+    aggregate, and its entry is fetched by a second join on the priority;
+    otherwise the least (priority, keyword) wins.  Whether a side is broadcast
+    is left to the planner, which measures bytes."""
     hit = F.struct("keyword", "min_weeks", "max_weeks", "unit_cost")
-
-    def b(df):
-        return F.broadcast(df) if broadcast else df
     if unique_priority:
-        kw = b(catalogue.select(F.col("keyword").alias("_kw"), F.col("priority").alias("_p")))
-        best = cand.join(kw, "_kw", "left").groupBy(*keys).agg(F.min("_p").alias("_p"))
-        by_p = b(catalogue.select(F.col("priority").alias("_p"), hit.alias("_m")))
-        return best.join(by_p, "_p", "left").drop("_p")
-    kw = b(catalogue.select(F.col("keyword").alias("_kw"), "priority", hit.alias("_hit")))
-    return cand.join(kw, "_kw", "left").groupBy(*keys).agg(F.min_by("_hit", "priority").alias("_m"))
+        kw = catalogue.select(F.col("keyword").alias("_kw"), F.col("priority").alias("_p"))
+        best = cand.join(kw, "_kw", "left").groupBy(key).agg(F.min("_p").alias("_p"))
+        by_p = catalogue.select(F.col("priority").alias("_p"), hit.alias("_m"))
+        return best.join(by_p, "_p", "left").select(key, "_m")
+    kw = catalogue.select(F.col("keyword").alias("_kw"), F.struct("priority", "keyword", hit.alias("m")).alias("_e"))
+    best = cand.join(kw, "_kw", "left").groupBy(key).agg(F.min("_e").alias("_e"))
+    return best.select(key, F.col("_e.m").alias("_m"))
 
 
 def _substring_of_length(name: Column, k: int):
@@ -94,15 +90,19 @@ def _candidates(name: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
-def _inline_ok(rows: int, unique: bool) -> bool:
-    return unique and rows <= min(INLINE_MAX_ROWS, BROADCAST_MAX_ROWS)
+def _inline_entries(catalogue: DataFrame, rows: int) -> list | None:
+    """The entries in order if there are at most INLINE_MAX_ROWS, else None.
+    ``rows`` may come from a caller, so the collect has its own bound."""
+    if rows > INLINE_MAX_ROWS:
+        return None
+    entries = (catalogue.orderBy("priority", "keyword").select("keyword", "min_weeks", "max_weeks", "unit_cost")
+               .limit(INLINE_MAX_ROWS + 1).collect())
+    return entries if len(entries) <= INLINE_MAX_ROWS else None
 
 
-def inline_match(name: Column, catalogue: DataFrame) -> Column:
-    """struct(keyword, min_weeks, max_weeks, unit_cost) of the first keyword,
-    by priority, contained in lower(name); null when none is.  Only for a
-    catalogue whose row count is proven small (``INLINE_MAX_ROWS``)."""
-    entries = catalogue.orderBy("priority").select("keyword", "min_weeks", "max_weeks", "unit_cost").collect()
+def inline_match(name: Column, entries: list) -> Column:
+    """struct(keyword, min_weeks, max_weeks, unit_cost) of the first of
+    ``entries`` whose keyword is contained in lower(name); null when none is."""
     lname = F.lower(name)
     out = None
     for kw, lo, hi, cost in entries:
@@ -130,13 +130,14 @@ def match_keywords(names: DataFrame, catalogue: DataFrame, name_col: str = "fami
     """One row per distinct ``name_col``: keyword, lead_min_weeks,
     lead_max_weeks, unit_cost of the first matching keyword (or the default)."""
     rows, lengths, unique = _profile(catalogue, profile)
-    if _inline_ok(rows, unique):
+    entries = _inline_entries(catalogue, rows)
+    if entries is not None:
         best = names.select(name_col).distinct().select(
-            name_col, inline_match(F.col(name_col), catalogue).alias("_m"))
+            name_col, inline_match(F.col(name_col), entries).alias("_m"))
     else:
         lname = F.lower(F.col(name_col))
         cand = names.select(F.col(name_col), F.explode_outer(_candidates(lname, lengths)).alias("_kw"))
-        best = _first_match(cand, [name_col], catalogue, rows <= BROADCAST_MAX_ROWS, unique)
+        best = _first_match(cand, name_col, catalogue, unique)
     m = F.coalesce(F.col("_m"), default_lead_struct(default))
     return best.select(
         F.col(name_col),
@@ -150,52 +151,30 @@ def match_keywords(names: DataFrame, catalogue: DataFrame, name_col: str = "fami
 def enrich(summary: DataFrame, catalogue: DataFrame, key: str = "family",
            profile: tuple[int, list[int]] | None = None) -> DataFrame:
     """Attach the lookup (keyword, lead_min_weeks, lead_max_weeks, unit_cost)
-    to every row of an aggregated table whose rows are distinct.
-
-    A catalogue proven tiny (``INLINE_MAX_ROWS``, unique priorities) is one
-    CASE WHEN chain per row (``inline_match``).  With a catalogue proven small
-    the lookup runs inline: each row's
-    candidates probe the broadcast catalogue and ``min_by`` is grouped by the
-    row's own columns, which the table's existing hash partitioning already
-    satisfies — no shuffle and no second pass over the source.  A large
-    catalogue is matched once per distinct key (shuffled join) and joined
-    back on the key.
-    """
-    rows, lengths, unique = _profile(catalogue, profile)
-    cols = summary.columns
-    if _inline_ok(rows, unique):
-        m = F.coalesce(inline_match(F.col(key), catalogue), default_lead_struct())
-        return summary.select(*cols, m["keyword"].alias("keyword"), m["min_weeks"].alias("lead_min_weeks"),
-                              m["max_weeks"].alias("lead_max_weeks"), m["unit_cost"].alias("unit_cost"))
-    if rows > BROADCAST_MAX_ROWS:
-        lookup = match_keywords(summary.select(key).distinct(), catalogue, key, (rows, lengths, unique))
-        return summary.join(lookup, key, "left")
-    cand = summary.select(*cols, F.explode_outer(_candidates(F.lower(F.col(key)), lengths)).alias("_kw"))
-    best = _first_match(cand, cols, catalogue, True, unique)
-    m = F.coalesce(F.col("_m"), default_lead_struct())
-    return best.select(
-        *cols,
-        m["keyword"].alias("keyword"),
-        m["min_weeks"].alias("lead_min_weeks"),
-        m["max_weeks"].alias("lead_max_weeks"),
-        m["unit_cost"].alias("unit_cost"),
-    )
+    to every row, after the row's own columns.
+
+    The result does not depend on the size of the catalogue: a null name gets the
+    default entry, equal rows stay as many as they are.  A catalogue of at most
+    ``INLINE_MAX_ROWS`` is one CASE WHEN chain per row; a larger one is matched
+    once per distinct name and joined back on the name."""
+    return enrich_by_name(summary, summary, catalogue, key, profile)
 
 
 def enrich_by_name(summary: DataFrame, names: DataFrame, catalogue: DataFrame, key: str = "family",
                    profile: tuple[int, list[int]] | None = None) -> DataFrame:
-    """``enrich`` with the lookup run once per distinct name: ``names`` (one
-    column ``key``) must come from a written table (e.g. the line rollup), so
-    deriving them costs a scan of that table, not of the lines.  Names repeat
-    across projects, so the substring candidates shrink by that factor; the
-    lookup is joined back on the name (AQE broadcasts it when its measured
-    size is small, and splits a hot name's partition otherwise)."""
+    """``enrich`` with the names taken from ``names`` (a column ``key`` that holds
+    every name of ``summary``).  Taken from a written table, e.g. the line rollup,
+    they cost a scan of that table, not of the lines.  Names repeat across
+    projects, so the substring candidates shrink by that factor; the lookup is
+    joined back on the name (AQE broadcasts it when its measured size is small,
+    and splits a hot name's partition otherwise)."""
     rows, lengths, unique = _profile(catalogue, profile)
-    if _inline_ok(rows, unique):
-        # a CASE chain per row is cheaper than distinct names plus a join back
-        return enrich(summary, catalogue, key, (rows, lengths, unique))
+    entries = _inline_entries(catalogue, rows)
+    if entries is not None:
+        m = F.coalesce(inline_match(F.col(key), entries), default_lead_struct())
+        return summary.select(*summary.columns, m["keyword"].alias("keyword"), m["min_weeks"].alias("lead_min_weeks"),
+                              m["max_weeks"].alias("lead_max_weeks"), m["unit_cost"].alias("unit_cost"))
     found = match_keywords(names.select(key).distinct(), catalogue, key,
                            (rows, lengths, unique)).withColumnRenamed(key, "_name")
-    # null-safe, so a null name gets the default entry as in ``enrich``
     return (summary.join(found, summary[key].eqNullSafe(found["_name"]), "left")
             .select(*summary.columns, *LOOKUP_COLUMNS))

@@ -20,7 +20,7 @@ from bomspark.operators.timing import as_of_col, with_project_start
 
 def lead_times(enriched: DataFrame, project_start, as_of=None) -> DataFrame:
     """enriched: project_id, family, count + lookup columns."""
-    e = with_project_start(enriched, project_start)
+    e = with_project_start(enriched, project_start, as_of)
     deadline = order_by_ts(F.col("project_start"), F.col("lead_max_weeks"))
     days = days_until(deadline, as_of_col(as_of))
     return e.select(

@@ -106,7 +106,7 @@ def kpis_from(totals: DataFrame, enriched: DataFrame, project_start, as_of=None)
     """totals: project_id, total_units, bom_lines, issues; enriched: the
     summary with its lookup.  Both sides are one row per project after their
     own aggregates, already partitioned by project_id."""
-    e = with_project_start(enriched, project_start)
+    e = with_project_start(enriched, project_start, as_of)
     deadline = order_by_ts(F.col("project_start"), F.col("lead_max_weeks"))
     critical = is_critical(lead_status(days_until(deadline, as_of_col(as_of))))
     fam = e.groupBy("project_id").agg(

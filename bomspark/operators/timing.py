@@ -29,16 +29,25 @@ def default_project_start(as_of=None) -> Column:
     return t.cast("date").cast("timestamp_ntz")
 
 
-def with_project_start(df: DataFrame, project_start) -> DataFrame:
+def fixed_as_of(spark, as_of=None):
+    """``as_of``, or the session's local time now as a literal: one instant for
+    all tables of a run, which are evaluated in jobs of their own."""
+    return spark.range(1).select(F.localtimestamp()).first()[0] if as_of is None else as_of
+
+
+def with_project_start(df: DataFrame, project_start, as_of=None) -> DataFrame:
     """project_start is a Column (per-row expression, e.g. of project_id),
     a DataFrame(project_id, project_start) joined on project_id, or None
-    for the default start."""
+    for the default start, 20 weeks after ``as_of``.  A project without a start
+    (not in the table, or null) gets the default; of several rows of a project
+    the earliest counts."""
+    default = default_project_start(as_of)
     if isinstance(project_start, DataFrame):
-        ps = project_start.select("project_id",
-                                  F.col("project_start").cast("timestamp_ntz").alias("project_start"))
-        return df.join(ps, "project_id", "left")
+        ps = project_start.groupBy("project_id").agg(
+            F.min(F.col("project_start").cast("timestamp_ntz")).alias("project_start"))
+        return df.join(ps, "project_id", "left").withColumn("project_start", F.coalesce("project_start", default))
     if project_start is None:
-        project_start = default_project_start()
-    elif not isinstance(project_start, Column):
+        return df.withColumn("project_start", default)
+    if not isinstance(project_start, Column):
         project_start = as_of_col(project_start)
-    return df.withColumn("project_start", project_start.cast("timestamp_ntz"))
+    return df.withColumn("project_start", F.coalesce(project_start.cast("timestamp_ntz"), default))

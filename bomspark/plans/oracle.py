@@ -5,7 +5,6 @@ same semantics, run by the correctness check on the same parquet tables
 from __future__ import annotations
 
 from bomspark import fixed_values as fv
-from bomspark.functions.text import NUMBER_PATTERN, STRIP_PATTERN
 from bomspark.operators.report import CHUNK_LINES
 from bomspark.sources.tables import (AS_OF, FILE_ID_STRIDE, FILE_ORDERKEY_SPAN, PROJECT_START_BASE,
                                      TEST_CATALOGUE)
@@ -20,8 +19,13 @@ def _in_list(values) -> str:
     return "(" + ", ".join(q(v) for v in values) + ")"
 
 
+# Stated here on their own, so that an error in the library's constants shows.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, {q(STRIP_PATTERN)}, '', 'g')"
+    return f"trim({x}, {q(WHITE)})"
 
 
 def clean_sql(x: str) -> str:
@@ -408,7 +412,7 @@ body AS (
   SELECT file_id, 2, 0, family, [family, '', '', '', CAST(SUM("count") AS VARCHAR)]
   FROM bom WHERE {rv} GROUP BY file_id, family),
 nbody AS (SELECT file_id, COUNT(*) AS n FROM body GROUP BY file_id),
-raw AS (
+raw AS MATERIALIZED (
   SELECT project_id, file_id, CAST(0 AS INTEGER) AS row_idx,
          CASE WHEN {rv} THEN {_arr(t.REVIT_TITLE)} ELSE {_arr(t.GURTZ_TITLE)} END AS cells FROM files
   UNION ALL
@@ -462,7 +466,7 @@ hdr AS (
     min(row_idx) FILTER (WHERE {lvl}) AS gurtz_idx,
     arg_min(n, row_idx) FILTER (WHERE {lvl}) AS gn
   FROM files f LEFT JOIN norm USING (file_id) GROUP BY f.project_id, f.file_id),
-header AS (
+header AS MATERIALIZED (
   SELECT project_id, file_id, layout,
     CAST(CASE WHEN layout = 'gurtz' THEN gurtz_idx ELSE revit_idx END AS INTEGER) AS header_idx,
     {pos(fv.GURTZ_LEVEL)} AS level_pos, {pos(fv.GURTZ_PANEL)} AS panel_pos, {pos(fv.GURTZ_TYPE)} AS type_pos
@@ -470,7 +474,7 @@ header AS (
 
 
 def count_sql(x: str) -> str:
-    return (f"CASE WHEN regexp_matches({x}, {q(NUMBER_PATTERN)}) THEN "
+    return (f"CASE WHEN regexp_matches({x}, {q(NUMBER)}) THEN "
             f"CASE WHEN regexp_matches({x}, '^[+-]?[0-9]+$') THEN TRY_CAST({x} AS BIGINT) "
             f"ELSE TRY_CAST(trunc(TRY_CAST({x} AS DOUBLE)) AS BIGINT) END END")
 
@@ -478,20 +482,33 @@ def count_sql(x: str) -> str:
 def bom_lines_ctes() -> str:
     """... lines(project_id, file_id, layout, row_idx, family, type, panel_name, level, count, issues)."""
     def cell(revit_pos, pos_col):
-        return clean_sql(f"cells[CASE WHEN layout = 'gurtz' THEN {pos_col} ELSE {revit_pos} END + 1]")
+        return f"r.cells[CASE WHEN layout = 'gurtz' THEN {pos_col} ELSE {revit_pos} END + 1]"
+
+    def text(c):
+        return clean_sql(na_sql(c))
+
+    def issue(c, said):
+        return f"CASE WHEN {c} = '' THEN {q(said)} END"
     keep_g = (f"NOT (lower(level) IN {_in_list(fv.GURTZ_SKIP_LEVELS)} OR (panel_name = '' AND type = ''))")
     keep_r = """"count" IS NOT NULL AND NOT (type = '' AND panel_name = '' AND level = '') AND family <> ''"""
-    return f"""body_rows AS (
-  SELECT h.*, r.row_idx, r.cells FROM header h JOIN na r USING (file_id)
+    # the five cells of a record are picked, cleaned and counted once each
+    return f"""picked AS MATERIALIZED (
+  SELECT h.project_id, h.file_id, h.layout, r.row_idx, r.cells[1] AS c0, {cell(1, 'type_pos')} AS c1,
+    {cell(2, 'panel_pos')} AS c2, {cell(3, 'level_pos')} AS c3, r.cells[5] AS c4
+  FROM header h JOIN raw r USING (file_id)
   WHERE h.header_idx IS NOT NULL AND r.row_idx > h.header_idx),
-lines0 AS (
+texts AS MATERIALIZED (
   SELECT project_id, file_id, layout, row_idx,
-    CASE WHEN layout = 'gurtz' THEN {q(fv.GURTZ_FAMILY)} ELSE {clean_sql('cells[1]')} END AS family,
-    {cell(1, 'type_pos')} AS type, {cell(2, 'panel_pos')} AS panel_name, {cell(3, 'level_pos')} AS level,
-    CASE WHEN layout = 'gurtz' THEN CAST(1 AS BIGINT) ELSE {count_sql(clean_sql('cells[5]'))} END AS "count"
-  FROM body_rows),
+    CASE WHEN layout = 'gurtz' THEN {q(fv.GURTZ_FAMILY)} ELSE {text('c0')} END AS family,
+    {text('c1')} AS type, {text('c2')} AS panel_name, {text('c3')} AS level, {text('c4')} AS number
+  FROM picked),
+lines0 AS MATERIALIZED (
+  SELECT project_id, file_id, layout, row_idx, family, type, panel_name, level,
+    CASE WHEN layout = 'gurtz' THEN CAST(1 AS BIGINT) ELSE {count_sql('number')} END AS "count"
+  FROM texts),
 lines AS (
-  SELECT *, {issues_sql()} AS issues FROM lines0
+  SELECT *, concat_ws('; ', {issue('type', fv.ISSUE_TYPE)}, {issue('panel_name', fv.ISSUE_PANEL)},
+    {issue('level', fv.ISSUE_LEVEL)}) AS issues FROM lines0
   WHERE CASE WHEN layout = 'gurtz' THEN {keep_g} ELSE {keep_r} END)"""
 
 
@@ -518,16 +535,64 @@ FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL""",
 
 
 def write_tables_sql() -> str:
-    lines = "WITH " + raw_ctes() + ",\n" + header_ctes() + ",\n" + bom_lines_ctes()
-    return lines + """,
-summ AS (SELECT project_id, CASE WHEN layout = 'gurtz' THEN level ELSE family END AS family
-         FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL)
-SELECT 'Clean_BOM' AS table_name, COUNT(*) AS "rows" FROM lines
-UNION ALL SELECT 'Summary_by_Family', COUNT(*) FROM summ
-UNION ALL SELECT 'Data_Quality_Log', COUNT(*) FROM lines WHERE issues <> ''
-UNION ALL SELECT 'Lead_Time_Estimator', COUNT(*) FROM summ
-UNION ALL SELECT 'Delivery_Sequence', COUNT(*) FROM (SELECT DISTINCT project_id, level FROM lines)
-UNION ALL SELECT 'Spend_Estimation', COUNT(*) FROM summ"""
+    """Rows and digest of each table that an analysis of the files writes."""
+    parts = [raw_ctes(), header_ctes(), bom_lines_ctes().replace("\nlines AS (", "\nlines AS MATERIALIZED ("), """summary AS MATERIALIZED (
+  SELECT project_id, CASE WHEN layout = 'gurtz' THEN level ELSE family END AS family, CAST(SUM("count") AS BIGINT) AS "count"
+  FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL)""",
+             lookup_ctes(), ENRICHED, lead_cte(), SPEND, delivery_cte("lines")]
+    line = ["count", "family", "file_id", "layout", "level", "panel_name", "project_id", "row_idx", "type"]
+    tables = {
+        "Clean_BOM": ("lines", line),
+        "Summary_by_Family": ("summary", ["count", "family", "project_id"]),
+        "Data_Quality_Log": ("lines WHERE issues <> ''", sorted([*line, "issues"])),
+        "Lead_Time_Estimator": ("lead", ["count", "days_until_deadline", "family", "lead_max_weeks", "lead_min_weeks",
+                                         "order_by_date", "project_id", "status"]),
+        "Delivery_Sequence": ("delivery", ["delivery_phase", "level", "project_id", "recommended_action", "total_units"]),
+        "Spend_Estimation": ("spend", ["count", "estimated_total", "family", "project_id", "spend_tier", "unit_cost"]),
+        "Rejected_Files": (f"""(SELECT project_id, file_id, CASE WHEN layout = 'gurtz' THEN {q(fv.REJECT_NO_LEVEL)}
+  ELSE {q(fv.REJECT_NO_FAMILY)} END AS reason FROM header WHERE header_idx IS NULL)""", ["file_id", "project_id", "reason"]),
+    }
+    selects = []
+    for name, (src, columns) in tables.items():
+        row = "concat_ws('|', " + ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '~')" for c in columns) + ")"
+        selects.append(f"SELECT {q(name)} AS table_name, COUNT(*) AS \"rows\", "
+                       f"CAST(coalesce(SUM(CAST('0x' || substr(md5({row}), 1, 10) AS BIGINT)), 0) AS VARCHAR) AS digest FROM {src}")
+    return "WITH " + ",\n".join(parts) + "\n" + "\nUNION ALL ".join(selects)
+
+
+# The built-in catalogue, spelled out: (keyword, weeks from, weeks to, USD), in order.
+BUILT_IN = """transformer 16 24 18000; switchboard 14 20 35000; switchgear 20 30 55000; panelboard 8 14 3500; panel 8 14 3500;
+disconnect 4 8 800; meter 6 10 1200; pull box 2 4 350; photovoltaic 12 18 4500; pv 12 18 4500; inverter 10 16 6000;
+battery 14 20 22000; ups 8 14 8000; generator 16 26 45000; ats 10 16 5500; unbalanced power 6 10 1800; connector 3 6 250;
+air handler 12 20 28000; vav 6 10 1400; fan 6 12 3200; chiller 20 30 85000; boiler 16 24 42000; pump 8 14 4500;
+cooling tower 14 22 38000; default 6 12 1500"""
+
+
+def catalogue_queries() -> dict[str, str]:
+    entries = [e.strip().rsplit(" ", 3) for e in BUILT_IN.replace("\n", " ").split(";")]
+    values = ", ".join(f"({i}, {q(k)}, {lo}, {hi}, {usd})" for i, (k, lo, hi, usd) in enumerate(entries))
+    words = ("['Dry Type Transformer', 'Main Switchboard', 'Panelboard 208V', 'Heat Pump Fan', 'Disconnector', 'Parameter', "
+             "'Pull Box', 'PV Inverter', 'UPS Battery', 'Flats', 'Unbalanced Power', 'Air Handler', 'VAV Box', "
+             "'Lighting Fixture', 'Cooling Tower', 'Default Item', 'Boiler Pump']")
+    found = """hit AS (SELECT n.family, arg_min(struct_pack(k := keyword, lo := lo, hi := hi, usd := usd), priority) AS m
+  FROM (SELECT DISTINCT family FROM names) n LEFT JOIN cat ON contains(lower(n.family), cat.keyword) GROUP BY n.family)"""
+    columns = """coalesce(m.k, 'default') AS keyword, CAST(coalesce(m.lo, 6) AS INTEGER) AS lead_min_weeks,
+  CAST(coalesce(m.hi, 12) AS INTEGER) AS lead_max_weeks, CAST(coalesce(m.usd, 1500) AS BIGINT) AS unit_cost"""
+    start = ("CASE WHEN project_id % 3 <> 0 THEN " + start_sql()
+             + f" ELSE CAST(CAST({AS_OF_SQL} + to_days(140) AS DATE) AS TIMESTAMP) END")
+    return {
+        "catalogue_match_default": f"""WITH cat(priority, keyword, lo, hi, usd) AS (VALUES {values}),
+names AS (SELECT {words}[p_partkey % 17 + 1] || ' ' || p_brand AS family FROM part),
+{found} SELECT family, {columns} FROM hit""",
+        "catalogue_match_large": f"""WITH words AS (
+  SELECT lower(p_name) AS keyword FROM part UNION SELECT lower(p_brand) FROM part),
+cat AS (SELECT row_number() OVER (ORDER BY keyword) AS priority, keyword, length(keyword) AS lo,
+               length(keyword) + 4 AS hi, length(keyword) * 100 AS usd FROM words),
+names AS (SELECT p_size, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || ' ' || p_name END AS family FROM part),
+{found} SELECT names.p_size, names.family, {columns}
+FROM names LEFT JOIN hit ON names.family IS NOT DISTINCT FROM hit.family""",
+        "lead_times_default_start": bom_analytics(lead_cte().replace(start_sql(), f"({start})")) + "SELECT * FROM lead",
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -535,6 +600,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(bom_queries())
     out.update(clean_queries())
     out.update(report_queries())
+    out.update(catalogue_queries())
     out["write_tables"] = write_tables_sql()
     out["stream_ingest"] = out["clean_bom"]
     return out

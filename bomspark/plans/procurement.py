@@ -1,11 +1,11 @@
 """End-to-end composition: schedule files -> every procurement table.
 
 ``analyse_files`` reads a folder of schedules for many projects;
-``analyse_bom`` starts from an already clean BOM.  Both return lazily built
-DataFrames; ``materialise`` writes the BOM once to the shared folder so the
-(expensive) read-parse-clean step is not repeated by each table and the
-lineage is cut (a lost executor then recomputes from the written files, not
-from the raw schedules).
+``analyse_bom`` starts from an already clean BOM.  Building an analysis runs a
+few jobs: the parsed files, the rollup of the lines and the looked-up summary
+are written once to the shared folder (``materialise``), so no table repeats
+those steps and the lineage is cut (a lost executor then recomputes from the
+written files, not from the raw schedules).
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from bomspark.operators import lookup, planning, summary
 from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import DEFAULT_PROFILE
 from bomspark.operators.quality import issue_log, with_issues
-from bomspark.operators.timing import default_project_start
+from bomspark.operators.timing import fixed_as_of
 from bomspark.session import materialise  # noqa: F401  (re-exported)
 from bomspark.sources.catalogue import default_catalogue
 from bomspark.sources.csv_records import parse_grids
-from bomspark.sources.files import decode_content, read_schedule_files
+from bomspark.sources.files import CSV_GLOB, decode_content, read_schedule_files, unlisted_files
 
 
 @dataclass
@@ -58,8 +58,7 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
     if catalogue is None:
         catalogue = default_catalogue(bom.sparkSession)
         profile = DEFAULT_PROFILE
-    if project_start is None:
-        project_start = default_project_start(as_of)
+    as_of = fixed_as_of(bom.sparkSession, as_of)
     b = with_issues(bom)
     # One pass over the lines feeds every per-project table.
     r = summary.line_rollup(b, gurtz_key)
@@ -93,15 +92,19 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
     )
 
 
-def clean_files(spark: SparkSession, path: str, glob: str = "*.csv"):
+def clean_files(spark: SparkSession, path: str, glob: str = CSV_GLOB):
     return clean_schedules(parse_grids(decode_content(read_schedule_files(spark, path, glob))))
 
 
 def analyse_files(spark: SparkSession, path: str, catalogue: DataFrame | None = None,
-                  project_start=None, as_of=None, gurtz_key: str = "level", glob: str = "*.csv",
-                  persist_bom: bool = False, profile=None, persist_rollup: bool = True) -> Analysis:
-    cleaned = clean_files(spark, path, glob)
+                  project_start=None, as_of=None, gurtz_key: str = "level", glob: str = CSV_GLOB,
+                  persist_bom: bool = True, profile=None, persist_rollup: bool = True) -> Analysis:
+    """``persist_bom``: the parsed files are written once, and lines and rejects
+    both come from that copy; otherwise each table parses the files again.
+    Files that Spark's listing leaves out are among the rejects."""
+    grids = parse_grids(decode_content(read_schedule_files(spark, path, glob)))
+    cleaned = clean_schedules(materialise(grids, "grids") if persist_bom else grids)
     bom = materialise(cleaned.bom_lines, "bom_lines") if persist_bom else cleaned.bom_lines
     a = analyse_bom(bom, catalogue, project_start, as_of, gurtz_key, profile, persist_rollup)
-    a.rejects = cleaned.rejects
+    a.rejects = cleaned.rejects.unionByName(unlisted_files(spark, path, glob))
     return a

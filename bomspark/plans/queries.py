@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bomspark.operators import layout, lookup, planning, quality, report, summary
 from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import match_keywords
-from bomspark.sources.catalogue import catalogue_from_entries
+from bomspark.sources.catalogue import catalogue_from_entries, default_catalogue
 from bomspark.sinks.csv_text import grids_to_files
 from bomspark.sources.csv_records import parse_grids
 from bomspark.sources.files import decode_content
 from bomspark.sources.tables import (AS_OF, TEST_CATALOGUE, bom_view, file_encoding, file_eol,
-                                     flat_cells, project_start_expr, raw_rows_of, schedule_grids)
+                                     flat_cells, project_start_expr, raw_rows_of, read_table, schedule_grids)
 
 TEST_PROFILE = (len(TEST_CATALOGUE), sorted({len(k) for k, *_ in TEST_CATALOGUE}), True)
 
@@ -62,10 +62,43 @@ def q_catalogue_match(spark, sf_dir):
     return match_keywords(fams, _catalogue(spark), "family", TEST_PROFILE)
 
 
+# Equipment words a part may be named after; some contain several keywords.
+EQUIPMENT = ["Dry Type Transformer", "Main Switchboard", "Panelboard 208V", "Heat Pump Fan", "Disconnector", "Parameter",
+             "Pull Box", "PV Inverter", "UPS Battery", "Flats", "Unbalanced Power", "Air Handler", "VAV Box", "Lighting Fixture",
+             "Cooling Tower", "Default Item", "Boiler Pump"]
+
+
+def q_catalogue_match_default(spark, sf_dir):
+    """The built-in catalogue on names made of an equipment word and the brand."""
+    part = read_table(spark, sf_dir, "part")
+    word = F.element_at(F.array(*[F.lit(w) for w in EQUIPMENT]), (F.col("p_partkey") % len(EQUIPMENT) + 1).cast("int"))
+    return match_keywords(part.select(F.concat_ws(" ", word, "p_brand").alias("family")), default_catalogue(spark))
+
+
+def q_catalogue_match_large(spark, sf_dir):
+    """A catalogue of all part names and brands, beyond the CASE chain, and
+    attached to every part: equal rows stay."""
+    part = read_table(spark, sf_dir, "part")
+    words = part.select(F.explode(F.array(F.lower("p_name"), F.lower("p_brand"))).alias("keyword")).distinct()
+    n = F.length("keyword")
+    cat = words.select(F.row_number().over(Window.orderBy("keyword")).alias("priority"), "keyword",
+                       n.alias("min_weeks"), (n + 4).alias("max_weeks"), (n * 100).cast("bigint").alias("unit_cost"))
+    rows = part.select("p_size", F.when(F.col("p_partkey") % 7 != 0, F.concat_ws(" ", "p_brand", "p_name")).alias("family"))
+    return lookup.enrich(rows, cat)
+
+
 def q_lead_times(spark, sf_dir):
     return _lead(spark, sf_dir)
 
 
+def q_lead_times_default_start(spark, sf_dir):
+    """A start table without every third project: those start 20 weeks after as_of."""
+    starts = (read_table(spark, sf_dir, "supplier").filter("s_suppkey % 3 != 0")
+              .select(F.col("s_suppkey").cast("bigint").alias("project_id"))
+              .withColumn("project_start", project_start_expr()))
+    return planning.lead_times(_enriched(spark, sf_dir), starts, AS_OF)
+
+
 def q_critical_items(spark, sf_dir):
     return planning.critical_items(_lead(spark, sf_dir)).select(
         "project_id", "family", "lead_max_weeks", "order_by_date", "status")
@@ -194,16 +227,20 @@ def q_html_items(spark, sf_dir):
 
 
 def q_write_tables(spark, sf_dir):
-    """Clean the derived schedule files, analyse them, write the six result
-    tables to the shared folder and count what reads back."""
+    """Clean the derived schedule files, analyse them, write the result tables
+    and the rejects to the shared folder, and digest the rows that read back."""
     from bomspark.plans.procurement import analyse_bom, materialise
     from bomspark.session import shared_dir
-    from bomspark.sinks.tables import read_tables, result_tables, table_counts, write_tables
-    # The BOM is written once; the six tables are derived from that copy.
-    bom = materialise(_cleaned(spark, sf_dir).bom_lines, "bom_lines")
+    from bomspark.operators.clean import clean_schedules
+    from bomspark.sinks.tables import read_tables, result_tables, table_digests, write_tables
+    # The grids are written once; lines and rejects come from that copy, and the
+    # tables from a copy of the lines.
+    cleaned = clean_schedules(materialise(schedule_grids(spark, sf_dir), "grids"))
+    bom = materialise(cleaned.bom_lines, "bom_lines")
     a = analyse_bom(bom, _catalogue(spark), project_start_expr(), AS_OF, profile=TEST_PROFILE)
+    a.rejects = cleaned.rejects
     paths = write_tables(result_tables(a), shared_dir(spark, "tables"))
-    return table_counts(read_tables(spark, paths))
+    return table_digests(read_tables(spark, paths))
 
 
 def q_stream_ingest(spark, sf_dir):
@@ -246,6 +283,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "issue_log": q_issue_log,
         "catalogue_match": q_catalogue_match,
         "lead_times": q_lead_times,
+        "lead_times_default_start": q_lead_times_default_start,
+        "catalogue_match_default": q_catalogue_match_default,
+        "catalogue_match_large": q_catalogue_match_large,
         "critical_items": q_critical_items,
         "critical_count": q_critical_count,
         "delivery_sequence": q_delivery_sequence,

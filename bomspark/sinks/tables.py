@@ -17,15 +17,17 @@ from bomspark.operators.ordering import order_delivery, order_lead_times, order_
 
 TABLE_NAMES = ["Clean_BOM", "Summary_by_Family", "Data_Quality_Log", "Lead_Time_Estimator",
                "Delivery_Sequence", "Spend_Estimation"]
+REJECTS = "Rejected_Files"
 
 
 def result_tables(analysis) -> dict[str, DataFrame]:
-    """The six tables of an ``Analysis`` under their report names.  The four
+    """The six tables of an ``Analysis`` under their report names, and the rejected
+    files if it started from files.  The four
     aggregated ones are in report order (a global sort over aggregated rows);
     the two line tables are only clustered by project inside each file
     (sortWithinPartitions, no global sort of the lines), so a reader of one
     project touches few row groups."""
-    return {
+    tables = {
         "Clean_BOM": analysis.bom_lines.drop("issues").sortWithinPartitions("project_id"),
         "Summary_by_Family": order_summary(analysis.summary),
         "Data_Quality_Log": analysis.issues.sortWithinPartitions("project_id"),
@@ -33,6 +35,9 @@ def result_tables(analysis) -> dict[str, DataFrame]:
         "Delivery_Sequence": order_delivery(analysis.delivery),
         "Spend_Estimation": order_spend(analysis.spend),
     }
+    if analysis.rejects is not None:
+        tables[REJECTS] = analysis.rejects
+    return tables
 
 
 def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
@@ -56,10 +61,15 @@ def read_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet"
     return {name: spark.read.format(fmt).load(p) for name, p in paths.items()}
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, rows — one row per table."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-             for name, df in tables.items()]
+def table_digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, rows, digest — one row per table; the digest is a sum of row
+    hashes over all columns by name, so it does not depend on row order."""
+    parts = []
+    for name, df in tables.items():
+        values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in sorted(df.columns)]
+        row = F.conv(F.substring(F.md5(F.concat_ws("|", *values)), 1, 10), 16, 10).cast("decimal(38,0)")
+        parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+                     .select(F.lit(name).alias("table_name"), "rows", "digest"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

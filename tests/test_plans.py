@@ -20,7 +20,8 @@ def plan_text(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_text(fn(spark, SF_SMALL)) for name, fn in entry.queries().items()
+    from bomspark.plans import queries
+    return {name: plan_text(fn(spark, SF_SMALL)) for name, fn in queries.queries().items()
             if name not in ("write_tables", "stream_ingest")}
 
 
@@ -44,8 +45,20 @@ def test_cleaning_adds_no_shuffle(plans):
     assert plans["layout_detect"].count("Exchange") == plans["raw_rows"].count("Exchange")
 
 
-def test_lookup_is_hash_join(plans):
-    assert "BroadcastHashJoin" in plans["catalogue_match"] or "SortMergeJoin" in plans["catalogue_match"]
+def test_lookup_joins_are_hash_or_merge_joins(spark, monkeypatch):
+    """Beyond the CASE chain the lookup is an equi-join on the keyword."""
+    from bomspark.operators import lookup
+    from bomspark.sources.catalogue import default_catalogue
+    monkeypatch.setattr(lookup, "INLINE_MAX_ROWS", 0)
+    names = spark.createDataFrame([("Fan",), (None,)], "family string")
+    p = plan_text(lookup.match_keywords(names, default_catalogue(spark)))
+    assert "_kw" in p and ("BroadcastHashJoin" in p or "SortMergeJoin" in p)
+    assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_tiny_catalogue_needs_no_join(plans):
+    lookup_part = plans["catalogue_match"].split("MapInArrow")[0]
+    assert "_kw" not in lookup_part
 
 
 def test_window_partitioned_by_project(spark):

@@ -113,13 +113,31 @@ def test_keyword_first_match(spark, name, keyword):
     assert r["keyword"] == py
 
 
-def test_keyword_lookup_without_broadcast(spark, monkeypatch):
-    """The shuffled path (catalogue over the broadcast bound) gives the same answer."""
+@pytest.mark.parametrize("entries", [25, 100])
+def test_lookup_does_not_depend_on_the_strategy(spark, monkeypatch, entries):
+    """CASE chain and join, over null, empty and repeated names, equal rows and
+    clashing order: same rows, same columns, same order of columns."""
     from bomspark.operators import lookup as L
-    monkeypatch.setattr(L, "BROADCAST_MAX_ROWS", 0)
-    names = spark.createDataFrame([("Heat Pump Fan",), ("Flats",), ("Widget",)], "family string")
-    got = {r["family"]: r["keyword"] for r in L.match_keywords(names, default_catalogue(spark), "family").collect()}
-    assert got == {"Heat Pump Fan": "fan", "Flats": "ats", "Widget": "default"}
+    from bomspark.sources.catalogue import catalogue_from_entries
+    listed = list(fv.LEAD_TIME_CATALOGUE) + [(f"item{i:03d}", i, i + 1, 10 * i) for i in range(entries - 25)]
+    cat = catalogue_from_entries(spark, listed)
+    names = ["Heat Pump Fan", "Flats", "Widget", None, "", "Heat Pump Fan", "ITEM004x", None]
+    rows = [(i // 2, n, 1) for i, n in enumerate(names)] + [(9, "Fan", 5)] * 3
+    s = spark.createDataFrame(rows, "project_id long, family string, count long")
+    found = {}
+    for limit in (0, 64, 1000):
+        monkeypatch.setattr(L, "INLINE_MAX_ROWS", limit)
+        e, m = L.enrich(s, cat), L.match_keywords(s.select("family"), cat)
+        assert e.columns == s.columns + L.LOOKUP_COLUMNS
+        found[limit] = (sorted(map(str, e.collect())), sorted(map(str, m.collect())))
+        assert e.filter("family IS NULL AND keyword = 'default'").count() == 2
+        assert e.filter("family = 'Fan'").count() == 3
+        assert e.filter("lead_min_weeks IS NULL OR unit_cost IS NULL").count() == 0
+    assert found[0] == found[64] == found[1000]
+    # a profile that understates the catalogue must not change the answer
+    monkeypatch.setattr(L, "INLINE_MAX_ROWS", 30)
+    wrong = L.enrich(s, cat, "family", (1, sorted({len(k) for k, *_ in listed}), True))
+    assert sorted(map(str, wrong.collect())) == found[0][0]
 
 
 def test_duplicate_priorities_use_min_by_path(spark):
@@ -179,3 +197,27 @@ def test_empty_catalogue_gives_default(spark):
     assert {r["keyword"] for r in match_keywords(names, empty, "family").collect()} == {"default"}
     s = spark.createDataFrame([("a", "Fan", 1)], "project_id string, family string, count bigint")
     assert enrich(s, empty).first()["unit_cost"] == 1500
+
+
+def test_project_start_defaults(spark):
+    """No start given, a project missing from the table and a null start all mean 20
+    weeks after as_of; a project listed twice does not repeat its rows."""
+    from bomspark.operators.planning import lead_times
+    from bomspark.operators.lookup import enrich
+    s = spark.createDataFrame([("a", "Fan", 1), ("b", "Fan", 1), ("c", "Fan", 1)],
+                              "project_id string, family string, count bigint")
+    e = enrich(s, default_catalogue(spark))
+    starts = spark.createDataFrame([("a", "2020-03-02 00:00:00"), ("a", "2020-03-01 00:00:00"), ("b", None)],
+                                   "project_id string, project_start string")
+    by_default = {r.project_id: (r.order_by_date, r.status) for r in lead_times(e, None, "2020-01-01").collect()}
+    listed = {r.project_id: (r.order_by_date, r.status) for r in lead_times(e, starts, "2020-01-01").collect()}
+    assert len(listed) == 3
+    assert listed["b"] == by_default["b"] and listed["c"] == by_default["c"]
+    assert listed["a"] != by_default["a"]
+    assert by_default["a"][0].year == 2020
+
+
+def test_unknown_days_have_no_status(spark):
+    from pyspark.sql import functions as F
+    from bomspark.functions.planning import lead_status
+    assert spark.range(1).select(lead_status(F.lit(None).cast("bigint")).alias("s")).first().s is None
