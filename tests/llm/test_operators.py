@@ -303,7 +303,7 @@ def test_segments_equal_brute_force():
 
 def test_toxicity_learns_and_locates(spark):
     rnd = random.Random(12)
-    words = ["house", "tree", "river", "stone", "light", "paper", "green", "walk"]
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
     rows = []
     for i in range(400):
         text = [rnd.choice(words) for _ in range(40)]
