@@ -1,7 +1,8 @@
 """Per-file layout detection and header location.
 
-Input is one row per file with ``rows: array<struct<row_idx, cells>>`` (as
-produced by the CSV reader), dense and in order: ``rows[i].row_idx == i``.
+Input is one row per file with ``rows: array<struct<row_idx, cells>>``, dense and
+in order, or one row per block of a file (as the CSV reader makes them), each with
+the file's first records in ``head``.
 Every step here is a per-row expression over that array: no aggregate, no
 join back to the lines, no shuffle.  Only the first 20 records are ever
 inspected.
@@ -20,10 +21,11 @@ HEADER_COLUMNS = ["layout", "header_idx", "level_pos", "panel_pos", "type_pos"]
 
 def normalise_na(grids: DataFrame) -> DataFrame:
     """Exact NA tokens -> null in every cell (idempotent)."""
-    rows = F.transform("rows", lambda r: F.struct(
-        r["row_idx"].alias("row_idx"),
-        F.transform(r["cells"], na_to_null).alias("cells")))
-    return grids.withColumn("rows", rows)
+    def nulled(rows):
+        return F.transform(rows, lambda r: F.struct(
+            r["row_idx"].alias("row_idx"),
+            F.transform(r["cells"], na_to_null).alias("cells")))
+    return grids.withColumns({c: nulled(c) for c in ("rows", "head") if c in grids.columns})
 
 
 def _last_position(n: Column, name: str) -> Column:
@@ -42,7 +44,7 @@ def with_header(grids: DataFrame) -> DataFrame:
     are the last matching cell, defaulting to 0 / 3 / 5.  header_idx is null
     when the layout's header is missing (the file is rejected).
     """
-    head = F.slice("rows", 1, fv.HEADER_SEARCH_ROWS)
+    head = F.col("head") if "head" in grids.columns else F.slice("rows", 1, fv.HEADER_SEARCH_ROWS)
     normed = F.transform(head, lambda r: F.struct(
         r["row_idx"].alias("row_idx"),
         F.transform(r["cells"], norm_cell).alias("n")))
@@ -76,10 +78,15 @@ def with_header(grids: DataFrame) -> DataFrame:
     )
 
 
+def first_blocks(grids: DataFrame) -> DataFrame:
+    """One row per file: a file read in blocks keeps its first."""
+    return grids.filter(F.col("block_no") == 0) if "block_no" in grids.columns else grids
+
+
 def file_header(grids: DataFrame) -> DataFrame:
     """project_id, file_id, layout, header_idx, level_pos, panel_pos, type_pos
     for every file whose header was found."""
-    h = with_header(grids)
+    h = with_header(first_blocks(grids))
     return h.filter(F.col("header_idx").isNotNull()).select("project_id", "file_id", *HEADER_COLUMNS)
 
 
@@ -92,7 +99,7 @@ def layout_label(layout: Column) -> Column:
 
 def layouts(grids: DataFrame) -> DataFrame:
     """project_id, file_id, layout, layout_label."""
-    h = with_header(grids)
+    h = with_header(first_blocks(grids))
     return h.select("project_id", "file_id", "layout", layout_label(F.col("layout")).alias("layout_label"))
 
 
@@ -105,4 +112,4 @@ def rejects(headed: DataFrame) -> DataFrame:
         F.when(F.col("header_idx").isNull(),
                F.when(F.col("layout") == fv.LAYOUT_GURTZ, F.lit(fv.REJECT_NO_LEVEL))
                .otherwise(F.lit(fv.REJECT_NO_FAMILY))))
-    return headed.select("project_id", "file_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return first_blocks(headed).select("project_id", "file_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
