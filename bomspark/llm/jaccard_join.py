@@ -15,9 +15,12 @@ Two sets link if 100 * |A n B| >= percent * |A u B|.  The steps:
 4. Tiles.  The sets of one shingle, cut into size bands (a set can link only within
    its band and the next), are tiles.  A tile of more than TILE_ROWS rows is split into
    blocks and its block pairs become tiles of their own, so no task holds a whole hot
-   group.  In a tile each pair is bounded from above by bitmap signatures: each set
-   flips one bit per shingle in a bitmap of at least one bit a shingle (folded to the
-   shorter of two), and with d differing bits |A n B| <= (|A| + |B| - d) / 2.
+   group.  Each pair of a tile whose sizes fit is bounded from above by bitmap
+   signatures: each set flips one bit per shingle in a bitmap of at least one bit a
+   shingle (folded to the shorter of two), and with d differing bits
+   |A n B| <= (|A| + |B| - d) / 2.  Rows of larger tiles bring their bitmaps along; a
+   tile of at most SMALL_TILE rows names its pairs, which meet their bitmaps once
+   each, as one pair often shares many shingles and most tiles have no pair at all.
 5. Verification.  Pairs that pass are intersected exactly, on the sorted arrays of
    the documents concerned.
 6. Components by alternating large-star and small-star steps.
@@ -46,6 +49,7 @@ WORDS, PERCENT = 5, 80
 TASK_TIMES, HOT_SHINGLES = 8, 100_000
 COUNT_BUFFER = 2_000_000
 TILE_ROWS = 2_048
+SMALL_TILE = 32
 FEW_PAIRS = 4
 CACHE_WORDS = 300_000
 SEEN_SETS = 500_000
@@ -256,6 +260,14 @@ def _fold(value: int, width: int, to: int) -> int:
     return value
 
 
+def differing_bits(small: bytes, large: bytes) -> int:
+    """Differing bits of two bitmaps, the wider folded to the narrower."""
+    if len(small) > len(large):
+        small, large = large, small
+    return (_fold(int.from_bytes(large, "little"), 8 * len(large), 8 * len(small))
+            ^ int.from_bytes(small, "little")).bit_count()
+
+
 def _may_link(a: int, b: int, differing: int, percent: int) -> bool:
     most = (a + b - differing) // 2  # upper bound of the overlap
     return 100 * most >= percent * (a + b - most)
@@ -270,19 +282,19 @@ def passing_pairs(tile: list, split: bool, percent: int) -> list[tuple[int, int,
 
     def joins(x, y) -> bool:  # x is not larger than y
         return (x[0] != y[0] and x[3] != y[3] and (x[5] or y[5]) and (x[2] or (x[1] == y[1] and y[2]))
-                and 100 * x[1] >= percent * y[1] and not (split and x[6] == y[6]))
+                and not (split and x[6] == y[6]))
 
     order = sorted(range(len(tile)), key=lambda i: (tile[i][1], tile[i][0]))
     out = []
-    if len(tile) <= 8:
+    if len(tile) <= SMALL_TILE or tile[0][4] is None:
         for p, i in enumerate(order):
             for j in order[p + 1:]:
                 x, y = tile[i], tile[j]
+                if 100 * x[1] < percent * y[1]:
+                    break  # the rest are larger still
                 if joins(x, y):
-                    wide, narrow = 8 * len(y[4]), 8 * len(x[4])
-                    d = (_fold(int.from_bytes(y[4], "little"), wide, narrow)
-                         ^ int.from_bytes(x[4], "little")).bit_count()
-                    if _may_link(x[1], y[1], d, percent):
+                    d = 0 if x[4] is None else differing_bits(x[4], y[4])
+                    if d == 0 or _may_link(x[1], y[1], d, percent):
                         out.append((i, j, d))
         return out
     import numpy as np
@@ -332,14 +344,18 @@ def _forest(pairs, n: int):
 
 
 def _tile_rows(shared: DataFrame, bits: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Rows of ``shared`` (shingle, sid, n, small, blocks) dealt to their tiles.  Bands
-    are powers of four; a set near the end of its band also visits the next."""
-    rows = shared.join(bits, "sid")
+    """Rows of ``shared`` (shingle, sid, n, small, rows) dealt to their tiles.  Bands
+    are powers of four; a set near the end of its band also visits the next.  The
+    rows of larger tiles get their bitmaps."""
+    large = shared.filter(F.col("rows") > SMALL_TILE).join(bits.select("sid", "bits"), "sid")
+    rows = large
     if comps is None:
+        rows = large.unionByName(shared.filter(F.col("rows") <= SMALL_TILE).withColumn("bits", F.lit(None).cast("binary")))
         rows = rows.withColumn("comp", F.col("sid"))
-    else:
+    else:  # only larger tiles keep pairs back
         rows = rows.join(comps.withColumnRenamed("root", "comp"), "sid", "left").withColumn(
             "comp", F.coalesce("comp", "sid"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("rows") / TILE_ROWS).cast("bigint"))
     rows = rows.withColumn("own", F.expr("(length(bin(n)) - 1) div 2"))
     visits = F.expr(f"100 * n div {percent} + 1 >= shiftleft(1L, cast(2 * (own + 1) as int))")  # one early is harmless
     rows = rows.withColumn("band", F.explode(
@@ -351,9 +367,9 @@ def _tile_rows(shared: DataFrame, bits: DataFrame, comps: DataFrame | None, perc
 
 
 def _passing(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(a, b, shingle): the pairs that pass in their tiles, a < b.  A row with a
-    shingle and no pair marks a shingle with a tile that kept pairs back (only
-    unless ``every``)."""
+    """(a, b, bounded, shingle): the pairs that pass in their tiles, a < b; ``bounded``
+    if their signatures were compared.  A row with a shingle and no pair marks a
+    shingle with a tile that kept pairs back (only unless ``every``)."""
 
     def run(batches):
         import pyarrow as pa
@@ -361,33 +377,55 @@ def _passing(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         def finish(key, tile, out):
             if len(tile) < 2:
                 return
+            tile = list(tile.values())
+            bounded = tile[0][4] is not None
             pairs = passing_pairs(tile, key[2] != key[3], percent)
-            if not every and len(pairs) > FEW_PAIRS * len(tile):
+            if bounded and not every and len(pairs) > FEW_PAIRS * len(tile):
                 pairs = _forest(pairs, len(tile))
-                out.append((None, None, key[0]))
-            out += [(*sorted((tile[i][0], tile[j][0])), None) for i, j, _ in pairs]
+                out.append((None, None, None, key[0]))
+            out += [(*sorted((tile[i][0], tile[j][0])), bounded, None) for i, j, _ in pairs]
 
         def emit(out):
-            a, b, shingle = zip(*out) if out else ((), (), ())
+            a, b, bounded, shingle = zip(*out) if out else ((), (), (), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+                                               "bounded": pa.array(bounded, pa.bool_()),
                                                "shingle": pa.array(shingle, pa.int64())})
 
-        tile, key, out = [], None, []
+        tile, key, out = {}, None, []  # rows by set: copies from other tasks fall together
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in (
                     "shingle", "band", "b0", "b1", "sid", "n", "small", "comp", "bits", "mine", "block"))):
                 if key != row[:4]:
                     finish(key, tile, out)
-                    tile, key = [], row[:4]
+                    tile, key = {}, row[:4]
                     if len(out) > 10_000:
                         yield emit(out)
                         out = []
-                tile.append(row[4:])
+                tile[row[4]] = row[4:]
         finish(key, tile, out)
         yield emit(out)
 
     return (rows.repartition("shingle", "band", "b0", "b1").sortWithinPartitions("shingle", "band", "b0", "b1")
-            .mapInArrow(run, "a bigint, b bigint, shingle bigint"))
+            .mapInArrow(run, "a bigint, b bigint, bounded boolean, shingle bigint"))
+
+
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures allow."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = [], []
+            for x, y, nx, ny, bx, by in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ba", "bb"))):
+                if _may_link(nx, ny, differing_bits(bx, by), percent):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    left = bits.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = bits.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -454,16 +492,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     usable = docs.filter(F.col("doc_id").isNotNull())
     reps = (members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep")))
-    bits = first.filter("n > 0").groupBy("sid").agg(F.min("bits").alias("bits"))
+    bits = first.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     entries = _entries(usable, words, percent, hot)
     entries = materialise(entries, "jaccard-entries")
     met = (entries.groupBy("shingle").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.count(F.lit(1)).alias("rows"))
-           .filter("x != y").select("shingle", F.ceil(F.col("rows") / TILE_ROWS).cast("bigint").alias("blocks")))
-    shared = materialise(entries.join(met, "shingle").dropDuplicates(["shingle", "sid"]), "jaccard-shared")
+           .filter("x != y").select("shingle", "rows"))
+    shared = materialise(entries.join(met, "shingle"), "jaccard-shared")
 
     passed = materialise(_passing(_tile_rows(shared, bits, None, percent), percent, every=False), "jaccard-passed")
-    pairs = passed.filter("a IS NOT NULL").select("a", "b").distinct()
-    links = _verified(materialise(pairs, "jaccard-pairs"), usable, reps, words, percent)
+    named = materialise(passed.filter("NOT bounded").select("a", "b").distinct(), "jaccard-named")
+    pairs = materialise(passed.filter("bounded").select("a", "b").union(_bounded(named, bits, percent)).distinct(),
+                        "jaccard-pairs")
+    links = _verified(pairs, usable, reps, words, percent)
     comps = components(links)
     kept_back = passed.filter("shingle IS NOT NULL").select("shingle").distinct()
     if not kept_back.isEmpty():
