@@ -97,7 +97,7 @@ def _classes(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _rank(u: Column, p: Column) -> Column:
     """The Pareto rank as a whole number: q / (1 + q) in RANK_BITS bits."""
-    q = (u / (1 - u)) * ((1 - p) / p)
+    q = (u / (1 - u)) * F.try_divide(1 - p, p)
     return F.least(F.floor(q / (1 + q) * F.lit(float(1 << RANK_BITS))), F.lit((1 << RANK_BITS) - 1))
 
 
@@ -173,7 +173,7 @@ def decide(measured: DataFrame, made: DataFrame, out: str = "mix") -> DataFrame:
     size, p = m["size"], F.col("__c_p")
     extra = (F.when((size == 0) | p.isNull() | (p <= 0), 0).when(p >= 1, 1)
              .otherwise((_rank(m["u"], p) <= F.coalesce(F.col("__s_last"), F.lit(-1))).cast("int")))
-    copies = F.coalesce(F.col("__c_copies"), F.floor(F.col("__s_target") / F.col("__s_words")), F.lit(0)) + extra
+    copies = F.coalesce(F.col("__c_copies"), F.floor(F.try_divide("__s_target", "__s_words")), F.lit(0)) + extra
     return rows.select(*[F.col(f"`{c}`") for c in columns], F.struct(
         size.alias("size"), F.col("__s_words").alias("source_size"), F.col("__s_target").alias("target"),
         F.coalesce(p, F.lit(0.0)).alias("p"), copies.cast("bigint").alias("copies")).alias(out))

@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(intercept=math.log(share / (1 - share)))
     n_toxic, n_other = float(total.toxic), float(total.other)
-    a = F.lit(PRIOR) * (F.col("other") + F.col("toxic")) / F.lit(n_toxic + n_other)
+    # one document more that has the word and one that has not: no share is 0 or 1
+    a = F.lit(PRIOR) * (F.col("other") + F.col("toxic") + 1) / F.lit(n_toxic + n_other + 2)
     t, o = F.col("toxic") + a, F.col("other") + a
     odds = (F.log(t / (F.lit(n_toxic + PRIOR) - t)) - F.log(o / (F.lit(n_other + PRIOR) - o)))
     scored = (counts.filter("word != ''")
