@@ -36,18 +36,24 @@ def unit_hash(*columns: Column) -> Column:
 PART_ROWS = 256
 
 
-def by_parts(function: Callable[[pa.Array], pa.Array], kind: str, column: Column) -> Column:
-    """``function`` over a column, PART_ROWS rows at a time, as an Arrow UDF of the
-    iterator kind: Python objects exist for one part only, however many rows Spark
-    sends at once."""
+def by_parts(function: Callable[..., pa.Array], kind: str, *columns: Column) -> Column:
+    """``function`` over one or more columns, PART_ROWS rows at a time, as an Arrow
+    UDF of the iterator kind: Python objects exist for one part only, however many
+    rows Spark sends at once."""
 
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for whole in columns:
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
             for at in range(0, max(1, len(whole)), PART_ROWS):
                 yield function(whole.slice(at, PART_ROWS))
 
-    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)(column)
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for at in range(0, max(1, len(whole[0])), PART_ROWS):
+                yield function(*(c.slice(at, PART_ROWS) for c in whole))
+
+    run, given = (one, pa.Array) if len(columns) == 1 else (several, tuple[pa.Array, ...])
+    run.__annotations__ = {"batches": Iterator[given], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)(*columns)
 
 
 def running_sums(values: str, block: int = 256) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bomspark.llm import bpe, jaccard_join, langid, mixing, pii, secret_scan, sharding, topk, toxicity, winnow
 from bomspark.llm.common import doc_crc, table, text_or_empty
-from bomspark.session import materialise
+from bomspark.session import materialise, ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SECRET_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -119,20 +119,18 @@ def _fingerprint_text(prints: Column) -> Column:
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir, "doc_id", "text").withColumn("text", text_or_empty())
-    pairs = winnow.with_next(docs, "doc_id", "text")
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    pairs = pairs.withColumn("n_chars", n.cast("bigint")).withColumn(
-        "edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    for text, out in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
-        pairs = winnow.add_fingerprint(pairs, text, out)
-    return pairs.select(
-        "doc_id", "n_chars", sha256(F.col("edited")).alias("edited_sha256"),
-        _fingerprint_text(F.col("own")).alias("fingerprint"),
-        _fingerprint_text(F.col("changed")).alias("edited_fingerprint"),
-        winnow.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        winnow.likeness(F.col("own"), F.col("following")).alias("near_next"))
+    ship_package(spark)
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    # texts go to their id range once, compressed
+    packed = docs.select("doc_id", F.crc32(text_or_empty().cast("binary")).alias("crc"), winnow.pack(F.col("text")).alias("packed"))
+    pairs = winnow.with_next(packed, "doc_id", "crc", "packed")
+    found = pairs.select("doc_id", winnow.compare_edited(F.col("packed"), F.col("next")).alias("c"))
+    return found.select(
+        "doc_id", "c.n_chars", "c.edited_sha256",
+        _fingerprint_text(F.col("c.own")).alias("fingerprint"),
+        _fingerprint_text(F.col("c.edited")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("c.own"), F.col("c.edited")).alias("near_edited"),
+        winnow.likeness(F.col("c.own"), F.col("c.following")).alias("near_next"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

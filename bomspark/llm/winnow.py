@@ -89,28 +89,86 @@ def fingerprint_text(text: str, k: int = K, w: int = W, block: int = BLOCK):
     return hashes[fresh], places[fresh]
 
 
-def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
-    """The fingerprint of a text column as array<struct<hash, pos>>.  The caller
-    ships the package (``add_fingerprint`` does)."""
+def _span_array(rows):
+    """Fingerprints as one Arrow array of SPAN_TYPE."""
+    import numpy as np
+    import pyarrow as pa
+
+    none = [np.empty(0, np.int64)]
+    values = pa.StructArray.from_arrays(
+        [pa.array(np.concatenate([r[i] for r in rows] or none)) for i in (0, 1)], ["hash", "pos"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(h) for h, _ in rows], dtype=np.int32)), values)
+
+
+def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, w: int = W) -> DataFrame:
+    """Add ``out``: the fingerprint as array<struct<hash, pos>>; a column of that name
+    is replaced."""
+    ship_package(df.sparkSession)
+    return df.withColumn(out, by_parts(
+        lambda texts: _span_array([fingerprint_text(t or "", k, w) for t in texts.to_pylist()]), SPAN_TYPE, F.col(text)))
 
-    def prints_of(texts):
-        import numpy as np
+
+def pack(text: Column) -> Column:
+    """A text (null: empty) as compressed bytes, to be shuffled at half the size."""
+
+    def packed(texts):
         import pyarrow as pa
 
-        rows = [fingerprint_text(t or "", k, w) for t in texts.to_pylist()]
-        offsets = np.cumsum([0] + [len(h) for h, _ in rows], dtype=np.int32)
-        none = [np.empty(0, np.int64)]
-        values = pa.StructArray.from_arrays(
-            [pa.array(np.concatenate([r[i] for r in rows] or none)) for i in (0, 1)], ["hash", "pos"])
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
+        codec = pa.Codec("zstd")
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+        return pa.array([len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in raw], pa.binary())
 
-    return by_parts(prints_of, SPAN_TYPE, text)
+    return by_parts(packed, "binary", text)
 
 
-def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, w: int = W) -> DataFrame:
-    """Add ``out``; a column of that name is replaced."""
-    ship_package(df.sparkSession)
-    return df.withColumn(out, fingerprint(F.col(text), k, w))
+def unpack_text(packed: bytes) -> str:
+    import pyarrow as pa
+
+    size = int.from_bytes(packed[:8], "little")
+    return pa.Codec("zstd").decompress(packed[8:], size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+
+
+def edited_text(text: str, following: str) -> str:
+    """The last half of the text (rounded down) replaced by as much of the start
+    of another, or all of it."""
+    half = len(text) // 2
+    return text[:len(text) - half] + following[:half]
+
+
+COMPARED = (f"struct<n_chars:bigint,edited_sha256:string,own:{SPAN_TYPE},edited:{SPAN_TYPE},following:{SPAN_TYPE}>")
+
+
+def compare_edited(text: Column, following: Column, k: int = K, w: int = W) -> Column:
+    """COMPARED of two packed texts: length, digest of the edited text, and the
+    fingerprints of the text, the edited text and the other text.  As rows come in
+    order, the other text is mostly the next row's, whose fingerprint is kept."""
+
+    def compared(texts, others):
+        import hashlib
+
+        import pyarrow as pa
+
+        known: dict[bytes, tuple] = {}
+
+        def prints(packed, text):
+            if packed not in known:
+                known[packed] = fingerprint_text(text, k, w)
+            return known[packed]
+
+        sizes, digests, own, edited, following_ = [], [], [], [], []
+        for a, b in zip(texts.to_pylist(), others.to_pylist()):
+            text, other = unpack_text(a), unpack_text(b)
+            changed = edited_text(text, other)
+            sizes.append(len(text))
+            digests.append(hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest())
+            own.append(prints(a, text))
+            edited.append(fingerprint_text(changed, k, w))
+            following_.append(prints(b, other))
+        return pa.StructArray.from_arrays(
+            [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), _span_array(own), _span_array(edited),
+             _span_array(following_)], ["n_chars", "edited_sha256", "own", "edited", "following"])
+
+    return by_parts(compared, COMPARED, text, following)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -120,10 +178,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
 
-def with_next(df: DataFrame, order: str, text: str, out: str = "next_text") -> DataFrame:
-    """Add the text of the next row in ascending ``order``, the first row's for
-    the last.  Null order comes first; equal ones are ordered by text (null as
-    empty); a single row follows itself.
+def with_next(df: DataFrame, order: str, tie: str, value: str, out: str = "next") -> DataFrame:
+    """Add the ``value`` of the next row in ascending ``order``, the first row's for
+    the last.  Null order comes first; equal ones are ordered by ``tie``; a single
+    row follows itself.
 
     No task sees all rows: rows are dealt to ranges of the order value at
     approximate quantiles (RANGE_ROWS rows each, at most MAX_RANGES ranges, whose
@@ -135,7 +193,7 @@ def with_next(df: DataFrame, order: str, text: str, out: str = "next_text") -> D
     ids = rows.select(key)
     n = ids.count()
     if n == 0:
-        return df.withColumn(out, F.lit(None).cast("string"))
+        return df.withColumn(out, F.col(value))
     ranges = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
     bounds = []
     if ranges > 1:
@@ -163,7 +221,7 @@ def with_next(df: DataFrame, order: str, text: str, out: str = "next_text") -> D
                 F.struct(F.col("__next_to").alias("p"), F.lit(True).alias("t"))), lambda a: a["p"].isNotNull())))
     rows = rows.withColumns({pid: F.col("__next_at.p"), tail: F.col("__next_at.t")})
     # the tails of the last range are the first rows of all: they come after its own
-    follows = Window.partitionBy(pid).orderBy(tail, key, F.coalesce(F.col(text), F.lit("")))
-    return (rows.withColumn("__next_text", F.lead(F.coalesce(F.col(text), F.lit(""))).over(follows))
-            .filter(~F.col(tail)).withColumn(out, F.col("__next_text"))
+    follows = Window.partitionBy(pid).orderBy(tail, key, tie)
+    return (rows.withColumn("__next_value", F.lead(value).over(follows))
+            .filter(~F.col(tail)).withColumn(out, F.col("__next_value"))
             .select(*[F.col(f"`{c}`") for c in df.columns if c != out], out))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -222,9 +223,18 @@ def test_next_text_over_many_ranges(spark, monkeypatch):
     rows = [(i * 3 - 40, f"t{i}") for i in range(100)] + [(None, "none"), (5, "tie"), (5, "a"), (500, None)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    want = Counter((order[i][0], order[i][1], order[(i + 1) % len(order)][1] or "") for i in range(len(order)))
-    assert Counter(tuple(r) for r in winnow.with_next(df, "doc_id", "text").collect()) == want
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
+    want = Counter((order[i][0], order[i][1], order[(i + 1) % len(order)][1]) for i in range(len(order)))
+    df = df.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    assert Counter(tuple(r) for r in winnow.with_next(df, "doc_id", "crc", "text").drop("crc").collect()) == want
+
+
+def test_packed_texts_round_trip(spark):
+    texts = ["", None, "é😀\n" * 2000, "\x00a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [winnow.unpack_text(bytes(r.p)) for r in df.select(winnow.pack(F.col("text")).alias("p")).collect()] == [t or "" for t in texts]
+    assert winnow.edited_text("abcde", "XYZ") == "abcXY" and winnow.edited_text("abcde", "X") == "abcX"
+    assert winnow.edited_text("a", "XYZ") == "a" and winnow.edited_text("", "X") == ""
 
 
 # ---- 2 language
