@@ -37,6 +37,15 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters.  The pattern also takes a few signs that count as numbers
+    but not as digits (such as a raised 2); words with those are cut at them."""
+    words = LETTERS.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
+
+
 def _blocks(text: str):
     """The text in parts of about BLOCK_CHARS that end between words."""
     at = 0
@@ -67,7 +76,7 @@ def count_grams(texts):
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for text in texts:
         for part in _blocks(text.lower()):
-            words = LETTERS.findall(part)
+            words = words_of(part)
             if not words:
                 continue
             line = f"_{'_'.join(words)}_"

@@ -271,6 +271,12 @@ def test_language_distance_equals_brute_force(monkeypatch):
         assert ranker.predict(t) == (best, 1 - far[best] / (3 * len(own)))
 
 
+def test_signs_are_not_letters():
+    ranker = langid.Ranker({"xx": ["a"]}, 3)
+    assert ranker.predict("² ³ Ⅷ 1 _ ½ !") == ("und", 0.0)
+    assert langid.words_of("m²x ab") == ["m", "x", "ab"]
+
+
 def test_language_blocks_do_not_matter(monkeypatch):
     t = "ab abc é " * 50
     whole = [x.tolist() for x in langid.count_grams([t])]
