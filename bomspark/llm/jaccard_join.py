@@ -455,15 +455,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
 
 def components(edges: DataFrame) -> DataFrame:
     """(sid, root) for every node of the edges (a, b): root is the smallest node
-    reachable.  Alternates large-star and small-star until nothing changes; each
-    round is written to the shared folder."""
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    reachable.  Alternates large-star and small-star until every node hangs on one
+    node that hangs on none; each round is written to the shared folder."""
+
+    def done(e: DataFrame) -> bool:
+        ends = (e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+                .union(e.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")))
+        return ends.filter("up > 1 OR up + down > 1").isEmpty()
 
     e = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
                     "components")
-    now = state(e)
-    while now[0]:
+    while not done(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -472,9 +474,6 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u != v").distinct()
         e = materialise(small, "components")
-        before, now = now, state(e)
-        if now == before:
-            break
     return (e.select(F.col("u").alias("sid"), F.col("v").alias("root"))
             .union(e.select(F.col("v").alias("sid"), F.col("v").alias("root"))).distinct())
 
