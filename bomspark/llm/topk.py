@@ -134,13 +134,15 @@ def search_bucket(query, ids, vectors, norms, q_norm: float, longest: float, bes
         return
     scores = vectors[rows] @ query
     cand = ids[rows]
+    other = cand != own  # any number of rows may have the query's id
+    scores, cand = scores[other], cand[other]
     if len(best) == k:
         close = scores >= -best[-1][0]
         scores, cand = scores[close], cand[close]
     elif len(scores) > 4 * k:
-        close = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+        close = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
         scores, cand = scores[close], cand[close]
-    best += [(-int(s), int(i)) for s, i in zip(scores.tolist(), cand.tolist()) if i != own]
+    best += [(-int(s), int(i)) for s, i in zip(scores.tolist(), cand.tolist())]
     best.sort()
     del best[k:]
 

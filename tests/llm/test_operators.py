@@ -527,3 +527,12 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     for q in (i for i in good if i % 10 == 0):
         scores = [(-clamp(sum(a * b for a, b in zip(good[q], w))), i) for i, w in good.items() if i != q and len(w) == len(good[q])]
         assert got[q] == [(i, -s) for s, i in sorted(scores)[:5]]
+
+
+def test_topk_of_a_query_whose_id_is_repeated(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.integers(1, 50, 4).tolist()) for i in range(60)] + [(10, [60 + i] * 4) for i in range(9)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    asked = spark.createDataFrame([(10, [1, 1, 1, 1])], "vec_id long, v array<bigint>")
+    got = [(-r.score, r.id) for r in topk.top_products(v, asked, 5).orderBy("rank").collect()]
+    assert got == sorted((-sum(w), i) for i, w in rows if i != 10)[:5]
