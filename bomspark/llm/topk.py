@@ -1,8 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors of whole numbers are grouped by length (norm) into buckets of about
-BUCKET_ROWS, packed one bucket to a row.  Queries are packed in blocks of
-QUERY_ROWS.  A task takes one query block and one run of RUN_BUCKETS buckets,
+Vectors of whole numbers are grouped by length (norm) into buckets of at most
+BUCKET_ROWS, packed one bucket to a row, however many rows share a length or an id.
+Queries are packed in blocks of about QUERY_ROWS.  A task takes one query block and one run of RUN_BUCKETS buckets,
 longest first, and keeps for every query the k best so far; theta is the k-th best
 product.  For a bucket whose longest vector has length l, a candidate can only
 reach theta if its cosine with the query is at least t = theta / (|q| l), the local
@@ -31,12 +31,15 @@ Queries that repeat (equal id and vector) count once.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomspark.session import materialise, ship_package
 
 BUCKET_ROWS = 4_096
+FILL = 0.9  # share of BUCKET_ROWS that rows are dealt for: a hash deals unevenly
 QUERY_ROWS = 512
 RUN_BUCKETS = 8
 FOCUS = 5
@@ -54,9 +57,9 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
     return F.when(fine, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("bigint")))
 
 
-def _packed(rows: DataFrame, part: Column, order: list[Column]) -> DataFrame:
-    """Rows (id, v, norm) packed to one row per (dimension, part), longest first.
-    Parts have a bounded number of rows (see ``_numbered``)."""
+def _packed(rows: DataFrame, part: Column, order: list[Column], limit: int | None = None) -> DataFrame:
+    """Rows (id, v, norm) packed to one row per (dimension, part), in the given order.
+    A part of more than ``limit`` rows becomes several packs."""
 
     def pack(batches):
         import numpy as np
@@ -74,7 +77,7 @@ def _packed(rows: DataFrame, part: Column, order: list[Column]) -> DataFrame:
 
         for batch in batches:
             for dim, p, i, v, norm in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "id", "v", "norm"))):
-                if key != (dim, p):
+                if key != (dim, p) or len(group) == limit:
                     if group:
                         yield flush()
                     group, key = [], (dim, p)
@@ -88,20 +91,25 @@ def _packed(rows: DataFrame, part: Column, order: list[Column]) -> DataFrame:
 
 
 def _norm_part(rows: DataFrame, n: int) -> Column:
-    """Bucket of a row by its norm, longest first: bounds at approximate quantiles,
-    and rows beyond what a bucket should hold (equal norms) dealt by a hash."""
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    if buckets == 1:
+    """Bucket of a row of a written table by its norm, longest first.  Bands lie between
+    bounds at approximate quantiles; each is counted and dealt into as many buckets as
+    its rows need, by a hash of the id and the row's place, so neither equal norms nor
+    equal ids make a large bucket."""
+    if n <= BUCKET_ROWS:
         return F.lit(0).cast("bigint")
+    fill = max(1, int(BUCKET_ROWS * FILL))
+    buckets = -(-n // fill)
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(rows.agg(F.percentile_approx("norm", cuts, 20 * buckets)).first()[0]), reverse=True)
-    # a bound many rows share makes fewer, larger buckets: split those evenly
-    spread = max(1, -(-buckets // (len(bounds) + 1)))
     step = max(1, int(len(bounds) ** 0.5))
     block = F.greatest(F.size(F.filter(F.lit(bounds[::step]), lambda b: b >= F.col("norm"))) - 1, F.lit(0))
     inside = F.slice(F.lit(bounds), block * step + 1, step)
     band = block * step + F.size(F.filter(inside, lambda b: b >= F.col("norm")))
-    return (band * spread + F.pmod(F.xxhash64("id"), F.lit(spread))).cast("bigint")
+    held = {r.band: r["count"] for r in rows.groupBy(band.alias("band")).count().collect()}  # one row per bound
+    parts = [max(1, -(-held.get(i, 0) // fill)) for i in range(len(bounds) + 1)]
+    before = [0, *accumulate(parts)][:-1]
+    place = F.xxhash64("id", F.monotonically_increasing_id())
+    return (F.get(F.lit(before), band) + F.pmod(place, F.get(F.lit(parts), band))).cast("bigint")
 
 
 def search_bucket(query, ids, vectors, norms, q_norm: float, longest: float, best: list, k: int, own: int) -> None:
@@ -213,10 +221,12 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
                         F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm")))
 
     rows, asked = prepared(vectors), prepared(queries).dropDuplicates(["id", "v"])
+    rows = materialise(rows, "topk-rows")  # a row's place must not change
     n = rows.count()
-    buckets = materialise(_packed(rows, _norm_part(rows, n), [F.desc("norm"), F.col("id")]), "topk-buckets")
+    buckets = materialise(_packed(rows, _norm_part(rows, n), [F.desc("norm"), F.col("id")], BUCKET_ROWS), "topk-buckets")
     q_parts = max(1, -(-asked.count() // QUERY_ROWS))
-    blocks = _packed(asked, F.pmod(F.xxhash64("id"), F.lit(q_parts)), [F.col("id")])
+    # queries differ in id or vector, so this hash deals them evenly
+    blocks = _packed(asked, F.pmod(F.xxhash64("id", "v"), F.lit(q_parts)), [F.col("id")])
     blocks = materialise(blocks, "topk-queries").select(
         "dim", F.col("part").alias("q_part"), F.col("n").alias("q_n"),
         F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))

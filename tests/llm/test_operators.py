@@ -536,3 +536,30 @@ def test_topk_of_a_query_whose_id_is_repeated(spark):
     asked = spark.createDataFrame([(10, [1, 1, 1, 1])], "vec_id long, v array<bigint>")
     got = [(-r.score, r.id) for r in topk.top_products(v, asked, 5).orderBy("rank").collect()]
     assert got == sorted((-sum(w), i) for i, w in rows if i != 10)[:5]
+
+
+def test_topk_buckets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    monkeypatch.setattr(topk, "RUN_BUCKETS", 3)
+    written = {}
+
+    def kept(df, name):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(topk, "materialise", kept)
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.integers(-90, 90, 4).tolist()) for i in range(300)]
+    rows += [(1000 + i, [30, -20, 10, 5]) for i in range(200)]                  # one length
+    rows += [(7, rnd.integers(-90, 90, 4).tolist()) for _ in range(100)]        # one id
+    rows += [(20, [9, 9, 9, 9 + i % 40]) for i in range(120)]                   # one id that is asked for
+    v = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    asked = spark.createDataFrame([r for r in rows if r[0] % 10 == 0 and r[0] != 20] + [(20, [1, 2, 3, 4])], v.schema)
+    got = {}
+    for r in topk.top_products(v, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id))
+    sizes = [r.n for r in written["topk-buckets"].select("n").collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 16
+    for q, w in {i: w for i, w in asked.collect()}.items():
+        assert got[q] == sorted((-sum(a * b for a, b in zip(w, x)), i) for i, x in rows if i != q)[:5]
