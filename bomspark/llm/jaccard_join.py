@@ -40,9 +40,10 @@ shingles and sets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bomspark.llm.common import by_parts
 from bomspark.session import materialise, ship_package
 
 WORDS, PERCENT = 5, 80
@@ -478,9 +479,27 @@ def components(edges: DataFrame) -> DataFrame:
             .union(e.select(F.col("v").alias("sid"), F.col("v").alias("root"))).distinct())
 
 
+def set_ids(text: Column, words: int = WORDS) -> Column:
+    """The id of a text's set, as in ``document_sets``."""
+
+    def ids(texts):
+        import pyarrow as pa
+
+        return pa.array([set_id(shingles_of(t, words)) for t in texts.to_pylist()], pa.int64())
+
+    return by_parts(ids, "bigint", text)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text);
     component_id is the smallest doc_id reachable by links (null for a null id)."""
+    return document_sets(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``near_duplicates`` with sid, the id of the row's set, and root, the
+    id of its component.  A component_id may stand for several components if a doc_id
+    repeats with different texts; a root stands for one."""
     spark = docs.sparkSession
     ship_package(spark)
     first = materialise(_sets(docs, words), "jaccard-sets")
@@ -512,9 +531,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         comps = components(links.union(_verified(more, usable, reps, words, percent)))
     smallest = comps.join(reps, "sid").groupBy("root").agg(F.min("rep").alias("least"))
     labels = (reps.join(comps, "sid", "left").join(smallest, "root", "left")
-              .select("sid", F.coalesce("least", "rep").alias("component")))
+              .select("sid", F.coalesce("least", "rep").alias("component"), F.coalesce("root", "sid").alias("root")))
     return (members.join(labels, "sid", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "sid", "root", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component")))
                     .otherwise(F.col("doc_id")).alias("component_id")))
 

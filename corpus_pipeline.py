@@ -6,8 +6,9 @@ the last return the columns of the documents they got.
 
 1. toxicity: documents scored 0.5 or more go.
 2. near_duplicates: of each group of near copies (five words, Jaccard 0.8) the one
-   of the smallest doc_id stays; of rows that repeat a doc_id one stays.  Documents
-   without words or without a doc_id have no copies and stay.
+   of the smallest doc_id stays; of rows that repeat a doc_id one stays, a row whose
+   own text is no copy before others, and a row that does not stay makes no copies.
+   Documents without words or without a doc_id have no copies and stay.
 3. pii: confirmed personal data are replaced by ``[KIND]``; ``n_chars`` follows.
 4. mixing: each document is repeated as often as the mix takes it (0 to 2 times).
 5. bpe: token ids of each text with the digests of ids and decoded text.
@@ -33,17 +34,26 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialise(jaccard_join.near_duplicates(docs.select("doc_id", "text")), "pipeline-groups")
-    copies = found.filter("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(materialise(copies, "pipeline-copies"), "doc_id", "left_anti")
-    repeated = materialise(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-                           .select("doc_id"), "pipeline-repeated")
-    if repeated.isEmpty():
-        return kept.select(*_names(docs))
+    found = materialise(jaccard_join.document_sets(docs.select("doc_id", "text")), "pipeline-groups")
+    found = found.filter("doc_id IS NOT NULL")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        copies = found.filter("component_id != doc_id").select("doc_id")
+        return docs.join(materialise(copies, "pipeline-copies"), "doc_id", "left_anti").select(*_names(docs))
+    # one set per doc_id: the first of its component, else no words, else a copy; then one
+    # of these per component
+    rank = F.when(F.col("root").isNull(), 1).when(F.col("component_id") == F.col("doc_id"), 0).otherwise(2)
+    chosen = materialise(found.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), "sid", "root")).alias("c"),
+                                                     (F.count(F.lit(1)) > 1).alias("many"))
+                         .select("doc_id", "c.sid", "c.root", "many"), "pipeline-chosen")
+    first = (chosen.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "sid", "many")).alias("f"))
+             .select("f.*"))
+    first = materialise(first.unionByName(chosen.filter("root IS NULL").drop("root")), "pipeline-first")
+    kept = docs.join(first.select("doc_id", F.col("sid").alias("__sid"), F.col("many").alias("__many")), "doc_id")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    single = (kept.join(repeated, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order))
-              .filter(F.col("__row") == 1).select(*_names(docs)))
-    return kept.join(repeated, "doc_id", "left_anti").select(*_names(docs)).unionByName(single)
+    single = (kept.filter("__many").withColumn("__own", jaccard_join.set_ids(F.col("text"))).filter("__own = __sid")
+              .withColumn("__row", F.row_number().over(order)).filter(F.col("__row") == 1).select(*_names(docs)))
+    return (kept.filter("NOT __many").select(*_names(docs)).unionByName(single)
+            .unionByName(docs.filter(F.col("doc_id").isNull())))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

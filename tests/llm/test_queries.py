@@ -205,6 +205,18 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, odd):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_near_duplicate_stage_looks_at_the_text_of_a_repeated_id(spark, odd):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (7, b), (11, c), (11, d), (12, c), (13, d), (14, a), (14, a), (15, ""), (15, a), (16, None),
+            (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, odd).collect()]
+    assert len([r for r in kept if r[0] == 11]) == 1  # of its two texts one stays, and the other at its next id
+    assert sorted(r for r in kept if r[0] in (3, 7, 14, 15, 16)) == [(3, a), (7, b), (15, ""), (16, None)]
+    assert sorted(t for i, t in kept if i in (11, 12, 13)) == [c, d]
+    assert (None, a) in kept and len(kept) == 7
+
+
 def test_pii_stage_masks_and_counts(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     rows = corpus_pipeline.pii_stage(spark, docs, odd).collect()
