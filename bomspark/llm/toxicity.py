@@ -16,8 +16,9 @@ Calibration.  The best segment of n random words exceeds s with probability
 1 - exp(-K n exp(-L s)) (extreme values).  L solves sum p(w) exp(L score(w)) = 1 for
 the words of non-toxic documents; K is the maximum likelihood estimate from the best
 segments of the non-toxic training documents.  A segment is significant if its
-expected number of equals, E = K n exp(-L s), is below E_MAX; a document's evidence is
-the sum of -ln(E / E_MAX) over its significant segments.  A one-variable logistic fit on
+expected number of equals, E = K n exp(-L s), is below E_MAX.  A document's evidence is
+the sum of -ln(E / E_MAX) over its significant segments, where repeats of a word within
+a segment are damped (and no segment counts less than 0).  A one-variable logistic fit on
 the training documents turns ln(1 + evidence) into the score.
 
 Only the text enters a score.  Words are runs of letters, lower case.  Null text
@@ -81,11 +82,12 @@ def _blocks(text: str):
 
 
 class Scored:
-    """The scored words of one text: place among all words, score, and the sums of
-    the scores before each.  The k-th occurrence of a word counts 1 / k**2 of its
-    score, since the log-odds are learned from documents, not from repeats."""
+    """The scored words of one text: word, place among all words, score, and the sums
+    of the scores before each.  With ``damp`` the k-th occurrence of a word in the text
+    counts 1 / k**2 of its score; the query scans without."""
 
-    def __init__(self, text: str, words: dict[str, float]):
+    def __init__(self, text: str, words: dict[str, float], damp: bool = True):
+        self.words: list[str] = []
         self.places: list[int] = []
         self.scores: list[float] = []
         self.before: list[float] = []
@@ -96,8 +98,10 @@ class Scored:
             for i, s in enumerate(map(get, tokens)):
                 if s is not None:
                     word = tokens[i]
-                    k = seen[word] = seen.get(word, 0) + 1
-                    s /= k * k
+                    if damp:
+                        k = seen[word] = seen.get(word, 0) + 1
+                        s /= k * k
+                    self.words.append(word)
                     self.places.append(self.n + i)
                     self.scores.append(s)
                     self.before.append(total)
@@ -131,6 +135,18 @@ def maximal_segments(found: Scored, drift: float = DRIFT) -> list[tuple[float, i
     return [(high - low, first, last) for low, high, first, last, _ in stack]
 
 
+def damped(found: Scored, segment: tuple[float, int, int]) -> float:
+    """A segment's score when the k-th occurrence of a word in it counts 1 / k**2, at
+    most its own score: the log-odds are learned from documents, not from repeats."""
+    score, first, last = segment
+    seen: dict[str, int] = {}
+    less = 0.0
+    for i in range(first, last + 1):
+        k = seen[found.words[i]] = seen.get(found.words[i], 0) + 1
+        less += found.scores[i] * (1 - 1 / (k * k))
+    return score - max(0.0, less)
+
+
 def _offsets(text: str, places: set[int]) -> dict[int, tuple[int, int]]:
     """Start and end of the words with the given numbers."""
     found, n = {}, 0
@@ -144,12 +160,13 @@ def _offsets(text: str, places: set[int]) -> dict[int, tuple[int, int]]:
 
 def evidence_of(text: str, model: Model):
     """(evidence, significant segments as (start, end, score, E))."""
-    found = Scored(text, model.words)
+    found = Scored(text, model.words, damp=False)
     evidence, kept = 0.0, []
     for score, first, last in maximal_segments(found):
         log_e = math.log(model.gumbel_k * found.n) - model.gumbel_l * score
         if log_e < math.log(E_MAX):
-            evidence += math.log(E_MAX) - log_e
+            counted = damped(found, (score, first, last))
+            evidence += max(0.0, math.log(E_MAX) - log_e - model.gumbel_l * (score - counted))
             kept.append((found.places[first], found.places[last], score, math.exp(log_e)))
     if kept:
         at = _offsets(text, {p for k in kept for p in k[:2]})
@@ -250,13 +267,15 @@ def _calibrate(model: Model, scores: list[tuple[float, float]], train: DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            found = [Scored(t, shared.value) for t in batch.column("text").to_pylist()]
+            found = [Scored(t, shared.value, damp=False) for t in batch.column("text").to_pylist()]
+            cut = [maximal_segments(f) for f in found]
             yield pa.RecordBatch.from_pydict({
-                "segments": pa.array([[s for s, _, _ in maximal_segments(f)] for f in found], pa.list_(pa.float64())),
+                "segments": pa.array([[s for s, _, _ in c] for c in cut], pa.list_(pa.float64())),
+                "damped": pa.array([[damped(f, s) for s in c] for f, c in zip(found, cut)], pa.list_(pa.float64())),
                 "n": pa.array([f.n for f in found], pa.int64()),
                 "toxic": batch.column("toxic").cast(pa.int32())})
 
-    seen = materialise(train.mapInArrow(segments, "segments array<double>, n bigint, toxic int"), "toxicity-fit")
+    seen = materialise(train.mapInArrow(segments, "segments array<double>, damped array<double>, n bigint, toxic int"), "toxicity-fit")
     clean = seen.filter("toxic = 0")
     docs, mean = clean.agg(F.count(F.lit(1)), F.avg("n")).first()
     # p is the share of documents with the word: one occurrence in a mean document
@@ -278,8 +297,9 @@ def _calibrate(model: Model, scores: list[tuple[float, float]], train: DataFrame
     spread = clean.agg(F.sum(F.greatest(F.col("n"), F.lit(1)) * F.exp(-F.lit(high) * best))).first()[0]
     model.gumbel_k = max(1e-12, docs / spread) if spread else 1.0
     gain = (F.lit(math.log(E_MAX)) - F.log(F.lit(model.gumbel_k) * F.greatest(F.col("n"), F.lit(1))))
-    evidence = F.aggregate("segments", F.lit(0.0),
-                           lambda acc, s: acc + F.greatest(F.lit(0.0), gain + F.lit(high) * s))
+    counted = F.zip_with("segments", "damped", lambda s, d: F.when(gain + F.lit(high) * s > 0, d))
+    evidence = F.aggregate(F.filter(counted, lambda d: d.isNotNull()), F.lit(0.0),
+                           lambda acc, d: acc + F.greatest(F.lit(0.0), gain + F.lit(high) * d))
     # on a grid of ln(1 + evidence), so the fit sees a bounded table
     points = (seen.groupBy(F.round(F.log1p(evidence), 2).alias("x"))
               .agg(F.sum((F.col("toxic") == 0).cast("int")).alias("o"), F.sum("toxic").alias("t")).collect())

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -563,3 +564,12 @@ def test_topk_buckets_are_bounded(spark, monkeypatch):
     assert sum(sizes) == len(rows) and max(sizes) <= 16
     for q, w in {i: w for i, w in asked.collect()}.items():
         assert got[q] == sorted((-sum(a * b for a, b in zip(w, x)), i) for i, x in rows if i != q)[:5]
+
+
+def test_toxicity_marks_each_passage_of_a_long_text():
+    model = toxicity.Model(words={"vile": 3.0, "scum": 3.0, "filth": 3.0, "kind": -1.0}, gumbel_l=1.0, gumbel_k=0.1)
+    passage, clean = "vile scum filth vile scum filth", "some kind words here " * 60
+    text = " ".join([passage, clean, passage, clean, passage])
+    evidence, found = toxicity.evidence_of(text, model)
+    assert [text[a:b] for a, b, _, _ in found] == [passage] * 3
+    assert 0 < evidence < sum(math.log(toxicity.E_MAX / e) for _, _, _, e in found)
