@@ -10,11 +10,11 @@ is dropped without another try inside it:
 
 random: a byte-pair vocabulary packs natural words and identifiers into few
 tokens, while a random string needs a token for every one or two characters.  Runs
-of MIN_RUN or more characters of ``[A-Za-z0-9+/_=-]`` with letters and digits (or
-both cases) count as random when they have fewer than MAX_RATIO characters per
-token.  Excluded before the test: hexadecimal digests of the usual lengths, UUIDs,
-plain numbers, and identifiers whose parts (split at ``_ - / + =`` and changes of
-case) are all words or short numbers.  A run that lies inside a span of a known
+of MIN_RUN or more characters of ``[A-Za-z0-9+/_=-]`` count as random when they have
+fewer than MAX_RATIO characters per token.  Excluded: hexadecimal digests of the usual
+lengths, UUIDs, plain numbers (runs without letters), one character repeated, and identifiers whose parts (split
+at ``_ - / + =`` and changes of case) are all short numbers or words, a word being three
+or more letters of MAX_RATIO or more characters per token.  A run that lies inside a span of a known
 shape is not reported again.
 
 Runs longer than PIECE characters are encoded in pieces; each seam adds at most one
@@ -55,14 +55,10 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[A-Z]")
 WORD_PART = re.compile(r"[A-Za-z]{3,}|[0-9]{1,4}")
 
 
-def known_string(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers made of words."""
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
-        return True
-    classes = (any(c.islower() for c in run) + any(c.isupper() for c in run) + any(c.isdigit() for c in run))
-    if classes < 2:
-        return True
-    return all(WORD_PART.fullmatch(p) for p in PARTS.findall(run))
+def known_shape(run: str) -> bool:
+    """Digests, UUIDs, numbers, and one character repeated."""
+    return (bool(DIGEST.fullmatch(run) or UUID.fullmatch(run)) or not any(c.isalpha() for c in run)
+            or run.count(run[0]) == len(run))
 
 
 class Scanner:
@@ -77,6 +73,10 @@ class Scanner:
         """Characters per token."""
         return len(run) / max(1, sum(len(self.tokens(run[i:i + PIECE])) for i in range(0, len(run), PIECE)))
 
+    def identifier(self, run: str) -> bool:
+        """Whether a run is made of words, which take few tokens each, and short numbers."""
+        return all(WORD_PART.fullmatch(p) and (p.isdigit() or self.ratio(p) >= MAX_RATIO) for p in PARTS.findall(run))
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text)
                  if m.end(2) - m.start(2) >= MIN_VALUE]
@@ -89,10 +89,10 @@ class Scanner:
             while at < len(found) and found[at][1] <= m.start():
                 covered = max(covered, found[at][2])
                 at += 1
-            if covered >= m.end() or known_string(m.group()):
+            if covered >= m.end() or known_shape(m.group()):
                 continue
             ratio = self.ratio(m.group())
-            if ratio < MAX_RATIO:
+            if ratio < MAX_RATIO and not self.identifier(m.group()):
                 spans.append(("random", m.start(), m.end(), ratio))
         spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         return spans

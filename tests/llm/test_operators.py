@@ -184,6 +184,14 @@ def test_random_strings_found_and_known_ones_left(scanner):
         assert [s for s in scanner.scan(f"see {known} there") if s[0] == "random"] == []
 
 
+def test_random_strings_of_one_class_or_long_groups_are_tested(scanner):
+    for secret in ("xkvqzt7391bnwqpd4422rtzz", "JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP", "qzxvkwjpbtrhgnmdfyclsqzx",
+                   "QZXVKWJPBTRHGNMDFYCLSQZX"):
+        assert [s[:3] for s in scanner.scan(f"see {secret} there")] == [("random", 4, 4 + len(secret))]
+    for known in ("=" * 40, "2024-01-31-2359591234567890", "error_code_1234_not_found", "MAXIMUM_NUMBER_OF_CONNECTIONS"):
+        assert scanner.scan(f"see {known} there") == []
+
+
 # ---- 8 winnowing
 
 def brute_winnow(text, k, w):
