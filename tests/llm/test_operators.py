@@ -78,6 +78,14 @@ def test_pii_checksums_and_context(spark):
     assert got[4][0][2] > got[5][0][2]
 
 
+def test_pii_iban_before_upper_case_words_and_numbers(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    texts = [f"{de} BIC COBADEFFXXX", f"{gb} 2024-01-31", f"{no} 500 EUR", f"{de} {gb} {no} A1", f"QQ12 ABCD EFGH IJKL {de} X"]
+    got = [[s.match for s in r.pii if s.kind == "iban"] for r in pii.find_pii(
+        spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    assert got == [[de], [gb], [no], [de, gb, no], [de]]
+
+
 def test_pii_masks_every_base_span(spark, docs):
     for r in pii.mask_pii(docs.select("doc_id", "text")).collect():
         left = base_pii(r.text or "")
