@@ -1,6 +1,6 @@
 """DuckDB statements of the queries that SQL can express, spelled out on their own.
 
-op4, op9 and op10 are whole; the others need tokenizer files, learned models,
+op4, op9, op10, op12 and op13 are whole; the others need tokenizer files, learned models,
 hash functions DuckDB lacks, or checks it has no functions for, and are tested
 against brute-force versions instead."""
 
@@ -120,4 +120,71 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL = {"op4_mixing": OP4, "op9_jaccard": OP9, "op10_topk": OP10}
+OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+met AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY doc_id, run),
+bytes AS (
+  SELECT run, times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM met),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(range(1, len(x), 2), lambda c, i:
+           xor(c >> 8, t[1 + (xor(c, CAST(('0x' || substr(x, i, 2)) AS BIGINT)) & 255)]), 4294967295)) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS (
+  SELECT a.word, b.word AS near FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON g.rest = w.word),
+ranked AS (
+  SELECT near.word, near.near, x.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY x.n DESC, near.near) AS place
+  FROM near JOIN words x ON x.word = near.near),
+forms AS (
+  SELECT w.word, w.n, CAST(coalesce(r.n_near, 0) AS BIGINT) AS n_near,
+         CASE WHEN r.near_n >= 10 * w.n THEN r.near END AS form,
+         CASE WHEN r.near_n >= 10 * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+chain AS (
+  SELECT word, word AS spot, 0 AS steps FROM forms
+  UNION ALL SELECT c.word, f.form, c.steps + 1 FROM chain c JOIN forms f ON f.word = c.spot WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(spot, steps) AS root FROM chain GROUP BY word) c USING (word)
+"""
+
+OP13 = r"""
+WITH e AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS other_id,
+         coalesce(CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT), 0) AS score
+  FROM e a JOIN e c ON c.vec_id <> a.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place
+  FROM p WHERE same),
+neg AS (
+  SELECT pos.anchor_id, positive_id, p.other_id AS negative_id, positive_score, p.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor_id, pos.place ORDER BY p.score DESC, p.other_id) AS rank
+  FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same
+   AND 80 * positive_score <= 100 * p.score AND p.score <= positive_score
+  WHERE pos.place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM neg WHERE rank <= 5
+"""
+
+SQL = {"op4_mixing": OP4, "op9_jaccard": OP9, "op10_topk": OP10, "op12_spelling": OP12, "op13_hard_negatives": OP13}

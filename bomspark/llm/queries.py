@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomspark.llm import bpe, jaccard_join, langid, mixing, pii, secret_scan, sharding, topk, toxicity, winnow
+from bomspark.llm import (bpe, hard_negatives, jaccard_join, langid, licenses, mixing, pii, secret_scan, sharding, spelling,
+                          topk, toxicity, winnow)
 from bomspark.llm.common import doc_crc, table, text_or_empty
 from bomspark.session import materialise, ship_package
 
@@ -144,9 +145,53 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "licences")
+    base = F.filter("licences.places", lambda p: p["label"].isin(*licenses.BASE))
+    words = F.transform(base, lambda p: p["word"])
+    return found.select(
+        "doc_id", "licences.n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda p: p["label"]))), ",").alias("base_labels"),
+        F.array_join("licences.labels", ",").alias("labels"), F.col("licences.score").alias("score"),
+        F.transform("licences.tags", lambda t: t["expression"]).alias("expressions"),
+        F.col("licences.restriction").alias("restriction"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+VARIANT_CHARS, VARIANT_COUNT = 7, 2
+
+
+def op12_words(docs: DataFrame) -> DataFrame:
+    """(word): the runs of letters of all texts that may become words of enough letters,
+    A-Z in lower case, one letter deleted where the hash of id and run says so."""
+    # a shorter run stays shorter, so the length may stand in the pattern
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(
+        "text", F.lit(rf"[A-Za-z\u00C0-\u00FF]{{{VARIANT_CHARS},}}"), F.lit(0))).alias("run"))
+    plain = F.octet_length("run") == F.length("run")
+    runs = runs.select("doc_id", F.when(plain, F.lower("run")).otherwise(F.translate("run", UPPER, LOWER)).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    return runs.withColumn("h", h).select(F.when(
+        F.col("h") % 31 == 0, F.expr("concat(left(run, cast(h % length(run) as int)), substr(run, cast(h % length(run) as int) + 2))"))
+        .otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = op12_words(_documents(spark, sf_dir, "doc_id", "text"))
+    return spelling.group_variants(spelling.vocabulary(words, min_chars=VARIANT_CHARS, min_count=VARIANT_COUNT))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        topk.whole_numbers(F.col("embedding")).alias("v"))
+    return hard_negatives.hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_language, op3_bpe, op4_mixing, op5_pii, op6_secrets,
-                                    op7_sharding, op8_winnowing, op9_jaccard, op10_topk)}
+                                    op7_sharding, op8_winnowing, op9_jaccard, op10_topk, op11_licenses,
+                                    op12_spelling, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
