@@ -121,6 +121,29 @@ NONE_IDENTIFIED = "None identified."
 NO_ISSUES_ITEM = "<li>No issues found.</li>"
 HTML_TITLE = "Procurement Dashboard"
 
+# --- FIXED VALUES: page headings and table heads, in page order ---------------
+PAGE_HEAD = """<!DOCTYPE html>
+<html><head><meta charset='UTF-8'>
+<title>Procurement Dashboard</title>
+</head>
+<body>
+<h1>⚡ Procurement Dashboard</h1>
+<p>Generated: """
+PAGE_STATS = ["Total Units", "BOM Lines", "Issues", "Est. Spend"]
+PAGE_CARD = "</div>\n<div class=\"card\">\n  "
+PAGE_LEAD = "<h2>⏱️ Lead Time Estimator</h2>"
+PAGE_LEAD_COLUMNS = ["Status", "Family", "Lead Time", "Order By"]
+PAGE_SEQUENCE = "<h2>🚚 Delivery Sequence by Floor</h2>"
+PAGE_SEQUENCE_COLUMNS = ["Phase", "Level", "Units", "Recommended Action"]
+PAGE_SPEND = "<h2>💰 Spend Estimation (Indicative)</h2>"
+PAGE_SPEND_TOTAL = "Total estimated procurement value: "
+PAGE_SPEND_COLUMNS = ["Tier", "Family", "Qty", "Unit Cost", "Total"]
+PAGE_FAMILIES = "<h2>📦 Summary by Family</h2>"
+PAGE_ISSUES = "<h2>⚠️ Data Quality Issues</h2>"
+PAGE_BOM = "<h2>📋 Detailed BOM ("
+PAGE_BOM_LINES = " lines)</h2>"
+PAGE_END = "\n</div>\n</body></html>"
+
 # --- FIXED VALUES: procurement prompt text ------------------------------------
 PROMPT_HEAD = """You are an office-based Senior Procurement Engineer on an MEP/Electrical project.
 You have received a validated BOM exported from Autodesk Revit via a Python pipeline.

@@ -8,6 +8,11 @@ catalogue on ``keyword``.  The expansion is exact (a keyword of length k is a
 substring iff it equals one of the length-k substrings), costs
 O(len(name) x distinct keyword lengths) per *distinct* name, and the join is
 left to the planner: broadcast when the measured size allows, shuffled otherwise.
+
+A catalogue of more than ``MAX_LENGTHS`` keyword lengths is matched through a seed index
+instead: a keyword's seed is its first q characters, q being the shortest keyword's length.
+A name makes one candidate per position, its q characters there; a join on the seed finds the
+keywords that may start at that position, and only those that do are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ from bomspark.fixed_values import DEFAULT_LEAD, LEAD_TIME_CATALOGUE
 # them this few; they then travel inside the plan, like a broadcast.
 INLINE_MAX_ROWS = 64
 
+# Beyond this many distinct keyword lengths names are matched by seeds.
+MAX_LENGTHS = 8
+
 # (rows, distinct keyword lengths, priorities unique)
 DEFAULT_PROFILE = (
     len(LEAD_TIME_CATALOGUE),
@@ -81,7 +89,7 @@ def _candidates(name: Column, lengths: list[int]) -> Column:
     parts = []
     for k in lengths:
         if k <= 0:
-            parts.append(F.array(F.lit("")))
+            parts.append(F.when(name.isNotNull(), F.array(F.lit(""))).otherwise(empty))
             continue
         subs = F.transform(F.sequence(F.lit(1), n - k + 1), _substring_of_length(name, k))
         parts.append(F.when(n >= k, subs).otherwise(empty))
@@ -90,6 +98,23 @@ def _candidates(name: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
+def _seed_matches(names: DataFrame, key: str, catalogue: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, _kw): the keywords that each name contains, null for none, by the seed index.
+    Empty keywords are contained in every name."""
+    q = min(k for k in lengths if k > 0)
+    lname = F.lower(F.col(key))
+    spots = F.when(F.length(lname) >= q, F.transform(F.sequence(F.lit(1), F.length(lname) - q + 1), lambda p: F.struct(
+        F.substr(lname, p, F.lit(q)).alias("seed"), p.alias("at"))))
+    if 0 in lengths:
+        start = F.array(F.struct(F.lit("").alias("seed"), F.lit(1).alias("at")))
+        spots = F.when(F.col(key).isNotNull(), F.when(F.length(lname) >= q, F.concat(start, spots)).otherwise(start))
+    cand = names.select(F.col(key), F.explode(spots).alias("_s")).select(key, "_s.seed", "_s.at")
+    seeds = catalogue.select(F.col("keyword").alias("_kw"), F.substr(F.col("keyword"), F.lit(1), F.lit(q)).alias("seed"))
+    starts = F.substr(F.lower(F.col(key)), F.col("at"), F.length("_kw")) == F.col("_kw")
+    found = cand.join(seeds, "seed").filter(starts).select(key, "_kw").distinct()
+    return names.select(key).join(found.withColumnRenamed(key, "_n"), F.col(key).eqNullSafe(F.col("_n")), "left").select(key, "_kw")
+
+
 def _inline_entries(catalogue: DataFrame, rows: int) -> list | None:
     """The entries in order if there are at most INLINE_MAX_ROWS, else None.
     ``rows`` may come from a caller, so the collect has its own bound."""
@@ -136,7 +161,10 @@ def match_keywords(names: DataFrame, catalogue: DataFrame, name_col: str = "fami
             name_col, inline_match(F.col(name_col), entries).alias("_m"))
     else:
         lname = F.lower(F.col(name_col))
-        cand = names.select(F.col(name_col), F.explode_outer(_candidates(lname, lengths)).alias("_kw"))
+        if len(lengths) > MAX_LENGTHS:
+            cand = _seed_matches(names.select(name_col).distinct(), name_col, catalogue, lengths)
+        else:
+            cand = names.select(F.col(name_col), F.explode_outer(_candidates(lname, lengths)).alias("_kw"))
         best = _first_match(cand, name_col, catalogue, unique)
     m = F.coalesce(F.col("_m"), default_lead_struct(default))
     return best.select(

@@ -85,10 +85,14 @@ def spend_formatted(spend: DataFrame) -> DataFrame:
     )
 
 
-def total_spend(enriched: DataFrame) -> DataFrame:
-    """project_id, total_spend, total_spend_usd, total_spend_k."""
+def total_spend(enriched: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """project_id, total_spend, total_spend_usd, total_spend_k (0 for a project of
+    ``projects`` without any line)."""
     t = enriched.groupBy("project_id").agg(
         F.sum((F.col("unit_cost") * F.col("count"))).cast("bigint").alias("total_spend"))
+    if projects is not None:
+        t = projects.select("project_id").distinct().join(t, "project_id", "left").select(
+            "project_id", F.coalesce("total_spend", F.lit(0)).cast("bigint").alias("total_spend"))
     return t.select("project_id", "total_spend",
                     money(F.col("total_spend")).alias("total_spend_usd"),
                     thousands(F.col("total_spend")).alias("total_spend_k"))

@@ -61,6 +61,40 @@ def row_number_in_group(df: DataFrame, keys: list[str], order: list, name: str,
     return _row_number_by_range(df, keys, order, name)
 
 
+def sum_before_in_group(df: DataFrame, keys: list[str], order: list, sums: dict[str, str],
+                        bound: int | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """df + a column for each entry of ``sums`` (column -> new name): the sum of the
+    column over the rows of the group that come before the row in ``order`` (total within a
+    group), as bigint; 0 for the first.  Bounds as in ``row_number_in_group``: beyond
+    them the sums are made inside range-sorted partitions, and a table of one row per
+    (partition, group) carries what lies before a partition."""
+    if bound is None:
+        from bomspark.session import materialise
+        df = materialise(df, "to_sum")
+        bound = largest_group(df, keys)
+
+    def before(c: str, w) -> Column:
+        return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+
+    if bound <= one_task_rows:
+        w = Window.partitionBy(*keys).orderBy(*[_c(o) for o in order])
+        return df.withColumns({name: before(c, w) for c, name in sums.items()})
+    from bomspark.session import materialise
+    placed = materialise(
+        df.orderBy(*[F.col(k) for k in keys], *[_c(o) for o in order])
+          .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos")),
+        "summed")
+    inside = Window.partitionBy("_part", *keys).orderBy("_pos")
+    totals = placed.groupBy("_part", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_part")
+    offsets = totals.select(F.col("_part").alias("_opart"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+                            *[before(c, earlier).alias(f"_b_{name}") for c, name in sums.items()])
+    cond = [placed["_part"] == offsets["_opart"]] + [placed[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys]
+    placed = placed.withColumns({f"_i_{name}": before(c, inside) for c, name in sums.items()})
+    return placed.join(offsets, cond).select(
+        *df.columns, *[(F.col(f"_i_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums.values()])
+
+
 def _row_number_by_range(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     from bomspark.session import materialise
     cols = df.columns

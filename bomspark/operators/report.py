@@ -8,6 +8,8 @@
   (one row per family or level of a project), never over BOM lines, in
   chunks of at most ``CHUNK_LINES`` lines: a project with millions of
   families yields many bounded strings, never one unbounded value.
+* ``html_cards`` — the line-grain cards of the page in the same kind of chunks,
+  numbered across a project's files by an offset table of one row per file.
 * ``html_documents`` / ``project_prompts`` — each document as ordered parts
   (project_id, part_no, chunk_no, text); concatenating a project's parts in
   (part_no, chunk_no) order gives the page / prompt.  Fixed parts come from
@@ -20,13 +22,13 @@ one task, an exact range-sorted numbering beyond.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomspark import fixed_values as fv
 from bomspark.functions.planning import is_critical
 from bomspark.functions.text import html_escape, money, thousands
-from bomspark.operators.ranking import ONE_TASK_ROWS, largest_group, row_number_in_group
+from bomspark.operators.ranking import ONE_TASK_ROWS, largest_group, row_number_in_group, sum_before_in_group
 from bomspark.operators.timing import as_of_col
 
 EN_DASH = "–"
@@ -125,11 +127,11 @@ def report_lines(kpis: DataFrame, lead: DataFrame, delivery: DataFrame, spend: D
 def ordered_text(lines: DataFrame, keys: list[str], order: list[Column], text: Column, sep: str = "",
                  first_prefix: Column | str = "", chunk_lines: int = CHUNK_LINES, bound: int | None = None,
                  one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Keys, chunk_no, ``text`` — the lines of each key group joined by
-    ``sep`` in ``order`` (ascending columns, total within a group), at most
+    """Keys, chunk_no, ``text`` — the lines of each key group in ``order`` (ascending
+    columns, total within a group), each followed by ``sep``, at most
     ``chunk_lines`` lines per chunk.  Chunk 0 starts with ``first_prefix``
-    (a literal or an expression over the keys), later chunks with ``sep``,
-    so the chunks concatenated in order are the whole text."""
+    (a literal or an expression over the keys), so the chunks concatenated in order
+    are the whole text, and every chunk ends with ``sep``."""
     sel = lines.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], text.alias("_t"))
     okeys = [f"_o{i}" for i in range(len(order))]
     if bound is None:
@@ -149,8 +151,8 @@ def ordered_text(lines: DataFrame, keys: list[str], order: list[Column], text: C
     prefix = F.lit(first_prefix) if isinstance(first_prefix, str) else first_prefix
     return grouped.select(
         *keys, "chunk_no",
-        F.concat(F.when(F.col("chunk_no") == 0, prefix).otherwise(F.lit(sep)),
-                 F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).alias("text"))
+        F.concat(F.when(F.col("chunk_no") == 0, prefix).otherwise(F.lit("")),
+                 F.array_join(F.transform("_l", lambda x: x["_t"]), sep), F.lit(sep)).alias("text"))
 
 
 def _e(c) -> Column:
@@ -199,41 +201,55 @@ def _part_no(col: str, numbers: dict[str, int]) -> Column:
     return out
 
 
-DOCUMENT_FRAGMENT_PARTS = {"lead_rows": 1, "seq_rows": 3, "spend_rows": 5, "family_list": 7}
+DOCUMENT_FRAGMENT_PARTS = {"lead_rows": 1, "seq_rows": 3, "spend_rows": 5, "family_list": 7,
+                           "issue_list": 9, "item_list": 11}
+# What stands before the first row of a table.
+TABLE_INDENT = "\n  "
 
 
-def html_documents(kpis: DataFrame, fragments: DataFrame, as_of=None) -> DataFrame:
+def _table_head(names: list[str]) -> Column:
+    return F.lit("<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
+
+
+def html_documents(kpis: DataFrame, fragments: DataFrame, as_of=None, cards: DataFrame | None = None) -> DataFrame:
     """project_id, part_no, chunk_no, html — one dashboard page per project
-    (stat cards, lead, delivery, spend, family summary; the BOM detail stays
-    in its own table) as ordered parts: the page is the concatenation of a
-    project's parts in (part_no, chunk_no) order.  Even parts are the fixed
-    markup around the cards, odd parts the fragment chunks."""
+    (stat cards, lead, delivery, spend, family summary, data-quality issues and every
+    BOM line) as ordered parts: the page is the concatenation of a project's
+    parts in (part_no, chunk_no) order.  Even parts are the fixed markup around the
+    cards, from the KPI row; odd parts are the chunks of ``fragments``
+    (``html_fragments``) and of ``cards`` (``html_cards``; without them the page ends
+    after the families).  Every part ends with ``>``, so the sink can write the page
+    byte for byte."""
     gen = F.date_format(as_of_col(as_of), "yyyy-MM-dd HH:mm")
+    stats = [_s("total_units"), _s("bom_lines"), _s("issues"), F.concat(F.lit("$"), thousands(F.col("total_spend")))]
+    stat_cards = [x for name, value in zip(fv.PAGE_STATS, stats) for x in (
+        F.lit("  <div class=\"stat\"><h2>"), value, F.lit(f"</h2><p>{name}</p></div>\n"))]
+
+    def indent(rows: str) -> Column:  # a table without rows has no chunk to carry it
+        return F.when(F.col(rows) == 0, F.lit(TABLE_INDENT)).otherwise(F.lit(""))
+
+    line_cards = [] if cards is None else [
+        (8, F.lit("</ul>\n" + fv.PAGE_CARD + fv.PAGE_ISSUES + "\n  <ul>")),
+        (10, F.concat(F.lit("</ul>\n" + fv.PAGE_CARD + fv.PAGE_BOM), _s("bom_lines"), F.lit(fv.PAGE_BOM_LINES + "\n  <div>")))]
     fixed = _fixed_parts(kpis, [
-        (0, F.concat(
-            F.lit(f"<!DOCTYPE html>\n<html><head><meta charset='UTF-8'>\n<title>{fv.HTML_TITLE}</title>\n</head>\n"
-                  f"<body>\n<h1>⚡ {fv.HTML_TITLE}</h1>\n<p>Generated: "), gen,
-            F.lit("</p>\n<div class=\"stat-grid\">\n"),
-            F.lit("  <div class=\"stat\"><h2>"), _s("total_units"), F.lit("</h2><p>Total Units</p></div>\n"),
-            F.lit("  <div class=\"stat\"><h2>"), _s("bom_lines"), F.lit("</h2><p>BOM Lines</p></div>\n"),
-            F.lit("  <div class=\"stat\"><h2>"), _s("issues"), F.lit("</h2><p>Issues</p></div>\n"),
-            F.lit("  <div class=\"stat\"><h2>$"), thousands(F.col("total_spend")),
-            F.lit("</h2><p>Est. Spend</p></div>\n"),
-            F.lit("</div>\n<div class=\"card\">\n  <h2>⏱️ Lead Time Estimator</h2>\n"
-                  "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  "))),
-        (2, F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n"
-                  "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  ")),
-        (4, F.concat(
-            F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n"
-                  "  <p><strong>Total estimated procurement value: "), money(F.col("total_spend")),
-            F.lit(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
-                  "<th>Total</th></tr>\n  "))),
-        (6, F.lit("</table>\n</div>\n<div class=\"card\">\n  <h2>📦 Summary by Family</h2>\n  <ul>")),
-        (8, F.lit("</ul>\n</div>\n</body></html>")),
+        (0, F.concat(F.lit(fv.PAGE_HEAD), gen, F.lit("</p>\n<div class=\"stat-grid\">\n"), *stat_cards,
+                     F.lit(fv.PAGE_CARD + fv.PAGE_LEAD + "\n  "), _table_head(fv.PAGE_LEAD_COLUMNS))),
+        (2, F.concat(indent("families"), F.lit("</table>\n" + fv.PAGE_CARD + fv.PAGE_SEQUENCE + "\n  "),
+                     _table_head(fv.PAGE_SEQUENCE_COLUMNS))),
+        (4, F.concat(indent("bom_lines"), F.lit("</table>\n" + fv.PAGE_CARD + fv.PAGE_SPEND + "\n  <p><strong>"
+                                                + fv.PAGE_SPEND_TOTAL), money(F.col("total_spend")),
+                     F.lit(" USD</strong></p>\n  "), _table_head(fv.PAGE_SPEND_COLUMNS))),
+        (6, F.concat(indent("families"), F.lit("</table>\n" + fv.PAGE_CARD + fv.PAGE_FAMILIES + "\n  <ul>"))),
+        *line_cards,
+        (12, F.lit(("</ul>" if cards is None else "</div>") + fv.PAGE_END)),
     ], "html")
-    frag = fragments.select("project_id", _part_no("fragment", DOCUMENT_FRAGMENT_PARTS).alias("part_no"),
-                            F.col("chunk_no").cast("bigint").alias("chunk_no"), "html")
-    return fixed.unionByName(frag)
+    table = F.col("fragment").isin("lead_rows", "seq_rows", "spend_rows") & (F.col("chunk_no") == 0)
+    rows = fragments if cards is None else fragments.unionByName(cards)
+    chunks = rows.select(
+        "project_id", _part_no("fragment", DOCUMENT_FRAGMENT_PARTS).alias("part_no"),
+        F.col("chunk_no").cast("bigint").alias("chunk_no"),
+        F.concat(F.when(table, F.lit(TABLE_INDENT)).otherwise(F.lit("")), "html").alias("html"))
+    return fixed.unionByName(chunks)
 
 
 PROMPT_TABLE_PARTS = {"family": 1, "critical": 3, "sequence": 5}
@@ -247,8 +263,9 @@ def project_prompts(kpis: DataFrame, summary: DataFrame, lead: DataFrame, delive
                     one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """project_id, part_no, chunk_no, prompt — the procurement brief as
     ordered parts (tables as ' | ' lines); concatenated in (part_no,
-    chunk_no) order per project they are the whole prompt.  A project
-    without critical items gets the "None identified." part."""
+    chunk_no) order per project they are the whole prompt.  A table without
+    rows (a project of ``kpis`` without critical items, or without any line) is the
+    line "None identified.".  Every part ends with a line end."""
     def part(df, name, k_num, k_str, line):
         return df.select("project_id", F.lit(name).alias("part"), k_num.cast("bigint").alias("k1"),
                          _s(k_str).alias("k2"), line.alias("line"))
@@ -277,15 +294,17 @@ def project_prompts(kpis: DataFrame, summary: DataFrame, lead: DataFrame, delive
             F.lit("- Data quality issues: "), _s("issues"), F.lit(NL),
             F.lit("- Estimated total procurement spend: "), money(F.col("total_spend")),
             F.lit(" USD (indicative, for planning purposes only)" + NL + NL + fv.PROMPT_INVENTORY + NL))),
-        (2, F.lit(NL + NL + fv.PROMPT_CRITICAL + NL)),
-        (4, F.lit(NL + NL + fv.PROMPT_SEQUENCE + NL)),
-        (6, F.lit(NL + NL + fv.PROMPT_TASKS)),
+        (2, F.lit(NL + fv.PROMPT_CRITICAL + NL)),
+        (4, F.lit(NL + fv.PROMPT_SEQUENCE + NL)),
+        (6, F.lit(NL + fv.PROMPT_TASKS)),
     ], "prompt")
-    # one row per project on both sides: no skew in this anti join
-    has_critical = texts.filter((F.col("part") == "critical") & (F.col("chunk_no") == 0)).select("project_id")
-    none = kpis.join(has_critical, "project_id", "left_anti").select(
-        "project_id", F.lit(3).alias("part_no"), F.lit(0).cast("bigint").alias("chunk_no"),
-        F.lit(fv.NONE_IDENTIFIED).alias("prompt"))
+    # the KPI row says which tables of a project have rows: no join
+    empty = F.filter(F.array(
+        F.when(F.col("families") == 0, F.lit(PROMPT_TABLE_PARTS["family"])),
+        F.when(F.col("critical_items") == 0, F.lit(PROMPT_TABLE_PARTS["critical"])),
+        F.when(F.col("bom_lines") == 0, F.lit(PROMPT_TABLE_PARTS["sequence"]))), lambda n: n.isNotNull())
+    none = kpis.select("project_id", F.explode(empty).alias("part_no"), F.lit(0).cast("bigint").alias("chunk_no"),
+                       F.lit(fv.NONE_IDENTIFIED + NL).alias("prompt"))
     return fixed.unionByName(tables).unionByName(none)
 
 
@@ -298,6 +317,23 @@ def assemble(parts: DataFrame, text_col: str) -> DataFrame:
             .select("project_id", F.array_join(F.transform("_l", lambda x: x[text_col]), "").alias(text_col)))
 
 
+def _item_html() -> Column:
+    return F.concat(
+        F.lit("<div class='item-row'><strong>"), _e("family"), F.lit(f"</strong> {EM_DASH} "), _e("type"),
+        F.lit("<br><small>Panel: "), _e("panel_name"), F.lit(" | Level: "), _e("level"),
+        F.lit(" | Qty: "), _s("count"), F.lit("</small></div>"))
+
+
+def _issue_html() -> Column:
+    """Null for a line without issues."""
+    return F.when(F.col("issues") != "", F.concat(
+        F.lit("<li>"), _e("family"), F.lit(" ("), _e("type"), F.lit("): "), _e("issues"), F.lit("</li>")))
+
+
+def _position(bom: DataFrame) -> Column:
+    return F.col("line_no" if "line_no" in bom.columns else "row_idx").cast("bigint")
+
+
 def html_items(bom: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Long-form HTML for the per-line cards: one row per BOM line
     (kind 'item') and per line with issues (kind 'issue'), keyed by the line's
@@ -309,17 +345,10 @@ def html_items(bom: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     bom: project_id, file_id, line_no (or row_idx), family, type, panel_name,
     level, count, issues.  projects: project_id list for the fallback rows
     (default: the projects of the BOM)."""
-    pos = "line_no" if "line_no" in bom.columns else "row_idx"
-    item = F.struct(F.lit("item").alias("kind"), F.concat(
-        F.lit("<div class='item-row'><strong>"), _e("family"), F.lit(f"</strong> {EM_DASH} "), _e("type"),
-        F.lit("<br><small>Panel: "), _e("panel_name"), F.lit(" | Level: "), _e("level"),
-        F.lit(" | Qty: "), _s("count"), F.lit("</small></div>")).alias("html"))
-    issue = F.when(F.col("issues") != "", F.struct(F.lit("issue").alias("kind"), F.concat(
-        F.lit("<li>"), _e("family"), F.lit(" ("), _e("type"), F.lit("): "), _e("issues"),
-        F.lit("</li>")).alias("html")))
-    rows = bom.select(
-        "project_id", _s("file_id").alias("file_id"), F.col(pos).cast("bigint").alias("line_no"),
-        F.explode(F.array(item, issue)).alias("r"))
+    item = F.struct(F.lit("item").alias("kind"), _item_html().alias("html"))
+    issue = F.when(F.col("issues") != "", F.struct(F.lit("issue").alias("kind"), _issue_html().alias("html")))
+    rows = bom.select("project_id", _s("file_id").alias("file_id"), _position(bom).alias("line_no"),
+                      F.explode(F.array(item, issue)).alias("r"))
     per_line = rows.filter(F.col("r").isNotNull()).select(
         "project_id", F.col("r.kind").alias("kind"), "file_id", "line_no", F.col("r.html").alias("html"))
     per_project = bom.groupBy("project_id").agg(F.count_if(F.col("issues") != "").alias("_n"))
@@ -329,3 +358,49 @@ def html_items(bom: DataFrame, projects: DataFrame | None = None) -> DataFrame:
         "project_id", F.lit("issue").alias("kind"), F.lit(None).cast("string").alias("file_id"),
         F.lit(0).cast("bigint").alias("line_no"), F.lit(fv.NO_ISSUES_ITEM).alias("html"))
     return per_line.unionByName(fallback)
+
+
+def html_cards(bom: DataFrame, projects: DataFrame | None = None, chunk_lines: int = CHUNK_LINES,
+               bound: int | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """project_id, fragment, chunk_no, html — the two cards of the page at line grain:
+    ``item_list`` holds every line, ``issue_list`` every line with issues (the "No issues found."
+    item if a project has none), in the order of file and position, at most
+    ``chunk_lines`` lines per chunk.
+
+    No project is gathered to number its lines.  One aggregate counts the lines and issues
+    of each file; sums over that small table (``sum_before_in_group``) say how many
+    lines of the project lie in earlier files; inside its file a line is numbered by a
+    window.  The number divided by ``chunk_lines`` is the chunk, which alone is gathered.
+
+    bom as in ``html_items``; ``projects``: the project list (default: those of the BOM);
+    ``bound``: files of the largest project, if known."""
+    b = bom.select("project_id", F.coalesce(_s("file_id"), F.lit("")).alias("_file"), _position(bom).alias("_pos"),
+                   _item_html().alias("_item"), _issue_html().alias("_issue"))
+    files = bom.groupBy("project_id", F.coalesce(_s("file_id"), F.lit("")).alias("_file")).agg(
+        F.count(F.lit(1)).alias("_lines"), F.count_if(F.col("issues") != "").alias("_issues"))
+    before = sum_before_in_group(files, ["project_id"], ["_file"], {"_lines": "_items_before", "_issues": "_issues_before"},
+                                 bound, one_task_rows)
+    inside = Window.partitionBy("project_id", "_file").orderBy("_pos", "_item", "_issue")
+    numbered = b.select(
+        "project_id", "_file", "_item", "_issue", F.row_number().over(inside).alias("_i"),
+        F.count("_issue").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_k"))
+    placed = numbered.join(before.select("project_id", "_file", "_items_before", "_issues_before"), ["project_id", "_file"])
+
+    def entry(name: str, n: Column, html: str) -> Column:
+        return F.struct(F.lit(name).alias("fragment"), n.alias("n"), F.col(html).alias("html"))
+
+    rows = placed.select("project_id", F.explode(F.array(
+        entry("item_list", F.col("_items_before") + F.col("_i"), "_item"),
+        F.when(F.col("_issue").isNotNull(), entry("issue_list", F.col("_issues_before") + F.col("_k"), "_issue")))).alias("e"))
+    chunks = (rows.filter(F.col("e").isNotNull())
+              .groupBy("project_id", F.col("e.fragment").alias("fragment"),
+                       F.expr(f"(e.n - 1) div {int(chunk_lines)}").cast("bigint").alias("chunk_no"))
+              .agg(F.array_sort(F.collect_list(F.struct("e.n", "e.html"))).alias("_l"))
+              .select("project_id", "fragment", "chunk_no", F.array_join(F.transform("_l", lambda x: x["html"]), "").alias("html")))
+    issues = files.groupBy("project_id").agg(F.sum("_issues").alias("_n"))
+    if projects is not None:
+        issues = projects.select("project_id").join(issues, "project_id", "left")
+    fallback = issues.filter(F.coalesce(F.col("_n"), F.lit(0)) == 0).select(
+        "project_id", F.lit("issue_list").alias("fragment"), F.lit(0).cast("bigint").alias("chunk_no"),
+        F.lit(fv.NO_ISSUES_ITEM).alias("html"))
+    return chunks.unionByName(fallback)

@@ -102,10 +102,16 @@ def totals_from_rollup(rollup: DataFrame) -> DataFrame:
         F.sum("issue_lines").cast("bigint").alias("issues"))
 
 
-def kpis_from(totals: DataFrame, enriched: DataFrame, project_start, as_of=None) -> DataFrame:
+def kpis_from(totals: DataFrame, enriched: DataFrame, project_start, as_of=None,
+              projects: DataFrame | None = None) -> DataFrame:
     """totals: project_id, total_units, bom_lines, issues; enriched: the
     summary with its lookup.  Both sides are one row per project after their
-    own aggregates, already partitioned by project_id."""
+    own aggregates, already partitioned by project_id.  ``projects``: the project list; a
+    project of it without any line gets a row of zeros, so every table, prompt and
+    page built on the KPI rows holds it."""
+    if projects is not None:
+        totals = projects.select("project_id").distinct().join(totals, "project_id", "left").select(
+            "project_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total_units", "bom_lines", "issues")])
     e = with_project_start(enriched, project_start, as_of)
     deadline = order_by_ts(F.col("project_start"), F.col("lead_max_weeks"))
     critical = is_critical(lead_status(days_until(deadline, as_of_col(as_of))))

@@ -35,6 +35,12 @@ def fixed_as_of(spark, as_of=None):
     return spark.range(1).select(F.localtimestamp()).first()[0] if as_of is None else as_of
 
 
+def run_info(spark, as_of):
+    """One row: as_of, the instant all tables of a run are made for, and default_start, the
+    start of projects that have none.  ``as_of`` must be fixed (``fixed_as_of``)."""
+    return spark.range(1).select(as_of_col(as_of).alias("as_of"), default_project_start(as_of).alias("default_start"))
+
+
 def with_project_start(df: DataFrame, project_start, as_of=None) -> DataFrame:
     """project_start is a Column (per-row expression, e.g. of project_id),
     a DataFrame(project_id, project_start) joined on project_id, or None

@@ -152,22 +152,23 @@ def bom_analytics(*extra: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def kpis_cte() -> str:
+def kpis_cte(src: str = "bom", spine: str = "lines_k") -> str:
     deadline = f"({start_sql()} - to_days(CAST(7 * lead_max_weeks AS INTEGER)))"
     days = f"floor((epoch_us({deadline}) - epoch_us({AS_OF_SQL})) / 86400000000.0)"
     return f"""lines_k AS (
   SELECT project_id, CAST(SUM("count") AS BIGINT) AS total_units, COUNT(*) AS bom_lines,
-         COUNT(*) FILTER (WHERE {issues_sql()} <> '') AS issues FROM bom GROUP BY project_id),
+         COUNT(*) FILTER (WHERE {issues_sql()} <> '') AS issues FROM {src} GROUP BY project_id),
 fam_k AS (
   SELECT project_id, COUNT(*) AS families, CAST(SUM(unit_cost * "count") AS BIGINT) AS total_spend,
          COUNT(*) FILTER (WHERE {days} < {fv.CRITICAL_DAYS}) AS critical_items
   FROM enriched GROUP BY project_id),
 kpis AS (
-  SELECT l.project_id, l.total_units, l.bom_lines, l.issues,
-         CAST(coalesce(f.families, 0) AS BIGINT) AS families,
+  SELECT p.project_id, coalesce(l.total_units, 0) AS total_units, coalesce(l.bom_lines, 0) AS bom_lines,
+         coalesce(l.issues, 0) AS issues, CAST(coalesce(f.families, 0) AS BIGINT) AS families,
          CAST(coalesce(f.total_spend, 0) AS BIGINT) AS total_spend,
          CAST(coalesce(f.critical_items, 0) AS BIGINT) AS critical_items
-  FROM lines_k l LEFT JOIN fam_k f USING (project_id))"""
+  FROM (SELECT DISTINCT project_id FROM {spine}) p LEFT JOIN lines_k l USING (project_id)
+  LEFT JOIN fam_k f USING (project_id))"""
 
 
 def kpis_sql() -> str:
@@ -193,7 +194,8 @@ def _const(section: int, lines: list[str]) -> str:
         f"CAST({i} AS BIGINT) AS line_no, {ln} AS line FROM kpis" for i, ln in enumerate(lines))
 
 
-def report_sql() -> str:
+def report_select() -> str:
+    """The report lines, from kpis, lead, delivery, spend, summary and bom."""
     h = fv.REPORT_HEADINGS
     gen = f"'Generated: ' || strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M')"
     rn = "row_number() OVER (PARTITION BY project_id ORDER BY {})"
@@ -222,8 +224,11 @@ def report_sql() -> str:
         f"""SELECT project_id, 7, {vc('file_id')}, line_no + 1, family || ' | Type: ' || type || ' | Panel: '
   || panel_name || ' | Level: ' || level || ' | Qty: ' || {vc('"count"')} FROM bom""",
     ]
-    return (bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte())
-            + "\nUNION ALL ".join(parts))
+    return "\nUNION ALL ".join(parts)
+
+
+def report_sql() -> str:
+    return bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte()) + report_select()
 
 
 def fragments_cte() -> str:
@@ -265,38 +270,77 @@ def _fixed_part_rows(parts: list[tuple[int, str]], name: str) -> str:
         "FROM kpis" for n, t in parts)
 
 
-def documents_sql() -> str:
+ITEM_SQL = (f"'<div class=''item-row''><strong>' || {esc_sql('family')} || '</strong> — ' || {esc_sql('type')}"
+            f" || '<br><small>Panel: ' || {esc_sql('panel_name')} || ' | Level: ' || {esc_sql('level')}"
+            f" || ' | Qty: ' || {vc('"count"')} || '</small></div>'")
+ISSUE_SQL = f"'<li>' || {esc_sql('family')} || ' (' || {esc_sql('type')} || '): ' || {esc_sql('issues')} || '</li>'"
+
+
+def cards_cte(src: str, position: str) -> str:
+    """cards(project_id, fragment, chunk_no, html) of the lines of ``src`` and the projects of ``kpis``."""
+    return f"""card_rows AS (
+  SELECT project_id, 'item_list' AS fragment, {vc('file_id')} AS f, {position} AS p, {ITEM_SQL} AS html FROM {src}
+  UNION ALL
+  SELECT project_id, 'issue_list', {vc('file_id')}, {position}, {ISSUE_SQL} FROM {src} WHERE issues <> ''),
+card_num AS (
+  SELECT project_id, fragment, html,
+         row_number() OVER (PARTITION BY project_id, fragment ORDER BY f, p, html) - 1 AS rn0 FROM card_rows),
+cards AS (
+  SELECT project_id, fragment, CAST(rn0 // {CHUNK_LINES} AS BIGINT) AS chunk_no, string_agg(html, '' ORDER BY rn0) AS html
+  FROM card_num GROUP BY project_id, fragment, rn0 // {CHUNK_LINES}
+  UNION ALL
+  SELECT project_id, 'issue_list', CAST(0 AS BIGINT), {q(fv.NO_ISSUES_ITEM)} FROM kpis
+  WHERE project_id NOT IN (SELECT project_id FROM {src} WHERE issues <> ''))"""
+
+
+def pages_select() -> str:
+    """The parts of every page, from kpis, fragments and cards."""
     gen = f"strftime({AS_OF_SQL}, '%Y-%m-%d %H:%M')"
     t = fv.HTML_TITLE
-    head = " || ".join([
+
+    def head(*names):
+        return "<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"
+
+    def indent(rows):
+        return f"CASE WHEN {rows} = 0 THEN {q(chr(10) + '  ')} ELSE '' END || "
+
+    card = '</div>\n<div class="card">\n  '
+    first = " || ".join([
         q(f"<!DOCTYPE html>\n<html><head><meta charset='UTF-8'>\n<title>{t}</title>\n</head>\n<body>\n"
           f"<h1>⚡ {t}</h1>\n<p>Generated: "), gen, q("</p>\n<div class=\"stat-grid\">\n"),
         q('  <div class="stat"><h2>'), vc("total_units"), q("</h2><p>Total Units</p></div>\n"),
         q('  <div class="stat"><h2>'), vc("bom_lines"), q("</h2><p>BOM Lines</p></div>\n"),
         q('  <div class="stat"><h2>'), vc("issues"), q("</h2><p>Issues</p></div>\n"),
         q('  <div class="stat"><h2>$'), thousands_sql("total_spend"), q("</h2><p>Est. Spend</p></div>\n"),
-        q('</div>\n<div class="card">\n  <h2>⏱️ Lead Time Estimator</h2>\n'
-          "  <table><tr><th>Status</th><th>Family</th><th>Lead Time</th><th>Order By</th></tr>\n  ")])
+        q(card + "<h2>⏱️ Lead Time Estimator</h2>\n  " + head("Status", "Family", "Lead Time", "Order By"))])
     fixed = _fixed_part_rows([
-        (0, head),
-        (2, q('</table>\n</div>\n<div class="card">\n  <h2>🚚 Delivery Sequence by Floor</h2>\n'
-              "  <table><tr><th>Phase</th><th>Level</th><th>Units</th><th>Recommended Action</th></tr>\n  ")),
-        (4, q('</table>\n</div>\n<div class="card">\n  <h2>💰 Spend Estimation (Indicative)</h2>\n'
-              "  <p><strong>Total estimated procurement value: ") + " || " + money_sql("total_spend") + " || "
-            + q(" USD</strong></p>\n  <table><tr><th>Tier</th><th>Family</th><th>Qty</th><th>Unit Cost</th>"
-                "<th>Total</th></tr>\n  ")),
-        (6, q('</table>\n</div>\n<div class="card">\n  <h2>📦 Summary by Family</h2>\n  <ul>')),
-        (8, q("</ul>\n</div>\n</body></html>")),
+        (0, first),
+        (2, indent("families") + q("</table>\n" + card + "<h2>🚚 Delivery Sequence by Floor</h2>\n  "
+                                   + head("Phase", "Level", "Units", "Recommended Action"))),
+        (4, indent("bom_lines") + q("</table>\n" + card + "<h2>💰 Spend Estimation (Indicative)</h2>\n"
+                                    "  <p><strong>Total estimated procurement value: ") + " || "
+            + money_sql("total_spend") + " || " + q(" USD</strong></p>\n  " + head("Tier", "Family", "Qty", "Unit Cost", "Total"))),
+        (6, indent("families") + q("</table>\n" + card + "<h2>📦 Summary by Family</h2>\n  <ul>")),
+        (8, q("</ul>\n" + card + "<h2>⚠️ Data Quality Issues</h2>\n  <ul>")),
+        (10, q("</ul>\n" + card + "<h2>📋 Detailed BOM (") + " || " + vc("bom_lines") + " || " + q(" lines)</h2>\n  <div>")),
+        (12, q("</div>\n</div>\n</body></html>")),
     ], "html")
     part = ("CAST(CASE fragment WHEN 'lead_rows' THEN 1 WHEN 'seq_rows' THEN 3 WHEN 'spend_rows' THEN 5 "
-            "WHEN 'family_list' THEN 7 END AS INTEGER)")
-    return (bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte(), fragments_cte())
-            + fixed + f"\nUNION ALL SELECT project_id, {part}, chunk_no, html FROM fragments")
+            "WHEN 'family_list' THEN 7 WHEN 'issue_list' THEN 9 WHEN 'item_list' THEN 11 END AS INTEGER)")
+    before = f"CASE WHEN chunk_no = 0 AND contains(fragment, '_rows') THEN {q(chr(10) + '  ')} ELSE '' END"
+    return (fixed + f"\nUNION ALL SELECT project_id, {part}, chunk_no, {before} || html FROM "
+            "(SELECT * FROM fragments UNION ALL SELECT * FROM cards)")
 
 
-def prompts_sql() -> str:
+def documents_sql() -> str:
+    lines = f"card_lines AS (SELECT *, {issues_sql()} AS issues FROM bom)"
+    return bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte(), fragments_cte(), lines,
+                         cards_cte("card_lines", "line_no")) + pages_select()
+
+
+def prompts_select() -> str:
+    """The parts of every prompt, from kpis and pt."""
     nl = "chr(10)"
-    crit = f"regexp_matches(status, {q(fv.CRITICAL_PATTERN)})"
     head = " || ".join([
         q(fv.PROMPT_HEAD + "\n"),
         "'- Total units: '", vc("total_units"), nl,
@@ -307,50 +351,94 @@ def prompts_sql() -> str:
     ])
     fixed = _fixed_part_rows([
         (0, head),
-        (2, q("\n\n" + fv.PROMPT_CRITICAL + "\n")),
-        (4, q("\n\n" + fv.PROMPT_SEQUENCE + "\n")),
-        (6, q("\n\n" + fv.PROMPT_TASKS)),
+        (2, q("\n" + fv.PROMPT_CRITICAL + "\n")),
+        (4, q("\n" + fv.PROMPT_SEQUENCE + "\n")),
+        (6, q("\n" + fv.PROMPT_TASKS)),
     ], "prompt")
     header = ("CASE part WHEN 'family' THEN 'Family | Count' "
               "WHEN 'critical' THEN 'Family | Lead Time Max (wks) | Order By Date' "
               "ELSE 'Level | Total Units | Recommended Action' END")
     part = "CAST(CASE part WHEN 'family' THEN 1 WHEN 'critical' THEN 3 ELSE 5 END AS INTEGER)"
-    return bom_analytics(lead_cte(), delivery_cte(), kpis_cte(), f"""pl AS (
+    none = "\n".join(
+        f"""UNION ALL SELECT project_id, CAST({n} AS INTEGER), CAST(0 AS BIGINT), {q(fv.NONE_IDENTIFIED)} || {nl} FROM kpis
+  WHERE project_id NOT IN (SELECT project_id FROM pt WHERE part = '{name}')"""
+        for n, name in ((1, "family"), (3, "critical"), (5, "sequence")))
+    return fixed + f"""
+UNION ALL SELECT project_id, {part}, chunk_no,
+  CASE WHEN chunk_no = 0 THEN {header} || {nl} ELSE '' END || txt || {nl} FROM pt
+{none}"""
+
+
+def prompts_cte() -> str:
+    return f"""pl AS (
   SELECT project_id, 'family' AS part, -"count" AS k1, family AS k2, family || ' | ' || {vc('"count"')} AS line FROM summary
   UNION ALL
   SELECT project_id, 'critical', days_until_deadline, family,
-         family || ' | ' || {vc('lead_max_weeks')} || ' | ' || {vc('order_by_date')} FROM lead WHERE {crit}
+         family || ' | ' || {vc('lead_max_weeks')} || ' | ' || {vc('order_by_date')} FROM lead
+  WHERE regexp_matches(status, {q(fv.CRITICAL_PATTERN)})
   UNION ALL
   SELECT project_id, 'sequence', delivery_phase, '',
          level || ' | ' || {vc('total_units')} || ' | ' || recommended_action FROM delivery),
 pn AS (SELECT project_id, part, line,
               (row_number() OVER (PARTITION BY project_id, part ORDER BY k1, k2, line) - 1) AS rn0 FROM pl),
 pt AS (SELECT project_id, part, CAST(rn0 // {CHUNK_LINES} AS BIGINT) AS chunk_no,
-              string_agg(line, {nl} ORDER BY rn0) AS txt FROM pn GROUP BY project_id, part, rn0 // {CHUNK_LINES})""") + \
-        fixed + f"""
-UNION ALL SELECT project_id, {part}, chunk_no,
-  CASE WHEN chunk_no = 0 THEN {header} || {nl} ELSE {nl} END || txt FROM pt
-UNION ALL SELECT project_id, CAST(3 AS INTEGER), CAST(0 AS BIGINT), {q(fv.NONE_IDENTIFIED)} FROM kpis
-  WHERE project_id NOT IN (SELECT project_id FROM pt WHERE part = 'critical')"""
+              string_agg(line, chr(10) ORDER BY rn0) AS txt FROM pn GROUP BY project_id, part, rn0 // {CHUNK_LINES})"""
+
+
+def prompts_sql() -> str:
+    return bom_analytics(lead_cte(), delivery_cte(), kpis_cte(), prompts_cte()) + prompts_select()
 
 
 def html_items_sql() -> str:
-    item = (f"'<div class=''item-row''><strong>' || {esc_sql('family')} || '</strong> — ' || {esc_sql('type')}"
-            f" || '<br><small>Panel: ' || {esc_sql('panel_name')} || ' | Level: ' || {esc_sql('level')}"
-            f" || ' | Qty: ' || {vc('"count"')} || '</small></div>'")
-    issue = f"'<li>' || {esc_sql('family')} || ' (' || {esc_sql('type')} || '): ' || {esc_sql('issues')} || '</li>'"
     return f"""WITH {BOM},
 b AS (SELECT *, {issues_sql()} AS issues FROM bom)
-SELECT project_id, 'item' AS kind, {vc('file_id')} AS file_id, line_no, {item} AS html FROM b
+SELECT project_id, 'item' AS kind, {vc('file_id')} AS file_id, line_no, {ITEM_SQL} AS html FROM b
 UNION ALL
-SELECT project_id, 'issue', {vc('file_id')}, line_no, {issue} FROM b WHERE issues <> ''
+SELECT project_id, 'issue', {vc('file_id')}, line_no, {ISSUE_SQL} FROM b WHERE issues <> ''
 UNION ALL
 SELECT project_id, 'issue', CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), {q(fv.NO_ISSUES_ITEM)}
 FROM b GROUP BY project_id HAVING COUNT(*) FILTER (WHERE issues <> '') = 0"""
 
 
+def digest_ctes() -> str:
+    """digests(project_id, document, pieces, bytes, digest) of texts(project_id, document, mark, doc): the sum of
+    md5 numbers of the pieces times rising powers of 1000003 modulo 2^31 - 1."""
+    return """pieces AS (
+  SELECT project_id, document, unnest(list_slice(string_split(doc, mark), 1, -2)) AS piece,
+         unnest(range(len(string_split(doc, mark)) - 1)) AS j FROM texts),
+squares AS (
+  SELECT list_transform(range(24), lambda i: list_reduce(range(i), lambda a, k: a * a % 2147483647, CAST(1000003 AS BIGINT))) AS sq),
+terms AS (
+  SELECT project_id, document, CAST('0x' || substr(md5(piece), 1, 7) AS BIGINT) * list_reduce(
+           list_transform(range(24), lambda i: CASE WHEN (j >> i) & 1 = 1 THEN sq[i + 1] ELSE 1 END),
+           lambda a, x: a * x % 2147483647) % 2147483647 AS term
+  FROM pieces, squares),
+digests AS (
+  SELECT t.project_id, t.document, n AS pieces, bytes, digest FROM
+    (SELECT project_id, document, COUNT(*) AS n, CAST(SUM(term) % 2147483647 AS BIGINT) AS digest FROM terms GROUP BY ALL) t
+  JOIN (SELECT project_id, document, CAST(strlen(doc) AS BIGINT) AS bytes FROM texts) USING (project_id, document))"""
+
+
+def written_sql() -> str:
+    lines = f"card_lines AS (SELECT *, {issues_sql()} AS issues FROM bom)"
+    ctes = bom_analytics(lead_cte(), delivery_cte(), SPEND, kpis_cte(), fragments_cte(), lines,
+                         cards_cte("card_lines", "line_no"), prompts_cte(),
+                         f"page_parts AS ({pages_select()})", f"prompt_parts AS ({prompts_select()})",
+                         f"report_lines AS ({report_select()})", """texts AS MATERIALIZED (
+  SELECT project_id, 'page' AS document, '>' AS mark, string_agg(html, '' ORDER BY part_no, chunk_no) AS doc
+  FROM page_parts GROUP BY project_id
+  UNION ALL
+  SELECT project_id, 'prompt', chr(10), string_agg(prompt, '' ORDER BY part_no, chunk_no) FROM prompt_parts GROUP BY project_id
+  UNION ALL
+  SELECT project_id, 'report', chr(10),
+         string_agg(line || chr(10), '' ORDER BY section_no, file_id NULLS FIRST, line_no, line)
+  FROM report_lines GROUP BY project_id)""", digest_ctes())
+    return ctes + "SELECT *, true AS same FROM digests"
+
+
 def report_queries() -> dict[str, str]:
     return {
+        "written_documents": written_sql(),
         "html_items": html_items_sql(),
         "report_lines": report_sql(),
         "html_fragments": fragments_sql(),
@@ -435,6 +523,57 @@ raw AS MATERIALIZED (
   FROM files JOIN nbody USING (file_id) WHERE NOT ({rv}))"""
 
 
+def odd_raw_ctes() -> str:
+    """files, raw(project_id, file_id, row_idx, cells) of the odd schedules."""
+    rv = "(project_id + file_id % 4) % 2 = 0"
+    nb, em = "chr(160)", "chr(8195)"
+    gurtz = "['Level', 'Location', 'Mains', 'Panel Name', 'Bus', 'Type']"
+    return f"""odd AS (
+  SELECT l_suppkey AS project_id, l_suppkey * 4 + l_orderkey % 3 AS file_id, l_orderkey * 8 + l_linenumber AS k,
+    l_linenumber AS ln, l_partkey AS pk, l_suppkey % 13 = 0 AS clean,
+    CASE l_partkey % 11 WHEN 0 THEN 'NA' WHEN 1 THEN ' N/A' WHEN 2 THEN {em} || p_name || {nb}
+         WHEN 3 THEN 'Big' || chr(10) || p_name WHEN 4 THEN '"A", ' || p_name WHEN 5 THEN '  ' ELSE p_name END AS fam,
+    CASE WHEN l_suppkey % 13 = 0 THEN p_brand WHEN l_partkey % 7 = 0 THEN 'nan' WHEN l_partkey % 7 = 1 THEN 'null'
+         WHEN l_partkey % 7 = 2 THEN {nb} ELSE p_brand END AS typ,
+    CASE WHEN l_suppkey % 13 <> 0 AND l_partkey % 5 = 0 THEN '#N/A' ELSE 'P-' || l_partkey END AS pan,
+    CASE l_linenumber WHEN 1 THEN 'Basement B1' WHEN 2 THEN 'B2' WHEN 3 THEN 'Level 3' WHEN 4 THEN 'Level 12'
+         WHEN 5 THEN 'Mezzanine' WHEN 6 THEN 'Roof' ELSE CASE WHEN l_suppkey % 13 = 0 THEN 'Level 9' ELSE '' END END AS lvl,
+    CASE (l_orderkey + l_linenumber) % 16 WHEN 0 THEN '1e3' WHEN 1 THEN '2.7' WHEN 2 THEN '-3' WHEN 3 THEN '1,000'
+         WHEN 4 THEN {nb} || '12' || {nb} WHEN 5 THEN '' WHEN 6 THEN 'inf' WHEN 7 THEN '.5'
+         ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS cnt
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+files AS (SELECT DISTINCT project_id, file_id FROM odd),
+heads AS (
+  SELECT project_id, file_id, CASE
+    WHEN project_id % 17 = 0 THEN [['Item', 'Kind', 'Board', 'Floor', 'Qty']]
+    WHEN {rv} AND file_id % 6 % 2 = 0 THEN [['Family', 'Type', 'Panel Name', 'Level', 'Count']]
+    WHEN {rv} THEN [[{nb} || 'FAMILY ', 'Type', 'Panel Name', 'Level', 'Count']]
+    ELSE CASE file_id % 6 WHEN 1 THEN [['Type', 'Level', 'Location', 'Panel Name', 'Bus', 'Type']]
+      WHEN 2 THEN [['Level', 'Location', 'Mains', 'Panel Name', 'Bus', 'Kind']]
+      WHEN 3 THEN [['Level', '', '', '', '', ''], {gurtz}]
+      WHEN 4 THEN [[{nb} || 'LEVEL ', 'Location', 'Mains', ' PANEL NAME' || {em}, 'Bus', 'TYPE']]
+      WHEN 5 THEN [['Level', 'Location', 'Level', 'Panel Name', 'Bus', 'Type']]
+      ELSE [{gurtz}] END END AS h
+  FROM files),
+body AS (
+  SELECT project_id, file_id, k, CASE
+    WHEN {rv} THEN CASE WHEN ln = 6 AND pk % 3 = 0 THEN [fam, typ, pan, lvl]
+                        WHEN pk % 8 = 7 THEN [fam, typ, pan, lvl, cnt, 'x'] ELSE [fam, typ, pan, lvl, cnt] END
+    WHEN file_id % 6 = 1 THEN ['old', lvl, 'Elec Rm', pan, '100', typ]
+    WHEN file_id % 6 = 5 THEN ['x', 'Elec Rm', lvl, pan, '100', typ]
+    ELSE [lvl, 'Elec Rm', 'MLO', pan, '100', typ] END AS cells FROM odd),
+raw AS MATERIALIZED (
+  SELECT project_id, file_id, CAST(0 AS INTEGER) AS row_idx,
+    CASE WHEN {rv} THEN ['Electrical Equipment Schedule', '', '', '', 'Révision A']
+         ELSE ['', '', '', 'PANELBOARD SCHEDULE', '', 'Révision A'] END AS cells FROM files
+  UNION ALL
+  SELECT project_id, file_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER), unnest(h) FROM heads
+  UNION ALL
+  SELECT b.project_id, b.file_id,
+    CAST(len(h) + row_number() OVER (PARTITION BY b.file_id ORDER BY k, cells) AS INTEGER), cells
+  FROM body b JOIN heads USING (file_id))"""
+
+
 def na_sql(c: str) -> str:
     return f"CASE WHEN {c} IN {_in_list(fv.NA_TOKENS)} THEN NULL ELSE {c} END"
 
@@ -512,6 +651,44 @@ lines AS (
   WHERE CASE WHEN layout = 'gurtz' THEN {keep_g} ELSE {keep_r} END)"""
 
 
+REJECTS_SQL = f"""SELECT project_id, file_id, CASE WHEN layout = 'gurtz' THEN {q(fv.REJECT_NO_LEVEL)} ELSE {q(fv.REJECT_NO_FAMILY)} END AS reason
+FROM header WHERE header_idx IS NULL"""
+
+
+LAYOUT_SUMMARY = """summary AS MATERIALIZED (
+  SELECT project_id, CASE WHEN layout = 'gurtz' THEN level ELSE family END AS family, CAST(SUM("count") AS BIGINT) AS "count"
+  FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL)"""
+
+
+def odd_queries() -> dict[str, str]:
+    hdr = "WITH " + odd_raw_ctes() + ",\n" + header_ctes()
+    tables = ",\n".join([hdr, bom_lines_ctes().replace("\nlines AS (", "\nlines AS MATERIALIZED ("), LAYOUT_SUMMARY,
+                         lookup_ctes(), ENRICHED, lead_cte(), SPEND, delivery_cte("lines"), kpis_cte("lines", "files")])
+    parts = ",\n".join([tables, fragments_cte(), cards_cte("lines", "row_idx"), prompts_cte(),
+                        f"page_parts AS ({pages_select()})", f"prompt_parts AS ({prompts_select()})"])
+    digests = "\nUNION ALL ".join(
+        digest_sql(name, src, columns).replace(" AS digest FROM", " AS digest, true AS files_bounded FROM")
+        for name, (src, columns) in table_columns().items() if name in PROJECT_TABLES)
+    return {
+        "all_projects_kpis": tables + "\nSELECT * FROM kpis",
+        "write_by_project": tables + "\n" + digests,
+        "all_projects_documents": parts + """
+SELECT 'page' AS document, project_id, part_no, chunk_no, html AS text FROM page_parts
+UNION ALL SELECT 'prompt', project_id, part_no, chunk_no, prompt FROM prompt_parts""",
+        "upload_audit": hdr + ",\n" + bom_lines_ctes() + f"""
+SELECT h.project_id, h.file_id, CASE
+    WHEN h.file_id % 5 IN (0, 1) THEN 'Files and folders whose name starts with _ or . are not read'
+    WHEN header_idx IS NOT NULL THEN 'read' WHEN layout = 'gurtz' THEN {q(fv.REJECT_NO_LEVEL)}
+    ELSE {q(fv.REJECT_NO_FAMILY)} END AS outcome,
+  CASE WHEN h.file_id % 5 IN (0, 1) THEN 0 ELSE coalesce(n, 0) END AS lines
+FROM header h LEFT JOIN (SELECT file_id, COUNT(*) AS n FROM lines GROUP BY file_id) USING (file_id)""",
+        "odd_ingest_rows": hdr + "\n" + flat_sql("na"),
+        "odd_header_locate": hdr + "\nSELECT * FROM header WHERE header_idx IS NOT NULL",
+        "odd_file_rejects": hdr + "\n" + REJECTS_SQL,
+        "odd_clean_bom": hdr + ",\n" + bom_lines_ctes() + "\nSELECT * FROM lines",
+    }
+
+
 def clean_queries() -> dict[str, str]:
     raw = "WITH " + raw_ctes()
     hdr = raw + ",\n" + header_ctes()
@@ -534,14 +711,14 @@ FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL""",
     }
 
 
-def write_tables_sql() -> str:
-    """Rows and digest of each table that an analysis of the files writes."""
-    parts = [raw_ctes(), header_ctes(), bom_lines_ctes().replace("\nlines AS (", "\nlines AS MATERIALIZED ("), """summary AS MATERIALIZED (
-  SELECT project_id, CASE WHEN layout = 'gurtz' THEN level ELSE family END AS family, CAST(SUM("count") AS BIGINT) AS "count"
-  FROM lines WHERE NOT (layout = 'gurtz' AND level = '') GROUP BY ALL)""",
-             lookup_ctes(), ENRICHED, lead_cte(), SPEND, delivery_cte("lines")]
+PROJECT_TABLES = ["Clean_BOM", "Summary_by_Family", "Data_Quality_Log", "Lead_Time_Estimator", "Delivery_Sequence",
+                  "Spend_Estimation"]
+
+
+def table_columns() -> dict[str, tuple[str, list[str]]]:
+    """Result table -> (where its rows are, its columns in the order of their names)."""
     line = ["count", "family", "file_id", "layout", "level", "panel_name", "project_id", "row_idx", "type"]
-    tables = {
+    return {
         "Clean_BOM": ("lines", line),
         "Summary_by_Family": ("summary", ["count", "family", "project_id"]),
         "Data_Quality_Log": ("lines WHERE issues <> ''", sorted([*line, "issues"])),
@@ -549,15 +726,24 @@ def write_tables_sql() -> str:
                                          "order_by_date", "project_id", "status"]),
         "Delivery_Sequence": ("delivery", ["delivery_phase", "level", "project_id", "recommended_action", "total_units"]),
         "Spend_Estimation": ("spend", ["count", "estimated_total", "family", "project_id", "spend_tier", "unit_cost"]),
-        "Rejected_Files": (f"""(SELECT project_id, file_id, CASE WHEN layout = 'gurtz' THEN {q(fv.REJECT_NO_LEVEL)}
-  ELSE {q(fv.REJECT_NO_FAMILY)} END AS reason FROM header WHERE header_idx IS NULL)""", ["file_id", "project_id", "reason"]),
+        "Rejected_Files": (f"({REJECTS_SQL})", ["file_id", "project_id", "reason"]),
+        "Run": (f"(SELECT {AS_OF_SQL} AS as_of, CAST(CAST({AS_OF_SQL} + to_days(140) AS DATE) AS TIMESTAMP) AS default_start)",
+                ["as_of", "default_start"]),
     }
-    selects = []
-    for name, (src, columns) in tables.items():
-        row = "concat_ws('|', " + ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '~')" for c in columns) + ")"
-        selects.append(f"SELECT {q(name)} AS table_name, COUNT(*) AS \"rows\", "
-                       f"CAST(coalesce(SUM(CAST('0x' || substr(md5({row}), 1, 10) AS BIGINT)), 0) AS VARCHAR) AS digest FROM {src}")
-    return "WITH " + ",\n".join(parts) + "\n" + "\nUNION ALL ".join(selects)
+
+
+def digest_sql(name: str, src: str, columns: list[str]) -> str:
+    row = "concat_ws('|', " + ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '~')" for c in columns) + ")"
+    return (f"SELECT {q(name)} AS table_name, COUNT(*) AS \"rows\", "
+            f"CAST(coalesce(SUM(CAST('0x' || substr(md5({row}), 1, 10) AS BIGINT)), 0) AS VARCHAR) AS digest FROM {src}")
+
+
+def write_tables_sql() -> str:
+    """Rows and digest of each table that an analysis of the files writes."""
+    parts = [raw_ctes(), header_ctes(), bom_lines_ctes().replace("\nlines AS (", "\nlines AS MATERIALIZED ("), LAYOUT_SUMMARY,
+             lookup_ctes(), ENRICHED, lead_cte(), SPEND, delivery_cte("lines")]
+    return "WITH " + ",\n".join(parts) + "\n" + "\nUNION ALL ".join(
+        digest_sql(name, src, columns) for name, (src, columns) in table_columns().items())
 
 
 # The built-in catalogue, spelled out: (keyword, weeks from, weeks to, USD), in order.
@@ -601,6 +787,10 @@ def oracle_sql() -> dict[str, str]:
     out.update(clean_queries())
     out.update(report_queries())
     out.update(catalogue_queries())
+    out.update(odd_queries())
     out["write_tables"] = write_tables_sql()
+    out["run_instant"] = f"""WITH {BOM},\n{SUMMARY}
+SELECT project_id, COUNT(*) AS families, true AS critical_same, true AS start_same, true AS page_same
+FROM summary GROUP BY project_id"""
     out["stream_ingest"] = out["clean_bom"]
     return out

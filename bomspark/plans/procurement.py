@@ -13,16 +13,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bomspark.operators import lookup, planning, summary
 from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import DEFAULT_PROFILE
 from bomspark.operators.quality import issue_log, with_issues
-from bomspark.operators.timing import fixed_as_of
+from bomspark.operators.timing import fixed_as_of, run_info
 from bomspark.session import materialise  # noqa: F401  (re-exported)
 from bomspark.sources.catalogue import default_catalogue
 from bomspark.sources.csv_records import parse_grids
-from bomspark.sources.files import CSV_GLOB, decode_content, read_schedule_files, unlisted_files
+from bomspark.sources.files import CSV_GLOB, decode_content, list_files, read_schedule_files, unlisted_files
+
+OUTCOME_READ = "read"
 
 
 @dataclass
@@ -38,6 +41,9 @@ class Analysis:
     total_spend: DataFrame
     kpis: DataFrame
     rejects: DataFrame | None = None
+    # the project list of the run (None: the projects of the lines) and its instant
+    projects: DataFrame | None = None
+    run: DataFrame | None = None
     # rows of the largest project in the rollup: bounds every per-project
     # table (pass as ``bound`` to the report builders); None if not measured
     group_bound: int | None = None
@@ -46,7 +52,7 @@ class Analysis:
 
 def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_start=None,
                 as_of=None, gurtz_key: str = "level", profile=None,
-                persist_rollup: bool = True) -> Analysis:
+                persist_rollup: bool = True, projects: DataFrame | None = None) -> Analysis:
     """bom: project_id, family, type, panel_name, level, count [, layout, ...].
 
     project_start: Column, DataFrame(project_id, project_start), a literal,
@@ -54,6 +60,8 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
     persist_rollup writes the per-(project, key, level) rollup once (one
     pass over the lines) so summary, delivery and KPIs never rescan them, and
     the looked-up summary once, so the keyword lookup runs once.
+    projects: DataFrame(project_id), the spine of the run: a project of it without any
+    line still has its KPI row, total, prompt, report and page, with the fallback texts.
     """
     if catalogue is None:
         catalogue = default_catalogue(bom.sparkSession)
@@ -85,8 +93,10 @@ def analyse_bom(bom: DataFrame, catalogue: DataFrame | None = None, project_star
         critical_items=planning.critical_items(lead),
         delivery=planning.delivery_sequence(b, summary.level_totals_from_rollup(r), bound),
         spend=spend,
-        total_spend=planning.total_spend(e),
-        kpis=summary.kpis_from(summary.totals_from_rollup(r), e, project_start, as_of),
+        total_spend=planning.total_spend(e, projects),
+        kpis=summary.kpis_from(summary.totals_from_rollup(r), e, project_start, as_of, projects),
+        projects=projects,
+        run=run_info(bom.sparkSession, as_of),
         group_bound=bound,
         extra={"rollup": r},
     )
@@ -101,10 +111,24 @@ def analyse_files(spark: SparkSession, path: str, catalogue: DataFrame | None =
                   persist_bom: bool = True, profile=None, persist_rollup: bool = True) -> Analysis:
     """``persist_bom``: the parsed files are written once, and lines and rejects
     both come from that copy; otherwise each table parses the files again.
-    Files that Spark's listing leaves out are among the rejects."""
+    Files that Spark's listing leaves out are among the rejects.  The projects of all
+    files, read or not, are the spine of the run."""
+    listed = materialise(list_files(spark, path, glob), "listing")
     grids = parse_grids(decode_content(read_schedule_files(spark, path, glob)))
     cleaned = clean_schedules(materialise(grids, "grids") if persist_bom else grids)
     bom = materialise(cleaned.bom_lines, "bom_lines") if persist_bom else cleaned.bom_lines
-    a = analyse_bom(bom, catalogue, project_start, as_of, gurtz_key, profile, persist_rollup)
-    a.rejects = cleaned.rejects.unionByName(unlisted_files(spark, path, glob))
+    a = analyse_bom(bom, catalogue, project_start, as_of, gurtz_key, profile, persist_rollup,
+                    listed.select("project_id").distinct())
+    a.rejects = cleaned.rejects.unionByName(unlisted_files(listed))
     return a
+
+
+def file_outcomes(headed: DataFrame, lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """project_id, file_id, outcome, lines — what became of every listed file: "read" with its
+    number of lines, or the reason it was rejected for.  A file is in the result once."""
+    from bomspark.operators.layout import rejects
+    told = rejects(headed).unionByName(unlisted_files(listed)).select("file_id", "reason")
+    counted = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"))
+    return (listed.select("project_id", "file_id").join(told, "file_id", "left").join(counted, "file_id", "left")
+            .select("project_id", "file_id", F.coalesce("reason", F.lit(OUTCOME_READ)).alias("outcome"),
+                    F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines")))

@@ -8,18 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.operators import layout, lookup, planning, quality, report, summary
 from bomspark.operators.clean import clean_schedules
 from bomspark.operators.lookup import match_keywords
+from bomspark.operators.ranking import row_number_in_group
+from bomspark.operators.timing import as_of_col
 from bomspark.sources.catalogue import catalogue_from_entries, default_catalogue
 from bomspark.sinks.csv_text import grids_to_files
 from bomspark.sources.csv_records import parse_grids
 from bomspark.sources.files import decode_content
 from bomspark.sources.tables import (AS_OF, TEST_CATALOGUE, bom_view, file_encoding, file_eol,
-                                     flat_cells, project_start_expr, raw_rows_of, read_table, schedule_grids)
+                                     flat_cells, odd_encoding, odd_schedules, project_start_expr, raw_rows_of, read_table,
+                                     schedule_grids)
 
 TEST_PROFILE = (len(TEST_CATALOGUE), sorted({len(k) for k, *_ in TEST_CATALOGUE}), True)
 
@@ -76,12 +79,13 @@ def q_catalogue_match_default(spark, sf_dir):
 
 
 def q_catalogue_match_large(spark, sf_dir):
-    """A catalogue of all part names and brands, beyond the CASE chain, and
-    attached to every part: equal rows stay."""
+    """A catalogue of all part names and brands, beyond the CASE chain and of many keyword
+    lengths, and attached to every part: equal rows stay."""
     part = read_table(spark, sf_dir, "part")
     words = part.select(F.explode(F.array(F.lower("p_name"), F.lower("p_brand"))).alias("keyword")).distinct()
     n = F.length("keyword")
-    cat = words.select(F.row_number().over(Window.orderBy("keyword")).alias("priority"), "keyword",
+    words = row_number_in_group(words.withColumn("all", F.lit(0)), ["all"], ["keyword"], "priority")
+    cat = words.select(F.col("priority").cast("int").alias("priority"), "keyword",
                        n.alias("min_weeks"), (n + 4).alias("max_weeks"), (n * 100).cast("bigint").alias("unit_cost"))
     rows = part.select("p_size", F.when(F.col("p_partkey") % 7 != 0, F.concat_ws(" ", "p_brand", "p_name")).alias("family"))
     return lookup.enrich(rows, cat)
@@ -149,6 +153,28 @@ def q_ingest_rows(spark, sf_dir):
     return flat_cells(raw_rows_of(ingested_grids(spark, sf_dir)), na=True)
 
 
+def odd_grids(spark, sf_dir):
+    """The odd schedules written as CSV bytes and read back."""
+    files = grids_to_files(odd_schedules(spark, sf_dir), odd_encoding(F.col("file_id")), file_eol(F.col("file_id")))
+    return parse_grids(decode_content(files))
+
+
+def q_odd_ingest_rows(spark, sf_dir):
+    return flat_cells(raw_rows_of(odd_grids(spark, sf_dir)), na=True)
+
+
+def q_odd_header_locate(spark, sf_dir):
+    return layout.file_header(odd_grids(spark, sf_dir))
+
+
+def q_odd_file_rejects(spark, sf_dir):
+    return clean_schedules(odd_grids(spark, sf_dir)).rejects
+
+
+def q_odd_clean_bom(spark, sf_dir):
+    return clean_schedules(odd_grids(spark, sf_dir)).bom_lines
+
+
 def q_layout_detect(spark, sf_dir):
     return layout.layouts(schedule_grids(spark, sf_dir))
 
@@ -214,7 +240,7 @@ def q_html_fragments(spark, sf_dir):
 def q_html_documents(spark, sf_dir):
     t = _Tables(spark, sf_dir)
     frags = report.html_fragments(t.lead, t.delivery, t.spend, t.summary, bound=t.bound)
-    return report.html_documents(t.kpis, frags, AS_OF)
+    return report.html_documents(t.kpis, frags, AS_OF, report.html_cards(quality.with_issues(t.bom)))
 
 
 def q_project_prompts(spark, sf_dir):
@@ -222,6 +248,33 @@ def q_project_prompts(spark, sf_dir):
     return report.project_prompts(t.kpis, t.summary, t.lead, t.delivery, bound=t.bound)
 
 
+def q_written_documents(spark, sf_dir):
+    """Pages, prompts and reports written as files, one folder per project, and read back:
+    size and digest of what storage holds, and whether it equals what was built."""
+    from bomspark.session import materialise, shared_dir
+    from bomspark.sinks import documents as d
+    t = _Tables(spark, sf_dir)
+    frags = report.html_fragments(t.lead, t.delivery, t.spend, t.summary, bound=t.bound)
+    pages = report.html_documents(t.kpis, frags, AS_OF, report.html_cards(quality.with_issues(t.bom)))
+    prompts = report.project_prompts(t.kpis, t.summary, t.lead, t.delivery, bound=t.bound)
+    lines = d.with_line_ends(report.report_lines(t.kpis, t.lead, t.delivery, t.spend, t.summary, t.bom, AS_OF, bound=t.bound))
+    out = None
+    for name, parts, value, order, end in (("page", pages, "html", d.PART_ORDER, d.TAG_END),
+                                           ("prompt", prompts, "prompt", d.PART_ORDER, d.LINE_END),
+                                           ("report", lines, "line", d.REPORT_ORDER, d.LINE_END)):
+        parts = materialise(parts, name)
+        path = d.write_documents(parts, shared_dir(spark, name + "s"), value, order, end=end)
+        stored = d.file_digests(spark, path, parts.schema["project_id"].dataType.simpleString(), end)
+        built = d.part_digests(parts, value, order, end).withColumnsRenamed(
+            {"pieces": "_pieces", "bytes": "_bytes", "digest": "_digest"})
+        same = F.coalesce((F.col("pieces") == F.col("_pieces")) & (F.col("bytes") == F.col("_bytes"))
+                          & (F.col("digest") == F.col("_digest")), F.lit(False))
+        found = stored.join(built, "project_id", "full").select(
+            "project_id", F.lit(name).alias("document"), "pieces", "bytes", "digest", same.alias("same"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def q_html_items(spark, sf_dir):
     return report.html_items(quality.with_issues(bom_view(spark, sf_dir)))
 
@@ -243,6 +296,98 @@ def q_write_tables(spark, sf_dir):
     return table_digests(read_tables(spark, paths))
 
 
+def _odd_analysis(spark, sf_dir):
+    """An analysis of the odd schedules whose spine is the project list of all files."""
+    from bomspark.plans.procurement import analyse_bom, materialise
+    grids = materialise(odd_grids(spark, sf_dir), "grids")
+    bom = materialise(clean_schedules(grids).bom_lines, "bom_lines")
+    return analyse_bom(bom, _catalogue(spark), project_start_expr(), AS_OF, profile=TEST_PROFILE,
+                       projects=layout.first_blocks(grids).select("project_id").distinct())
+
+
+def q_all_projects_kpis(spark, sf_dir):
+    """KPI rows of every project that sent files, also of those none of whose files could be read."""
+    return _odd_analysis(spark, sf_dir).kpis
+
+
+def q_all_projects_documents(spark, sf_dir):
+    """The parts of every such project's page and prompt, with the fallback texts."""
+    a = _odd_analysis(spark, sf_dir)
+    frags = report.html_fragments(a.lead_times, a.delivery, a.spend, a.summary, bound=a.group_bound)
+    pages = report.html_documents(a.kpis, frags, AS_OF, report.html_cards(a.bom_lines, a.projects))
+    prompts = report.project_prompts(a.kpis, a.summary, a.lead_times, a.delivery, bound=a.group_bound)
+    parts = ["project_id", "part_no", "chunk_no"]
+    return (pages.select(F.lit("page").alias("document"), *parts, F.col("html").alias("text"))
+            .unionByName(prompts.select(F.lit("prompt").alias("document"), *parts, F.col("prompt").alias("text"))))
+
+
+def q_run_instant(spark, sf_dir):
+    """An analysis as of now.  Its instant cannot be known beforehand, but every table must agree with the
+    one instant recorded with the run: the KPI row with the lead table, start dates with the default
+    start, and the page with the minute it was made."""
+    from bomspark.plans.procurement import analyse_bom
+    a = analyse_bom(bom_view(spark, sf_dir), _catalogue(spark), profile=TEST_PROFILE)
+    run = a.run.first()  # one row
+    as_of, start = as_of_col(run.as_of), as_of_col(run.default_start)
+    deadline = planning.order_by_ts(start, F.col("lead_max_weeks"))
+    lead = a.lead_times.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("families"), F.count_if(planning.is_critical(F.col("status"))).alias("critical"),
+        F.bool_and((F.col("order_by_date") == deadline.cast("date"))
+                   & (F.col("days_until_deadline") == planning.days_until(deadline, as_of))).alias("start_same"))
+    frags = report.html_fragments(a.lead_times, a.delivery, a.spend, a.summary, bound=a.group_bound)
+    made = report.html_documents(a.kpis, frags, run.as_of).filter("part_no = 0").select(
+        "project_id", F.col("html").contains(F.concat(F.lit("Generated: "), F.date_format(as_of, "yyyy-MM-dd HH:mm"), F.lit("<")))
+        .alias("page_same"))
+    return (a.kpis.select("project_id", "critical_items").join(lead, "project_id").join(made, "project_id")
+            .select("project_id", "families", (F.col("critical_items") == F.col("critical")).alias("critical_same"),
+                    "start_same", "page_same"))
+
+
+QUERY_FILE_ROWS = 200
+
+
+def q_write_by_project(spark, sf_dir):
+    """The tables of the odd schedules written with a folder per project, in files of few rows: rows
+    and digest of what reads back, and whether the files are no more than one a project and one
+    for every QUERY_FILE_ROWS rows."""
+    from bomspark.session import shared_dir
+    from bomspark.sinks.tables import clustered_tables, count_files, read_tables, table_digests, write_by_project
+    paths = write_by_project(clustered_tables(_odd_analysis(spark, sf_dir)), shared_dir(spark, "by-project"),
+                             file_rows=QUERY_FILE_ROWS)
+    read = read_tables(spark, paths)
+    held = None
+    for name, df in read.items():
+        one = df.agg(F.count_distinct("project_id").alias("projects"), F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("table_name"), "projects", "n")
+        held = one if held is None else held.unionByName(one)
+    fits = F.col("files") <= F.col("projects") + F.ceil(F.col("n") / QUERY_FILE_ROWS)
+    files = count_files(paths, spark).join(held, "table_name").select("table_name", fits.alias("files_bounded"))
+    return table_digests(read).join(files, "table_name")
+
+
+def q_upload_audit(spark, sf_dir):
+    """The odd schedules land as files, some in folders that Spark passes over (``_old``, ``.hid``) and some in one
+    that only looks like it (``_v=2``); every file is accounted for once."""
+    from bomspark.plans.procurement import file_outcomes, materialise
+    from bomspark.session import shared_dir
+    from bomspark.sinks.csv_text import csv_text
+    from bomspark.sources.files import list_files, read_schedule_files
+    landing = shared_dir(spark, "uploads")
+    texts = materialise(odd_schedules(spark, sf_dir).select(
+        F.col("project_id").alias("project"), F.col("file_id").alias("file"), csv_text(F.col("rows")).alias("value")), "texts")
+    for folder, chosen in UPLOAD_FOLDERS.items():
+        (texts.filter(F.pmod("file", F.lit(5)).isin(chosen)).repartition("project", "file")
+         .write.partitionBy("project", "file").text(f"{landing}/{folder}"))
+    listed = materialise(list_files(spark, landing, "*.txt"), "listing")
+    cleaned = clean_schedules(materialise(parse_grids(decode_content(read_schedule_files(spark, landing, "*.txt"))), "grids"))
+    return file_outcomes(cleaned.headed, cleaned.bom_lines, listed).select(
+        F.col("project_id").cast("bigint").alias("project_id"),
+        F.regexp_extract("file_id", r"/file=([0-9]+)/", 1).cast("bigint").alias("file_id"), "outcome", "lines")
+
+
+UPLOAD_FOLDERS = {"_old": [0], ".hid": [1], "_v=2": [2], "in": [3, 4]}
+
+
 def q_stream_ingest(spark, sf_dir):
     """The derived schedules land as CSV files (project=<id>/file=<id>/...);
     a Structured Streaming file source cleans them batch by batch into the
@@ -269,6 +414,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "raw_rows": q_raw_rows,
         "ingest_rows": q_ingest_rows,
+        "odd_ingest_rows": q_odd_ingest_rows,
+        "odd_header_locate": q_odd_header_locate,
+        "odd_file_rejects": q_odd_file_rejects,
+        "odd_clean_bom": q_odd_clean_bom,
         "layout_detect": q_layout_detect,
         "header_locate": q_header_locate,
         "file_rejects": q_file_rejects,
@@ -297,7 +446,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_fragments": q_html_fragments,
         "html_documents": q_html_documents,
         "project_prompts": q_project_prompts,
+        "written_documents": q_written_documents,
         "html_items": q_html_items,
+        "all_projects_kpis": q_all_projects_kpis,
+        "all_projects_documents": q_all_projects_documents,
+        "run_instant": q_run_instant,
+        "upload_audit": q_upload_audit,
+        "write_by_project": q_write_by_project,
         "write_tables": q_write_tables,
         "stream_ingest": q_stream_ingest,
     }

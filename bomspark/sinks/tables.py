@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.operators.ordering import order_delivery, order_lead_times, order_spend, order_summary
+from bomspark.session import materialise
 
 TABLE_NAMES = ["Clean_BOM", "Summary_by_Family", "Data_Quality_Log", "Lead_Time_Estimator",
                "Delivery_Sequence", "Spend_Estimation"]
 REJECTS = "Rejected_Files"
+RUN = "Run"
+# Rows of a file of a table written by project.
+FILE_ROWS = 1_000_000
 
 
 def result_tables(analysis) -> dict[str, DataFrame]:
@@ -37,21 +41,84 @@ def result_tables(analysis) -> dict[str, DataFrame]:
     }
     if analysis.rejects is not None:
         tables[REJECTS] = analysis.rejects
+    if analysis.run is not None:
+        tables[RUN] = analysis.run
     return tables
 
 
+def clustered_tables(analysis) -> dict[str, tuple[DataFrame, list]]:
+    """The tables that are written by project, with the order of the rows of a project."""
+    position = "line_no" if "line_no" in analysis.bom_lines.columns else "row_idx"
+    file_order = [c for c in ("file_id", position) if c in analysis.bom_lines.columns]
+    return {
+        "Clean_BOM": (analysis.bom_lines.drop("issues"), file_order),
+        "Summary_by_Family": (analysis.summary, [F.col("count").desc(), F.col("family")]),
+        "Data_Quality_Log": (analysis.issues, file_order),
+        "Lead_Time_Estimator": (analysis.lead_times, ["days_until_deadline", "family"]),
+        "Delivery_Sequence": (analysis.delivery, ["delivery_phase"]),
+        "Spend_Estimation": (analysis.spend, [F.col("estimated_total").desc(), F.col("family")]),
+    }
+
+
+def deal_by_project(df: DataFrame, order: list, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``df`` dealt to tasks for writing by project, in ``order`` within a project.
+
+    The rows of each project are counted first.  A project of up to ``file_rows`` rows goes to one
+    task, a larger one in as many pieces as it needs, by a hash of the row; there are as
+    many tasks as ``file_rows`` goes into all rows, and small projects share one."""
+    sizes = materialise(df.groupBy("project_id").agg(F.count(F.lit(1)).alias("_rows")), "project-sizes")
+    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    pieces = sizes.filter(F.col("_rows") > file_rows).select(
+        "project_id", F.ceil(F.col("_rows") / file_rows).cast("bigint").alias("_pieces"))  # at most total / file_rows rows
+    dealt = df.join(pieces, "project_id", "left").withColumn(
+        "_piece", F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("_pieces"))).otherwise(F.lit(0)))
+    return (dealt.repartition(max(1, -(-total // file_rows)), "project_id", "_piece")
+            .sortWithinPartitions("project_id", *order).select(*df.columns))
+
+
+def write_by_project(tables: dict[str, tuple[DataFrame, list]], out_dir: str, fmt: str = "parquet",
+                     mode: str = "overwrite", file_rows: int = FILE_ROWS) -> dict[str, str]:
+    """Write each table (rows, order within a project) to out_dir/<name> with a folder per
+    project; name -> path.  Rows are dealt by ``deal_by_project``, so a table has at most one
+    file a project and one more for every ``file_rows`` rows, where writing straight from
+    the producing tasks would open up to tasks x projects files.  Inside a file rows are in
+    the order given."""
+    paths = {}
+    for name, (df, order) in tables.items():
+        path = os.path.join(out_dir, name)
+        w = deal_by_project(df, order, file_rows).write.mode(mode).format(fmt).partitionBy("project_id")
+        if fmt == "csv":
+            w = w.option("header", "true")
+        w.save(path)
+        paths[name] = path
+    return paths
+
+
+def count_files(paths: dict[str, str], spark: SparkSession, fmt: str = "parquet") -> DataFrame:
+    """table_name, files: the data files of written tables that hold rows."""
+    out = None
+    for name, path in paths.items():
+        one = (spark.read.format(fmt).load(path).select(F.col("_metadata.file_path").alias("f")).distinct()
+               .agg(F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("table_name"), "files"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
                  partition_by_project: bool = False, mode: str = "overwrite") -> dict[str, str]:
     """Write each table to out_dir/<name>; returns name -> path.  With
-    partition_by_project each project gets its own folder."""
+    partition_by_project each project gets its own folder, its rows dealt as in
+    ``write_by_project``; a table without projects is written as it is."""
     paths = {}
+    if partition_by_project:
+        by_project = {n: (df, []) for n, df in tables.items() if "project_id" in df.columns}
+        paths = write_by_project(by_project, out_dir, fmt, mode)
+        tables = {n: df for n, df in tables.items() if n not in paths}
     for name, df in tables.items():
         path = os.path.join(out_dir, name)
         w = df.write.mode(mode).format(fmt)
         if fmt == "csv":
             w = w.option("header", "true")
-        if partition_by_project:
-            w = w.partitionBy("project_id")
         w.save(path)
         paths[name] = path
     return paths

@@ -147,6 +147,77 @@ def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("project_id", "file_id", rows.alias("rows"))
 
 
+# --- Schedules as people export them ------------------------------------------
+# Three files a project (order key modulo 3), both layouts within one project.  Cells hold
+# NA tokens, non-breaking and em spaces, quotes, line ends, numbers in every notation;
+# headers are repeated, incomplete, in capitals or announced by an earlier "Level" row.
+# Files of projects divisible by 17 have no header, so such a project has no line at all;
+# projects divisible by 13 have no blank cells, so no issues.
+ODD_FILES = 3
+NBSP, EM_SPACE = "\u00a0", "\u2003"
+ODD_NO_HEADER = ["Item", "Kind", "Board", "Floor", "Qty"]
+ODD_REVIT_HEADERS = [REVIT_HEADER, [NBSP + "FAMILY ", "Type", "Panel Name", "Level", "Count"]]
+ODD_GURTZ_HEADERS = [
+    [GURTZ_HEADER],
+    [["Type", "Level", "Location", "Panel Name", "Bus", "Type"]],
+    [["Level", "Location", "Mains", "Panel Name", "Bus", "Kind"]],
+    [["Level", "", "", "", "", ""], GURTZ_HEADER],
+    [[NBSP + "LEVEL ", "Location", "Mains", " PANEL NAME" + EM_SPACE, "Bus", "TYPE"]],
+    [["Level", "Location", "Level", "Panel Name", "Bus", "Type"]],
+]
+ODD_COUNTS = ["1e3", "2.7", "-3", "1,000", NBSP + "12" + NBSP, "", "inf", ".5"]
+
+
+def odd_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``schedule_grids``, of the odd schedules above."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    project, file_no = F.col("l_suppkey"), F.pmod(F.col("l_orderkey"), F.lit(ODD_FILES))
+    key, name, brand = F.col("l_partkey"), F.col("p_name"), F.col("p_brand")
+    clean = project % 13 == 0
+    board = F.concat(F.lit("P-"), key.cast("string"))
+    family = (F.when(key % 11 == 0, F.lit("NA")).when(key % 11 == 1, F.lit(" N/A"))
+              .when(key % 11 == 2, F.concat(F.lit(EM_SPACE), name, F.lit(NBSP)))
+              .when(key % 11 == 3, F.concat(F.lit("Big\n"), name)).when(key % 11 == 4, F.concat(F.lit('"A", '), name))
+              .when(key % 11 == 5, F.lit("  ")).otherwise(name))
+    type_ = (F.when(clean, brand).when(key % 7 == 0, F.lit("nan")).when(key % 7 == 1, F.lit("null"))
+             .when(key % 7 == 2, F.lit(NBSP)).otherwise(brand))
+    panel = F.when(~clean & (key % 5 == 0), F.lit("#N/A")).otherwise(board)
+    level = F.when(clean & (F.col("l_linenumber") == 7), F.lit("Level 9")).otherwise(_level(F.col("l_linenumber")))
+    notation = (F.col("l_orderkey") + F.col("l_linenumber")) % 16
+    count = F.when(notation < len(ODD_COUNTS), F.get(_lit_array(ODD_COUNTS), notation.cast("int"))).otherwise(
+        F.col("l_quantity").cast("bigint").cast("string"))
+    revit = F.pmod(project + file_no, F.lit(2)) == 0
+    variant = F.pmod(project * 4 + file_no, F.lit(len(ODD_GURTZ_HEADERS)))
+    room, mains, bus = F.lit("Elec Rm"), F.lit("MLO"), F.lit("100")
+    short = F.when((F.col("l_linenumber") == 6) & (key % 3 == 0), F.array(family, type_, panel, level))
+    revit_cells = F.coalesce(short, F.when(key % 8 == 7, F.array(family, type_, panel, level, count, F.lit("x"))),
+                             F.array(family, type_, panel, level, count))
+    gurtz_cells = (F.when(variant == 1, F.array(F.lit("old"), level, room, panel, bus, type_))
+                   .when(variant == 5, F.array(F.lit("x"), room, level, panel, bus, type_))
+                   .otherwise(F.array(level, room, mains, panel, bus, type_)))
+    body = (li.join(part, li["l_partkey"] == part["p_partkey"])
+            .select(project.alias("project_id"), (project * 4 + file_no).cast("bigint").alias("file_id"),
+                    revit.alias("revit"), variant.cast("int").alias("variant"),
+                    F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("k"),
+                             F.when(revit, revit_cells).otherwise(gurtz_cells).alias("cells")).alias("r"))
+            .groupBy("project_id", "file_id", "revit", "variant").agg(F.array_sort(F.collect_list("r")).alias("body")))
+    revit_headers = F.array(*[F.array(_lit_array(h)) for h in ODD_REVIT_HEADERS])
+    gurtz_headers = F.array(*[F.array(*[_lit_array(r) for r in h]) for h in ODD_GURTZ_HEADERS])
+    header = (F.when(F.col("project_id") % 17 == 0, F.array(_lit_array(ODD_NO_HEADER)))
+              .when(F.col("revit"), F.get(revit_headers, F.col("variant") % 2)).otherwise(F.get(gurtz_headers, F.col("variant"))))
+    title = F.when(F.col("revit"), F.array(_lit_array(REVIT_TITLE))).otherwise(F.array(_lit_array(GURTZ_TITLE)))
+    cells = F.concat(title, header, F.transform("body", lambda x: x["cells"]))
+    return body.select("project_id", "file_id", F.transform(cells, lambda c, i: F.struct(
+        i.cast("int").alias("row_idx"), c.alias("cells"))).alias("rows"))
+
+
+def odd_encoding(file_id: Column) -> Column:
+    """Spaces beyond Latin-1 occur, so UTF-8 with or without a byte-order mark."""
+    return F.when(F.pmod(file_id, F.lit(2)) == 0, F.lit("utf-8-sig")).otherwise(F.lit("utf-8"))
+
+
 def file_encoding(file_id: Column) -> Column:
     """How each derived file is stored: UTF-8 with a byte-order mark, UTF-8
     with CRLF line ends, or Latin-1 (the titles hold an e-acute, so the

@@ -113,13 +113,15 @@ def test_spend(analysis):
         ("gz", "Parking P1", 1, 1500, 1500, fv.TIER_LOW),
     ])
     totals = rows(analysis.total_spend, "project_id", "total_spend", "total_spend_usd", "total_spend_k")
-    assert totals == [("gz", 4500, "$4,500", "4k"), ("rv", 78000, "$78,000", "78k")]
+    # the project whose file fails stays, with nothing spent
+    assert totals == [("bad", 0, "$0", "0k"), ("gz", 4500, "$4,500", "4k"), ("rv", 78000, "$78,000", "78k")]
 
 
 def test_kpis(analysis):
     got = rows(analysis.kpis, "project_id", "total_units", "bom_lines", "issues", "families",
                "total_spend", "critical_items")
-    assert got == [("gz", 4, 4, 2, 3, 4500, 0), ("rv", 12, 6, 3, 4, 78000, 2)]
+    # the project whose file fails stays, with zeros
+    assert got == [("bad", 0, 0, 0, 0, 0, 0), ("gz", 4, 4, 2, 3, 4500, 0), ("rv", 12, 6, 3, 4, 78000, 2)]
 
 
 def test_rejects(analysis):

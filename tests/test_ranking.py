@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bomspark.operators.ranking import largest_group, row_number_in_group
+from bomspark.operators.ranking import largest_group, row_number_in_group, sum_before_in_group
 
 
 def _skewed(spark, n):
@@ -55,3 +55,16 @@ def test_delivery_phases_same_beyond_bound(spark):
     ranged = delivery_sequence(bom, bound=10**7)   # above ONE_TASK_ROWS: range-sorted numbering
     assert window.count() == ranged.count() > 0
     assert window.exceptAll(ranged).count() == 0
+
+
+def test_sums_before_match_on_hot_group_and_brute_force(spark):
+    df = _skewed(spark, 3000).withColumn("v", F.col("id") % 17)
+    order = ["k", "id"]
+    a = sum_before_in_group(df, ["g"], order, {"v": "s", "id": "t"}, one_task_rows=10**9)
+    b = sum_before_in_group(df, ["g"], order, {"v": "s", "id": "t"}, one_task_rows=0)
+    rows = sorted(map(tuple, a.collect()))
+    assert rows == sorted(map(tuple, b.collect())) and a.columns == b.columns == [*df.columns, "s", "t"]
+    sums = {}
+    for g, k, i, v, s, t in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        assert (s, t) == sums.get(g, (0, 0))
+        sums[g] = (s + v, t + i)
