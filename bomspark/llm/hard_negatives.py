@@ -37,7 +37,8 @@ are searched after that, so most blocks are never sent to most anchors.
 
 Bounds are widened by SLACK against rounding; candidates equal to the k-th best stay, for
 ties.  Products beyond the exact range of floating point are made with Python's integers,
-and the block is then read as one leaf.
+and the block is then read as one leaf; beyond 64 bits a product counts as the nearest
+64-bit number.
 
 Defined cases.  Rows with a null id, label or vector, or a null component take no part.
 Vectors of different dimension are not compared.  Rows that repeat an id are separate
@@ -218,7 +219,8 @@ class Block:
             bests = [(low, high, state.setdefault((ask, w), [])) for w, low, high in windows]
             if self.largest * np.abs(q[j]).max(initial=0.0) * max(1, q.shape[1]) >= MAX_EXACT:
                 at = np.flatnonzero(side)
-                whole = [(sum(int(a) * int(b) for a, b in zip(vector, self.whole[i])), int(self.ids[i])) for i in at]
+                whole = [(max(LOWEST, min(HIGHEST, sum(int(a) * int(b) for a, b in zip(vector, self.whole[i])))),
+                          int(self.ids[i])) for i in at]
                 for low, high, best in bests:
                     fits = [x for x in whole if low <= x[0] <= high]
                     keep_best(best, [x[0] for x in fits], [x[1] for x in fits], k)
@@ -452,7 +454,7 @@ def _searched(asks: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
         cols = list(zip(*out)) if out else [(), (), (), ()]
         return pa.Table.from_pydict({
             "ask": pa.array(cols[0], pa.int64()), "window": pa.array(cols[1], pa.int32()),
-            "score": pa.array([max(LOWEST, min(HIGHEST, s)) for s in cols[2]], pa.int64()),
+            "score": pa.array(cols[2], pa.int64()),
             "found": pa.array(cols[3], pa.int64())})
 
     keys = ["dim", "cell", "pack", "run"]
