@@ -27,6 +27,10 @@ RECOMMENDED_CONF = {
 }
 
 
+# Row groups of intermediate tables.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def get_session(master: str | None = None, app_name: str = "bomspark",
                 shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -90,7 +94,8 @@ def materialise(df, name: str):
     """Write df as parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor later re-reads the written files
-    instead of recomputing everything upstream."""
+    instead of recomputing everything upstream.  Row groups are smaller than
+    Parquet's default, as every running task holds one in memory."""
     out = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(out)
+    df.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(out)
     return df.sparkSession.read.parquet(out)
