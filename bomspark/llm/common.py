@@ -56,6 +56,19 @@ def by_parts(function: Callable[..., pa.Array], kind: str, *columns: Column) ->
     return F.arrow_udf(run, kind)(*columns)
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values of an Arrow column as Python objects, one at a time."""
+    for value in column:
+        yield value.as_py()
+
+
+def slices(batch: pa.RecordBatch, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows, so that Python objects exist for one
+    part only."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 def running_sums(values: str, block: int = 256) -> Column:
     """Inclusive running sums of an array<bigint> column, as an array.
 

@@ -34,7 +34,8 @@ between different components is verified.  So no link between components is lost
 
 Null or empty text, or text without words: an empty set, which links with nothing.
 Fewer words than the shingle length: the whole sequence is one shingle.  Null ids
-take no part in links; repeated rows are copies.  Hashes of 64 bits stand for
+take no part in links; repeated rows are copies.  Long texts give large sets, which tasks
+take one at a time.  Empty tables give empty tables.  Hashes of 64 bits stand for
 shingles and sets.
 """
 
@@ -43,17 +44,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import by_parts
+from bomspark.llm.common import by_parts, each, slices
 from bomspark.session import materialise, ship_package
 
 WORDS, PERCENT = 5, 80
 TASK_TIMES, HOT_SHINGLES = 8, 100_000
-COUNT_BUFFER = 2_000_000
+COUNT_BUFFER = 500_000
 TILE_ROWS = 2_048
 SMALL_TILE = 32
 FEW_PAIRS = 4
-CACHE_WORDS = 300_000
-SEEN_SETS = 500_000
+CACHE_WORDS = 100_000
+SEEN_SETS = 200_000
 
 
 class _WordHashes(dict):
@@ -160,9 +161,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             return rows(None, [], [], [], _signed(values[keep]), times[keep])
 
         seen, parts, held = _Seen(), [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sids, sizes, bits = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 s = shingles_of(text, words)
                 sids.append(set_id(s))
                 sizes.append(len(s))
@@ -191,9 +192,9 @@ def _entries(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
 
         values, ranks = hot.value  # ascending shingles, and their place among the frequent
         seen = _Seen()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, sids, sizes, small = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 s = shingles_of(text, words)
                 n = len(s)
                 if n == 0:
@@ -229,8 +230,8 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            got = [shingles_of(t, words) for t in batch.column("text").to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, 16)):  # whole sets go out
+            got = [shingles_of(t, words) for t in each(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({
                 "sid": pa.array([set_id(g) for g in got], pa.int64()),
                 "shingles": pa.array([g.tobytes() for g in got], pa.binary())})
@@ -393,7 +394,7 @@ def _passing(rows: DataFrame, percent: int, every: bool) -> DataFrame:
                                                "shingle": pa.array(shingle, pa.int64())})
 
         tile, key, out = {}, None, []  # rows by set: copies from other tasks fall together
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for row in zip(*(batch.column(c).to_pylist() for c in (
                     "shingle", "band", "b0", "b1", "sid", "n", "small", "comp", "bits", "mine", "block"))):
                 if key != row[:4]:
@@ -416,7 +417,7 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             a, b = [], []
             for x, y, nx, ny, bx, by in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ba", "bb"))):
                 if _may_link(nx, ny, differing_bits(bx, by), percent):
@@ -438,12 +439,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
 
         for batch in batches:
             a, b = [], []
-            for x, y, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))):
-                left, right = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
+            for x, y, sx, sy in zip(*(batch.column(c) for c in ("a", "b", "sa", "sb"))):  # sets stay in Arrow's memory
+                left, right = np.frombuffer(sx.as_buffer(), np.uint64), np.frombuffer(sy.as_buffer(), np.uint64)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * both >= percent * (len(left) + len(right) - both):
-                    a.append(x)
-                    b.append(y)
+                    a.append(x.as_py())
+                    b.append(y.as_py())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -513,6 +514,7 @@ def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     bits = first.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     entries = _entries(usable, words, percent, hot)
     entries = materialise(entries, "jaccard-entries")
+    hot.destroy()
     met = (entries.groupBy("shingle").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.count(F.lit(1)).alias("rows"))
            .filter("x != y").select("shingle", "rows"))
     shared = materialise(entries.join(met, "shingle"), "jaccard-shared")

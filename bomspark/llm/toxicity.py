@@ -25,7 +25,12 @@ Only the text enters a score.  Words are runs of letters, lower case.  Null text
 counts as empty; a text without scored words has evidence 0 and the score learned
 for that.  If the labels lack a class, every score is the class's share (0.5
 without labels).  Labels that are null or neither 0 nor 1 are not used; of several
-labels of one document the larger counts.
+labels of one document the larger counts.  Repeated rows get equal results, empty tables
+give empty tables.
+
+The fit is bounded by two parameters: about MAX_TRAIN labelled rows, also where ids repeat (of
+more rows a sample by id and text is taken, equal rows once), and the MODEL_WORDS words of
+the largest |z| (equal ones by word).  Scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import by_parts, unit_hash
+from bomspark.llm.common import by_parts, each, slices, unit_hash
 from bomspark.session import materialise, ship_package
 
 MAX_TRAIN = 20_000
@@ -175,15 +180,22 @@ def evidence_of(text: str, model: Model):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
-    """(text, toxic) of at most about ``limit`` labelled rows.  The rows are chosen
-    from the labels alone; their number is bounded, so their ids are broadcast."""
+    """(text, toxic) of about ``limit`` labelled rows at most.  Ids are chosen from the
+    labels alone; their number is bounded, so they are broadcast.  If many rows share
+    those ids, a hash of id and text chooses again, and equal rows count once."""
     usable = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     n = usable.count()
     if n > limit:
         usable = usable.filter(unit_hash(F.col("doc_id"), F.lit("train")) < limit / n)
-    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select(
-        F.coalesce(F.col("text"), F.lit("")).alias("text"), "toxic")
+    usable = materialise(usable, "toxicity-labels")
+    found = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
+    rows = docs.select("doc_id").join(F.broadcast(usable), "doc_id").count()
+    if rows > 2 * limit:
+        found = (found.withColumn("hash", F.xxhash64("text"))
+                 .filter(unit_hash(F.col("doc_id"), F.col("hash"), F.lit("row")) < limit / rows)
+                 .groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")))
+    return found.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "toxic")
 
 
 def _count_words(batches):
@@ -193,7 +205,7 @@ def _count_words(batches):
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
     docs = [0, 0]
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for text, toxic in zip(each(batch.column("text")), each(batch.column("toxic"))):
             docs[toxic] += 1
             into = counts[toxic]
             for w in set(LETTERS.findall(text.lower())):
@@ -266,16 +278,20 @@ def _calibrate(model: Model, scores: list[tuple[float, float]], train: DataFrame
     def segments(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            found = [Scored(t, shared.value, damp=False) for t in batch.column("text").to_pylist()]
-            cut = [maximal_segments(f) for f in found]
+        for batch in (part for whole in batches for part in slices(whole)):
+            plain, counted, n = [], [], []
+            for text in each(batch.column("text")):  # the words of one text at a time
+                found = Scored(text, shared.value, damp=False)
+                cut = maximal_segments(found)
+                plain.append([s for s, _, _ in cut])
+                counted.append([damped(found, s) for s in cut])
+                n.append(found.n)
             yield pa.RecordBatch.from_pydict({
-                "segments": pa.array([[s for s, _, _ in c] for c in cut], pa.list_(pa.float64())),
-                "damped": pa.array([[damped(f, s) for s in c] for f, c in zip(found, cut)], pa.list_(pa.float64())),
-                "n": pa.array([f.n for f in found], pa.int64()),
-                "toxic": batch.column("toxic").cast(pa.int32())})
+                "segments": pa.array(plain, pa.list_(pa.float64())), "damped": pa.array(counted, pa.list_(pa.float64())),
+                "n": pa.array(n, pa.int64()), "toxic": batch.column("toxic").cast(pa.int32())})
 
     seen = materialise(train.mapInArrow(segments, "segments array<double>, damped array<double>, n bigint, toxic int"), "toxicity-fit")
+    shared.destroy()
     clean = seen.filter("toxic = 0")
     docs, mean = clean.agg(F.count(F.lit(1)), F.avg("n")).first()
     # p is the share of documents with the word: one occurrence in a mean document
