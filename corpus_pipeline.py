@@ -5,10 +5,11 @@ as Parquet under the session's shared folder and reads back for the next stage.
 the last return the columns of the documents they got.
 
 1. toxicity: documents scored 0.5 or more go.
-2. near_duplicates: of each group of near copies (five words, Jaccard 0.8) the one
-   of the smallest doc_id stays; of rows that repeat a doc_id one stays, a row whose
-   own text is no copy before others, and a row that does not stay makes no copies.
-   Documents without words or without a doc_id have no copies and stay.
+2. near_duplicates: of each group of near copies (five words, Jaccard 0.8) one row
+   stays, that of the smallest doc_id; of rows of one doc_id with equal sets the first in
+   the order of text, then of the other columns as JSON.  Each row is judged by its own
+   text, so rows that repeat a doc_id with unrelated texts all stay.  Documents without
+   words or without a doc_id have no copies and stay.
 3. pii: confirmed personal data are replaced by ``[KIND]``; ``n_chars`` follows.
 4. mixing: each document is repeated as often as the mix takes it (0 to 2 times).
 5. bpe: token ids of each text with the digests of ids and decoded text.
@@ -19,7 +20,7 @@ through stages 1 to 4.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.llm import jaccard_join, mixing, pii, queries, toxicity
@@ -34,26 +35,26 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialise(jaccard_join.document_sets(docs.select("doc_id", "text")), "pipeline-groups")
-    found = found.filter("doc_id IS NOT NULL")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        copies = found.filter("component_id != doc_id").select("doc_id")
-        return docs.join(materialise(copies, "pipeline-copies"), "doc_id", "left_anti").select(*_names(docs))
-    # one set per doc_id: the first of its component, else no words, else a copy; then one
-    # of these per component
-    rank = F.when(F.col("root").isNull(), 1).when(F.col("component_id") == F.col("doc_id"), 0).otherwise(2)
-    chosen = materialise(found.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), "sid", "root")).alias("c"),
-                                                     (F.count(F.lit(1)) > 1).alias("many"))
-                         .select("doc_id", "c.sid", "c.root", "many"), "pipeline-chosen")
-    first = (chosen.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "sid", "many")).alias("f"))
-             .select("f.*"))
-    first = materialise(first.unionByName(chosen.filter("root IS NULL").drop("root")), "pipeline-first")
-    kept = docs.join(first.select("doc_id", F.col("sid").alias("__sid"), F.col("many").alias("__many")), "doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    single = (kept.filter("__many").withColumn("__own", jaccard_join.set_ids(F.col("text"))).filter("__own = __sid")
-              .withColumn("__row", F.row_number().over(order)).filter(F.col("__row") == 1).select(*_names(docs)))
-    return (kept.filter("NOT __many").select(*_names(docs)).unionByName(single)
-            .unionByName(docs.filter(F.col("doc_id").isNull())))
+    found = jaccard_join.document_sets(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL").select("doc_id", "sid", "root")
+    found = materialise(found, "pipeline-groups")
+    first = (found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("f"))
+             .select("f.*"))  # the id and set that stay of each group
+    first = materialise(first, "pipeline-first")
+    rows = found.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__many"), F.max("root").isNotNull().alias("__words"))
+    # an id of one row is judged by its id alone, one of several rows by each row's set
+    judged = rows.join(first.select("doc_id").withColumn("__stays", F.lit(True)).distinct(), "doc_id", "left")
+    judged = materialise(judged.filter("__many OR (__words AND __stays IS NULL)").select("doc_id", "__many"), "pipeline-judged")
+    left = docs.join(judged, "doc_id", "left").filter("__many IS NULL OR __many")
+    if judged.filter("__many").isEmpty():
+        return left.select(*_names(docs))
+    own = left.filter("__many").withColumn("__own", jaccard_join.set_ids(F.col("text")))
+    stay = own.join(first.withColumnsRenamed({"doc_id": "__id", "sid": "__sid"}),
+                    (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__sid")), "left_semi")
+    order = F.struct("text", F.to_json(F.struct(*_names(docs))))
+    stay = stay.groupBy("doc_id", "__own").agg(F.min_by(F.struct(*_names(docs)), order).alias("__row")).select("__row.*")
+    wordless = own.filter(F.col("__own") == 0)
+    return (left.filter("__many IS NULL").select(*_names(docs)).unionByName(stay.select(*_names(docs)))
+            .unionByName(wordless.select(*_names(docs))))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
