@@ -12,7 +12,7 @@ from test_golden import GURTZ_CSV, REVIT_CSV
 from bomspark.plans.procurement import analyse_files
 from bomspark.sinks.tables import REJECTS, read_tables, result_tables, write_tables
 from bomspark.sources import files
-from bomspark.streaming.uploads import ingested_bom, start_upload_ingest
+from bomspark.streaming.uploads import ingested_bom, ingested_rejects, start_upload_ingest
 
 
 def test_no_file_is_lost(spark, tmp_path):
@@ -44,6 +44,10 @@ def test_stream_restart(spark, tmp_path):
     write_file(landing + "/project=rv", "a.csv", REVIT_CSV)
     first = ingest()
     assert first > 0 and ingest() == first          # nothing new: nothing repeated
+    write_file(landing + "/_old", "c.csv", REVIT_CSV)
+    write_file(landing + "/project=rv", "d.csv", "")
+    rejects = ingested_rejects(spark, out, landing).collect()  # what the stream passes over is told, too
+    assert sorted(os.path.basename(r.file_id) for r in rejects) == ["c.csv", "d.csv"]
     shutil.rmtree(landing)                          # the landing folder is rotated
     write_file(landing + "/project=gz", "b.csv", GURTZ_CSV)
     assert ingest() > first                         # earlier output stays
