@@ -5,9 +5,11 @@ point.  Near words are found without comparing all words:
 
 1. Every letter is hashed to one of SYMBOLS symbols (code point modulo SYMBOLS), so a word
    becomes a reduced word, and near words become reduced words at most one edit apart.
+   A reduced word is one number: its symbols as digits behind a leading one.
 2. Each distinct reduced word generates its full one-edit neighbourhood over the few
-   symbols (itself, every deletion, replacement and insertion: about 2 * SYMBOLS strings a
-   letter).  Of a pair, the reduced word that is not larger generates it.
+   symbols (itself, every deletion, replacement and insertion: about 2 * SYMBOLS numbers a
+   letter).  The relation is symmetric, so of a pair the larger number alone hands on
+   the smaller.
 3. The neighbourhoods are joined with the reduced vocabulary, which holds each reduced
    word once, so no key of this join is hot.
 4. The words behind the two reduced words of a match are compared as they are
@@ -15,12 +17,12 @@ point.  Near words are found without comparing all words:
 
 Words behind one reduced word.  Two reduced words whose words would make more than
 HEAVY_PAIRS comparisons are not expanded.  Their words, and words of LONG_CHARS or
-more code points, whose neighbourhoods would be long, go through the same generation with
-the finest alphabet, each letter its own symbol; there a word's deletions are
+more code points, whose reduced words would not fit a number, go through the same generation
+with the finest alphabet, each letter its own symbol; there a word's deletions are
 enough, as 64-bit hashes: words that share the deletion at one place differ by a
 replacement there, and a deletion that is itself a word is an insertion.  Such a
 group holds at most one word for each letter of the alphabet, and a word of k
-letters makes k rows of 20 bytes, so neither hot reduced words nor very long words make
+letters makes 2 k rows of 20 bytes, so neither hot reduced words nor very long words make
 all pairs of a group.  The original strings are verified on this path, too.
 
 A word's form is its near word of largest n (ties: the smallest in code-point order), if
@@ -35,14 +37,16 @@ vocabulary gives an empty result.  Any characters may occur in words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bomspark.llm.common import slices
 from bomspark.session import materialise, ship_package
 
 SYMBOLS = 8
+BITS = 3  # of a symbol
 HEAVY_PAIRS = 10_000
-LONG_CHARS = 40
+LONG_CHARS = 20  # one letter more still fits 64 bits
 RATIO = 10
 
 
@@ -53,30 +57,80 @@ def vocabulary(words: DataFrame, word: str = "word", min_chars: int = 1, min_cou
             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count))
 
 
-def reduced(word: Column, symbols: int = SYMBOLS) -> Column:
-    """The word with every code point hashed to one of ``symbols`` digits."""
-    letters = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    return F.when(F.length(word) > 0, F.array_join(
-        F.transform(letters, lambda c: (F.ascii(c) % symbols).cast("string")), "")).otherwise(F.lit(""))
+def reduced(word: str) -> int:
+    """The word's symbols as digits behind a leading one."""
+    code = 1
+    for c in word:
+        code = code << BITS | ord(c) % SYMBOLS
+    return code
 
 
-def neighbourhood(word: Column, symbols: int = SYMBOLS) -> Column:
-    """All strings at most one edit away from a reduced word, itself included."""
-    n = F.length(word)
-    digits = F.array(*[F.lit(str(s)) for s in range(symbols)])
+def neighbourhoods(codes, length: int):
+    """For reduced words (uint64) of ``length`` symbols, one row each: itself, its deletions,
+    replacements and insertions (with repeats)."""
+    import numpy as np
+
+    codes = np.asarray(codes, np.uint64)
+    symbols = np.arange(SYMBOLS, dtype=np.uint64)
+
+    def up(x, places: int):
+        return x << np.uint64(BITS * places)
+
+    def down(x, places: int):
+        return x >> np.uint64(BITS * places)
+
+    found = [codes[:, None]]
+    for i in range(length + 1):  # places from the last symbol
+        low = codes & (up(np.uint64(1), i) - np.uint64(1))
+        found.append((up(down(codes, i), i + 1) | low)[:, None] | up(symbols, i))
+        if i < length:
+            found.append((up(down(codes, i + 1), i) | low)[:, None])
+            found.append((up(down(codes, i + 1), i + 1) | low)[:, None] | up(symbols, i))
+    return np.concatenate(found, axis=1)
+
+
+def _reduced(words: DataFrame) -> DataFrame:
+    """(word, r) of words of at most LONG_CHARS code points."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 4096):
+                word = part.column("word")
+                yield pa.RecordBatch.from_arrays(
+                    [word, pa.array([signed(reduced(w)) for w in word.to_pylist()], pa.int64())], names=["word", "r"])
+
+    return words.select("word").filter(F.length("word") <= LONG_CHARS).mapInArrow(run, "word string, r bigint")
+
+
+def signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
 
-    def left(i: Column) -> Column:
-        return F.substring(word, F.lit(1), i)
 
-    def right(i: Column) -> Column:  # from the letter numbered i (from 0)
-        return F.substring(word, i + 1, n)
+def _neighbours(counted: DataFrame) -> DataFrame:
+    """(r1, c1, r2): the neighbourhood of each reduced word (r, c) as far as it is not larger."""
 
-    gaps = F.sequence(F.lit(0), n)
-    places = F.filter(gaps, lambda i: i < n)
-    deleted = F.transform(places, lambda i: F.concat(left(i), right(i + 1)))
-    replaced = F.flatten(F.transform(places, lambda i: F.transform(digits, lambda s: F.concat(left(i), s, right(i + 1)))))
-    inserted = F.flatten(F.transform(gaps, lambda i: F.transform(digits, lambda s: F.concat(left(i), s, right(i)))))
-    return F.array_distinct(F.concat(F.array(word), deleted, replaced, inserted))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 2048):
+                r = part.column("r").to_numpy(zero_copy_only=False).view(np.uint64)
+                c = part.column("c").to_numpy(zero_copy_only=False)
+                size = np.array([(int(x).bit_length() - 1) // BITS for x in r])
+                for length in np.unique(size):
+                    mine = size == length
+                    near = np.sort(neighbourhoods(r[mine], int(length)), axis=1)
+                    fresh = np.ones(near.shape, bool)
+                    fresh[:, 1:] = near[:, 1:] != near[:, :-1]
+                    at, column = np.nonzero(fresh & (near <= r[mine][:, None]))
+                    yield pa.RecordBatch.from_pydict({
+                        "r1": pa.array(r[mine][at].view(np.int64)), "c1": pa.array(c[mine][at]),
+                        "r2": pa.array(near[at, column].view(np.int64))})
+
+    return counted.mapInArrow(run, "r1 bigint, c1 bigint, r2 bigint")
 
 
 def deletion_hashes(word: str):
@@ -152,13 +206,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b), a < b in code-point order: every pair of near words of ``words`` (word),
     once; ``words`` is a written table of distinct words."""
     ship_package(words.sparkSession)
-    short = words.filter(F.length("word") <= LONG_CHARS).select("word", reduced(F.col("word")).alias("r"))
-    short = materialise(short, "spelling-reduced")
+    short = materialise(_reduced(words), "spelling-reduced")
     counted = short.groupBy("r").agg(F.count(F.lit(1)).alias("c"))
-    met = (counted.select(F.col("r").alias("r1"), F.col("c").alias("c1"), F.explode(
-        F.filter(neighbourhood(F.col("r")), lambda g: g >= F.col("r"))).alias("r2"))
-        .join(counted.select(F.col("r").alias("r2"), F.col("c").alias("c2")), "r2")
-        .filter("r1 != r2 OR c1 > 1"))
+    met = (_neighbours(counted).join(counted.select(F.col("r").alias("r2"), F.col("c").alias("c2")), "r2")
+           .filter("r1 != r2 OR c1 > 1"))
     met = materialise(met.select("r1", "r2", (F.col("c1") * F.col("c2") > HEAVY_PAIRS).alias("heavy")), "spelling-met")
     light = (met.filter("NOT heavy")
              .join(short.select(F.col("r").alias("r1"), F.col("word").alias("x")), "r1")

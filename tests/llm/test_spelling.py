@@ -1,0 +1,132 @@
+"""Spelling variants against brute force, on every path of the generation."""
+
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from bomspark.llm import queries as Q
+from bomspark.llm import spelling as S
+
+
+def near(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    s, l = sorted((a, b), key=len)
+    return any(l[:i] + l[i + 1:] == s for i in range(len(l)))
+
+
+def brute(counts, ratio=10):
+    out = {}
+    for w, n in counts.items():
+        found = [x for x in counts if near(w, x)]
+        best = min(found, key=lambda x: (-counts[x], x), default=None)
+        fits = best is not None and counts[best] >= ratio * n
+        out[w] = [best if fits else None, None, n, len(found), counts[best] if fits else None]
+    for w, row in out.items():
+        at = w
+        while out[at][0] is not None:
+            at = out[at][0]
+        row[1] = at
+    return {w: tuple(r) for w, r in out.items()}
+
+
+def vocabulary_of(seed, letters, size, lengths):
+    rng = random.Random(seed)
+    words = set()
+    while len(words) < size:
+        w = "".join(rng.choice(letters) for _ in range(rng.choice(lengths)))
+        words.add(w)
+        for _ in range(rng.randrange(3)):
+            i, c = rng.randrange(len(w) + 1), rng.choice(letters)
+            words.add(rng.choice([w[:i] + c + w[i:], w[:i] + w[i + 1:], w[:i] + c + w[i + 1:]]))
+    return {w: int(10 ** rng.uniform(0, 5)) for w in words if w}
+
+
+def run(spark, counts, ratio=10):
+    rows = S.group_variants(spark.createDataFrame(list(counts.items()), "word string, n long"), ratio).collect()
+    assert len(rows) == len(counts)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+
+
+@pytest.mark.parametrize("heavy, long", [(10_000, 20), (0, 20), (3, 7), (10_000, 1)])
+def test_equals_brute_force(spark, monkeypatch, heavy, long):
+    """The usual path; all reduced words too hot; both paths mixed; all words long."""
+    monkeypatch.setattr(S, "HEAVY_PAIRS", heavy)
+    monkeypatch.setattr(S, "LONG_CHARS", long)
+    counts = vocabulary_of(7, "abiqéßİ\U0001F600z", 350, (3, 5, 7, 8, 9))
+    assert run(spark, counts) == brute(counts)
+
+
+def test_long_words_and_chains(spark):
+    long = "ab" * 3000
+    counts = {"a" * 18: 5, "a" * 19: 50, "a" * 20: 500, "a" * 21: 5000, "a" * 22: 50_000, long: 3, long + "x": 40, long[:100] + "q" + long[101:]: 400,
+              "w1aaaaa": 1, "w1aaaab": 10, "w1aaabb": 100, "w1aabbb": 1000, "lonely-word": 9}
+    got = run(spark, counts)
+    assert got == brute(counts)
+    assert got["w1aaaaa"][1] == "w1aabbb" and got["a" * 18][1] == "a" * 22
+
+
+def test_one_reduced_word_for_all(spark):
+    """Words that fall together in the reduced alphabet: found without all their pairs."""
+    rng = random.Random(2)
+    counts = {"".join(rng.choice("aiqy") for _ in range(9)): rng.randrange(1, 1000) for _ in range(900)}
+    assert S.HEAVY_PAIRS < len(counts) ** 2
+    assert run(spark, counts) == brute(counts)
+
+
+def test_neighbourhood_is_every_edit():
+    for word in ("", "0", "0102", "1111", "0123456701234567012"):
+        got = S.neighbourhoods([S.reduced(word)], len(word))[0]
+        every = {word} | {word[:i] + word[i + 1:] for i in range(len(word))}
+        every |= {word[:i] + c + word[i + 1:] for i in range(len(word)) for c in "01234567"}
+        every |= {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in "01234567"}
+        assert {int(x) for x in got} == {S.reduced(w) for w in every}
+    assert S.reduced("ai") == S.reduced("qy") and len({S.reduced(c * k) for c in "abcdefgh" for k in range(1, 21)}) == 160
+
+
+def test_deletion_hashes_are_hashes_of_the_deletions():
+    for word in ("abcabcabc", "éß\U0001F600", "a"):
+        _, gone = S.deletion_hashes(word)
+        want = [S.deletion_hashes(word[:i] + word[i + 1:])[0] if len(word) > 1 else 0 for i in range(len(word))]
+        assert [int(x) for x in gone] == [int(x) for x in want]
+
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(doc_id, text):
+    for run_ in RUN.findall(text or ""):
+        w = run_.translate(LOWER)
+        h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{w}".encode())
+        if h % 31 == 0:
+            w = w[:h % len(w)] + w[h % len(w) + 1:]
+        if len(w) >= 7:
+            yield w
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(1)
+    stock = ["Measuring", "measurang", "MEASURING", "Écoleßen×x", "écoleßen÷x", "quantities", "quantitie",
+             "small", "z" * 300, "strawİberry", "kiloKelvins"]
+    rows = [(i, " ".join(rng.choice(stock) for _ in range(40))) for i in range(60)] + [(None, None), (1, ""), (1, stock[0] * 2), (None, stock[0])]
+    rows += [(9000 + i, " ".join(["measuring"] * 50)) for i in range(10)]
+    spark.createDataFrame([(*r, "w", 1) for r in rows], "doc_id long, text string, word string, n int").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    counts = {}
+    for i, t in rows:
+        for w in words_of(i, t):
+            counts[w] = counts.get(w, 0) + 1
+    want = brute({w: n for w, n in counts.items() if n >= 2})
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in Q.op12_spelling(spark, str(tmp_path)).collect()}
+    assert got == want and any(r[0] for r in got.values())
+
+
+def test_empty_vocabulary(spark):
+    none = S.group_variants(spark.createDataFrame([], "word string, n long"))
+    assert none.count() == 0 and none.columns == ["word", "form", "root", "n", "n_near", "form_n"]
