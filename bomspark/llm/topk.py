@@ -20,13 +20,17 @@ rounding cannot drop a candidate, and candidates equal to theta stay, for ties.
 Runs are independent tasks; their k best per query are merged by a window over at
 most k rows per run.
 
-Every query meets every bucket, in blocks, as the task is exact search for a stated
-query set.
+Every query meets every bucket that may hold one of its k best, in blocks, as the task is
+exact search for a stated query set.  First all blocks search the FIRST longest
+buckets; the k-th best product of a query over its norm is the length a better candidate needs, and
+a block is then joined only with buckets whose longest vector has the least length that
+some query of the block needs.  Vectors travel in the narrowest whole numbers that hold a pack.
 
 Ties go to the smaller id.  Vectors that are null, or hold null or non-finite
 components, take no part; vectors of different dimension are not compared.  Rows
 that repeat an id are separate candidates; a query never meets a row of its own id.
-Queries that repeat (equal id and vector) count once.
+Queries that repeat (equal id and vector) count once.  Without vectors or queries the result
+is empty.
 """
 
 from __future__ import annotations
@@ -42,12 +46,13 @@ BUCKET_ROWS = 4_096
 FILL = 0.9  # share of BUCKET_ROWS that rows are dealt for: a hash deals unevenly
 QUERY_ROWS = 512
 RUN_BUCKETS = 8
+FIRST = 2
 FOCUS = 5
 COORD_FROM = 0.35
 SLACK = 1e-9
 MAX_EXACT = float(1 << 53)
 
-PACK = "dim int, part bigint, n int, longest double, ids binary, vectors binary"
+PACK = "dim int, part bigint, n int, longest double, width int, ids binary, vectors binary"
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
@@ -70,10 +75,13 @@ def _packed(rows: DataFrame, part: Column, order: list[Column], limit: int | Non
         def flush():
             ids = np.array([g[0] for g in group], np.int64)
             vectors = np.array([g[1] for g in group], np.int64).reshape(len(group), key[0])
+            largest = max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+            width = 2 if largest < 1 << 15 else 4 if largest < 1 << 31 else 8
             return pa.RecordBatch.from_pydict({
                 "dim": pa.array([key[0]], pa.int32()), "part": pa.array([key[1]], pa.int64()),
                 "n": pa.array([len(group)], pa.int32()), "longest": pa.array([max(g[2] for g in group)], pa.float64()),
-                "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
+                "width": pa.array([width], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()),
+                "vectors": pa.array([vectors.astype(f"<i{width}").tobytes()], pa.binary())})
 
         for batch in batches:
             for dim, p, i, v, norm in zip(*(batch.column(c).to_pylist() for c in ("dim", "part", "id", "v", "norm"))):
@@ -165,8 +173,8 @@ def _search(k: int):
         import numpy as np
         import pyarrow as pa
 
-        def unpack(ids, vectors, n, dim):
-            return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(n, dim)
+        def unpack(ids, vectors, n, dim, width):
+            return np.frombuffer(ids, np.int64), np.frombuffer(vectors, f"<i{width}").reshape(n, dim)
 
         state: dict = {}
         key = None
@@ -186,11 +194,11 @@ def _search(k: int):
                     if key is not None:
                         yield flush()
                     key, state = now, {}
-                    q_ids, q_rows = unpack(r["q_ids"], r["q_vectors"], r["q_n"], r["dim"])
+                    q_ids, q_rows = unpack(r["q_ids"], r["q_vectors"], r["q_n"], r["dim"], r["q_width"])
                     q_float = q_rows.astype(np.float64)
                     q_norms = np.sqrt((q_float * q_float).sum(1))
                     q_most = np.abs(q_float).max(initial=0.0)
-                ids, rows = unpack(r["ids"], r["vectors"], r["n"], r["dim"])
+                ids, rows = unpack(r["ids"], r["vectors"], r["n"], r["dim"], r["width"])
                 values = rows.astype(np.float64)
                 exact = q_most * np.abs(values).max(initial=0.0) * max(1, r["dim"]) < MAX_EXACT
                 norms = np.sqrt((values * values).sum(1))
@@ -226,16 +234,32 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     buckets = materialise(_packed(rows, _norm_part(rows, n), [F.desc("norm"), F.col("id")], BUCKET_ROWS), "topk-buckets")
     q_parts = max(1, -(-asked.count() // QUERY_ROWS))
     # queries differ in id or vector, so this hash deals them evenly
-    blocks = _packed(asked, F.pmod(F.xxhash64("id", "v"), F.lit(q_parts)), [F.col("id")])
-    blocks = materialise(blocks, "topk-queries").select(
-        "dim", F.col("part").alias("q_part"), F.col("n").alias("q_n"),
+    q_part = F.pmod(F.xxhash64("id", "v"), F.lit(q_parts))
+    blocks = materialise(_packed(asked, q_part, [F.col("id")]), "topk-queries").select(
+        "dim", F.col("part").alias("q_part"), F.col("n").alias("q_n"), F.col("width").alias("q_width"),
         F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # a query block meets all buckets: each bucket is sent once per block
-    sent = (buckets.withColumn("run", F.col("part").cast("bigint") % F.lit(max(1, -(-n // (BUCKET_ROWS * RUN_BUCKETS)))))
-            .withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_parts - 1).cast("bigint")))))
-    pairs = (sent.join(blocks, ["dim", "q_part"]).repartition("dim", "q_part", "run")
-             .sortWithinPartitions("dim", "q_part", "run", F.desc("longest"), "part"))
-    best = pairs.mapInArrow(_search(k), "query_id bigint, run bigint, score bigint, id bigint")
+    buckets = buckets.withColumn("run", F.col("part").cast("bigint") % F.lit(max(1, -(-n // (BUCKET_ROWS * RUN_BUCKETS)))))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+
+    def best_of(sent: DataFrame) -> DataFrame:
+        """The k best of each query among the buckets sent to its block."""
+        pairs = (sent.join(blocks, ["dim", "q_part"]).repartition("dim", "q_part", "run")
+                 .sortWithinPartitions("dim", "q_part", "run", F.desc("longest"), "part"))
+        found = pairs.mapInArrow(_search(k), "query_id bigint, run bigint, score bigint, id bigint")
+        return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_parts - 1).cast("bigint")))
+    first = materialise(best_of(buckets.filter(F.col("part") < FIRST).withColumn("q_part", every)), "topk-first")
+    # the length that a better candidate needs; 0 where it is not known (ids of several vectors, too)
+    kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
+    once = asked.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    need = F.when((F.col("score") > 0) & (F.col("norm") > 0) & (F.col("times") == 1), F.col("score") / F.col("norm")).otherwise(0.0)
+    needs = (asked.select("id", "norm", "dim", q_part.alias("q_part")).join(kth, "id", "left").join(once, "id")
+             .groupBy("dim", "q_part").agg(F.min(need).alias("need")))
+    wanted = (buckets.filter(F.col("part") >= FIRST).select("dim", "part", "longest").join(needs, "dim")
+              .filter(F.col("longest") >= F.col("need") * (1 - SLACK)).select("dim", "part", "q_part")
+              .distinct())  # a part may be several packs
+    more = best_of(buckets.join(wanted, ["dim", "part"]))
+    both = first.drop("rank").unionByName(more.drop("rank"))
+    return (both.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "id", "score"))
