@@ -11,8 +11,8 @@
    replacement.  A document's inclusion probability is p = min(1, c * g), where
    g = 1 + floor(log2(words)) prefers longer documents mildly, and c makes the
    expected words equal B.  Those with p = 1 are certain too.
-4. Pareto order.  With u a hash of (seed, doc_id), documents are ranked by
-   [u / (1 - u)] / [p / (1 - p)], and taken in that order as long as the words
+4. Pareto order.  With u a hash of (seed, doc_id, text, number among equal rows), rows are
+   ranked by [u / (1 - u)] / [p / (1 - p)], and taken in that order as long as the words
    taken come nearer to the words still to draw.  So the drawn sample has a fixed
    size, counted in words, and probabilities proportional to g.
 
@@ -23,9 +23,13 @@ Every table except the documents' (id, source, words, rank) has at most RADIX
 rows per source.
 
 Null source: a source of its own, last in order.  Null or empty text: no words;
-such documents are never taken beyond their whole copies, which have no words.
-Rows that repeat one doc_id share one draw: they are taken or left together.
-Reruns give the same mix.
+such documents are never taken beyond their whole copies, which have no words.  Long
+texts are only counted and hashed where they are.  Every row has a draw of its own: rows of
+one doc_id (or of none) differ by their text, and rows equal in id, source and text
+are numbered, so neither a repeated nor a null id makes many rows rise or fall together.
+Of rows that differ in other columns only, any may get any of their numbers.  Reruns take
+the same number of each.  Ties in the order (equal ranks) are taken together.  An
+empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomspark.llm.common import WORD
+from bomspark.operators.ranking import row_number_in_group
 from bomspark.session import materialise
 
 WEIGHTS = (5, 2, 1)   # by order of the source, repeating
@@ -130,14 +135,48 @@ def _cuts(drawn: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def measure(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add ``__mix``: struct<src, size, cls, u> from (doc_id, text, source)."""
-    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    u = ((F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48)))
+    """Add ``__mix``: struct<src, size, cls, u> to the rows of (doc_id, text, source).  ``docs``
+    must be a table as it is read (its rows are named by their place in it)."""
+    keyed = (docs.withColumn("__mix_at", F.monotonically_increasing_id())
+             .withColumn("__mix_src", source_key(F.col("source")))
+             .withColumn("__mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+             .withColumn("__mix_text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+             .withColumn("__mix_size", word_count(F.col("text"))))
+    return _with_draws(keyed, _numbers(keyed), seed)
+
+
+def measure_keys(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, __mix) for every row of (doc_id, text, source), reading the texts once."""
+    keys = materialise(docs.select(
+        "doc_id", source_key(F.col("source")).alias("__mix_src"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__mix_id"),
+        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("__mix_text"),
+        word_count(F.col("text")).alias("__mix_size")), "mix-keys").withColumn("__mix_at", F.monotonically_increasing_id())
+    return _with_draws(keys, _numbers(keys), seed)
+
+
+SAME = ["__mix_id", "__mix_src", "__mix_text"]
+
+
+def _numbers(keyed: DataFrame) -> DataFrame:
+    """(__mix_row, __mix_k): the numbers of rows that are equal in id, source and text, by their place;
+    rows that are alone are left out.  A group that fills a third of the table is
+    numbered over many tasks."""
+    small = materialise(keyed.select("__mix_at", *SAME), "mix-places")
+    again = small.groupBy(*SAME).agg(F.count(F.lit(1)).alias("__mix_n")).filter("__mix_n > 1").select(*SAME)
+    numbered = row_number_in_group(small.join(again, SAME, "left_semi"), SAME, ["__mix_at"], "__mix_k")
+    return materialise(numbered.select(F.col("__mix_at").alias("__mix_row"), "__mix_k"), "mix-numbers")
+
+
+def _with_draws(keyed: DataFrame, numbers: DataFrame, seed: int) -> DataFrame:
+    k = F.coalesce("__mix_k", F.lit(1)).cast("string")
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "__mix_id", "__mix_text", k)), 1, 12), 16, 10)
+    u = (u.cast("double") + 0.5) / F.lit(float(1 << 48))
     size = F.col("__mix_size")
     cls = F.when(size > 0, F.floor(F.log2(size))).otherwise(0).cast("int")
-    return (docs.withColumn("__mix_size", word_count(F.col("text")))
-            .withColumn("__mix", F.struct(source_key(F.col("source")).alias("src"), size.alias("size"),
-                                          cls.alias("cls"), u.alias("u"))).drop("__mix_size"))
+    rows = keyed.join(numbers, F.col("__mix_at") == F.col("__mix_row"), "left")
+    return rows.withColumn("__mix", F.struct(F.col("__mix_src").alias("src"), size.alias("size"), cls.alias("cls"),
+                                             u.alias("u"))).drop("__mix_at", "__mix_row", "__mix_k", "__mix_size", *SAME)
 
 
 def plan(measured: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -181,8 +220,10 @@ def decide(measured: DataFrame, made: DataFrame, out: str = "mix") -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED,
         out: str = "mix") -> DataFrame:
-    """Add the decision ``out`` to every row of (doc_id, text, source, ...).  The words
-    of the texts are counted twice, so that texts are never shuffled; a caller that
-    needs no text can ``measure`` once, write that, and ``plan`` and ``decide`` on it."""
-    small = materialise(measure(docs.select("doc_id", "text", "source"), seed).select("__mix"), "mix-sizes")
-    return decide(measure(docs, seed), plan(small, weights, share, cap), out)
+    """Add the decision ``out`` to every row of (doc_id, text, source, ...), a table as it is read.
+    The words of the texts are counted twice, so that texts need no shuffle (but for rows with an
+    equal twin, which meet their numbers); a caller that needs no text can take
+    ``measure_keys``, write that, and ``plan`` and ``decide`` on it."""
+    measured = measure(docs, seed)
+    small = materialise(measured.select("__mix"), "mix-sizes")
+    return decide(measured, plan(small, weights, share, cap), out)

@@ -1,6 +1,6 @@
 """DuckDB statements of the queries that SQL can express, spelled out on their own.
 
-op4, op9, op10, op12 and op13 are whole; the others need tokenizer files, learned models,
+op4, op7, op9, op10, op12 and op13 are whole; the others need tokenizer files, learned models,
 hash functions DuckDB lacks, or checks it has no functions for, and are tested
 against brute-force versions instead."""
 
@@ -8,7 +8,8 @@ OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce('0' || source, '1') AS src,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT)
+         (CAST(('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')),
+            CAST(row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS VARCHAR))), 1, 12)) AS BIGINT)
           + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
   FROM documents),
 s AS (
@@ -73,6 +74,34 @@ SELECT r.doc_id, r.size, t.words AS source_size, t.target,
 FROM r JOIN t USING (src) LEFT JOIN cut USING (src)
 """
 
+OP7 = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+texts AS (
+  SELECT DISTINCT text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+           lambda b: CAST(('0x' || b) AS BIGINT)) AS bytes FROM documents),
+sums AS (
+  SELECT text, CAST(len(bytes) + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(bytes, lambda c, b:
+           xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295)) AS text_crc32 FROM texts, crc),
+d AS (
+  SELECT doc_id, size, text_crc32, list_transform(
+           ['r0', 'r1', 'r2', 'r0.k0', 'r0.k1', 'r1.k0', 'r1.k1', '0', '1', '2', '3', '4', '5', '6', '7'],
+           lambda name: -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || name), 1, 12)) AS BIGINT)
+             + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE))) AS e
+  FROM documents JOIN sums ON documents.text IS NOT DISTINCT FROM sums.text),
+regions AS (SELECT *, CASE WHEN e[1] / 4 <= e[2] / 4 THEN 0 ELSE 1 END AS r FROM d),
+racks AS (SELECT *, CASE WHEN e[4 + 2 * r] / 2 <= e[5 + 2 * r] / 2 THEN 0 ELSE 1 END AS k FROM regions),
+shards AS (
+  SELECT *, CAST(4 * r + 2 * k + CASE WHEN e[8 + 4 * r + 2 * k] <= e[9 + 4 * r + 2 * k] THEN 0 ELSE 1 END AS INTEGER) AS shard
+  FROM racks)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       CAST(CASE WHEN e[3] < least(e[1] / 4, e[2] / 4) THEN 8 ELSE shard END AS INTEGER) AS grown_shard,
+       'r' || r AS region, 'r' || r || '.k' || k AS rack
+FROM shards
+"""
+
 OP9 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -187,4 +216,4 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 FROM neg WHERE rank <= 5
 """
 
-SQL = {"op4_mixing": OP4, "op9_jaccard": OP9, "op10_topk": OP10, "op12_spelling": OP12, "op13_hard_negatives": OP13}
+SQL = {"op4_mixing": OP4, "op7_sharding": OP7, "op9_jaccard": OP9, "op10_topk": OP10, "op12_spelling": OP12, "op13_hard_negatives": OP13}

@@ -80,8 +80,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = mixing.measure(_documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "__mix")
-    measured = materialise(measured, "mix-sizes")  # texts are read once
+    measured = materialise(mixing.measure_keys(_documents(spark, sf_dir, "doc_id", "text", "source")), "mix-sizes")
     mixed = mixing.decide(measured, mixing.plan(measured))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target",
                         (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
@@ -110,7 +109,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = sharding.place(placed, ["doc_id"], sharding.default_tree(SHARDS + 1), "grown_shard",
                            "grown_region", "grown_rack")
     kept = materialise(grown.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "region", "rack"), "shards")
-    return sharding.number_slots(kept).select(
+    return sharding.number_slots(kept, order=["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
@@ -130,8 +129,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "c.n_chars", "c.edited_sha256",
         _fingerprint_text(F.col("c.own")).alias("fingerprint"),
         _fingerprint_text(F.col("c.edited")).alias("edited_fingerprint"),
-        winnow.likeness(F.col("c.own"), F.col("c.edited")).alias("near_edited"),
-        winnow.likeness(F.col("c.own"), F.col("c.following")).alias("near_next"))
+        "c.near_edited", "c.near_next")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ every later shard opens a region of its own.  Growing from n >= 8 to n + 1
 shards thus changes no weight below an existing region, and rows move only into
 the new shard.
 
-Null keys are one key value like any other.  Rows with equal keys meet in one
-shard.  The result has no row for an empty input.
+u is made of the md5 of key and child name.  Equal draws, which hashes of 48 bits hardly
+have, go to the smaller name.  Null keys are one key value like any other.  Rows with
+equal keys meet in one shard.  The result has no row for an empty input.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import unit_hash
-from bomspark.session import materialise
+from bomspark.operators.ranking import largest_group, row_number_in_group
 
-SLOT_ROWS = 50_000  # rows meant for one numbering bucket
+SLOT_ROWS = 1_000_000  # a shard of more rows is numbered by more than one task
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,14 @@ def _winner(key: list[Column], weights: dict[str, float]) -> Column:
     """The name of the child with the smallest draw."""
     if len(weights) == 1:
         return F.lit(next(iter(weights)))
-    draws = F.array(*[F.struct((-F.log(unit_hash(*key, F.lit(name))) / F.lit(w)).alias("draw"),
-                               F.lit(name).alias("name")) for name, w in weights.items()])
+    named = [F.coalesce(k.cast("string"), F.lit("null")) for k in key]
+
+    def u(name: str) -> Column:
+        digits = F.substring(F.md5(F.concat_ws(":", *named, F.lit(name))), 1, 12)
+        return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+    draws = F.array(*[F.struct((-F.log(u(name)) / F.lit(w)).alias("draw"), F.lit(name).alias("name"))
+                      for name, w in weights.items()])
     return F.array_min(draws)["name"]
 
 
@@ -86,25 +92,16 @@ def place(df: DataFrame, keys: list[str], tree: list[Shard], shard: str = "shard
                                         lambda s: str(s.shard)).cast("int"))
 
 
-def number_slots(placed: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:
-    """Add a number per row, gapless from 0 within each shard.
-
-    ``placed`` must be a written table (its rows are numbered in one pass and
-    counted in another).  Rows are dealt to hash buckets of about SLOT_ROWS rows,
-    numbered within their bucket, and shifted by the rows of the shard's earlier
-    buckets; no task sees a whole shard, and repeated rows spread too, as the
-    bucket also hashes the row's place in the table."""
-    from pyspark.sql import Window
-
-    buckets = max(16, -(-placed.count() // SLOT_ROWS))
-    at, b = "__slot_at", "__slot_bucket"
-    dealt = (placed.withColumn(at, F.monotonically_increasing_id())
-             .withColumn(b, F.pmod(F.xxhash64(F.col(at)), F.lit(buckets))))
-    dealt = materialise(dealt, "slots")
-    sizes = dealt.groupBy(shard, b).agg(F.count(F.lit(1)).alias("__slot_n"))
-    before = sizes.select(shard, b, (F.sum("__slot_n").over(
-        Window.partitionBy(shard).orderBy(b)) - F.col("__slot_n")).alias("__slot_before"))
-    within = dealt.withColumn("__slot_i", F.row_number().over(Window.partitionBy(shard, b).orderBy(at)) - 1)
-    return (within.join(before, [shard, b])
-            .withColumn(slot, F.col("__slot_before") + F.col("__slot_i"))
-            .drop(at, b, "__slot_i", "__slot_before"))
+def number_slots(placed: DataFrame, shard: str = "shard", slot: str = "slot", order: list[str] | None = None) -> DataFrame:
+    """Add a number per row, gapless from 0 within each shard, in ``order`` (default: all
+    columns); rows equal there in any order.
+
+    ``placed`` must be a written table.  A shard of up to SLOT_ROWS rows is numbered by a
+    window; larger ones by a range sort over many tasks, in which equal rows spread, too, by
+    their place in the table, so no task sees a whole shard."""
+    at = "__slot_at"
+    order = order or [c for c in placed.columns if c != shard]
+    numbered = row_number_in_group(
+        placed.withColumn(at, F.monotonically_increasing_id()), [shard], [F.col(f"`{c}`") for c in order] + [F.col(at)], slot,
+        largest_group(placed, [shard]), SLOT_ROWS)
+    return numbered.withColumn(slot, F.col(slot) - 1).drop(at)

@@ -28,6 +28,7 @@ K, W = 12, 24
 HASH_BITS = 40
 BLOCK = 1 << 20
 RANGE_ROWS, MAX_RANGES = 2_000, 20_000
+TIE_BITS = 32
 SPAN_TYPE = "array<struct<hash:bigint,pos:bigint>>"
 LOWEST = -(1 << 63)
 
@@ -135,13 +136,15 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-COMPARED = (f"struct<n_chars:bigint,edited_sha256:string,own:{SPAN_TYPE},edited:{SPAN_TYPE},following:{SPAN_TYPE}>")
+COMPARED = (f"struct<n_chars:bigint,edited_sha256:string,own:{SPAN_TYPE},edited:{SPAN_TYPE},"
+            "near_edited:double,near_next:double>")
 
 
 def compare_edited(text: Column, following: Column, k: int = K, w: int = W) -> Column:
-    """COMPARED of two packed texts: length, digest of the edited text, and the
-    fingerprints of the text, the edited text and the other text.  As rows come in
-    order, the other text is mostly the next row's, whose fingerprint is kept."""
+    """COMPARED of two packed texts: length, digest of the edited text, the
+    fingerprints of the text and the edited text, and the likeness of the text's to the
+    edited text's and to the other text's.  As rows come in order, the other text is
+    mostly the next row's, whose fingerprint is kept."""
 
     def compared(texts, others):
         import hashlib
@@ -155,7 +158,7 @@ def compare_edited(text: Column, following: Column, k: int = K, w: int = W) -> C
                 known[packed] = fingerprint_text(text, k, w)
             return known[packed]
 
-        sizes, digests, own, edited, following_ = [], [], [], [], []
+        sizes, digests, own, edited, near_edited, near_next = [], [], [], [], [], []
         for a, b in zip(texts.to_pylist(), others.to_pylist()):
             text, other = unpack_text(a), unpack_text(b)
             changed = edited_text(text, other)
@@ -163,65 +166,92 @@ def compare_edited(text: Column, following: Column, k: int = K, w: int = W) -> C
             digests.append(hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest())
             own.append(prints(a, text))
             edited.append(fingerprint_text(changed, k, w))
-            following_.append(prints(b, other))
+            near_edited.append(likeness(own[-1][0], edited[-1][0]))
+            near_next.append(likeness(own[-1][0], prints(b, other)[0]))
         return pa.StructArray.from_arrays(
             [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), _span_array(own), _span_array(edited),
-             _span_array(following_)], ["n_chars", "edited_sha256", "own", "edited", "following"])
+             pa.array(near_edited, pa.float64()), pa.array(near_next, pa.float64())],
+            ["n_chars", "edited_sha256", "own", "edited", "near_edited", "near_next"])
 
     return by_parts(compared, COMPARED, text, following)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprint columns."""
-    x, y = F.array_distinct(a["hash"]), F.array_distinct(b["hash"])
-    both = F.size(x) + F.size(y)
-    return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+def likeness(a, b) -> float:
+    """Likeness of two fingerprints' hashes."""
+    import numpy as np
+
+    x, y = np.unique(a), np.unique(b)
+    both = len(x) + len(y)
+    return 2.0 * len(np.intersect1d(x, y, assume_unique=True)) / both if both else 1.0
 
 
 def with_next(df: DataFrame, order: str, tie: str, value: str, out: str = "next") -> DataFrame:
     """Add the ``value`` of the next row in ascending ``order``, the first row's for
-    the last.  Null order comes first; equal ones are ordered by ``tie``; a single
-    row follows itself.
+    the last.  Null order comes first; equal ones are ordered by ``tie``, a hash in
+    [0, 2^TIE_BITS); a single row follows itself.
 
     No task sees all rows: rows are dealt to ranges of the order value at
     approximate quantiles (RANGE_ROWS rows each, at most MAX_RANGES ranges, whose
     bounds the driver holds), and the first row of each range is also sent to the
-    range before it, where it stands last."""
+    range before it, where it stands last.  An order value that is several quantiles at
+    once (a hot id, or all null ids) is cut into as many slices by ``tie``.  Rows equal in
+    every column, more of them than a range should hold, travel as one row with their
+    number: each but the last is followed by its equal.  The window over a range sorts and
+    spills, so ranges beyond MAX_RANGES * RANGE_ROWS rows grow in time, not in memory."""
     spark = df.sparkSession
-    key, pid, tail = "__next_key", "__next_range", "__next_tail"
+    key, pid, tail, times = "__next_key", "__next_range", "__next_tail", "__next_times"
+    columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.withColumn(key, F.coalesce(F.col(order).cast("bigint"), F.lit(LOWEST)))
-    ids = rows.select(key)
+    ids = rows.select(key, F.col(tie).alias("__next_tie"))
     n = ids.count()
     if n == 0:
         return df.withColumn(out, F.col(value))
     ranges = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
-    bounds = []
-    if ranges > 1:
-        cuts = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(ids.agg(F.percentile_approx(key, cuts, 10 * ranges)).first()[0]))
-
-    def range_of(x: Column) -> Column:
-        """The number of bounds at or below x, looked up in two steps."""
+    cuts = [i / ranges for i in range(1, ranges)]
+    quantiles = ids.agg(F.percentile_approx(key, cuts, 10 * ranges)).first()[0] if cuts else []
+    bounds = sorted(set(quantiles))
+    slices = [1] + [quantiles.count(b) if len(bounds) < len(quantiles) else 1 for b in bounds]  # by range
+
+    def range_of(x: Column, t: Column) -> Column:
+        """The number of bounds at or below x, looked up in two steps, then its slice: values
+        behind a bound that is cut come after all of its slices."""
         if not bounds:
-            return F.lit(0)
+            return F.lit(0).cast("bigint")
         step = max(1, int(len(bounds) ** 0.5))
         coarse = F.lit(bounds[::step])
         block = F.greatest(F.size(F.filter(coarse, lambda b: b <= x)) - 1, F.lit(0))
         inside = F.slice(F.lit(bounds), block * step + 1, step)
-        return block * step + F.size(F.filter(inside, lambda b: b <= x))
-
-    rows = rows.withColumn(pid, range_of(F.col(key)))
-    firsts = ids.withColumn(pid, range_of(F.col(key))).groupBy(pid).agg(F.min(key)).collect()  # at most MAX_RANGES rows
+        at = block * step + F.size(F.filter(inside, lambda b: b <= x))
+        if max(slices) == 1:
+            return at.cast("bigint")
+        m = F.get(F.lit(slices), at).cast("bigint")
+        own = (at > 0) & (x == F.get(F.lit(bounds), F.greatest(at - 1, F.lit(0))))
+        return at * (MAX_RANGES + 1) + F.when(m == 1, 0).when(own, F.shiftright(t * m, TIE_BITS)).otherwise(m)
+
+    # at most MAX_RANGES pairs hold that many rows each
+    many = [tuple(r) for r in ids.groupBy(key, "__next_tie").count().filter(
+        F.col("count") > max(RANGE_ROWS, n // MAX_RANGES)).select(key, "__next_tie").collect()] if max(slices) > 1 else []
+    rows = rows.withColumn(times, F.lit(1).cast("bigint"))
+    if many:
+        pairs = F.broadcast(spark.createDataFrame(many, "__m_key bigint, __m_tie bigint"))
+        met = (F.col(key) == F.col("__m_key")) & (F.col(tie) == F.col("__m_tie"))
+        packed = rows.join(pairs, met, "left_semi").groupBy(*columns, key).agg(F.sum(times).alias(times))
+        rows = rows.join(pairs, met, "left_anti").unionByName(packed)
+    rows = rows.withColumn(pid, range_of(F.col(key), F.col(tie)))
+    firsts = (ids.withColumn(pid, range_of(F.col(key), F.col("__next_tie"))).groupBy(pid)
+              .agg(F.min(F.struct(key, "__next_tie")).alias("f")).select(pid, "f.*").collect())  # one row a range or slice
     firsts = sorted(tuple(r) for r in firsts)
-    before = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]
-    heads = spark.createDataFrame(before, f"{key} bigint, __next_to int")
-    rows = rows.join(F.broadcast(heads), key, "left")
+    before = [(firsts[i][1], firsts[i][2], firsts[i - 1][0]) for i in range(len(firsts))]
+    heads = spark.createDataFrame(before, "__h_key bigint, __h_tie bigint, __next_to bigint")
+    rows = rows.join(F.broadcast(heads), (F.col(key) == F.col("__h_key")) & (F.col(tie) == F.col("__h_tie")), "left")
     rows = rows.withColumn("__next_at", F.explode(F.filter(
         F.array(F.struct(F.col(pid).alias("p"), F.lit(False).alias("t")),
                 F.struct(F.col("__next_to").alias("p"), F.lit(True).alias("t"))), lambda a: a["p"].isNotNull())))
     rows = rows.withColumns({pid: F.col("__next_at.p"), tail: F.col("__next_at.t")})
     # the tails of the last range are the first rows of all: they come after its own
     follows = Window.partitionBy(pid).orderBy(tail, key, tie)
-    return (rows.withColumn("__next_value", F.lead(value).over(follows))
-            .filter(~F.col(tail)).withColumn(out, F.col("__next_value"))
-            .select(*[F.col(f"`{c}`") for c in df.columns if c != out], out))
+    found = rows.withColumn("__next_value", F.lead(value).over(follows)).filter(~F.col(tail))
+    if many:
+        found = found.withColumn("__next_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))).withColumn(
+            "__next_value", F.when(F.col("__next_i") < F.col(times), F.col(value)).otherwise(F.col("__next_value")))
+    return found.withColumn(out, F.col("__next_value")).select(*[c for c, name in zip(columns, df.columns) if name != out], out)

@@ -246,6 +246,27 @@ def test_next_text_over_many_ranges(spark, monkeypatch):
     assert Counter(tuple(r) for r in winnow.with_next(df, "doc_id", "crc", "text").drop("crc").collect()) == want
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_next_text_of_a_hot_id_over_many_ranges(spark, monkeypatch, hot):
+    """One id, or none, with most rows, many of them with one text: cut into slices, and equal rows as one."""
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 10)
+    rows = [(hot, f"t{i}") for i in range(200)] + [(hot, "same")] * 120 + [(i, f"u{i}") for i in range(60)] + [(3, "u3")] * 30
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    df = df.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    want = Counter((*order[i], order[(i + 1) % len(order)][1]) for i in range(len(order)))
+    assert Counter(tuple(r) for r in winnow.with_next(df, "doc_id", "crc", "text").drop("crc").collect()) == want
+
+
+def test_likeness_equals_sets():
+    rnd = random.Random(3)
+    for _ in range(200):
+        a, b = ([rnd.randrange(12) for _ in range(rnd.randrange(9))] for _ in range(2))
+        both = len(set(a)) + len(set(b))
+        assert winnow.likeness(a, b) == (2 * len(set(a) & set(b)) / both if both else 1.0)
+
+
 def test_packed_texts_round_trip(spark):
     texts = ["", None, "é😀\n" * 2000, "\x00a"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -288,6 +309,30 @@ def test_language_distance_equals_brute_force(monkeypatch):
         assert ranker.predict(t) == (best, 1 - far[best] / (3 * len(own)))
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than a group holds; results as from one group."""
+    rnd = random.Random(12)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(100 * i + k, " ".join(rnd.choice(letters[5 * i:5 * i + 5]) for _ in range(20)), f"lang{i:02d}") for i in range(40) for k in range(3)]
+    rows += [(None, "xx", None), (1, None, "lang00"), (9999, "?!", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    for group in (5_000, 7):
+        monkeypatch.setattr(langid, "LANG_GROUP", group)
+        profiles = langid.fit(docs)
+        got = langid.predict(docs, profiles).selectExpr("doc_id", "lang", "language.lang AS said", "language.score AS score")
+        seen.append(sorted(map(str, got.collect())))
+        assert all(r.said == r.lang for r in got.collect() if r.lang and r.score > 0)
+    assert seen[0] == seen[1] and profiles.parts == 6
+
+
+def test_training_rows_of_a_hot_id_are_bounded(spark):
+    rows = [(7, f"word {i}", "en") for i in range(3000)] + [(7, "copy of a row", "en")] * 3000 + [(i, "mot", "fr") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    grams = langid.fit(docs, train_docs=100).part(0)
+    assert set(grams) == {"en", "fr"}
+
+
 def test_signs_are_not_letters():
     ranker = langid.Ranker({"xx": ["a"]}, 3)
     assert ranker.predict("² ³ Ⅷ 1 _ ½ !") == ("und", 0.0)
@@ -319,6 +364,16 @@ def brute_maximal(scores):
     return found
 
 
+def test_training_rows_are_bounded_by_rows(spark):
+    """Also where one labelled id repeats, with different texts and with one text."""
+    rows = [(7, f"text {i}") for i in range(2000)] + [(7, "same text")] * 1900 + [(i, f"other {i}") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (7, 0)] + [(i, 0) for i in range(100, 200)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, 5000).count() == 4000
+    assert toxicity.training_rows(docs, labels, 120).count() <= 200
+    assert toxicity.training_rows(docs, labels.filter("false"), 120).count() == 0
+
+
 def test_segments_equal_brute_force():
     rnd = random.Random(9)
     words = {"p": 1.0, "q": 0.37, "n": -0.61, "m": -0.05}
@@ -433,12 +488,34 @@ def test_shards_move_only_into_changed_subtrees(spark):
     assert 0.15 < n[0] / 4000 < 0.30
 
 
+def test_draws_equal_brute_force(spark):
+    tree = sharding.default_tree(9) + [sharding.Shard("r9", "r9.k0", 20, 0.5), sharding.Shard("r9", "r9.k1", 21, 3.0)]
+
+    def descend(key):
+        def draw(name, weight):
+            x = int(hashlib.md5(f"{key}:{name}".encode()).hexdigest()[:12], 16)
+            return -math.log((x + 0.5) / 2**48) / weight
+
+        at = tree
+        for part in (lambda s: s.region, lambda s: s.rack, lambda s: str(s.shard)):
+            weights = {}
+            for s in at:
+                weights[part(s)] = weights.get(part(s), 0.0) + s.weight
+            best = min(weights, key=lambda n: (draw(n, weights[n]), n))
+            at = [s for s in at if part(s) == best]
+        return at[0].shard
+
+    ids = spark.createDataFrame([(i,) for i in range(400)] + [(None,)], "id long")
+    for r in sharding.place(ids, ["id"], tree).collect():
+        assert r.shard == descend("null" if r.id is None else r.id)
+
+
 def test_slots_are_gapless(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
     rows = spark.range(500).union(spark.createDataFrame([(7,)] * 200, "id long"))
     placed = materialise(sharding.place(rows, ["id"], sharding.default_tree(8)), "t")
     got = {}
-    for r in sharding.number_slots(placed).collect():
+    for r in sharding.number_slots(placed, order=["id"]).collect():
         got.setdefault(r.shard, []).append(r.slot)
     assert sum(map(len, got.values())) == 700
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
