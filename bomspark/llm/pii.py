@@ -23,8 +23,8 @@ match) so that a long run of word characters is scanned once, not once per
 position.  This does not change the matches: within one run of the first class a
 match exists from every start or from none.
 
-Null text counts as empty: no spans.  Existing columns named like the outputs
-are replaced.
+Null text counts as empty: no spans.  Long texts are searched whole, repeated rows alike,
+and empty tables give empty tables.  Existing columns named like the outputs are replaced.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ or more letters of MAX_RATIO or more characters per token.  A run that lies insi
 shape is not reported again.
 
 Runs longer than PIECE characters are encoded in pieces; each seam adds at most one
-token.  Null text counts as empty: no spans.  A column named like the output is
-replaced.
+token.  Null text counts as empty: no spans.  Long texts are searched whole, repeated rows
+alike, and empty tables give empty tables.  A column named like the output is replaced.
 """
 
 from __future__ import annotations
