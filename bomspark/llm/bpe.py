@@ -47,7 +47,7 @@ from bomspark.llm.common import by_parts
 from bomspark.session import ship_package
 
 CACHED_CHARS = 48
-CACHE_WORDS = 60_000
+CACHE_WORDS = 110_000
 CACHE_PAIRS = 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
