@@ -4,7 +4,7 @@ The builders in ``operators.report`` return ordered rows, never one value per
 project.  Here they become text files: a folder per project whose files, concatenated
 in the order of their names, are exactly the document.  Rows are dealt by ranges of
 (project, order), so a project of any size is written by as many tasks as it needs and
-is gathered in none.
+is gathered in none; there are tasks for the folders as well as for the bytes.
 
 Spark's text writer puts a line separator behind every row.  Every part of a document
 ends with the same character (``>`` on a page, the line end in a prompt), so that character is
@@ -26,14 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.operators.ranking import ONE_TASK_ROWS, sum_before_in_group
+from bomspark.sinks.landing import TASK_FILES
 
 # Lines of one file may share a line number; their text decides then.
 REPORT_ORDER = ("section_no", "file_id", "line_no", "line")
 PART_ORDER = ("part_no", "chunk_no")
 LINE_END, TAG_END = "\n", ">"
+# Bytes of documents a writing task takes.
+TASK_BYTES = 64 << 20
 # Modulus (a Mersenne prime) and base of the digests.
 P, B = (1 << 31) - 1, 1_000_003
-EXPONENT_BITS = 48
+# A power of B is the product of one entry of each table of powers, a table for each run of bits.
+TABLE_BITS = 8
 
 
 def _ended(rows: DataFrame, value: str, end: str) -> Column:
@@ -53,8 +57,11 @@ def write_documents(rows: DataFrame, out_dir: str, value: str, order: tuple[str,
     """Write the parts ``rows`` (project_id, the order columns, ``value``, which ends with
     ``end``) below ``out_dir``, one folder per project; returns ``out_dir``."""
     keys = ["project_id", *order]
+    held = rows.agg(F.count_distinct("project_id").alias("projects"), F.sum(F.octet_length(value)).alias("bytes")).first()
+    # a file costs its task far more than its bytes, so tasks are counted by both
+    tasks = max(1, -(-held.projects // TASK_FILES), -(-(held.bytes or 0) // TASK_BYTES))
     (rows.select(*keys, _ended(rows, value, end).alias("_written"))
-     .repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
      .select("project_id", F.col("_written").alias("value"))
      .write.mode(mode).partitionBy("project_id").option("lineSep", end).text(out_dir))
     return out_dir
@@ -67,14 +74,21 @@ def read_document(spark: SparkSession, out_dir: str, project_id) -> str:
 
 
 def _power(exponent: str) -> str:
-    """SQL of B to the power of a bigint expression, modulo P: its bits choose among the
-    repeated squares of B."""
-    squares, b = [], B
-    for _ in range(EXPONENT_BITS):
-        squares.append(f"{b}L")
-        b = b * b % P
-    return (f"aggregate(transform(array({', '.join(squares)}), (x, i) -> CASE WHEN (shiftright({exponent}, i) & 1L) = 1L "
-            f"THEN x ELSE 1L END), 1L, (acc, x) -> acc * x % {P}L)")
+    """SQL of B to the power of a bigint expression that is not negative, modulo P.  B^(P - 1) is 1, so
+    the exponent counts modulo P - 1, and its runs of TABLE_BITS bits look the factors up in
+    constant arrays: a few look-ups a row, whatever the exponent."""
+    entries, factors, b = 1 << TABLE_BITS, [], B
+    for low in range(0, P.bit_length(), TABLE_BITS):
+        powers = [1]
+        for _ in range(entries - 1):
+            powers.append(powers[-1] * b % P)
+        table = f"array({', '.join(f'{x}L' for x in powers)})"
+        factors.append(f"get({table}, cast(shiftright(({exponent}) % {P - 1}L, {low}) & {entries - 1}L as int))")
+        b = powers[-1] * b % P
+    out = factors[0]
+    for f in factors[1:]:
+        out = f"{out} * {f} % {P}L"
+    return out
 
 
 def _number(piece: str) -> str:
@@ -85,7 +99,7 @@ def _number(piece: str) -> str:
 def _combined(parts: DataFrame, order: list[str], bound: int | None, one_task_rows: int) -> DataFrame:
     """project_id, pieces, bytes, digest from (project_id, order, pieces, bytes, digest) stretches."""
     placed = sum_before_in_group(parts, ["project_id"], order, {"pieces": "_before"}, bound, one_task_rows)
-    return (placed.withColumn("_term", F.expr(f"digest * {_power('_before')} % {P}L"))
+    return (placed.withColumn("_term", F.expr(f"digest * ({_power('_before')}) % {P}L"))
             .groupBy("project_id").agg(F.sum("pieces").alias("pieces"), F.sum("bytes").alias("bytes"),
                                        F.expr(f"sum(_term) % {P}L").alias("digest")))
 
@@ -113,11 +127,11 @@ def file_digests(spark: SparkSession, out_dir: str, key_type: str, end: str = LI
     pieces = read.select("project_id", "value", F.col("_metadata.file_name").alias("_file"),
                          F.col("_metadata.file_block_start").alias("_start"),
                          (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_n"))
-    blocks = (pieces.withColumn("_term", F.expr(f"{_number('value')} * {_power('_n')} % {P}L"))
+    blocks = (pieces.withColumn("_term", F.expr(f"{_number('value')} * ({_power('_n')}) % {P}L"))
               .groupBy("project_id", "_file", "_start")
               .agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("value") + len(end)).alias("bytes"),
                    F.min("_n").alias("_first"), F.expr(f"sum(_term) % {P}L").alias("_sum")))
     back = f"{P - 1}L - _first % {P - 1}L"  # B^(P - 1) is 1, so this power divides by B^_first
     blocks = blocks.select("project_id", "_file", "_start", "pieces", "bytes",
-                           F.expr(f"_sum * {_power(back)} % {P}L").alias("digest"))
+                           F.expr(f"_sum * ({_power(back)}) % {P}L").alias("digest"))
     return _combined(blocks, ["_file", "_start"], bound, one_task_rows)

@@ -1,5 +1,6 @@
 """Documents written as ordered text files."""
 
+import glob
 import random
 
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from bomspark import fixed_values as fv
 from bomspark.operators import report
 from bomspark.plans import queries
-from bomspark.sinks.documents import (LINE_END, PART_ORDER, REPORT_ORDER, TAG_END, file_digests, part_digests,
-                                      read_document, with_line_ends, write_documents)
+from bomspark.sinks.documents import (B, LINE_END, P, PART_ORDER, REPORT_ORDER, TAG_END, _power, file_digests,
+                                      part_digests, read_document, with_line_ends, write_documents)
+from bomspark.sinks.landing import TASK_FILES
 
 
 def test_report_lines_keep_their_order(spark, tmp_path):
@@ -107,3 +109,19 @@ def test_a_part_without_its_end_stops_the_job(spark, tmp_path):
     parts = spark.createDataFrame([("a", 0, 0, "no end")], "project_id string, part_no int, chunk_no long, html string")
     with pytest.raises(Exception, match="does not end"):
         write_documents(parts, str(tmp_path / "d"), "html", end=TAG_END)
+
+
+def test_powers_of_the_digest(spark):
+    n = [0, 1, 255, 256, P - 2, P - 1, P, (1 << 33) - 1, (1 << 48) - 1]
+    got = spark.createDataFrame([(x,) for x in n], "n bigint").select("n", F.expr(_power("n")).alias("p")).collect()
+    assert {r.n: r.p for r in got} == {x: pow(B, x, P) for x in n}
+    assert len(_power("n")) < 20_000 and "aggregate" not in _power("n")
+
+
+def test_tasks_follow_the_number_of_folders(spark, tmp_path):
+    parts = spark.range(3 * TASK_FILES).select(F.col("id").alias("project_id"), F.lit(0).alias("part_no"), F.lit(0).alias("chunk_no"),
+                                               F.lit("<p>").alias("html"))
+    out = write_documents(parts, str(tmp_path / "pages"), "html", PART_ORDER, end=TAG_END)
+    files = glob.glob(f"{out}/project_id=*/part-*")
+    assert len(files) == 3 * TASK_FILES
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) == 3  # small files of one task before
