@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bomspark.operators.ordering import order_delivery, order_lead_times, order_spend, order_summary
 from bomspark.session import materialise
+from bomspark.sinks.landing import TASK_FILES
 
 TABLE_NAMES = ["Clean_BOM", "Summary_by_Family", "Data_Quality_Log", "Lead_Time_Estimator",
                "Delivery_Sequence", "Spend_Estimation"]
@@ -64,16 +65,18 @@ def deal_by_project(df: DataFrame, order: list, file_rows: int = FILE_ROWS) -> D
     """``df`` dealt to tasks for writing by project, in ``order`` within a project.
 
     The rows of each project are counted first.  A project of up to ``file_rows`` rows goes to one
-    task, a larger one in as many pieces as it needs, by a hash of the row; there are as
-    many tasks as ``file_rows`` goes into all rows, and small projects share one."""
+    task, a larger one in as many pieces as it needs, by a hash of the row, each to another task.
+    There are tasks for the rows (``FILE_ROWS`` each), for the files (``TASK_FILES`` each) and
+    for the pieces of the largest project, however small ``file_rows`` is; small projects share one."""
     sizes = materialise(df.groupBy("project_id").agg(F.count(F.lit(1)).alias("_rows")), "project-sizes")
-    total = sizes.agg(F.sum("_rows")).first()[0] or 0
-    pieces = sizes.filter(F.col("_rows") > file_rows).select(
-        "project_id", F.ceil(F.col("_rows") / file_rows).cast("bigint").alias("_pieces"))  # at most total / file_rows rows
+    cut = F.ceil(F.col("_rows") / file_rows).cast("bigint")
+    total, files, most = sizes.agg(F.sum("_rows"), F.sum(cut), F.max(cut)).first()
+    tasks = max(1, -(-(total or 0) // max(file_rows, FILE_ROWS)), -(-(files or 0) // TASK_FILES), most or 0)
+    pieces = sizes.filter(F.col("_rows") > file_rows).select("project_id", cut.alias("_pieces"))  # at most total / file_rows rows
     dealt = df.join(pieces, "project_id", "left").withColumn(
         "_piece", F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.col("_pieces"))).otherwise(F.lit(0)))
-    return (dealt.repartition(max(1, -(-total // file_rows)), "project_id", "_piece")
-            .sortWithinPartitions("project_id", *order).select(*df.columns))
+    task = F.pmod(F.pmod(F.xxhash64("project_id"), F.lit(tasks)) + F.col("_piece"), F.lit(tasks)).cast("int")
+    return dealt.repartitionById(tasks, task).sortWithinPartitions("project_id", *order).select(*df.columns)
 
 
 def write_by_project(tables: dict[str, tuple[DataFrame, list]], out_dir: str, fmt: str = "parquet",
@@ -94,11 +97,13 @@ def write_by_project(tables: dict[str, tuple[DataFrame, list]], out_dir: str, fm
     return paths
 
 
-def count_files(paths: dict[str, str], spark: SparkSession, fmt: str = "parquet") -> DataFrame:
-    """table_name, files: the data files of written tables that hold rows."""
+def count_files(paths: dict[str, str], spark: SparkSession, fmt: str = "parquet",
+                read: dict[str, DataFrame] | None = None) -> DataFrame:
+    """table_name, files: the data files of written tables that hold rows.  ``read``: the tables
+    as ``read_tables`` returned them, whose folders then are not listed again."""
     out = None
-    for name, path in paths.items():
-        one = (spark.read.format(fmt).load(path).select(F.col("_metadata.file_path").alias("f")).distinct()
+    for name, df in (read or read_tables(spark, paths, fmt)).items():
+        one = (df.select(F.col("_metadata.file_path").alias("f")).distinct()
                .agg(F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("table_name"), "files"))
         out = one if out is None else out.unionByName(one)
     return out

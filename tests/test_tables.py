@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from bomspark.sinks.tables import count_files, read_tables, write_by_project, write_tables
+from bomspark.sinks.tables import count_files, deal_by_project, read_tables, write_by_project, write_tables
 
 
 def skewed(spark):
@@ -34,3 +34,11 @@ def test_partitioned_result_tables(spark, tmp_path):
     assert read_tables(spark, paths)["t"].count() == 6000 and read_tables(spark, paths)["Run"].count() == 1
     assert count_files({"t": paths["t"]}, spark).first().files == skewed(spark).select("project_id").distinct().count()
     assert write_by_project({"none": (skewed(spark).filter("false"), [])}, str(tmp_path / "empty"))
+
+
+def test_tasks_follow_the_files_not_the_rows_of_a_file(spark):
+    df = spark.range(6000).select((F.col("id") % 400).alias("project_id"), F.col("id").alias("k"))
+    dealt = deal_by_project(df, ["k"], file_rows=10)
+    held = dealt.withColumn("task", F.spark_partition_id()).groupBy("project_id").agg(F.count_distinct("task").alias("files"), F.count(F.lit(1)).alias("n"))
+    assert dealt.rdd.getNumPartitions() == 8  # 800 files; 600 tasks before
+    assert held.filter("files > 2 OR n != 15").isEmpty()
