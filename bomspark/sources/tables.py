@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomspark.fixed_values import HEADER_SEARCH_ROWS
+
 AS_OF = "1998-06-01 09:30:00"
 PROJECT_START_BASE = "1998-06-01 00:00:00"
 FILE_ORDERKEY_SPAN = 50000
@@ -103,13 +105,12 @@ def _note_cells(width: int):
 
 
 def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per schedule file: project_id, file_id, layout_hint,
-    rows array<struct<row_idx int, cells array<string>>>.
+    """One row per schedule file: project_id, file_id, rows array<struct<row_idx int,
+    cells array<string>>> and ``head``, the first of them.
 
     Built with one aggregate per file (bounded by the file), never per
     project; row numbers are array positions, so no window is needed.
     """
-    bom = bom_view(spark, sf_dir)
     revit = F.pmod(F.col("project_id"), F.lit(2)) == 0
     line_cells = F.when(revit, F.array(
         F.concat(F.lit(" "), F.col("family")), F.col("type"), F.col("panel_name"),
@@ -117,21 +118,17 @@ def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).otherwise(F.array(
         F.col("level"), F.lit("Elec Rm"), F.lit("MLO"), F.col("panel_name"), F.lit("100"), F.col("type"),
     ))
-    lines = bom.select(
-        "project_id", "file_id",
-        F.struct(F.lit(1).alias("part_no"), F.col("line_no").alias("k1"), F.lit("").alias("k2"),
-                 line_cells.alias("cells")).alias("r"))
-    subtotals = (bom.filter(revit)
-                 .groupBy("project_id", "file_id", "family")
-                 .agg(F.sum("count").cast("bigint").alias("units"))
-                 .select("project_id", "file_id",
-                         F.struct(F.lit(2).alias("part_no"), F.lit(0).cast("bigint").alias("k1"),
-                                  F.col("family").alias("k2"),
-                                  F.array(F.col("family"), F.lit(""), F.lit(""), F.lit(""),
-                                          F.col("units").cast("string")).alias("cells")).alias("r")))
-    files = (lines.unionByName(subtotals)
-             .groupBy("project_id", "file_id")
-             .agg(F.array_sort(F.collect_list("r")).alias("body")))
+    # Dealt by file once, as narrow rows: both aggregates then need no exchange of their own, and no
+    # task gathers parts of files before they meet.  Only revit lines are grouped by family.
+    bom = bom_view(spark, sf_dir).repartition("project_id", "file_id")
+    families = (bom.groupBy("project_id", "file_id", F.when(revit, F.col("family")).alias("family"))
+                .agg(F.collect_list(F.struct(F.col("line_no").alias("k1"), line_cells.alias("cells"))).alias("lines"),
+                     F.sum("count").cast("bigint").alias("units")))
+    subtotal = F.struct(F.col("family").alias("k2"), F.array(
+        F.col("family"), F.lit(""), F.lit(""), F.lit(""), F.col("units").cast("string")).alias("cells"))
+    files = (families.groupBy("project_id", "file_id")
+             .agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"),
+                  F.sort_array(F.collect_list(F.when(revit, subtotal))).alias("subtotals")))
     is_revit = F.pmod(F.col("project_id"), F.lit(2)) == 0
     notes = F.pmod(F.col("project_id"), F.lit(NOTE_ROWS_MODULUS)).cast("int")
     empty = F.array().cast("array<array<string>>")
@@ -142,9 +139,21 @@ def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(is_revit, F.array(_lit_array(REVIT_HEADER))).otherwise(F.array(_lit_array(GURTZ_HEADER)))
     tail = F.when(is_revit, F.array(_lit_array(REVIT_JUNK))).otherwise(
         F.array(_lit_array(GURTZ_HEADER), _lit_array(GURTZ_BLANK)))
-    all_cells = F.concat(head, note_rows, header, F.transform("body", lambda x: x["cells"]), tail)
-    rows = F.transform(all_cells, lambda c, i: F.struct(i.cast("int").alias("row_idx"), c.alias("cells")))
-    return files.select("project_id", "file_id", rows.alias("rows"))
+    cells = F.concat(head, note_rows, header, _cells_of("lines"), _cells_of("subtotals"), tail)
+    # the first records on their own: looking for a header needs no others
+    first = F.concat(head, note_rows, header, _cells_of(F.slice("lines", 1, HEADER_SEARCH_ROWS)),
+                     _cells_of(F.slice("subtotals", 1, HEADER_SEARCH_ROWS)), tail)
+    return files.select("project_id", "file_id", _numbered(cells).alias("rows"),
+                        _numbered(F.slice(first, 1, HEADER_SEARCH_ROWS)).alias("head"))
+
+
+def _cells_of(records) -> Column:
+    return F.transform(records, lambda x: x["cells"])
+
+
+def _numbered(cells: Column) -> Column:
+    """Cells as records; row numbers are array positions."""
+    return F.transform(cells, lambda c, i: F.struct(i.cast("int").alias("row_idx"), c.alias("cells")))
 
 
 # --- Schedules as people export them ------------------------------------------
@@ -202,15 +211,16 @@ def odd_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     revit.alias("revit"), variant.cast("int").alias("variant"),
                     F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("k"),
                              F.when(revit, revit_cells).otherwise(gurtz_cells).alias("cells")).alias("r"))
-            .groupBy("project_id", "file_id", "revit", "variant").agg(F.array_sort(F.collect_list("r")).alias("body")))
+            .repartition("project_id", "file_id")
+            .groupBy("project_id", "file_id", "revit", "variant").agg(F.sort_array(F.collect_list("r")).alias("body")))
     revit_headers = F.array(*[F.array(_lit_array(h)) for h in ODD_REVIT_HEADERS])
     gurtz_headers = F.array(*[F.array(*[_lit_array(r) for r in h]) for h in ODD_GURTZ_HEADERS])
     header = (F.when(F.col("project_id") % 17 == 0, F.array(_lit_array(ODD_NO_HEADER)))
               .when(F.col("revit"), F.get(revit_headers, F.col("variant") % 2)).otherwise(F.get(gurtz_headers, F.col("variant"))))
     title = F.when(F.col("revit"), F.array(_lit_array(REVIT_TITLE))).otherwise(F.array(_lit_array(GURTZ_TITLE)))
-    cells = F.concat(title, header, F.transform("body", lambda x: x["cells"]))
-    return body.select("project_id", "file_id", F.transform(cells, lambda c, i: F.struct(
-        i.cast("int").alias("row_idx"), c.alias("cells"))).alias("rows"))
+    first = F.slice(F.concat(title, header, _cells_of(F.slice("body", 1, HEADER_SEARCH_ROWS))), 1, HEADER_SEARCH_ROWS)
+    return body.select("project_id", "file_id", _numbered(F.concat(title, header, _cells_of("body"))).alias("rows"),
+                       _numbered(first).alias("head"))
 
 
 def odd_encoding(file_id: Column) -> Column:
