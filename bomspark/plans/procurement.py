@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.operators import lookup, planning, summary
-from bomspark.operators.clean import clean_schedules
+from bomspark.operators.clean import StoredSchedules, clean_schedules
 from bomspark.operators.lookup import DEFAULT_PROFILE
 from bomspark.operators.quality import issue_log, with_issues
 from bomspark.operators.timing import fixed_as_of, run_info
@@ -109,15 +109,14 @@ def clean_files(spark: SparkSession, path: str, glob: str = CSV_GLOB):
 def analyse_files(spark: SparkSession, path: str, catalogue: DataFrame | None = None,
                   project_start=None, as_of=None, gurtz_key: str = "level", glob: str = CSV_GLOB,
                   persist_bom: bool = True, profile=None, persist_rollup: bool = True) -> Analysis:
-    """``persist_bom``: the parsed files are written once, and lines and rejects
-    both come from that copy; otherwise each table parses the files again.
+    """``persist_bom``: the files are parsed and cleaned once, and lines and rejects
+    both come from what was written then; otherwise each table parses the files again.
     Files that Spark's listing leaves out are among the rejects.  The projects of all
     files, read or not, are the spine of the run."""
     listed = materialise(list_files(spark, path, glob), "listing")
     grids = parse_grids(decode_content(read_schedule_files(spark, path, glob)))
-    cleaned = clean_schedules(materialise(grids, "grids") if persist_bom else grids)
-    bom = materialise(cleaned.bom_lines, "bom_lines") if persist_bom else cleaned.bom_lines
-    a = analyse_bom(bom, catalogue, project_start, as_of, gurtz_key, profile, persist_rollup,
+    cleaned = StoredSchedules(grids) if persist_bom else clean_schedules(grids)
+    a = analyse_bom(cleaned.bom_lines, catalogue, project_start, as_of, gurtz_key, profile, persist_rollup,
                     listed.select("project_id").distinct())
     a.rejects = cleaned.rejects.unionByName(unlisted_files(listed))
     return a
@@ -127,7 +126,12 @@ def file_outcomes(headed: DataFrame, lines: DataFrame, listed: DataFrame) -> Dat
     """project_id, file_id, outcome, lines — what became of every listed file: "read" with its
     number of lines, or the reason it was rejected for.  A file is in the result once."""
     from bomspark.operators.layout import rejects
-    told = rejects(headed).unionByName(unlisted_files(listed)).select("file_id", "reason")
+    return outcomes_of(rejects(headed), lines, listed)
+
+
+def outcomes_of(rejected: DataFrame, lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """``file_outcomes`` from the rejects (project_id, file_id, reason) of the files read."""
+    told = rejected.unionByName(unlisted_files(listed)).select("file_id", "reason")
     counted = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"))
     return (listed.select("project_id", "file_id").join(told, "file_id", "left").join(counted, "file_id", "left")
             .select("project_id", "file_id", F.coalesce("reason", F.lit(OUTCOME_READ)).alias("outcome"),
