@@ -364,19 +364,20 @@ def q_write_by_project(spark, sf_dir):
 def q_upload_audit(spark, sf_dir):
     """The odd schedules land as files, some in folders that Spark passes over (``_old``, ``.hid``) and some in one
     that only looks like it (``_v=2``); every file is accounted for once."""
-    from bomspark.plans.procurement import file_outcomes, materialise
+    from bomspark.plans.procurement import materialise, outcomes_of
     from bomspark.session import shared_dir
     from bomspark.sinks.csv_text import csv_text
+    from bomspark.sinks.landing import write_landing
     from bomspark.sources.files import list_files, read_schedule_files
     landing = shared_dir(spark, "uploads")
     texts = materialise(odd_schedules(spark, sf_dir).select(
         F.col("project_id").alias("project"), F.col("file_id").alias("file"), csv_text(F.col("rows")).alias("value")), "texts")
     for folder, chosen in UPLOAD_FOLDERS.items():
-        (texts.filter(F.pmod("file", F.lit(5)).isin(chosen)).repartition("project", "file")
-         .write.partitionBy("project", "file").text(f"{landing}/{folder}"))
+        some = texts.filter(F.pmod("file", F.lit(5)).isin(chosen))
+        write_landing(some, f"{landing}/{folder}", some.count())
     listed = materialise(list_files(spark, landing, "*.txt"), "listing")
-    cleaned = clean_schedules(materialise(parse_grids(decode_content(read_schedule_files(spark, landing, "*.txt"))), "grids"))
-    return file_outcomes(cleaned.headed, cleaned.bom_lines, listed).select(
+    cleaned = StoredSchedules(parse_grids(decode_content(read_schedule_files(spark, landing, "*.txt"))))
+    return outcomes_of(cleaned.rejects, cleaned.bom_lines, listed).select(
         F.col("project_id").cast("bigint").alias("project_id"),
         F.regexp_extract("file_id", r"/file=([0-9]+)/", 1).cast("bigint").alias("file_id"), "outcome", "lines")
 
