@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +35,31 @@ def unit_hash(*columns: Column) -> Column:
             * F.lit(2.0 ** -53))
 
 
+def release() -> None:
+    """Hand memory that a finished task has freed back to the system.  Workers live on and serve later
+    stages, and what they keep for themselves adds to what the executor needs then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def released(run: Callable[[Iterator], Iterator], *caches) -> Callable[[Iterator], Iterator]:
+    """``run`` as a function of batches that clears ``caches`` and releases memory when its task ends."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            release()
+
+    return tidy
+
+
 PART_ROWS = 256
 
 
@@ -42,14 +69,20 @@ def by_parts(function: Callable[..., pa.Array], kind: str, *columns: Column) ->
     rows Spark sends at once."""
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for whole in batches:
-            for at in range(0, max(1, len(whole)), PART_ROWS):
-                yield function(whole.slice(at, PART_ROWS))
+        try:
+            for whole in batches:
+                for at in range(0, max(1, len(whole)), PART_ROWS):
+                    yield function(whole.slice(at, PART_ROWS))
+        finally:
+            release()
 
     def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for whole in batches:
-            for at in range(0, max(1, len(whole[0])), PART_ROWS):
-                yield function(*(c.slice(at, PART_ROWS) for c in whole))
+        try:
+            for whole in batches:
+                for at in range(0, max(1, len(whole[0])), PART_ROWS):
+                    yield function(*(c.slice(at, PART_ROWS) for c in whole))
+        finally:
+            release()
 
     run, given = (one, pa.Array) if len(columns) == 1 else (several, tuple[pa.Array, ...])
     run.__annotations__ = {"batches": Iterator[given], "return": Iterator[pa.Array]}

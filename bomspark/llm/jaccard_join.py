@@ -44,7 +44,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import by_parts, each, slices
+from bomspark.llm.common import by_parts, each, released, slices
 from bomspark.session import materialise, ship_package
 
 WORDS, PERCENT = 5, 80
@@ -74,6 +74,18 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def _tidy(run):
+    """``run`` that leaves neither word hashes nor freed memory in its worker."""
+    return released(run, _Hashes())
+
+
+class _Hashes:
+    """The word hashes of the worker that runs the task (pickled by name, so never copied)."""
+
+    def clear(self):
+        _HASHES.clear()
+
+
 def shingles_of(text: str | None, words: int):
     """Sorted distinct shingle hashes (uint64) of one text.  Words are runs without
     ASCII white space, A-Z in lower case (``bytes`` methods do just that)."""
@@ -179,7 +191,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             yield often(parts)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, sid bigint, n bigint, bits binary, shingle bigint, times bigint")
+        _tidy(run), "doc_id bigint, sid bigint, n bigint, bits binary, shingle bigint, times bigint")
 
 
 def _entries(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
@@ -221,7 +233,7 @@ def _entries(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
                     "shingle": pa.array(np.concatenate(keys)), "sid": pa.array(np.concatenate(sids)),
                     "n": pa.array(np.concatenate(sizes)), "small": pa.array(np.concatenate(small))})
 
-    return docs.select("text").mapInArrow(run, "shingle bigint, sid bigint, n bigint, small boolean")
+    return docs.select("text").mapInArrow(_tidy(run), "shingle bigint, sid bigint, n bigint, small boolean")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -237,7 +249,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 "shingles": pa.array([g.tobytes() for g in got], pa.binary())})
 
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
-            .select("text").mapInArrow(run, "sid bigint, shingles binary").dropDuplicates(["sid"]))
+            .select("text").mapInArrow(_tidy(run), "sid bigint, shingles binary").dropDuplicates(["sid"]))
 
 
 def _differing(a, b):
@@ -408,7 +420,7 @@ def _passing(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         yield emit(out)
 
     return (rows.repartition("shingle", "band", "b0", "b1").sortWithinPartitions("shingle", "band", "b0", "b1")
-            .mapInArrow(run, "a bigint, b bigint, bounded boolean, shingle bigint"))
+            .mapInArrow(_tidy(run), "a bigint, b bigint, bounded boolean, shingle bigint"))
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -427,7 +439,7 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     left = bits.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = bits.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_tidy(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -452,7 +464,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
     arrays = materialise(_arrays(docs, wanted, words), "jaccard-arrays")
     left = arrays.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = arrays.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    return materialise(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    return materialise(pairs.join(left, "a").join(right, "b").mapInArrow(_tidy(run), "a bigint, b bigint"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:

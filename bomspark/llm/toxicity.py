@@ -42,7 +42,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomspark.llm.common import by_parts, each, slices, unit_hash
+from bomspark.llm.common import by_parts, each, released, slices, unit_hash
 from bomspark.session import materialise, ship_package
 
 MAX_TRAIN = 20_000
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
     train = training_rows(docs, labels, limit)
-    counts = (train.mapInArrow(_count_words, "word string, other bigint, toxic bigint")
+    counts = (train.mapInArrow(released(_count_words), "word string, other bigint, toxic bigint")
               .groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")))
     counts = materialise(counts, "toxicity-words")
     total = counts.filter("word = ''").first()
@@ -290,7 +290,7 @@ def _calibrate(model: Model, scores: list[tuple[float, float]], train: DataFrame
                 "segments": pa.array(plain, pa.list_(pa.float64())), "damped": pa.array(counted, pa.list_(pa.float64())),
                 "n": pa.array(n, pa.int64()), "toxic": batch.column("toxic").cast(pa.int32())})
 
-    seen = materialise(train.mapInArrow(segments, "segments array<double>, damped array<double>, n bigint, toxic int"), "toxicity-fit")
+    seen = materialise(train.mapInArrow(released(segments), "segments array<double>, damped array<double>, n bigint, toxic int"), "toxicity-fit")
     shared.destroy()
     clean = seen.filter("toxic = 0")
     docs, mean = clean.agg(F.count(F.lit(1)), F.avg("n")).first()
