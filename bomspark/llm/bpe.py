@@ -24,9 +24,11 @@ tokens are joined by one space, as the library does.
 
 The file is a parameter; its bytes are broadcast (fixed size, not part of the
 data) and each worker builds the tables once.  Words up to CACHED_CHARS letters
-are remembered in two tables (words, runs with other characters) per worker, each of
+are remembered in two tables (words, runs with other characters) per task, each of
 two generations of at most CACHE_WORDS entries: when the young one is full it becomes
-the old one, and what is still used moves over, so frequent words stay.
+the old one, and what is still used moves over, so frequent words stay.  They are
+forgotten when the task ends: workers change between encoding, decoding and other
+stages, and every one of an executor would hold them for good.
 
 Null text encodes like the empty text: no ids.  Null ids decode to the empty text.
 Long texts are encoded whole, repeated rows alike, and empty tables give empty tables.
@@ -79,10 +81,14 @@ class Remembered(dict):
         if len(key) <= CACHED_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
-                self.clear()
+                super().clear()
             self[key] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
 
 class Encoder:
     """The tables of one model; see the module text."""
@@ -173,6 +179,11 @@ class Encoder:
             known = self.table[x, y] = self._apart(x, y, float("inf"))
         return known
 
+    def forget(self) -> None:
+        """Drop what was remembered of the texts; the tables of the model stay."""
+        for known in (self.words_known, self.runs_known, self.table):
+            known.clear()
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word of the pattern."""
         s = word.encode().decode("latin-1") + END
@@ -285,26 +296,37 @@ def table_of(kind: type, data: bytes):
     return _TABLES[key]
 
 
+def forget_words() -> None:
+    """Drop what the encoders of this worker remember of the texts of its task."""
+    for table in _TABLES.values():
+        if isinstance(table, Encoder):
+            table.forget()
+
+
 def _model(spark: SparkSession, path: str):
     ship_package(spark)
     with open(path, "rb") as f:  # a file of the installed tokenizers, read on the driver
         return spark.sparkContext.broadcast(f.read())
 
 
+def _lists(found: list[bytes]):
+    """Ids in bytes, one entry a text, as an Arrow array of lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.cumsum([0] + [len(x) // 4 for x in found], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``: the token ids of ``text`` as array<int>.  A column of that name is replaced."""
     model = _model(df.sparkSession, path)
 
     def ids_of(texts):
-        import numpy as np
-        import pyarrow as pa
-
         coder = table_of(Encoder, model.value)
-        found = [coder.encode(t) if t else b"" for t in texts.to_pylist()]
-        offsets = np.cumsum([0] + [len(x) // 4 for x in found], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        return _lists([coder.encode(t) if t else b"" for t in texts.to_pylist()])
 
-    return df.withColumn(out, by_parts(ids_of, "array<int>", F.col(text)))
+    return df.withColumn(out, by_parts(ids_of, "array<int>", F.col(text), after=forget_words))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -323,3 +345,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                          for null, a, b in zip(nulls, offsets[:-1], offsets[1:])], pa.string())
 
     return df.withColumn(out, by_parts(text_of, "string", F.col(ids)))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``ids`` as ``encode`` does and ``out`` as ``decode`` makes it from them.  One worker does both, so a task
+    needs one and not two at a time, and the ids do not travel back to be decoded."""
+    model = _model(df.sparkSession, path)
+
+    def both_of(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        encoder, decoder = table_of(Encoder, model.value), table_of(Decoder, model.value)
+        found = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
+        decoded = pa.array([decoder.decode(np.frombuffer(x, np.int32).astype(np.int64)) for x in found], pa.string())
+        return pa.StructArray.from_arrays([_lists(found), decoded], ["ids", "decoded"])
+
+    coded = by_parts(both_of, "struct<ids:array<int>,decoded:string>", F.col(text), after=forget_words)
+    return df.withColumn("__coded", coded).withColumns({ids: F.col("__coded.ids"), out: F.col("__coded.decoded")}).drop("__coded")

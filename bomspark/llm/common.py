@@ -63,26 +63,34 @@ def released(run: Callable[[Iterator], Iterator], *caches) -> Callable[[Iterator
 PART_ROWS = 256
 
 
-def by_parts(function: Callable[..., pa.Array], kind: str, *columns: Column) -> Column:
+def by_parts(function: Callable[..., pa.Array], kind: str, *columns: Column,
+             after: Callable[[], None] | None = None) -> Column:
     """``function`` over one or more columns, PART_ROWS rows at a time, as an Arrow
     UDF of the iterator kind: Python objects exist for one part only, however many
-    rows Spark sends at once."""
+    rows Spark sends at once.  ``after`` is called when a task ends."""
+
+    def end() -> None:
+        if after is not None:
+            after()
+        release()
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for whole in batches:
                 for at in range(0, max(1, len(whole)), PART_ROWS):
                     yield function(whole.slice(at, PART_ROWS))
+                del whole  # before the next is read
         finally:
-            release()
+            end()
 
     def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         try:
             for whole in batches:
                 for at in range(0, max(1, len(whole[0])), PART_ROWS):
                     yield function(*(c.slice(at, PART_ROWS) for c in whole))
+                del whole
         finally:
-            release()
+            end()
 
     run, given = (one, pa.Array) if len(columns) == 1 else (several, tuple[pa.Array, ...])
     run.__annotations__ = {"batches": Iterator[given], "return": Iterator[pa.Array]}

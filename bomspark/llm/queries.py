@@ -67,7 +67,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """``docs`` with ids, decoded and the columns op3 returns."""
-    coded = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    coded = bpe.round_trip(docs, TOKENIZER)  # encode and decode, by one worker a task
     return coded.withColumns({
         "n_tokens": F.size("ids").cast("bigint"),
         "ids_sha256": sha256(F.array_join(F.col("ids").cast("array<string>"), " ")),

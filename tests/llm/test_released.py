@@ -1,8 +1,9 @@
 """Workers keep nothing of a task that has ended."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from bomspark.llm import jaccard_join
+from bomspark.llm import bpe, jaccard_join, queries
 from bomspark.llm.common import released
 
 
@@ -25,3 +26,51 @@ def test_word_hashes_do_not_outlive_their_task():
     jaccard_join.shingles_of("some words of one text here", 5)
     assert jaccard_join._HASHES
     assert list(jaccard_join._tidy(lambda batches: iter(batches))([])) == [] and not jaccard_join._HASHES
+
+
+def test_words_of_an_encoder_do_not_outlive_their_task(spark):
+    rows = spark.createDataFrame([(i, f"Some words, of text{i} here") for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    assert bpe.encode(rows, queries.TOKENIZER).filter("size(ids) = 0").count() == 0
+
+    def remembered(batches):
+        import pyarrow as pa
+
+        from bomspark.llm import bpe  # the worker's own module
+
+        list(batches)
+        coders = [t for t in bpe._TABLES.values() if isinstance(t, bpe.Encoder)]
+        kept = sum(len(known) + len(known.old) for c in coders for known in (c.words_known, c.runs_known))
+        yield pa.RecordBatch.from_pydict({"coders": pa.array([len(coders)], pa.int64()),
+                                          "kept": pa.array([kept + sum(len(c.table) for c in coders)], pa.int64())})
+
+    # more tasks than idle workers, so the one that encoded is among them
+    found = spark.range(0, 64, 1, 64).mapInArrow(remembered, "coders bigint, kept bigint").collect()
+    assert sum(r.coders for r in found) > 0 and sum(r.kept for r in found) == 0
+
+
+def test_an_encoder_forgets_texts_and_encodes_as_before():
+    with open(queries.TOKENIZER, "rb") as f:
+        coder = bpe.Encoder(f.read())
+    text = "Some words, qwzxkvjq of one text here"  # the long word takes several tokens
+    first = coder.encode(text)
+    assert coder.words_known and coder.runs_known and coder.table
+    coder.words_known.old = dict(coder.words_known)
+    coder.forget()
+    assert not (coder.words_known or coder.words_known.old or coder.runs_known or coder.table)
+    assert coder.encode(text) == first
+
+
+def test_round_trip_is_encode_then_decode_in_one_worker(spark):
+    rows = spark.createDataFrame([(1, "Some words, of one text"), (2, ""), (3, None), (4, "  \x1f "), (4, "naïve ΣΑΣ 東京 🙂 " * 300),
+                                  (4, "Some words, of one text")], "doc_id bigint, text string").coalesce(1)
+    plain = bpe.decode(bpe.encode(rows, queries.TOKENIZER), queries.TOKENIZER)
+    both = bpe.round_trip(rows, queries.TOKENIZER)
+    assert both.schema == plain.schema and both.collect() == plain.collect()
+    digests = queries.token_digests(rows)
+    plan = digests._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 1
+    assert [r.n_tokens for r in digests.collect()] == [len(r.ids) for r in plain.collect()]
+    # columns of those names are replaced in their places
+    again = bpe.round_trip(plain.withColumn("ids", F.lit("x")), queries.TOKENIZER)
+    assert again.columns == plain.columns and again.collect() == plain.collect()
+    assert bpe.round_trip(rows.limit(0), queries.TOKENIZER).collect() == []
