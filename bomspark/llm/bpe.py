@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.llm.common import by_parts
-from bomspark.session import ship_package
+from bomspark.session import bound_batches, ship_package
 
 CACHED_CHARS = 48
 CACHE_WORDS = 110_000
@@ -305,6 +305,7 @@ def forget_words() -> None:
 
 def _model(spark: SparkSession, path: str):
     ship_package(spark)
+    bound_batches(spark)
     with open(path, "rb") as f:  # a file of the installed tokenizers, read on the driver
         return spark.sparkContext.broadcast(f.read())
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomspark.llm.common import by_parts, each, released, slices
-from bomspark.session import materialise, ship_package
+from bomspark.session import bound_batches, materialise, ship_package
 
 WORDS, PERCENT = 5, 80
 TASK_TIMES, HOT_SHINGLES = 8, 100_000
@@ -515,6 +515,7 @@ def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     repeats with different texts; a root stands for one."""
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     first = materialise(_sets(docs, words), "jaccard-sets")
     members = first.filter("n IS NOT NULL").select("doc_id", "sid", "n")
     hot_rows = (first.filter("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))

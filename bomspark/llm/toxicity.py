@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomspark.llm.common import by_parts, each, released, slices, unit_hash
-from bomspark.session import materialise, ship_package
+from bomspark.session import bound_batches, materialise, ship_package
 
 MAX_TRAIN = 20_000
 MODEL_WORDS = 50_000
@@ -245,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     small summaries, never texts."""
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     train = training_rows(docs, labels, limit)
     counts = (train.mapInArrow(released(_count_words), "word string, other bigint, toxic bigint")
               .groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")))
@@ -327,6 +328,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
     significant passages (code points, end exclusive) with their score and E.  A
     column of that name is replaced."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def scores_of(texts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,6 +31,9 @@ RECOMMENDED_CONF = {
 # Row groups of intermediate tables.
 ROW_GROUP_BYTES = 32 << 20
 
+# Arrow batches to Python workers, where rows hold whole texts or sets.
+BATCH_BYTES = 4 << 20
+
 
 def get_session(master: str | None = None, app_name: str = "bomspark",
                 shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
@@ -90,6 +94,24 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python workers take at most BATCH_BYTES (and one row), unless the session
+    has a lower bound already.
+
+    Each running task holds its batch in Arrow's buffers, in the buffer of the socket and in the
+    worker, all of which double as they grow; with Spark's own bound (64 MB) they can outgrow what an
+    executor has beside its heap.  Batches may be cut anywhere, so results stay the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark settings give it: 4194304, 64MB, 64m."""
+    number, unit = re.fullmatch(r"([0-9]+)\s*([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def materialise(df, name: str):
     """Write df as parquet under the shared checkpoint folder and read it back.
 

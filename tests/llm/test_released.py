@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bomspark.llm import bpe, jaccard_join, queries
+from bomspark.llm import bpe, jaccard_join, queries, toxicity
 from bomspark.llm.common import released
+from bomspark.session import BATCH_BYTES, bound_batches
 
 
 def test_caches_are_cleared_when_a_task_ends():
@@ -74,3 +75,39 @@ def test_round_trip_is_encode_then_decode_in_one_worker(spark):
     again = bpe.round_trip(plain.withColumn("ids", F.lit("x")), queries.TOKENIZER)
     assert again.columns == plain.columns and again.collect() == plain.collect()
     assert bpe.round_trip(rows.limit(0), queries.TOKENIZER).collect() == []
+
+
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("operator", [
+    lambda rows: bpe.round_trip(rows, queries.TOKENIZER),
+    lambda rows: bpe.decode(bpe.encode(rows, queries.TOKENIZER), queries.TOKENIZER),
+    lambda rows: jaccard_join.near_duplicates(rows),
+    lambda rows: toxicity.fit(rows, rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))),
+    lambda rows: toxicity.score(rows, toxicity.Model()),
+])
+def test_batches_of_whole_texts_are_small(spark, operator):
+    session = spark.newSession()
+    session.conf.set(BOUND, "64MB")
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: i + F.col("id")))
+    rows = session.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), long.alias("text"))
+    operator(rows.limit(3))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64()), "size": pa.array([batch.nbytes], pa.int64())})
+
+    found = rows.mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 2 * BATCH_BYTES
+
+
+@pytest.mark.parametrize("given, held", [("64MB", str(BATCH_BYTES)), ("1g", str(BATCH_BYTES)), (str(BATCH_BYTES + 1), str(BATCH_BYTES)),
+                                         ("4m", "4m"), ("100k", "100k"), ("2048", "2048")])
+def test_a_lower_bound_of_the_session_stays(spark, given, held):
+    session = spark.newSession()
+    session.conf.set(BOUND, given)
+    bound_batches(session)
+    assert session.conf.get(BOUND) == held
