@@ -61,8 +61,9 @@ SAMPLE = 1_024
 CELL_ROWS = 1_024  # cells are no more than rows / CELL_ROWS
 BLOCK_ROWS = 4_096
 FILL = 0.9  # share of BLOCK_ROWS that rows are dealt for: a hash deals unevenly
-PACK_ROWS = 512
+PACK_ROWS = 2_048
 RUN_BLOCKS = 8
+ROUTE_ROWS = 1_024  # anchors a routing task takes
 BASE = 1.3
 LEAF = 32
 MIN_CHILD = 8
@@ -387,12 +388,10 @@ def build_index(rows: DataFrame, k: int) -> Index:
 
 # -- searching -------------------------------------------------------------------------
 
-ASKS = "ask bigint, id bigint, label bigint, v array<bigint>, dim int, windows array<struct<window:int,low:bigint,high:bigint>>"
-
-
-def _routed(asks: DataFrame, index: Index, home: bool) -> DataFrame:
-    """asks + cell, one row for each cell to search: with ``home`` the nearest, else the
-    others whose bounds meet a window."""
+def _routed(asks: DataFrame, index: Index, home: bool, tasks: int) -> DataFrame:
+    """(ask, dim, cell): the cells each ask has to search: with ``home`` the nearest, else the others whose
+    bounds meet a window.  Up to PIVOTS rows an ask, so they carry no vectors, and are written:
+    their size is known then, where Spark would guess it from that of the asks."""
     top = asks.sparkSession.sparkContext.broadcast((index.pivots, index.radius, index.longest))  # PIVOTS vectors
     most = index.most
 
@@ -402,41 +401,42 @@ def _routed(asks: DataFrame, index: Index, home: bool) -> DataFrame:
 
         pivots, radius, longest = top.value
         centres = _by_dimension(pivots)
+
+        def cells_of(v, windows):
+            cells, at_centres = centres.get(len(v), (np.array([], np.int64), None))
+            held = np.array([c in radius for c in cells.tolist()], bool)
+            if not held.any():
+                return [-1] if home else []
+            q = np.array(v, np.float64)
+            products = at_centres @ q
+            square = float(q @ q)
+            nearest = int(cells[np.argmax(np.where(held, products, -np.inf))])
+            if home:
+                return [nearest]
+            away = np.array([radius.get(c, 0.0) for c in cells.tolist()])
+            lower, upper = bounds(square, products, away, most)
+            reach = square ** 0.5 * np.array([longest.get(c, 0.0) for c in cells.tolist()]) * (1 + SLACK) + 1e-9
+            upper = np.minimum(upper, reach)
+            fits = np.zeros(len(cells), bool)
+            for w in windows:
+                fits |= (upper >= w["low"]) & (lower <= w["high"])
+            return [c for c in cells[fits & held].tolist() if c != nearest]
+
         for batch in batches:
-            took, into = [], []
-            for i, (v, windows) in enumerate(zip(batch.column("v").to_pylist(), batch.column("windows").to_pylist())):
-                cells, at_centres = centres.get(len(v), (np.array([], np.int64), None))
-                held = np.array([c in radius for c in cells.tolist()], bool)
-                if not held.any():
-                    if home:
-                        took.append(i)
-                        into.append(-1)
-                    continue
-                q = np.array(v, np.float64)
-                products = at_centres @ q
-                square = float(q @ q)
-                nearest = int(cells[np.argmax(np.where(held, products, -np.inf))])
-                if home:
-                    found = [nearest]
-                else:
-                    away = np.array([radius.get(c, 0.0) for c in cells.tolist()])
-                    lower, upper = bounds(square, products, away, most)
-                    reach = square ** 0.5 * np.array([longest.get(c, 0.0) for c in cells.tolist()]) * (1 + SLACK) + 1e-9
-                    upper = np.minimum(upper, reach)
-                    fits = np.zeros(len(cells), bool)
-                    for w in windows:
-                        fits |= (upper >= w["low"]) & (lower <= w["high"])
-                    found = [c for c in cells[fits & held].tolist() if c != nearest]
-                took += [i] * len(found)
-                into += found
-            table = pa.Table.from_batches([batch]).take(pa.array(took, pa.int64()))
-            for piece in table.append_column("cell", pa.array(into, pa.int32())).to_batches(max_chunksize=1024):
-                yield piece
-
-    return asks.select("ask", "id", "label", "v", "dim", "windows").mapInArrow(run, ASKS + ", cell int")
-
-
-def _searched(asks: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
+            for at in range(0, len(batch), 128):
+                piece = batch.slice(at, 128)
+                found = [cells_of(v, w) for v, w in zip(piece.column("v").to_pylist(), piece.column("windows").to_pylist())]
+                took = pa.array([i for i, cells in enumerate(found) for _ in cells], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("ask").take(took), piece.column("dim").take(took),
+                     pa.array([c for cells in found for c in cells], pa.int32())], names=["ask", "dim", "cell"])
+
+    # by number: adaptive execution would join them to one task, as they have few bytes
+    dealt = asks.select("ask", "dim", "v", "windows").repartition(tasks, "ask")
+    return materialise(dealt.mapInArrow(run, "ask bigint, dim int, cell int"), "negatives-routes")
+
+
+def _searched(asks: DataFrame, routes: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
     """(ask, window, score, found): at most k rows a window and run of blocks."""
     most = index.most
 
@@ -458,14 +458,21 @@ def _searched(asks: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
             "found": pa.array(cols[3], pa.int64())})
 
     keys = ["dim", "cell", "pack", "run"]
-    asked = asks.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / PACK_ROWS).cast("bigint").alias("packs"))
+    asked = routes.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / PACK_ROWS).cast("bigint").alias("packs"))
     held = index.blocks.groupBy("dim", "cell").agg((F.expr(f"max(part) div {RUN_BLOCKS}") + 1).alias("runs"))
     met = asked.join(held, ["dim", "cell"])
     count = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
-    left = (asks.join(met, ["dim", "cell"]).withColumn("pack", F.pmod(F.xxhash64("ask"), F.col("packs")))
-            .withColumn("run", F.explode(count("runs"))).select(*keys, "ask", "id", "label", "v", "windows"))
-    right = (index.blocks.join(met, ["dim", "cell"]).withColumn("run", F.expr(f"part div {RUN_BLOCKS}"))
-             .withColumn("pack", F.explode(count("packs"))).select(*keys, "part", "n", "width", "ids", "labels", "vectors", "nodes"))
+    # Who meets whom is dealt as narrow rows; vectors join last, by a merge: in files they take a fraction
+    # of their memory, so Spark would take sides for small that no broadcast can hold.
+    place = ["dim", "cell", "part"]
+    left = (routes.join(met, ["dim", "cell"]).withColumn("pack", F.pmod(F.xxhash64("ask"), F.col("packs")))
+            .withColumn("run", F.explode(count("runs"))).select(*keys, "ask")
+            .join(asks.select("ask", "id", "label", "v", "windows").hint("merge"), "ask")
+            .select(*keys, "ask", "id", "label", "v", "windows"))
+    right = (index.blocks.select(*place).distinct().join(met, ["dim", "cell"])
+             .withColumn("run", F.expr(f"part div {RUN_BLOCKS}")).withColumn("pack", F.explode(count("packs"))).select(*keys, "part")
+             .join(index.blocks.select(*place, "n", "width", "ids", "labels", "vectors", "nodes").hint("merge"), place)
+             .select(*keys, "part", "n", "width", "ids", "labels", "vectors", "nodes"))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         run, "ask bigint, window int, score bigint, found bigint")
 
@@ -476,21 +483,23 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(asks: DataFrame, windows: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
+def search(asks: DataFrame, windows: DataFrame, index: Index, same: bool, k: int, tasks: int = 1) -> DataFrame:
     """(ask, window, rank, score, found): the first k rows of each window (ask, window, low,
-    high), scores in [low, high], with the ask's own label (``same``) or another."""
+    high), scores in [low, high], with the ask's own label (``same``) or another.  ``tasks``: how many
+    tasks route the asks."""
 
-    def with_windows(w: DataFrame) -> DataFrame:
+    def searched(w: DataFrame, home: bool) -> DataFrame:
         gathered = w.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct(
             F.col("window").cast("int").alias("window"), "low", "high"))).alias("windows"))
-        return asks.join(gathered, "ask")
+        met = asks.hint("merge").join(gathered, "ask")
+        return _searched(met, _routed(met, index, home, tasks), index, same, k)
 
-    near = materialise(_first(_searched(_routed(with_windows(windows), index, True), index, same, k), k), "negatives-near")
+    near = materialise(_first(searched(windows, True), k), "negatives-near")
     reached = (near.groupBy("ask", "window").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least"))
                .filter(F.col("c") == k).select("ask", "window", "least"))
     raised = (windows.join(reached, ["ask", "window"], "left")
               .select("ask", "window", F.greatest("low", "least").alias("low"), "high"))
-    more = _searched(_routed(with_windows(raised), index, False), index, same, k)
+    more = searched(raised, False)
     return materialise(_first(near.select("ask", "window", "score", "found").union(more), k), "negatives-found")
 
 
@@ -503,14 +512,15 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     index = build_index(materialise(_usable(rows), "negatives-rows"), max(positives, negatives))
     asks = _usable(anchors).dropDuplicates(["id", "label", "v"])
     asks = materialise(asks.withColumn("ask", F.monotonically_increasing_id()), "negatives-asks")
+    tasks = max(1, -(-asks.count() // ROUTE_ROWS))
     all_scores = asks.select("ask", F.lit(0).alias("window"), F.lit(LOWEST).cast("bigint").alias("low"),
                              F.lit(HIGHEST).cast("bigint").alias("high"))
-    found = search(asks, all_scores, index, True, positives).select(
+    found = search(asks, all_scores, index, True, positives, tasks).select(
         "ask", F.col("rank").alias("window"), F.col("score").alias("positive_score"), F.col("found").alias("positive_id"))
     exact = F.col("positive_score").cast("decimal(20,0)")
     windows = (found.select("ask", "window", F.ceil(F.lit(low) * exact / 100).cast("bigint").alias("low"),
                             F.floor(F.lit(high) * exact / 100).cast("bigint").alias("high")).filter("low <= high"))
-    negative = search(asks, windows, index, False, negatives)
+    negative = search(asks, windows, index, False, negatives, tasks)
     return (negative.join(found, ["ask", "window"]).join(asks.select("ask", F.col("id").alias("anchor_id")), "ask")
             .select("anchor_id", "positive_id", "rank", F.col("found").alias("negative_id"),
                     "positive_score", F.col("score").alias("negative_score")))

@@ -122,3 +122,23 @@ def test_query_on_odd_rows(spark, tmp_path):
     got = [tuple(r) for r in Q.op13_hard_negatives(spark, str(tmp_path)).collect()]
     assert got == [(100, 7, 1, 0, 4096, 4096)]
     assert Q.op13_hard_negatives(spark, str(tmp_path)).columns[0] == "anchor_id"
+
+
+def test_no_vectors_are_broadcast(spark, monkeypatch):
+    """Anchors routed to many cells were taken for as small as the table of anchors, and broadcast."""
+    import re
+
+    plans, searched = [], H._searched
+    monkeypatch.setattr(H, "CELL_ROWS", 10)
+
+    def seen(*args):
+        found = searched(*args)
+        plans.append(found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted"))
+        return found
+
+    monkeypatch.setattr(H, "_searched", seen)
+    rows = clustered(5, 300)
+    assert run(spark, rows, rows[:20]) == brute(rows, rows[:20])
+    assert len(plans) == 4
+    sent = re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*)\]", "\n".join(plans))
+    assert not [x for x in sent if re.search(r"\b(v|vectors)#", x)], sent
