@@ -6,10 +6,10 @@ in the order of their names, are exactly the document.  Rows are dealt by ranges
 (project, order), so a project of any size is written by as many tasks as it needs and
 is gathered in none; there are tasks for the folders as well as for the bytes.
 
-Spark's text writer puts a line separator behind every row.  Every part of a document
-ends with the same character (``>`` on a page, the line end in a prompt), so that character is
-the writer's separator and the row is written without it: nothing is added.  A part
-that ends otherwise stops the job.  Report lines have no line end of their own and get one
+Every part of a document ends with the same character (``>`` on a page, the line end in a prompt).
+Spark's text writer puts a line separator behind every row; where it is used (``folders.write_texts``) that
+character is its separator and the row is written without it: nothing is added.  A part that ends otherwise
+stops the job.  Report lines have no line end of their own and get one
 each.
 
 ``part_digests`` and ``file_digests`` compare what was built with what storage holds without
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.operators.ranking import ONE_TASK_ROWS, sum_before_in_group
+from bomspark.session import bound_listing
+from bomspark.sinks.folders import write_texts
 from bomspark.sinks.landing import TASK_FILES
 
 # Lines of one file may share a line number; their text decides then.
@@ -40,11 +42,14 @@ P, B = (1 << 31) - 1, 1_000_003
 TABLE_BITS = 8
 
 
+def _stopped(end: str) -> Column:
+    return F.raise_error(F.lit(f"a part of a document does not end with {end!r}"))
+
+
 def _ended(rows: DataFrame, value: str, end: str) -> Column:
     """The value without its closing ``end``; a value that has none stops the job."""
     v = F.col(value)
-    return F.when(v.endswith(end), F.substring(v, F.lit(1), F.length(v) - len(end))).otherwise(
-        F.raise_error(F.lit(f"a part of a document does not end with {end!r}")))
+    return F.when(v.endswith(end), F.substring(v, F.lit(1), F.length(v) - len(end))).otherwise(_stopped(end))
 
 
 def with_line_ends(lines: DataFrame, value: str = "line") -> DataFrame:
@@ -60,10 +65,9 @@ def write_documents(rows: DataFrame, out_dir: str, value: str, order: tuple[str,
     held = rows.agg(F.count_distinct("project_id").alias("projects"), F.sum(F.octet_length(value)).alias("bytes")).first()
     # a file costs its task far more than its bytes, so tasks are counted by both
     tasks = max(1, -(-held.projects // TASK_FILES), -(-(held.bytes or 0) // TASK_BYTES))
-    (rows.select(*keys, _ended(rows, value, end).alias("_written"))
-     .repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
-     .select("project_id", F.col("_written").alias("value"))
-     .write.mode(mode).partitionBy("project_id").option("lineSep", end).text(out_dir))
+    whole = F.when(F.col(value).endswith(end), F.col(value)).otherwise(_stopped(end))
+    dealt = rows.select(*keys, whole.alias("_written")).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    write_texts(dealt.select("project_id", F.col("_written").alias("value")), out_dir, ["project_id"], mode, end)
     return out_dir
 
 
@@ -123,6 +127,7 @@ def file_digests(spark: SparkSession, out_dir: str, key_type: str, end: str = LI
     SQL type of project_id.  A piece's power follows its place in the reading task, and the
     aggregate of a file block knows the first place, which is then divided out, so
     one pass without a sort digests each block."""
+    bound_listing(spark)
     read = spark.read.schema(f"value string, project_id {key_type}").option("lineSep", end).text(out_dir)
     pieces = read.select("project_id", "value", F.col("_metadata.file_name").alias("_file"),
                          F.col("_metadata.file_block_start").alias("_start"),
