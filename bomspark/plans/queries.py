@@ -347,18 +347,16 @@ def q_write_by_project(spark, sf_dir):
     and digest of what reads back, and whether the files are no more than one a project and one
     for every QUERY_FILE_ROWS rows."""
     from bomspark.session import shared_dir
-    from bomspark.sinks.tables import clustered_tables, count_files, read_tables, table_digests, write_by_project
+    from bomspark.sinks.tables import clustered_tables, count_files, read_tables, stored_files, table_digests, write_by_project
     paths = write_by_project(clustered_tables(_odd_analysis(spark, sf_dir)), shared_dir(spark, "by-project"),
                              file_rows=QUERY_FILE_ROWS)
     read = read_tables(spark, paths)
-    held = None
-    for name, df in read.items():
-        one = df.agg(F.count_distinct("project_id").alias("projects"), F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"), "projects", "n")
-        held = one if held is None else held.unionByName(one)
-    fits = F.col("files") <= F.col("projects") + F.ceil(F.col("n") / QUERY_FILE_ROWS)
-    files = count_files(paths, spark, read=read).join(held, "table_name").select("table_name", fits.alias("files_bounded"))
-    return table_digests(read).join(files, "table_name")
+    stored = stored_files(read)  # every file is opened once
+    held = stored.groupBy("table_name").agg(F.count_distinct("project_id").alias("projects"), F.sum("rows").alias("n"))
+    bound = F.coalesce("projects", F.lit(0)) + F.ceil(F.coalesce("n", F.lit(0)) / QUERY_FILE_ROWS)
+    files = count_files(paths, spark, read=read, stored=stored).join(held, "table_name", "left").select(
+        "table_name", (F.col("files") <= bound).alias("files_bounded"))
+    return table_digests(read, stored).join(files, "table_name")
 
 
 def q_upload_audit(spark, sf_dir):

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomspark.operators.ordering import order_delivery, order_lead_times, order_spend, order_summary
-from bomspark.session import materialise
+from bomspark.session import bound_listing, materialise
+from bomspark.sinks.folders import write_parquet
 from bomspark.sinks.landing import TASK_FILES
 
 TABLE_NAMES = ["Clean_BOM", "Summary_by_Family", "Data_Quality_Log", "Lead_Time_Estimator",
@@ -89,21 +90,42 @@ def write_by_project(tables: dict[str, tuple[DataFrame, list]], out_dir: str, fm
     paths = {}
     for name, (df, order) in tables.items():
         path = os.path.join(out_dir, name)
-        w = deal_by_project(df, order, file_rows).write.mode(mode).format(fmt).partitionBy("project_id")
-        if fmt == "csv":
-            w = w.option("header", "true")
-        w.save(path)
+        dealt = deal_by_project(df, order, file_rows)
+        if fmt == "parquet":
+            write_parquet(dealt, path, ["project_id"], mode)
+        else:
+            w = dealt.write.mode(mode).format(fmt).partitionBy("project_id")
+            if fmt == "csv":
+                w = w.option("header", "true")
+            w.save(path)
         paths[name] = path
     return paths
 
 
+def stored_files(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, project_id, file, rows, digest: a row for each data file of tables as ``read_tables`` returned
+    them (and project, if they have projects), from one pass over each that is written.  ``count_files`` and
+    ``table_digests`` sum it up, where each would open every file again."""
+    out = None
+    for name, df in tables.items():
+        project = F.col("project_id").cast("string") if "project_id" in df.columns else F.lit(None).cast("string")
+        one = (df.groupBy(project.alias("project_id"), F.col("_metadata.file_path").alias("file"))
+               .agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_number(df)).alias("digest"))
+               .select(F.lit(name).alias("table_name"), "project_id", "file", "rows", "digest"))
+        out = one if out is None else out.unionByName(one)
+    return materialise(out, "stored-files")
+
+
 def count_files(paths: dict[str, str], spark: SparkSession, fmt: str = "parquet",
-                read: dict[str, DataFrame] | None = None) -> DataFrame:
+                read: dict[str, DataFrame] | None = None, stored: DataFrame | None = None) -> DataFrame:
     """table_name, files: the data files of written tables that hold rows.  ``read``: the tables
-    as ``read_tables`` returned them, whose folders then are not listed again."""
+    as ``read_tables`` returned them, whose folders then are not listed again; ``stored``: their
+    ``stored_files``, so that they are not opened again either."""
     out = None
     for name, df in (read or read_tables(spark, paths, fmt)).items():
-        one = (df.select(F.col("_metadata.file_path").alias("f")).distinct()
+        file = df.select(F.col("_metadata.file_path").alias("f")) if stored is None else (
+            stored.filter(F.col("table_name") == name).select(F.col("file").alias("f")))
+        one = (file.distinct()
                .agg(F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("table_name"), "files"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -130,17 +152,27 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet
 
 
 def read_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> dict[str, DataFrame]:
+    bound_listing(spark)
     return {name: spark.read.format(fmt).load(p) for name, p in paths.items()}
 
 
-def table_digests(tables: dict[str, DataFrame]) -> DataFrame:
+def _row_number(df: DataFrame) -> Column:
+    """The number of a row: 40 bits of the md5 of all its columns by name."""
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in sorted(df.columns)]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *values)), 1, 10), 16, 10).cast("decimal(38,0)")
+
+
+def table_digests(tables: dict[str, DataFrame], stored: DataFrame | None = None) -> DataFrame:
     """table_name, rows, digest — one row per table; the digest is a sum of row
-    hashes over all columns by name, so it does not depend on row order."""
+    hashes over all columns by name, so it does not depend on row order.  ``stored``: the
+    ``stored_files`` of the tables, which are summed then."""
     parts = []
     for name, df in tables.items():
-        values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in sorted(df.columns)]
-        row = F.conv(F.substring(F.md5(F.concat_ws("|", *values)), 1, 10), 16, 10).cast("decimal(38,0)")
-        parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+        if stored is None:
+            held, rows, digest = df, F.count(F.lit(1)), F.sum(_row_number(df))
+        else:
+            held, rows, digest = stored.filter(F.col("table_name") == name), F.coalesce(F.sum("rows"), F.lit(0)), F.sum("digest")
+        parts.append(held.agg(rows.alias("rows"), F.coalesce(digest, F.lit(0)).cast("string").alias("digest"))
                      .select(F.lit(name).alias("table_name"), "rows", "digest"))
     out = parts[0]
     for p in parts[1:]:
