@@ -87,7 +87,9 @@ def file_header(grids: DataFrame) -> DataFrame:
     """project_id, file_id, layout, header_idx, level_pos, panel_pos, type_pos
     for every file whose header was found."""
     h = with_header(first_blocks(grids))
-    return h.filter(F.col("header_idx").isNotNull()).select("project_id", "file_id", *HEADER_COLUMNS)
+    # a generator instead of a filter, which Catalyst would push below the header search and so search twice
+    found = F.filter(F.array(F.struct(*HEADER_COLUMNS)), lambda x: x["header_idx"].isNotNull())
+    return h.select("project_id", "file_id", F.inline(found))
 
 
 def layout_label(layout: Column) -> Column:

@@ -55,16 +55,21 @@ def _level(linenumber: Column) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def bom_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project_id, file_id, line_no, family, type, panel_name, level, count."""
+def _is_revit() -> Column:
+    return F.pmod(F.col("project_id"), F.lit(2)) == 0
+
+
+def bom_view(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
+    """project_id, file_id, line_no, family, type, panel_name, level, count.  With ``by_file`` the rows of a file are
+    in one task, sorted by project, file and ``group``, a further column: the family in a revit file, else null."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    j = li.join(part, li["l_partkey"] == part["p_partkey"])
-    return j.select(
-        F.col("l_suppkey").alias("project_id"),
-        (F.col("l_suppkey") * FILE_ID_STRIDE
-         + F.expr(f"l_orderkey div {FILE_ORDERKEY_SPAN}")).cast("bigint").alias("file_id"),
+    j = li.join(part, li["l_partkey"] == part["p_partkey"]).withColumns({
+        "project_id": F.col("l_suppkey"),
+        "file_id": (F.col("l_suppkey") * FILE_ID_STRIDE + F.expr(f"l_orderkey div {FILE_ORDERKEY_SPAN}")).cast("bigint")})
+    bom = j.select(
+        "project_id", "file_id",
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("line_no"),
         F.col("p_name").alias("family"),
         F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 3), F.lit(""))
@@ -74,6 +79,10 @@ def bom_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         _level(F.col("l_linenumber")).alias("level"),
         F.col("l_quantity").cast("bigint").alias("count"),
     )
+    if not by_file:
+        return bom
+    dealt = bom.repartition("project_id", "file_id").withColumn("group", F.when(_is_revit(), F.col("family")))
+    return dealt.sortWithinPartitions("project_id", "file_id", "group")
 
 
 # --- Raw schedule files derived from the BOM --------------------------------
@@ -95,6 +104,13 @@ GURTZ_BLANK = ["", "", "", "", "", ""]
 GRID_ROW_DDL = "struct<row_idx:int,cells:array<string>>"
 
 
+def streamed_groups(spark: SparkSession) -> None:
+    """Let aggregates over rows that are sorted by their groups take each group as it comes.  Spark would
+    gather ordered lists in a hash map of 128 groups, then sort all rows anew by the group, twice for
+    each aggregate.  The setting stays on the session, as results are lazy; it changes no result."""
+    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
+
+
 def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -111,25 +127,22 @@ def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     Built with one aggregate per file (bounded by the file), never per
     project; row numbers are array positions, so no window is needed.
     """
-    revit = F.pmod(F.col("project_id"), F.lit(2)) == 0
-    line_cells = F.when(revit, F.array(
-        F.concat(F.lit(" "), F.col("family")), F.col("type"), F.col("panel_name"),
-        F.concat(F.col("level"), F.lit(" ")), F.col("count").cast("string"),
-    )).otherwise(F.array(
-        F.col("level"), F.lit("Elec Rm"), F.lit("MLO"), F.col("panel_name"), F.lit("100"), F.col("type"),
-    ))
-    # Dealt by file once, as narrow rows: both aggregates then need no exchange of their own, and no
+    streamed_groups(spark)
+    is_revit = _is_revit()
+    # The varying cells of a line in their order, which decides between lines of one number.
+    line = F.struct(F.col("line_no").alias("k1"), *[F.when(is_revit, r).otherwise(g).alias(c) for c, r, g in (
+        ("a", F.col("family"), F.col("level")), ("b", F.col("type"), F.col("panel_name")), ("c", F.col("panel_name"), F.col("type")),
+        ("d", F.col("level"), F.lit(None)), ("e", F.col("count").cast("string"), F.lit(None)))])
+    # Dealt by file and sorted once, as narrow rows: both aggregates then take their groups as they come, and no
     # task gathers parts of files before they meet.  Only revit lines are grouped by family.
-    bom = bom_view(spark, sf_dir).repartition("project_id", "file_id")
-    families = (bom.groupBy("project_id", "file_id", F.when(revit, F.col("family")).alias("family"))
-                .agg(F.collect_list(F.struct(F.col("line_no").alias("k1"), line_cells.alias("cells"))).alias("lines"),
-                     F.sum("count").cast("bigint").alias("units")))
-    subtotal = F.struct(F.col("family").alias("k2"), F.array(
-        F.col("family"), F.lit(""), F.lit(""), F.lit(""), F.col("units").cast("string")).alias("cells"))
-    files = (families.groupBy("project_id", "file_id")
+    groups = ["project_id", "file_id", "group"]
+    families = (bom_view(spark, sf_dir, by_file=True).groupBy(*groups)
+                .agg(F.collect_list(line).alias("lines"), F.sum("count").cast("bigint").alias("units")))
+    subtotal = F.struct(F.col("group").alias("k2"), F.array(
+        F.col("group"), F.lit(""), F.lit(""), F.lit(""), F.col("units").cast("string")).alias("cells"))
+    files = (families.sortWithinPartitions("project_id", "file_id").groupBy("project_id", "file_id")  # sorted already: no sort is left
              .agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"),
-                  F.sort_array(F.collect_list(F.when(revit, subtotal))).alias("subtotals")))
-    is_revit = F.pmod(F.col("project_id"), F.lit(2)) == 0
+                  F.sort_array(F.collect_list(F.when(is_revit, subtotal))).alias("subtotals")))
     notes = F.pmod(F.col("project_id"), F.lit(NOTE_ROWS_MODULUS)).cast("int")
     empty = F.array().cast("array<array<string>>")
     note_rows = F.when(notes > 0, F.when(
@@ -139,9 +152,15 @@ def schedule_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(is_revit, F.array(_lit_array(REVIT_HEADER))).otherwise(F.array(_lit_array(GURTZ_HEADER)))
     tail = F.when(is_revit, F.array(_lit_array(REVIT_JUNK))).otherwise(
         F.array(_lit_array(GURTZ_HEADER), _lit_array(GURTZ_BLANK)))
-    cells = F.concat(head, note_rows, header, _cells_of("lines"), _cells_of("subtotals"), tail)
+
+    def line_cells(lines) -> Column:
+        return F.when(is_revit, F.transform(lines, lambda x: F.array(
+            F.concat(F.lit(" "), x["a"]), x["b"], x["c"], F.concat(x["d"], F.lit(" ")), x["e"]))).otherwise(
+            F.transform(lines, lambda x: F.array(x["a"], F.lit("Elec Rm"), F.lit("MLO"), x["b"], F.lit("100"), x["c"])))
+
+    cells = F.concat(head, note_rows, header, line_cells(F.col("lines")), _cells_of("subtotals"), tail)
     # the first records on their own: looking for a header needs no others
-    first = F.concat(head, note_rows, header, _cells_of(F.slice("lines", 1, HEADER_SEARCH_ROWS)),
+    first = F.concat(head, note_rows, header, line_cells(F.slice("lines", 1, HEADER_SEARCH_ROWS)),
                      _cells_of(F.slice("subtotals", 1, HEADER_SEARCH_ROWS)), tail)
     return files.select("project_id", "file_id", _numbered(cells).alias("rows"),
                         _numbered(F.slice(first, 1, HEADER_SEARCH_ROWS)).alias("head"))
@@ -179,6 +198,7 @@ ODD_COUNTS = ["1e3", "2.7", "-3", "1,000", NBSP + "12" + NBSP, "", "inf", ".5"]
 
 def odd_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``schedule_grids``, of the odd schedules above."""
+    streamed_groups(spark)
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
@@ -211,7 +231,7 @@ def odd_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     revit.alias("revit"), variant.cast("int").alias("variant"),
                     F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("k"),
                              F.when(revit, revit_cells).otherwise(gurtz_cells).alias("cells")).alias("r"))
-            .repartition("project_id", "file_id")
+            .repartition("project_id", "file_id").sortWithinPartitions("project_id", "file_id", "revit", "variant")
             .groupBy("project_id", "file_id", "revit", "variant").agg(F.sort_array(F.collect_list("r")).alias("body")))
     revit_headers = F.array(*[F.array(_lit_array(h)) for h in ODD_REVIT_HEADERS])
     gurtz_headers = F.array(*[F.array(*[_lit_array(r) for r in h]) for h in ODD_GURTZ_HEADERS])
